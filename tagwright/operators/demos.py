@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagwright.functions.prompts import Demo
+from tagwright.functions.prompts import Demo, Prompt
 from tagwright.functions.text import hash_key
 from tagwright.operators.rows import SMALL, fetch, first_ids_by_hash
+from tagwright.operators.score import score
 
 # How many demonstrations of each kind a prompt takes by default.
 MAX_BOOTSTRAPPED = 3
 MAX_LABELED = 4
 
+# Example rows -> rows with ``actual`` and ``predicted``.
+Teacher = Callable[[DataFrame], DataFrame]
+
 
 def _demos(train: DataFrame, ids: list, kind: str) -> DataFrame:
     return fetch(train, ids).select("ord", F.lit(kind).alias("kind"), "example_id", "symptoms", "diagnosis")
@@ -31,20 +36,46 @@ def labeled_demos(train: DataFrame, k: int = MAX_LABELED, seed: object = 42, exc
     return _demos(train, labeled_ids(train, k, seed, exclude), "labeled")
 
 
-def bootstrap_ids(scored: DataFrame, k: int = MAX_BOOTSTRAPPED, seed: object = 42) -> list:
-    """Ids of a seeded pick of the training rows a teacher got right."""
-    return first_ids_by_hash(scored.filter(F.col("correct") == 1), k, f"bootstrap:{seed}")
-
-
-def bootstrap_demos(train: DataFrame, scored: DataFrame, k: int = MAX_BOOTSTRAPPED, seed: object = 42) -> DataFrame:
-    """Training rows that a teacher's predictions, ``scored``, have right."""
-    return _demos(train, bootstrap_ids(scored, k, seed), "bootstrapped")
-
+def bootstrap_ids(train: DataFrame, teacher: Teacher, k: int = MAX_BOOTSTRAPPED, seed: object = 42,
+                  first_slice: int = 64) -> list:
+    """Ids of the first k training rows, in hash order, that a teacher gets right.
 
-def demo_set(train: DataFrame, scored: DataFrame | None = None, max_bootstrapped: int = MAX_BOOTSTRAPPED,
+    Rows are tried slice by slice along the hash, each slice four times as wide,
+    until k are right: the answer is that of predicting the whole table, at the
+    price of about k rows when the teacher is any good.
+    """
+    if k <= 0:
+        return []
+    salt = f"bootstrap:{seed}"
+    hashed = hash_key(F.col("example_id"), salt)
+    n = train.count()
+    found: list = []
+    low, high = 0.0, min(1.0, first_slice / max(n, 1))
+    while n:
+        bounds = hashed >= F.lit(_hash_bound(low))
+        if high < 1.0:
+            bounds = bounds & (hashed < F.lit(_hash_bound(high)))
+        scored = score(teacher(train.filter(bounds)))
+        found += first_ids_by_hash(scored.filter(F.col("correct") == 1), k - len(found), salt)
+        if len(found) >= k or high >= 1.0:
+            break
+        low, high = high, min(1.0, high * 4)
+    return found
+
+
+def _hash_bound(share: float) -> str:
+    return format(int(share * 2**48), "012x")
+
+
+def bootstrap_demos(train: DataFrame, teacher: Teacher, k: int = MAX_BOOTSTRAPPED, seed: object = 42) -> DataFrame:
+    """Training rows that a teacher gets right: at most k, picked by hash."""
+    return _demos(train, bootstrap_ids(train, teacher, k, seed), "bootstrapped")
+
+
+def demo_set(train: DataFrame, teacher: Teacher | None = None, max_bootstrapped: int = MAX_BOOTSTRAPPED,
              max_labeled: int = MAX_LABELED, seed: object = 42) -> DataFrame:
     """Bootstrapped demonstrations first, then labeled ones, numbered through."""
-    boot = bootstrap_ids(scored, max_bootstrapped, seed) if scored is not None else []
+    boot = bootstrap_ids(train, teacher, max_bootstrapped, seed) if teacher else []
     labeled = labeled_ids(train, max_labeled, seed, boot)
     return fetch(train, boot + labeled).select(
         "ord",
@@ -89,3 +120,9 @@ def demo_sets(train: DataFrame, n_sets: int, k: int = MAX_LABELED, seed: object
 def as_prompt_demos(demos: DataFrame) -> tuple[Demo, ...]:
     """The few demonstrations as driver values, in order."""
     return tuple(Demo(row["symptoms"], row["diagnosis"]) for row in sorted(demos.collect(), key=lambda r: r["ord"]))
+
+
+def from_prompt(spark: SparkSession, prompt: Prompt) -> DataFrame:
+    """The demonstrations of a prompt as a table again."""
+    rows = [(i, "shown", d.symptoms, d.diagnosis) for i, d in enumerate(prompt.demos, 1)]
+    return spark.createDataFrame(rows, "ord int, kind string, symptoms string, diagnosis string")

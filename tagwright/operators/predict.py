@@ -93,14 +93,15 @@ def _ask(complete: Complete, prompt: Prompt, texts: list[str], max_retries: int)
     return answers
 
 
-def predict(rows: DataFrame, build: Callable[[], Complete], prompt: Prompt | dict[str, Prompt], *,
+def predict(rows: DataFrame, build: Callable[[], Complete], prompt: Prompt | dict[int, Prompt], *,
             max_retries: int = 0, parallelism: int | None = None, batch_size: int = 256) -> DataFrame:
     """Call a model once per row on the executors.
 
     ``build`` runs once per task and returns the call, so clients are opened
     where they are used; the prompt travels with the task instead of with every
-    row.  Retries with feedback happen inside the task.  With several prompts,
-    keyed by candidate, ``rows`` say in ``candidate_id`` which one to use.
+    row.  Retries with feedback happen inside the task.  Several prompts, keyed
+    by candidate, are all tried on every row and told apart by ``candidate_id``;
+    the text reaches the task once.
 
     The result has every column of ``rows`` but the text, with the label as
     ``actual``.  It is lazy: write it before using it twice (``predict_once``).
@@ -112,23 +113,24 @@ def predict(rows: DataFrame, build: Callable[[], Complete], prompt: Prompt | dic
         # Ids are unique, so hashing them spreads rows evenly and repeatably.
         rows = rows.repartition(parallelism, "example_id")
     kept = [f for f in rows.schema.fields if f.name != "symptoms"]
-    schema = T.StructType([*kept, *_ANSWER_FIELDS])
+    tried = [] if None in prompts else [T.StructField("candidate_id", T.IntegerType())]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         complete = build()
         for batch in batches:
-            keys = batch["candidate_id"] if None not in prompts else pd.Series([None] * len(batch))
-            for key, chosen in prompts.items():
-                mine = batch if key is None else batch[keys == key]
-                for start in range(0, len(mine), batch_size):
-                    part = mine.iloc[start : start + batch_size]
-                    answers = _ask(complete, chosen, part["symptoms"].tolist(), max_retries)
-                    out = part.drop(columns="symptoms").reset_index(drop=True)
-                    for f in _ANSWER_FIELDS:
-                        out[f.name] = pd.Series(answers[f.name], dtype="Int64" if f.name.endswith("_tokens") else object)
-                    yield out
-
-    return rows.mapInPandas(run, schema)
+            for start in range(0, len(batch), batch_size):
+                part = batch.iloc[start : start + batch_size].reset_index(drop=True)
+                texts = part.pop("symptoms").tolist()
+                for key, chosen in prompts.items():
+                    answers = _ask(complete, chosen, texts, max_retries)
+                    extra = {} if key is None else {"candidate_id": key}
+                    columns = {
+                        f.name: pd.Series(answers[f.name], dtype="Int64" if f.name.endswith("_tokens") else object)
+                        for f in _ANSWER_FIELDS
+                    }
+                    yield part.assign(**extra, **columns)
+
+    return rows.mapInPandas(run, T.StructType([*kept, *tried, *_ANSWER_FIELDS]))
 
 
 def predict_once(predictions: DataFrame) -> DataFrame:

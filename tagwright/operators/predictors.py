@@ -7,7 +7,7 @@ the others run inside Spark without any service.
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, fields, replace
 from typing import Any, ClassVar, Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -17,9 +17,10 @@ from tagwright.functions.prompts import Demo, Prompt
 from tagwright.functions.text import normalize_label, words
 from tagwright.operators import demos as demo_ops
 from tagwright.operators import predict as prediction
+from tagwright.operators import search
 from tagwright.operators.predict import carried
 from tagwright.session import write_once
-from tagwright.spec import TaskSpec
+from tagwright.spec import ModelOptions, TaskSpec
 
 _registry: dict[str, type] = {}
 
@@ -33,9 +34,11 @@ class Model(Protocol):
 
 class Predictor(Protocol):
     name: ClassVar[str]
-    requires_training: ClassVar[bool]
 
-    def fit(self, train: DataFrame, task: TaskSpec) -> Model: ...
+    @property
+    def requires_training(self) -> bool: ...
+
+    def fit(self, train: DataFrame, task: TaskSpec, validation: DataFrame | None = None) -> Model: ...
 
     def restore(self, table: DataFrame | None, description: dict, task: TaskSpec) -> Model: ...
 
@@ -82,7 +85,7 @@ class ColumnPredictor:
     def options(self) -> dict[str, Any]:
         return {"column": self.column}
 
-    def fit(self, train: DataFrame, task: TaskSpec) -> ColumnPredictor:
+    def fit(self, train: DataFrame, task: TaskSpec, validation: DataFrame | None = None) -> ColumnPredictor:
         return self
 
     def restore(self, table: DataFrame | None, description: dict, task: TaskSpec) -> ColumnPredictor:
@@ -109,7 +112,7 @@ class MajorityPredictor:
     def options(self) -> dict[str, Any]:
         return {}
 
-    def fit(self, train: DataFrame, task: TaskSpec) -> MajorityModel:
+    def fit(self, train: DataFrame, task: TaskSpec, validation: DataFrame | None = None) -> MajorityModel:
         # Combined per task, then one row per label.
         counts = train.groupBy(normalize_label(F.col("diagnosis")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
         return MajorityModel(counts.agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("predicted")))
@@ -162,7 +165,7 @@ class WordsPredictor:
     def options(self) -> dict[str, Any]:
         return {"broadcast_bytes": self.broadcast_bytes}
 
-    def fit(self, train: DataFrame, task: TaskSpec) -> WordsModel:
+    def fit(self, train: DataFrame, task: TaskSpec, validation: DataFrame | None = None) -> WordsModel:
         labels = task.ordered
         label = normalize_label(F.col("diagnosis"))
         # One shuffle on the word, combined per task first; a column per label.
@@ -312,7 +315,7 @@ class NearestDemoPredictor:
     def options(self) -> dict[str, Any]:
         return {"max_labeled": self.max_labeled, "seed": self.seed}
 
-    def fit(self, train: DataFrame, task: TaskSpec) -> NearestDemoModel:
+    def fit(self, train: DataFrame, task: TaskSpec, validation: DataFrame | None = None) -> NearestDemoModel:
         return NearestDemoModel(demo_ops.labeled_demos(train, self.max_labeled, self.seed))
 
     def restore(self, table: DataFrame | None, description: dict, task: TaskSpec) -> NearestDemoModel:
@@ -359,56 +362,114 @@ def nearest_by_candidate(rows: DataFrame, demo_sets: DataFrame) -> DataFrame:
 # --- a user's model call ----------------------------------------------------
 
 
+OPTIMIZERS = ("bootstrap", "search")
+
+
 @register
 @dataclass(frozen=True)
 class CallablePredictor:
-    """A language model or any other call, one batch of rows at a time."""
+    """A language model or any other call, one batch of rows at a time.
+
+    ``build(model)`` is called once per task and returns the call.  Without an
+    optimizer the prompt is fixed, with ``few_shot`` training rows as examples.
+    ``bootstrap`` adds training rows the model gets right to labeled ones;
+    ``search`` also tries instructions and demonstration sets on validation rows.
+    """
 
     name: ClassVar[str] = "callable"
-    requires_training: ClassVar[bool] = False
     build: Any = None
+    model: ModelOptions | None = None
     style: str = "answer_only"
     instructions: str | None = None
     max_retries: int = 1
     few_shot: int = 0
     parallelism: int | None = None
-    model_options: dict[str, Any] = field(default_factory=dict)
+    optimizer: str | None = None
+    max_bootstrapped: int = demo_ops.MAX_BOOTSTRAPPED
+    max_labeled: int = demo_ops.MAX_LABELED
+    candidate_instructions: tuple[str, ...] = ()
+    auto: str | None = "light"
+    minibatch: int = 35
+    full_every: int = 5
+    seed: int = 42
+
+    def __post_init__(self) -> None:
+        if self.optimizer not in (None, *OPTIMIZERS):
+            raise ValueError(f"unknown optimizer '{self.optimizer}'; choose from {', '.join(OPTIMIZERS)}")
+        for name in ("max_retries", "few_shot", "max_bootstrapped", "max_labeled"):
+            if getattr(self, name) < 0:
+                raise ValueError(f"{name} must not be negative")
+        if isinstance(self.model, dict):
+            object.__setattr__(self, "model", ModelOptions(**self.model))
+        object.__setattr__(self, "candidate_instructions", tuple(self.candidate_instructions))
+
+    @property
+    def requires_training(self) -> bool:
+        return self.optimizer is not None
 
     def options(self) -> dict[str, Any]:
-        return {
-            "style": self.style,
-            "instructions": self.instructions,
-            "max_retries": self.max_retries,
-            "few_shot": self.few_shot,
-            "model_options": self.model_options,
-        }
+        kept = {f.name: getattr(self, f.name) for f in fields(self) if f.name not in ("build", "model", "parallelism")}
+        return {**kept, "model": asdict(self.model) if self.model else None}
 
-    def fit(self, train: DataFrame, task: TaskSpec) -> CallableModel:
+    def run(self, rows: DataFrame, prompt: Prompt | dict[int, Prompt]) -> DataFrame:
         if self.build is None:
             raise ValueError("a callable predictor needs 'build', which returns the model call")
-        shown = ()
-        if self.few_shot:
-            shown = demo_ops.as_prompt_demos(demo_ops.labeled_demos(train, self.few_shot))
-        return CallableModel(self, Prompt(task, self.style, self.instructions, shown))
+        build, model = self.build, self.model
+        return prediction.predict(
+            rows, lambda: build(model), prompt, max_retries=self.max_retries, parallelism=self.parallelism
+        )
+
+    def fit(self, train: DataFrame, task: TaskSpec, validation: DataFrame | None = None) -> CallableModel:
+        base = Prompt(task, self.style, self.instructions)
+        if self.optimizer is None:
+            shown = demo_ops.labeled_demos(train, self.few_shot, self.seed) if self.few_shot else None
+            return CallableModel(self, _showing(base, shown))
+        shown = demo_ops.demo_set(
+            train, lambda rows: self.run(rows, base), self.max_bootstrapped, self.max_labeled, self.seed
+        )
+        bootstrapped = _showing(base, shown)
+        if self.optimizer == "bootstrap":
+            return CallableModel(self, bootstrapped)
+        if validation is None:
+            raise ValueError("a search needs validation rows")
+        plan = search.budget(self.auto, minibatch=self.minibatch, full_every=self.full_every)
+        prompts = self._candidates(train, base, bootstrapped, plan.candidates)
+        trials = search.search(
+            validation, list(prompts), lambda rows, ids: self.run(rows, {c: prompts[c] for c in ids}), plan, self.seed
+        )
+        best = search.best_candidate(trials, "full_accuracy").first()
+        return CallableModel(self, prompts[best["candidate_id"]], trials)
+
+    def _candidates(self, train: DataFrame, base: Prompt, bootstrapped: Prompt, n: int) -> dict[int, Prompt]:
+        """The bootstrapped prompt, then instructions in turn with seeded demonstration sets."""
+        wordings = (base.instructions, *self.candidate_instructions)
+        sets: dict[int, list] = {}
+        for row in demo_ops.demo_sets(train, n - 1, self.max_labeled, self.seed).collect():
+            sets.setdefault(row["demo_set_id"], []).append(row)
+        prompts = {1: bootstrapped}
+        for c in range(2, n + 1):
+            rows = sorted(sets.get(c - 1, []), key=lambda r: r["ord"])
+            shown = tuple(Demo(r["symptoms"], r["diagnosis"]) for r in rows)
+            prompts[c] = replace(base, instructions=wordings[(c - 1) % len(wordings)], demos=shown)
+        return prompts
 
     def restore(self, table: DataFrame | None, description: dict, task: TaskSpec) -> CallableModel:
         shown = tuple(Demo(**d) for d in description["demos"])
-        return CallableModel(self, Prompt(task, self.style, self.instructions, shown))
+        return CallableModel(self, Prompt(task, self.style, description["instructions"], shown))
+
+
+def _showing(prompt: Prompt, demos: DataFrame | None) -> Prompt:
+    return replace(prompt, demos=demo_ops.as_prompt_demos(demos)) if demos is not None else prompt
 
 
 @dataclass(frozen=True)
 class CallableModel:
     settings: CallablePredictor
     prompt: Prompt
+    trials: DataFrame | None = None
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        return prediction.predict(
-            rows,
-            self.settings.build,
-            self.prompt,
-            max_retries=self.settings.max_retries,
-            parallelism=self.settings.parallelism,
-        )
+        return self.settings.run(rows, self.prompt)
 
     def artifact(self) -> tuple[DataFrame | None, dict]:
-        return None, {"demos": [asdict(d) for d in self.prompt.demos]}
+        return None, {"instructions": self.prompt.instructions, "demos": [asdict(d) for d in self.prompt.demos]}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,14 +89,28 @@ def describe_categorical(df: DataFrame, columns: list[str] | None = None,
     texts themselves are never shuffled.
     """
     columns = columns or [c for c in other_columns(df) if c != id_column]
-    known = _value_counts(df, columns, id_column).filter(F.col("digest").isNotNull())
-    stats = known.groupBy("column_name").agg(
-        F.sum("n").alias("count"),
-        F.count(F.lit(1)).alias("unique"),
-        F.min(F.struct((-F.col("n")).alias("rank"), "first_id")).alias("best"),
-    )
+    counts = _value_counts(df, columns, id_column).filter(F.col("digest").isNotNull())
+    # One aggregate per column instead of a group per column: nothing is sorted.
+    wide = []
+    for i, c in enumerate(columns):
+        mine = F.col("column_name") == c
+        ranked = F.struct((-F.col("n")).alias("rank"), "first_id")
+        wide += [
+            F.sum(F.when(mine, F.col("n"))).alias(f"count{i}"),
+            F.count_if(mine).alias(f"unique{i}"),
+            F.min(F.when(mine, ranked)).alias(f"best{i}"),
+        ]
+    lines = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.coalesce(F.col(f"count{i}"), F.lit(0)).alias("count"),
+            F.col(f"unique{i}").alias("unique"),
+            F.col(f"best{i}").alias("best"),
+        )
+        for i, c in enumerate(columns)
+    ]
     # One row per column of the table: bounded by the schema.
-    stats = F.broadcast(stats)
+    stats = F.broadcast(counts.agg(*wide).select(F.inline(F.array(*lines))))
     values = df.select(
         F.col(id_column).alias("id"),
         F.explode(
@@ -107,6 +123,27 @@ def describe_categorical(df: DataFrame, columns: list[str] | None = None,
     )
 
 
+@dataclass(frozen=True)
+class Summary:
+    """Everything a dataset summary shows, as small tables."""
+
+    table: DataFrame
+    numeric: DataFrame
+    categorical: DataFrame
+    other_columns: DataFrame
+
+
+def summary(df: DataFrame, id_column: str = "example_id", approximate: bool = False) -> Summary:
+    """Size of the table and statistics of its columns, the row id aside."""
+    data = df.drop(id_column)
+    return Summary(
+        profile_table(data),
+        describe_numeric(data, approximate=approximate),
+        describe_categorical(df, other_columns(data), id_column),
+        profile_columns(df, other_columns(data), approximate),
+    )
+
+
 def _clean(column: str) -> Column:
     """The column as a double, with NaN counted as missing."""
     value = F.col(column).cast("double")

@@ -16,6 +16,7 @@ TITLE = "OPTIMIZED PROMPT DETAILS"
 INSTRUCTIONS = "SIGNATURE-LEVEL INSTRUCTIONS"
 EXAMPLES = "FEW-SHOT EXAMPLES"
 SAMPLE = "ACTUAL PROMPT EXAMPLE"
+HEADINGS = (TITLE, INSTRUCTIONS, EXAMPLES, SAMPLE)
 
 # How many demonstrations the report shows in full.
 SHOWN = 5

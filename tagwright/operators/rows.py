@@ -71,8 +71,10 @@ def first_n(df: DataFrame, n: int | None, key: str = "example_id") -> DataFrame:
     if n <= SMALL:
         last = df.select(key).orderBy(key).limit(n).agg(F.max(key))
         return df.filter(F.col(key) <= last.scalar())
-    keyed = sortable(F.col(key), dict(df.dtypes)[key])
-    last = kth_smallest(df.select(keyed.alias("key")), n)
+    kind = dict(df.dtypes)[key]
+    keyed = sortable(F.col(key), kind)
+    # Strings may use any alphabet, so they are told apart one character at a time.
+    last = kth_smallest(df.select(keyed.alias("key")), n, width=1 if kind == "string" else 3)
     return df if last is None else df.filter(keyed <= F.lit(last))
 
 

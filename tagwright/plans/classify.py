@@ -12,11 +12,11 @@ from tagwright.operators import demos as demo_ops
 from tagwright.operators import report
 from tagwright.operators.predictors import Model, Predictor, predictor
 from tagwright.operators.rows import first_n
-from tagwright.operators.score import accuracy_by_split, checked, disagreements, prediction_sample, score
+from tagwright.operators.score import accuracy_by_split, checked, disagreements, samples_by_split, score
 from tagwright.session import write_once
 from tagwright.sources import sinks
 from tagwright.sources.examples import Dataset
-from tagwright.sources.tracking import RunStore
+from tagwright.sources.tracking import RunStore, dataset_params
 
 # Fixed value: rows in a prediction sample.
 SAMPLE_SIZE = 10
@@ -45,30 +45,33 @@ class EvaluateResult:
     scored: DataFrame
 
 
-def _record(store: RunStore, run_id: str, data: Dataset, rows: DataFrame, scored: DataFrame,
-            sample_size: int) -> dict[str, dict]:
-    """Metrics, samples and disagreements of written predictions; metrics by split."""
+def _part(frame: DataFrame, name: str) -> DataFrame:
+    return frame.select("example_id", "symptoms", "diagnosis").withColumn("split", F.lit(name))
+
+
+def _metrics(scored: DataFrame, splits) -> dict[str, dict]:
     metrics = {row["split"]: row.asDict() for row in checked(accuracy_by_split(scored)).collect()}
-    store.log_metrics(
-        run_id,
-        [(s, name, m[name]) for s, m in metrics.items() for name in ("accuracy", "num_examples", "disagreements")],
-    )
-    store.log_dataset(run_id, data.source, {s: m["num_examples"] for s, m in metrics.items()})
-    folder = f"{store.root}/artifacts/{run_id}"
-    for split in metrics:
-        sample = prediction_sample(scored.filter(F.col("split") == split), rows, sample_size)
-        sinks.write_prediction_sample(sample, f"{folder}/predictions_{split}_sample")
-    sinks.write_disagreements(disagreements(scored, rows), f"{folder}/disagreements")
+    for split in splits:
+        if split not in metrics:
+            raise ValueError(f"the {split} part has no rows")
     return metrics
 
 
-def _labelled_part(frame: DataFrame, part: str) -> DataFrame:
-    return frame.select("example_id", "symptoms", "diagnosis").withColumn("split", F.lit(part))
+def _record(store: RunStore, run_id: str, rows: DataFrame, scored: DataFrame, metrics: dict[str, dict],
+            params: dict, sample_size: int) -> None:
+    """Parameters, metrics, samples and disagreements of written predictions."""
+    store.log_params(run_id, params)
+    names = ("accuracy", "num_examples", "disagreements")
+    store.log_metrics(run_id, [(split, name, m[name]) for split, m in metrics.items() for name in names])
+    folder = f"{store.root}/artifacts/{run_id}"
+    sample = samples_by_split(scored, rows, sorted(metrics), sample_size)
+    sinks.write_rows(sample.coalesce(1), f"{folder}/predictions_sample")
+    sinks.write_rows(disagreements(scored, rows), f"{folder}/disagreements")
 
 
 def tune(data: Dataset, chosen: Predictor, store: RunStore, *, model_name: str = "classifier",
          train_size: int | None = None, val_size: int | None = None, project: str = "default",
-         experiment: str = "tune", run_id: str | None = None, aliases=(), lm_model: str | None = None,
+         experiment: str = "tune", run_id: str | None = None, aliases=(),
          sample_size: int = SAMPLE_SIZE) -> TuneResult:
     """Split, cap, fit, predict once, score, record and register.
 
@@ -77,33 +80,35 @@ def tune(data: Dataset, chosen: Predictor, store: RunStore, *, model_name: str =
     """
     train = first_n(data.population("train"), train_size)
     validation = first_n(data.population("validation"), val_size)
-    model = chosen.fit(train, data.task)
-    rows = _labelled_part(train, "train").unionByName(_labelled_part(validation, "validation"))
+    model = chosen.fit(train, data.task, validation)
+    rows = _part(train, "train").unionByName(_part(validation, "validation"))
     scored = write_once(score(model.predict(rows)), "scored")
+    metrics = _metrics(scored, ("train", "validation"))
+    options, lm = chosen.options(), getattr(chosen, "model", None)
+    lm_model = lm.model if lm else None
     run_id = store.start_run(project, experiment, chosen.name, chosen.requires_training, lm_model, run_id)
-    metrics = _record(store, run_id, data, rows, scored, sample_size)
-    for part in ("train", "validation"):
-        if part not in metrics:
-            raise ValueError(f"the {part} part is empty")
-    store.log_params(
-        run_id,
-        {
-            "framework": chosen.name,
-            "requires_training": chosen.requires_training,
-            "lm_model": lm_model,
-            "train_size": metrics["train"]["num_examples"],
-            "val_size": metrics["validation"]["num_examples"],
-            **chosen.options(),
-        },
-    )
+    sizes = {split: m["num_examples"] for split, m in metrics.items()}
+    params = {
+        "framework": chosen.name,
+        "requires_training": chosen.requires_training,
+        "train_size": sizes["train"],
+        "val_size": sizes["validation"],
+        **{k: v for k, v in options.items() if k != "model"},
+        **({f"lm_{k}": v for k, v in options["model"].items()} if lm else {}),
+        **dataset_params(data.source, sizes),
+    }
+    _record(store, run_id, rows, scored, metrics, params, sample_size)
+    folder = f"{store.root}/artifacts/{run_id}"
     table, description = model.artifact()
     if table is not None:
-        table.write.mode("overwrite").parquet(f"{store.root}/artifacts/{run_id}/model")
-    _write_report(store, run_id, data, chosen, model, train)
-    accuracies = {f"{s}_accuracy": metrics[s]["accuracy"] for s in ("train", "validation")}
+        table.write.mode("overwrite").parquet(f"{folder}/model")
+    if getattr(model, "trials", None) is not None:
+        model.trials.write.mode("overwrite").parquet(f"{folder}/trials")
+    _write_report(f"{folder}/prompt_details", data, model, train)
+    accuracies = {f"{split}_accuracy": metrics[split]["accuracy"] for split in ("train", "validation")}
     config = {
         "predictor": chosen.name,
-        "options": chosen.options(),
+        "options": options,
         "requires_training": chosen.requires_training,
         "task": data.task.name,
         "lm_model": lm_model,
@@ -112,28 +117,18 @@ def tune(data: Dataset, chosen: Predictor, store: RunStore, *, model_name: str =
     }
     version = store.register(model_name, run_id, config, accuracies, aliases)
     return TuneResult(
-        accuracies["train_accuracy"],
-        accuracies["validation_accuracy"],
-        metrics["train"]["num_examples"],
-        metrics["validation"]["num_examples"],
-        model_name,
-        version,
-        run_id,
-        scored,
+        accuracies["train_accuracy"], accuracies["validation_accuracy"], sizes["train"], sizes["validation"],
+        model_name, version, run_id, scored,
     )
 
 
-def _write_report(store: RunStore, run_id: str, data: Dataset, chosen: Predictor, model: Model,
-                  train: DataFrame) -> None:
+def _write_report(path: str, data: Dataset, model: Model, train: DataFrame) -> None:
+    """What the model was shown; models without a prompt get the task's own."""
     prompt = getattr(model, "prompt", None) or Prompt(data.task)
-    shown = getattr(model, "demos", None)
-    if shown is None:
-        shown = demo_ops.labeled_demos(train, getattr(chosen, "few_shot", 0))
-    sinks.write_prompt_report(
-        report.prompt_report(prompt, shown, train),
-        f"{store.root}/artifacts/{run_id}/prompt_details",
-        [report.TITLE, report.INSTRUCTIONS, report.EXAMPLES, report.SAMPLE],
-    )
+    demos = getattr(model, "demos", None)
+    if demos is None:
+        demos = demo_ops.from_prompt(train.sparkSession, prompt)
+    sinks.write_prompt_report(report.prompt_report(prompt, demos, train), path, report.HEADINGS)
 
 
 def load_model(data: Dataset, store: RunStore, model_name: str, version: int | str | None = None,
@@ -158,23 +153,21 @@ def evaluate(data: Dataset, store: RunStore, model_name: str = "classifier", ver
     """Resolve a version, pick a split, cap, predict once, score and record."""
     if split not in EVALUATION_SPLITS:
         raise ValueError(f"Invalid split '{split}'. Choose from: {', '.join(EVALUATION_SPLITS)}")
-    rows = _labelled_part(first_n(data.population(split), eval_size), split)
+    rows = _part(first_n(data.population(split), eval_size), split)
     model, entry = load_model(data, store, model_name, version, **overrides)
-    scored = write_once(score(model.predict(rows)), "scored")
     config = entry["config"]
+    scored = write_once(score(model.predict(rows)), "scored")
+    metrics = _metrics(scored, (split,))
     run_id = store.start_run(
         project, experiment, config["predictor"], config["requires_training"], config["lm_model"], run_id
     )
-    metrics = _record(store, run_id, data, rows, scored, sample_size)
-    if split not in metrics:
-        raise ValueError(f"the {split} split is empty")
-    store.log_params(
-        run_id,
-        {
-            "model_name": model_name,
-            "model_version": version or "latest",
-            "split": split,
-            "eval_size": metrics[split]["num_examples"],
-        },
-    )
-    return EvaluateResult(metrics[split]["accuracy"], metrics[split]["num_examples"], split, run_id, scored)
+    size = metrics[split]["num_examples"]
+    params = {
+        "model_name": model_name,
+        "model_version": version or "latest",
+        "split": split,
+        "eval_size": size,
+        **dataset_params(data.source, {split: size}),
+    }
+    _record(store, run_id, rows, scored, metrics, params, sample_size)
+    return EvaluateResult(metrics[split]["accuracy"], size, split, run_id, scored)

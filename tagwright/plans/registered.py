@@ -289,7 +289,7 @@ def prediction_sample(spark, folder):
     return samples_by_split(write_once(scored, "scored"), data.examples, PARTS, 10)
 
 
-def _cue_model():
+def _cue_model(model):
     """A deterministic stand-in for a model call: cue words name the language."""
     cues = ((" les ", "fr"), (" der ", "de"), (" los ", "es"), (" the ", "en"))
 
@@ -341,7 +341,7 @@ def bootstrap_demos(spark, folder):
     data = tables.verdict(spark, folder)
     train = data.population("train")
     teacher = predictor("nearest_demo").fit(train, data.task)
-    return demos.demo_set(train, score(teacher.predict(train)))
+    return demos.demo_set(train, teacher.predict)
 
 
 @query("minibatch_sample")

@@ -1,4 +1,4 @@
-"""Writing samples, disagreements and reports."""
+"""Writing examples, scored rows and reports."""
 
 from __future__ import annotations
 
@@ -8,17 +8,11 @@ from pyspark.sql import functions as F
 _CSV = {"header": True, "escape": '"'}
 
 
-def write_prediction_sample(sample: DataFrame, folder: str) -> None:
-    """A few rows as one CSV and one Parquet file."""
-    small = sample.coalesce(1)
-    small.write.mode("overwrite").options(**_CSV).csv(f"{folder}/csv")
-    small.write.mode("overwrite").parquet(f"{folder}/parquet")
-
-
-def write_disagreements(wrong: DataFrame, folder: str) -> None:
-    """All wrong rows, in CSV and Parquet, one folder per split."""
-    wrong.write.mode("overwrite").partitionBy("split").options(**_CSV).csv(f"{folder}/csv")
-    wrong.write.mode("overwrite").partitionBy("split").parquet(f"{folder}/parquet")
+def write_rows(rows: DataFrame, folder: str) -> None:
+    """Rows in Parquet and CSV, one folder per split; they are computed once."""
+    rows.write.mode("overwrite").partitionBy("split").parquet(f"{folder}/parquet")
+    written = rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/parquet")
+    written.write.mode("overwrite").partitionBy("split").options(**_CSV).csv(f"{folder}/csv")
 
 
 def write_examples(examples: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -29,8 +23,9 @@ def write_examples(examples: DataFrame, path: str, fmt: str = "parquet") -> None
     writer.save(path)
 
 
-def write_prompt_report(report: DataFrame, path: str, headings: list[str]) -> None:
+def write_prompt_report(report: DataFrame, path: str, headings: tuple[str, ...]) -> None:
     """The report as one text file, sections in the order of ``headings``."""
     rank = F.array_position(F.array(*[F.lit(h) for h in headings]), F.col("section"))
-    text = F.when(F.col("ord") == 0, F.concat(F.lit("## "), "section", F.lit("\n"), "text")).otherwise(F.col("text"))
+    heading = F.concat(F.lit("## "), "section", F.lit("\n"), "text")
+    text = F.when(F.col("ord") == 0, heading).otherwise(F.col("text"))
     report.orderBy(rank, "ord").select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)

@@ -11,6 +11,7 @@ import json
 import uuid
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +95,15 @@ def run_provider(runs: DataFrame) -> DataFrame:
 # --- the tables on storage --------------------------------------------------
 
 
+def dataset_params(source: str, sizes: dict[str, int]) -> dict:
+    """Where the rows of each split came from and how many there were."""
+    params: dict = {}
+    for split, n in sizes.items():
+        params[f"dataset_{split}_source"] = source
+        params[f"dataset_{split}_size"] = n
+    return params
+
+
 class RunStore:
     """The tracking tables below one folder of shared storage."""
 
@@ -101,14 +111,18 @@ class RunStore:
         self.spark = spark
         self.root = root.rstrip("/")
         self.system = system
-        for name, schema in SCHEMAS.items():
-            spark.createDataFrame([], schema).write.mode("ignore").parquet(self.path(name))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
+        """All rows ever appended; empty before the first one."""
+        try:
+            return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], SCHEMAS[name])
 
     def append(self, name: str, rows: list[tuple]) -> None:
         frame = self.spark.createDataFrame(rows, SCHEMAS[name])
@@ -133,14 +147,6 @@ class RunStore:
         now = _now()
         self.append("run_params", [(run_id, k, None if v is None else str(v), now) for k, v in params.items()])
 
-    def log_dataset(self, run_id: str, source: str, sizes: dict[str, int]) -> None:
-        """Where the rows of each split came from and how many there were."""
-        params = {}
-        for split, n in sizes.items():
-            params[f"dataset_{split}_source"] = source
-            params[f"dataset_{split}_size"] = n
-        self.log_params(run_id, params)
-
     def log_metrics(self, run_id: str, values: list[tuple[str, str, float]]) -> None:
         """``(split, metric, value)`` triples of a run."""
         now = _now()
