@@ -243,7 +243,7 @@ def _report() -> str:
 SELECT '{report.TITLE}' AS section, 0 AS ord, '{report.TITLE}' AS text
 UNION ALL SELECT '{report.INSTRUCTIONS}', 0, {_quote(prompt.instruction_text)}
 UNION ALL SELECT '{report.EXAMPLES}', 0, 'Total examples: ' || count(*) FROM shown
-UNION ALL SELECT '{report.EXAMPLES}', ord, 'Example ' || ord || ' (labeled): ' || symptoms || ' => ' || diagnosis
+UNION ALL SELECT '{report.EXAMPLES}', ord::INT, 'Example ' || ord || ' (labeled): ' || symptoms || ' => ' || diagnosis
   FROM shown JOIN parts USING (example_id) WHERE ord <= 5
 UNION ALL SELECT '{report.EXAMPLES}', 6, '... and ' || (n - 5) || ' more examples'
   FROM (SELECT count(*) AS n FROM shown) WHERE n > 5
@@ -287,7 +287,7 @@ FROM language WHERE split = 'train'""",
 WHERE split = 'train' AND md5('42:' || example_id) < '{_SHARE}' ORDER BY example_id LIMIT 5""",
         "assign_ids": """SELECT md5(length(text) || ':' || text || length(lang) || ':' || lang) || '-' ||
   row_number() OVER (PARTITION BY text, lang) AS example_id, text AS symptoms, lang AS diagnosis FROM documents""",
-        "trim_text": f"""SELECT doc_id AS example_id, length(padded) AS padded_length, {_strip("padded")} AS symptoms
+        "trim_text": f"""SELECT doc_id AS example_id, length(padded)::INT AS padded_length, {_strip("padded")} AS symptoms
 FROM (SELECT doc_id, '  ' || chr(9) || text || chr(10) || chr(12288) || ' ' AS padded FROM documents)""",
         "normalize_label": verdict + f"""SELECT example_id, raw_label, lower({_strip("raw_label")}) AS label
 FROM (SELECT example_id, ' ' || upper(diagnosis) || chr(9) || chr(10) AS raw_label FROM verdict)""",

@@ -1,0 +1,79 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from tagwright.operators import split
+from tagwright.sources import examples as ex
+from tagwright.spec import TaskSpec
+from tests.conftest import make_examples, plan_of
+
+TASK = TaskSpec("t", ("allergy", "malaria", "migraine"))
+
+
+def ids(df):
+    return {r.example_id for r in df.select("example_id").collect()}
+
+
+@pytest.mark.parametrize("mode", split.MODES)
+def test_parts_are_disjoint_and_whole(spark, mode):
+    df = make_examples(spark, 500)
+    train, validation = split.train_validation(df, 0.8, 42, mode)
+    a, b = ids(train), ids(validation)
+    assert not a & b and a | b == ids(df)
+    again = split.train_validation(df.repartition(13), 0.8, 42, mode)
+    assert ids(again[0]) == a
+    assert ids(split.train_validation(df, 0.8, 43, mode)[0]) != a
+
+
+@pytest.mark.parametrize("n,ratio", [(500, 0.8), (7, 0.5), (3, 0.1), (1, 0.9)])
+def test_exact_mode_takes_the_floor(spark, n, ratio):
+    train, validation = split.train_validation(make_examples(spark, n), ratio, 42, "exact")
+    assert train.count() == math.floor(ratio * n)
+    assert train.count() + validation.count() == n
+
+
+def test_both_modes_follow_one_order(spark):
+    df = make_examples(spark, 400)
+    hashed = ids(split.train_validation(df, 0.8, 42, "hash")[0])
+    exact = ids(split.train_validation(df, 0.8, 42, "exact")[0])
+    assert hashed <= exact or exact <= hashed
+
+
+def test_hash_mode_never_moves_old_rows(spark):
+    few, many = make_examples(spark, 100), make_examples(spark, 300)
+    before = ids(split.train_validation(few)[0])
+    after = ids(split.train_validation(many)[0])
+    assert before == {i for i in after if i < 100}
+
+
+def test_split_is_a_filter(spark):
+    train, _ = split.train_validation(make_examples(spark, 50))
+    assert "Exchange" not in plan_of(train)
+
+
+def test_bad_arguments(spark):
+    df = make_examples(spark, 10)
+    for ratio in (0.0, 1.0, -1, 2):
+        for mode in split.MODES:
+            with pytest.raises(ValueError):
+                split.train_validation(df, ratio, 42, mode)
+    with pytest.raises(ValueError, match="hash, exact"):
+        split.train_validation(df, 0.8, 42, "other")
+
+
+def test_populations(spark):
+    data = ex.Dataset(make_examples(spark, 200), TASK)
+    full, test = ids(data.population("train_full")), ids(data.population("test"))
+    train, validation = ids(data.population("train")), ids(data.population("validation"))
+    assert train | validation == full and not train & validation
+    assert full | test == ids(data.population("all")) and not full & test
+    named = {r.example_id: r.split for r in data.parts().collect()}
+    assert {i for i, s in named.items() if s == "validation"} == validation
+    with pytest.raises(ValueError, match="Choose from: train, validation, test, all"):
+        data.population("dev")
+
+
+def test_missing_test_split(spark):
+    with pytest.raises(ValueError, match="no 'test' split"):
+        ex.population(make_examples(spark, 20).filter(F.col("split") == "train"), "test")
