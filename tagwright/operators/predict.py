@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,9 @@ from tagwright.operators.validate import flag_invalid_output
 from tagwright.session import write_once
 from tagwright.spec import TaskSpec
 
+# Send this package along with the tasks, so that workers need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules["tagwright"])
+
 
 @dataclass(frozen=True)
 class Reply:
