@@ -12,6 +12,7 @@ from tagwright.functions.prompts import Demo, Prompt
 from tagwright.functions.text import hash_key
 from tagwright.operators.rows import SMALL, fetch, first_ids_by_hash
 from tagwright.operators.score import score
+from tagwright.session import small_frame
 
 # How many demonstrations of each kind a prompt takes by default.
 MAX_BOOTSTRAPPED = 3
@@ -110,7 +111,7 @@ def demo_sets(train: DataFrame, n_sets: int, k: int = MAX_LABELED, seed: object
         ords[set_id] = ords.get(set_id, 0) + 1
         numbered.append((set_id, ords[set_id], row_id))
     kind = dict(train.dtypes)["example_id"]
-    table = train.sparkSession.createDataFrame(numbered, f"demo_set_id int, ord int, example_id {kind}")
+    table = small_frame(train.sparkSession, numbered, f"demo_set_id int, ord int, example_id {kind}")
     rows = train.filter(F.col("example_id").isin([x[2] for x in numbered]))
     return rows.join(F.broadcast(table), "example_id").select(
         "demo_set_id", "ord", F.lit("labeled").alias("kind"), "example_id", "symptoms", "diagnosis"
@@ -125,4 +126,4 @@ def as_prompt_demos(demos: DataFrame) -> tuple[Demo, ...]:
 def from_prompt(spark: SparkSession, prompt: Prompt) -> DataFrame:
     """The demonstrations of a prompt as a table again."""
     rows = [(i, "shown", d.symptoms, d.diagnosis) for i, d in enumerate(prompt.demos, 1)]
-    return spark.createDataFrame(rows, "ord int, kind string, symptoms string, diagnosis string")
+    return small_frame(spark, rows, "ord int, kind string, symptoms string, diagnosis string")

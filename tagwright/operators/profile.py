@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagwright.session import small_frame
+
 QUARTILES = (0.25, 0.5, 0.75)
 
 # Quantile search: cells per pass, and how many values may come to the driver.
@@ -162,7 +164,7 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None, approximat
     schema = ("column_name string, count long, mean double, std double, min double, "
               "q25 double, q50 double, q75 double, max double")
     if not columns:
-        return df.sparkSession.createDataFrame([], schema)
+        return small_frame(df.sparkSession, [], schema)
     aggregates = []
     for i, c in enumerate(columns):
         value = _clean(c)
@@ -185,7 +187,7 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None, approximat
         (c, stats[f"n{i}"], stats[f"mean{i}"], stats[f"std{i}"], stats[f"min{i}"], *quartiles[c], stats[f"max{i}"])
         for i, c in enumerate(columns)
     ]
-    return df.sparkSession.createDataFrame(rows, schema)
+    return small_frame(df.sparkSession, rows, schema)
 
 
 def exact_quantiles(df: DataFrame, sizes: dict[str, int], quantiles, small: int = SMALL) -> dict[str, list]:

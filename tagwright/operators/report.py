@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagwright.functions.prompts import Prompt
 from tagwright.operators.rows import first_n
+from tagwright.session import small_frame
 from tagwright.spec import MAX_VOCABULARY
 
 # Headings of the report.
@@ -60,10 +61,8 @@ def prompt_report(prompt: Prompt, demos: DataFrame, train: DataFrame) -> DataFra
     def line(frame: DataFrame, section: str, order, text) -> DataFrame:
         return frame.select(F.lit(section).alias("section"), order.cast("int").alias("ord"), text.alias("text"))
 
-    spark = demos.sparkSession
-    fixed = spark.createDataFrame(
-        [(TITLE, 0, TITLE), (INSTRUCTIONS, 0, prompt.instruction_text)], "section string, ord int, text string"
-    )
+    headings = [(TITLE, 0, TITLE), (INSTRUCTIONS, 0, prompt.instruction_text)]
+    fixed = small_frame(demos.sparkSession, headings, "section string, ord int, text string")
     count = demos.agg(F.count(F.lit(1)).alias("n"))
     total = line(count, EXAMPLES, F.lit(0), F.concat(F.lit("Total examples: "), F.col("n").cast("string")))
     entry = F.concat(

@@ -13,7 +13,7 @@ from tagwright.functions.metrics import accuracy as accuracy_of
 from tagwright.functions.text import hash_key
 from tagwright.operators.rows import SMALL, sample_n
 from tagwright.operators.score import score
-from tagwright.session import write_once
+from tagwright.session import small_frame, write_once
 
 
 @dataclass(frozen=True)
@@ -119,7 +119,7 @@ def search(validation: DataFrame, candidates: list, run: Run, plan: Budget, seed
         "candidate_id", F.col("accuracy").alias("full_accuracy"), F.col("num_examples").alias("full_examples")
     )
     kind = dict(scored.dtypes)["candidate_id"]
-    table = validation.sparkSession.createDataFrame(minibatch, f"candidate_id {kind}, minibatch_accuracy double")
+    table = small_frame(validation.sparkSession, minibatch, f"candidate_id {kind}, minibatch_accuracy double")
     return table.join(full, "candidate_id", "left")
 
 

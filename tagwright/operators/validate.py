@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagwright.functions.prompts import feedback_column
 from tagwright.functions.text import normalize_label, strip
+from tagwright.session import small_frame
 from tagwright.spec import RAW_TEST, RAW_TRAIN, TaskSpec
 
 
@@ -86,7 +87,7 @@ def invalid_labels(df: DataFrame, task: TaskSpec) -> DataFrame:
 def vocabulary_frame(df: DataFrame, task: TaskSpec) -> DataFrame:
     """The declared vocabulary as a one-column table."""
     rows = [(label,) for label in task.ordered]
-    return df.sparkSession.createDataFrame(rows, "label string")
+    return small_frame(df.sparkSession, rows, "label string")
 
 
 def vocab_coverage(df: DataFrame, task: TaskSpec) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagwright.functions.text import provider, strip_provider
+from tagwright.session import small_frame
 
 SCHEMAS = {
     "runs": "run_id string, experiment string, tags map<string,string>, requires_training boolean, "
@@ -122,10 +123,10 @@ class RunStore:
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], SCHEMAS[name])
+            return small_frame(self.spark, [], SCHEMAS[name])
 
     def append(self, name: str, rows: list[tuple]) -> None:
-        frame = self.spark.createDataFrame(rows, SCHEMAS[name])
+        frame = small_frame(self.spark, rows, SCHEMAS[name])
         frame.coalesce(1).write.mode("append").parquet(self.path(name))
 
     def start_run(self, project: str, experiment: str, framework: str, requires_training: bool,
@@ -157,7 +158,7 @@ class RunStore:
 
     def register(self, name: str, run_id: str, config: dict, metrics: dict[str, float], aliases=()) -> int:
         """The next version of a model; the name comes into being on first use."""
-        named = self.spark.createDataFrame([(name,)], "name string")
+        named = small_frame(self.spark, [(name,)], "name string")
         mine = self.table("model_versions").filter(F.col("name") == name)
         version = next_model_version(named, mine).first()["next_version"]
         text = json.dumps(config, sort_keys=True)
