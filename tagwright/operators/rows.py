@@ -58,24 +58,28 @@ def sortable(row_id: Column, data_type: str) -> Column:
     return F.lpad(shifted.cast("decimal(20,0)").cast("string"), 20, "0")
 
 
-def first_n(df: DataFrame, n: int | None, key: str = "example_id") -> DataFrame:
-    """The n rows with the smallest keys; ``None`` keeps all.
+def among_first(df: DataFrame, n: int | None, key: str = "example_id") -> Column:
+    """Condition for the n rows of ``df`` with the smallest keys; ``None`` is no cap.
 
-    Only the key column is read to find the n-th key; the rows are then picked
-    by a filter that reaches the file scan and keeps its parallelism.
+    Only the key column is read to find the n-th key.  The condition is then a
+    comparison with one value, which the file scan can use.
     """
     if n is None:
-        return df
+        return F.lit(True)
     if n <= 0:
         raise ValueError(f"a row cap must be positive, got {n}")
     if n <= SMALL:
-        last = df.select(key).orderBy(key).limit(n).agg(F.max(key))
-        return df.filter(F.col(key) <= last.scalar())
+        return F.col(key) <= df.select(key).orderBy(key).limit(n).agg(F.max(key)).scalar()
     kind = dict(df.dtypes)[key]
     keyed = sortable(F.col(key), kind)
     # Strings may use any alphabet, so they are told apart one character at a time.
     last = kth_smallest(df.select(keyed.alias("key")), n, width=1 if kind == "string" else 3)
-    return df if last is None else df.filter(keyed <= F.lit(last))
+    return F.lit(True) if last is None else keyed <= F.lit(last)
+
+
+def first_n(df: DataFrame, n: int | None, key: str = "example_id") -> DataFrame:
+    """The n rows with the smallest keys, without gathering them in one task."""
+    return df if n is None else df.filter(among_first(df, n, key))
 
 
 def list_rows(df: DataFrame, rows: int = 5, key: str = "example_id") -> DataFrame:

@@ -11,7 +11,7 @@ from tagwright.functions.prompts import Prompt
 from tagwright.operators import demos as demo_ops
 from tagwright.operators import report
 from tagwright.operators.predictors import Model, Predictor, predictor
-from tagwright.operators.rows import first_n
+from tagwright.operators.rows import among_first, first_n
 from tagwright.operators.score import accuracy_by_split, checked, disagreements, samples_by_split, score
 from tagwright.session import write_once
 from tagwright.sources import sinks
@@ -45,8 +45,14 @@ class EvaluateResult:
     scored: DataFrame
 
 
-def _part(frame: DataFrame, name: str) -> DataFrame:
-    return frame.select("example_id", "symptoms", "diagnosis").withColumn("split", F.lit(name))
+def _capped_parts(data: Dataset, caps: dict[str, int | None]) -> DataFrame:
+    """Rows of some parts, each up to its cap, in one scan."""
+    parts = data.parts().select("example_id", "symptoms", "diagnosis", "split")
+    wanted = F.lit(False)
+    for part, cap in caps.items():
+        mine = F.col("split") == part
+        wanted = wanted | (mine & among_first(parts.filter(mine), cap))
+    return parts.filter(wanted)
 
 
 def _metrics(scored: DataFrame, splits) -> dict[str, dict]:
@@ -78,10 +84,9 @@ def tune(data: Dataset, chosen: Predictor, store: RunStore, *, model_name: str =
     Training and validation rows are predicted in one job whose result is
     written; every metric and artifact is read from that table.
     """
-    train = first_n(data.population("train"), train_size)
-    validation = first_n(data.population("validation"), val_size)
+    rows = _capped_parts(data, {"train": train_size, "validation": val_size})
+    train, validation = (rows.filter(F.col("split") == part) for part in ("train", "validation"))
     model = chosen.fit(train, data.task, validation)
-    rows = _part(train, "train").unionByName(_part(validation, "validation"))
     scored = write_once(score(model.predict(rows)), "scored")
     metrics = _metrics(scored, ("train", "validation"))
     options, lm = chosen.options(), getattr(chosen, "model", None)
@@ -153,7 +158,11 @@ def evaluate(data: Dataset, store: RunStore, model_name: str = "classifier", ver
     """Resolve a version, pick a split, cap, predict once, score and record."""
     if split not in EVALUATION_SPLITS:
         raise ValueError(f"Invalid split '{split}'. Choose from: {', '.join(EVALUATION_SPLITS)}")
-    rows = _part(first_n(data.population(split), eval_size), split)
+    if split == "train_full":
+        chosen_rows = first_n(data.population(split), eval_size)
+        rows = chosen_rows.select("example_id", "symptoms", "diagnosis").withColumn("split", F.lit(split))
+    else:
+        rows = _capped_parts(data, {split: eval_size})
     model, entry = load_model(data, store, model_name, version, **overrides)
     config = entry["config"]
     scored = write_once(score(model.predict(rows)), "scored")
