@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,10 +122,15 @@ def row_conservation(df: DataFrame) -> DataFrame:
     ).withColumn("conserved", F.col("train_rows") + F.col("test_rows") == F.col("all_rows"))
 
 
-def flag_invalid_output(predictions: DataFrame, task: TaskSpec, column: str = "predicted") -> DataFrame:
-    """Mark answers outside the vocabulary and word the feedback for a retry."""
+def flag_invalid_output(predictions: DataFrame, task: TaskSpec, column: str = "predicted",
+                        validator: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Mark answers outside the vocabulary and word the feedback for a retry.
+
+    ``validator`` replaces the vocabulary check; it maps an answer to a boolean
+    and may be a ``pandas_udf``.
+    """
     answer = F.col(column)
-    valid = F.coalesce(in_vocabulary(normalize_label(answer), task), F.lit(False))
-    return predictions.withColumn("valid", valid).withColumn(
+    valid = validator(answer) if validator else in_vocabulary(normalize_label(answer), task)
+    return predictions.withColumn("valid", F.coalesce(valid, F.lit(False))).withColumn(
         "feedback", F.when(~F.col("valid"), feedback_column(task, answer))
     )

@@ -21,6 +21,9 @@ from tagwright.sources.tracking import RunStore, dataset_params
 # Fixed value: rows in a prediction sample.
 SAMPLE_SIZE = 10
 
+# Fixed value: rows on which the best of several models is tried.
+BEST_EVAL_SIZE = 10
+
 EVALUATION_SPLITS = ("train", "validation", "test", "train_full")
 
 
@@ -180,3 +183,11 @@ def evaluate(data: Dataset, store: RunStore, model_name: str = "classifier", ver
     }
     _record(store, run_id, rows, scored, metrics, params, sample_size)
     return EvaluateResult(metrics[split]["accuracy"], size, split, run_id, scored)
+
+
+def evaluate_best(data: Dataset, store: RunStore, model_names: list[str], split: str = "test",
+                  eval_size: int | None = BEST_EVAL_SIZE, metric: str = "validation_accuracy",
+                  **options) -> EvaluateResult:
+    """Evaluate the model whose latest version has the highest metric; ties go to the first named."""
+    best = max(model_names, key=lambda name: store.resolve(name)["metrics"][metric])
+    return evaluate(data, store, best, split=split, eval_size=eval_size, **options)

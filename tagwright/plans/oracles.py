@@ -276,7 +276,7 @@ def statements() -> dict[str, str]:
         "split_test": _language_part("split = 'test'"),
         "all_splits": _language_part("true"),
         "dataset_info": _with(_LANGUAGE)
-        + "SELECT split, count(*) AS num_rows, 'symptoms,diagnosis' AS features FROM language GROUP BY split",
+        + "SELECT split, count(*) AS num_rows, 'symptoms,diagnosis' AS features, 'documents' AS dataset FROM language GROUP BY split",
         "split_hash": _with(_LANGUAGE) + f"""SELECT example_id,
   CASE WHEN md5('42:' || example_id) < '{_SHARE}' THEN 'train' ELSE 'validation' END AS split
 FROM language WHERE split = 'train'""",
@@ -411,6 +411,10 @@ FROM run_metrics a JOIN run_metrics b USING (split, metric) WHERE a.run_id = 'ma
   WHEN difference < -0.01 THEN 'nearest_demo' ELSE 'tie' END AS winner
 FROM (SELECT b.value - a.value AS difference FROM run_metrics a JOIN run_metrics b USING (split, metric)
   WHERE a.run_id = 'nearest_demo' AND b.run_id = 'words' AND split = 'validation' AND metric = 'accuracy')""",
+        "evaluate_best": runs + f"""SELECT {_BY_SPLIT}, run_id FROM (
+  SELECT run_id, correct FROM scored WHERE split = 'test' AND run_id = (SELECT run_id FROM run_metrics
+    WHERE split = 'validation' AND metric = 'accuracy' ORDER BY value DESC, run_id LIMIT 1)
+  ORDER BY example_id LIMIT 10) GROUP BY run_id""",
         "best_run": runs + """SELECT run_id, value FROM run_metrics
 WHERE split = 'validation' AND metric = 'accuracy' ORDER BY value DESC, run_id LIMIT 1""",
     }

@@ -23,10 +23,10 @@ from tagwright.operators.score import (
     score,
     score_rows,
 )
-from tagwright.plans.classify import evaluate, tune
+from tagwright.plans.classify import BEST_EVAL_SIZE, evaluate, tune
 from tagwright.session import new_folder, write_once
 from tagwright.sources import tables, tracking
-from tagwright.sources.examples import all_splits, dataset_info, with_label
+from tagwright.sources.examples import all_splits, with_label
 from tagwright.spec import TaskSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +80,7 @@ def all_splits_stacked(spark, folder):
 
 @query("dataset_info")
 def dataset_info_rows(spark, folder):
-    info = dataset_info(tables.language(spark, folder).examples)
+    info = tables.language(spark, folder).info()
     return info.withColumn("features", F.array_join("features", ","))
 
 
@@ -507,3 +507,13 @@ def winner(spark, folder):
 @query("best_run")
 def best_run(spark, folder):
     return compare.best_run(_run_metrics(spark, folder))
+
+
+@query("evaluate_best")
+def evaluate_best(spark, folder):
+    """The run that is best on validation rows, on the first test rows."""
+    best = compare.best_run(_run_metrics(spark, folder)).first()["run_id"]
+    data = tables.verdict(spark, folder)
+    model = predictor(best).fit(data.population("train"), data.task)
+    first = rows.first_n(data.population("test"), BEST_EVAL_SIZE)
+    return checked(accuracy(score(model.predict(first)))).withColumn("run_id", F.lit(best))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tagwright.functions.text import hash_below, strip
 from tagwright.operators import split as splitting
 from tagwright.operators import validate
+from tagwright.operators.profile import Summary, summary
 from tagwright.operators.rows import assign_ids, list_rows
 from tagwright.spec import ALIASES, POPULATIONS, RAW_TEST, RAW_TRAIN, TaskSpec
 
@@ -150,11 +151,14 @@ class Dataset:
         return self.examples.withColumn("split", part)
 
     def info(self) -> DataFrame:
-        return dataset_info(self.examples)
+        return dataset_info(self.examples).withColumn("dataset", F.lit(self.source))
 
     def list(self, split: str = "all", rows: int = 5) -> DataFrame:
         return list_rows(self.population(split), rows)
 
+    def summary(self, split: str = "all", approximate: bool = False) -> Summary:
+        return summary(self.population(split), approximate=approximate)
+
     def checked(self) -> Dataset:
         """The same dataset once all its rows are known to be valid."""
         validate.require_valid(self.examples, self.task)

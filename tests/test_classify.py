@@ -5,7 +5,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tagwright.operators.predictors import predictor
-from tagwright.plans.classify import evaluate, tune
+from tagwright.plans.classify import evaluate, evaluate_best, tune
 from tagwright.session import new_folder
 from tagwright.sources import tracking
 from tagwright.sources.examples import Dataset
@@ -57,6 +57,8 @@ def test_tune_and_evaluate(spark, store, data):
     assert latest.num_examples == 40 and latest.accuracy < 1.0
     assert evaluate(data, store, "m", "live").accuracy == 1.0
     assert evaluate(data, store, "m", 1, "validation").accuracy == 1.0
+    best = evaluate_best(data, store, ["m", "m"])
+    assert best.num_examples == 10 and best.split == "test"
     capped = evaluate(data, store, "m", "1", "train", eval_size=5, run_id="r5")
     assert (capped.num_examples, capped.run_id) == (5, "r5")
     assert params(store, "r5")["eval_size"] == "5"

@@ -75,6 +75,18 @@ def test_flag_invalid_output(scoring_fixture):
     assert got[1].feedback is None
 
 
+def test_own_validator(spark, scoring_fixture):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("boolean")
+    def short(answer: pd.Series) -> pd.Series:
+        return answer.str.len() < 9
+
+    got = validate.flag_invalid_output(scoring_fixture, SYMPTOM_TASK, validator=short).collect()
+    assert {r.example_id for r in got if r.valid} == {2, 3}
+
+
 def test_model_options():
     assert ModelOptions("a/b").temperature == 0.0
     for bad in ({"temperature": 2.5}, {"temperature": -0.1}, {"max_tokens": 0}):
