@@ -228,13 +228,15 @@ def _order_statistics(df, sizes, targets, small) -> dict:
     for c, rank in targets:
         open_ranges.setdefault((c, None, None, sizes[c]), []).append((rank, (c, rank)))
     while open_ranges:
-        few = {r: wants for r, wants in open_ranges.items() if r[3] <= small}
+        # However many ranges are open, no more than ``small`` values are fetched.
+        fair_share = max(1, small // len(open_ranges))
+        few = {r: wants for r, wants in open_ranges.items() if r[3] <= fair_share}
         if few:
             rows = _members(values, list(few)).collect()
             for i, wants in enumerate(few.values()):
                 members = sorted(row["v"] for row in rows if row["i"] == i)
                 found.update({target: members[rank] for rank, target in wants})
-        large = {r: wants for r, wants in open_ranges.items() if r[3] > small}
+        large = {r: wants for r, wants in open_ranges.items() if r[3] > fair_share}
         open_ranges = {}
         if not large:
             continue

@@ -80,6 +80,17 @@ def require_valid(df: DataFrame, task: TaskSpec, check_ids: bool = False) -> Dat
     return df
 
 
+def enforce(df: DataFrame, task: TaskSpec) -> DataFrame:
+    """``df`` itself; the job that reads it fails at the first row to reject.
+
+    The check rides along with the scan it guards, so it costs no pass of its own.
+    """
+    check_columns(df)
+    problem = _problem(task)
+    message = F.concat(F.lit("row "), F.col("example_id").cast("string"), F.lit(": "), problem)
+    return df.filter(F.when(problem.isNull(), True).otherwise(F.raise_error(message).cast("boolean")))
+
+
 def invalid_labels(df: DataFrame, task: TaskSpec) -> DataFrame:
     """Rows whose label is outside the closed vocabulary."""
     label = F.col("diagnosis")

@@ -13,6 +13,7 @@ from tagwright.operators import report
 from tagwright.operators.predictors import Model, Predictor, predictor
 from tagwright.operators.rows import among_first, first_n
 from tagwright.operators.score import accuracy_by_split, checked, disagreements, samples_by_split, score
+from tagwright.operators.validate import enforce
 from tagwright.session import write_once
 from tagwright.sources import sinks
 from tagwright.sources.examples import Dataset
@@ -85,12 +86,13 @@ def tune(data: Dataset, chosen: Predictor, store: RunStore, *, model_name: str =
     """Split, cap, fit, predict once, score, record and register.
 
     Training and validation rows are predicted in one job whose result is
-    written; every metric and artifact is read from that table.
+    written; every metric and artifact is read from that table.  That job also
+    fails on a row that would not pass validation.
     """
     rows = _capped_parts(data, {"train": train_size, "validation": val_size})
     train, validation = (rows.filter(F.col("split") == part) for part in ("train", "validation"))
     model = chosen.fit(train, data.task, validation)
-    scored = write_once(score(model.predict(rows)), "scored")
+    scored = write_once(score(model.predict(enforce(rows, data.task))), "scored")
     metrics = _metrics(scored, ("train", "validation"))
     options, lm = chosen.options(), getattr(chosen, "model", None)
     lm_model = lm.model if lm else None
@@ -168,7 +170,7 @@ def evaluate(data: Dataset, store: RunStore, model_name: str = "classifier", ver
         rows = _capped_parts(data, {split: eval_size})
     model, entry = load_model(data, store, model_name, version, **overrides)
     config = entry["config"]
-    scored = write_once(score(model.predict(rows)), "scored")
+    scored = write_once(score(model.predict(enforce(rows, data.task))), "scored")
     metrics = _metrics(scored, (split,))
     run_id = store.start_run(
         project, experiment, config["predictor"], config["requires_training"], config["lm_model"], run_id

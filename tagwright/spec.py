@@ -81,7 +81,7 @@ class TaskSpec:
 
 
 SYMPTOM_TASK = TaskSpec(
-    name="symptom diagnosis",
+    name="diagnosis",
     vocabulary=DIAGNOSES,
     domain="medical symptom triage",
     input_label="Patient symptoms",

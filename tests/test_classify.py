@@ -68,6 +68,17 @@ def test_tune_and_evaluate(spark, store, data):
         evaluate(data, store, "m", split="dev")
 
 
+def test_invalid_rows_stop_the_job(spark, store, data):
+    bad = spark.createDataFrame([(1000, "   ", "malaria", "train")], data.examples.schema)
+    broken = Dataset(data.examples.union(bad), TASK)
+    with pytest.raises(Exception, match="row 1000: empty_text"):
+        tune(broken, predictor("majority"), store)
+    odd = spark.createDataFrame([(1001, "text", "scurvy", "test")], data.examples.schema)
+    tune(data, predictor("majority"), store, model_name="ok")
+    with pytest.raises(Exception, match="row 1001: label_not_in_vocabulary"):
+        evaluate(Dataset(data.examples.union(odd), TASK), store, "ok")
+
+
 def test_caps(store, data):
     result = tune(data, predictor("nearest_demo"), store, train_size=5, val_size=3)
     assert (result.num_train_examples, result.num_val_examples) == (5, 3)

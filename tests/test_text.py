@@ -39,9 +39,9 @@ def test_content_key_tells_apart_nulls_and_boundaries(spark):
 
 
 def test_provider_prefix(spark):
-    df = spark.createDataFrame([("ollama/qwen3:8b",), ("plain",), ("a/b/c",)], "m string")
+    df = spark.createDataFrame([("local/small:8b",), ("plain",), ("a/b/c",)], "m string")
     got = df.select(text.provider(F.col("m")), text.strip_provider(F.col("m"))).collect()
-    assert [tuple(r) for r in got] == [("ollama", "qwen3:8b"), (None, "plain"), ("a", "b/c")]
+    assert [tuple(r) for r in got] == [("local", "small:8b"), (None, "plain"), ("a", "b/c")]
 
 
 def test_experiment_name(spark):
