@@ -33,10 +33,8 @@ def winner(metrics: DataFrame, first: str, second: str, split: str = "validation
     """The better run, or ``tie`` when the difference stays within the band."""
     chosen = (F.col("split") == split) & (F.col("metric") == metric)
     difference = F.col("difference")
-    return metric_diff(metrics.filter(chosen), first, second).select(
-        "difference",
-        F.when(difference > band, F.lit(second)).when(difference < -band, F.lit(first)).otherwise("tie").alias("winner"),
-    )
+    better = F.when(difference > band, F.lit(second)).when(difference < -band, F.lit(first)).otherwise("tie")
+    return metric_diff(metrics.filter(chosen), first, second).select("difference", better.alias("winner"))
 
 
 def best_run(metrics: DataFrame, split: str = "validation", metric: str = "accuracy") -> DataFrame:

@@ -28,7 +28,9 @@ def render_prompt(rows: DataFrame, prompts: list[Prompt]) -> DataFrame:
 
     The system text is a literal; it is not joined to the rows.
     """
-    variants = F.array(*[F.struct(F.lit(p.style).alias("style"), F.lit(p.system).alias("system_prompt")) for p in prompts])
+    variants = F.array(
+        *[F.struct(F.lit(p.style).alias("style"), F.lit(p.system).alias("system_prompt")) for p in prompts]
+    )
     user = prompts[0].user_column(F.col("symptoms"))
     return rows.select("example_id", user.alias("user_prompt"), F.explode(variants).alias("v")).select(
         "example_id", "v.style", "v.system_prompt", "user_prompt"

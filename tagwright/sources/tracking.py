@@ -90,7 +90,9 @@ def runs_by_tag(runs: DataFrame, **tags: str) -> DataFrame:
 def run_provider(runs: DataFrame) -> DataFrame:
     """Provider and bare model name of each run's model id."""
     model = F.col("lm_model")
-    return runs.select("run_id", "lm_model", provider(model).alias("provider"), strip_provider(model).alias("model_name"))
+    return runs.select(
+        "run_id", "lm_model", provider(model).alias("provider"), strip_provider(model).alias("model_name")
+    )
 
 
 # --- the tables on storage --------------------------------------------------
