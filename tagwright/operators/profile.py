@@ -98,30 +98,26 @@ def describe_categorical(df: DataFrame, columns: list[str] | None = None,
         mine = F.col("column_name") == c
         ranked = F.struct((-F.col("n")).alias("rank"), "first_id")
         wide += [
-            F.sum(F.when(mine, F.col("n"))).alias(f"count{i}"),
+            F.coalesce(F.sum(F.when(mine, F.col("n"))), F.lit(0)).alias(f"count{i}"),
             F.count_if(mine).alias(f"unique{i}"),
             F.min(F.when(mine, ranked)).alias(f"best{i}"),
         ]
-    lines = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.coalesce(F.col(f"count{i}"), F.lit(0)).alias("count"),
-            F.col(f"unique{i}").alias("unique"),
-            F.col(f"best{i}").alias("best"),
-        )
-        for i, c in enumerate(columns)
-    ]
-    # One row per column of the table: bounded by the schema.
-    stats = F.broadcast(counts.agg(*wide).select(F.inline(F.array(*lines))))
-    values = df.select(
-        F.col(id_column).alias("id"),
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("top")) for c in columns])
-        ).alias("cell"),
-    ).select("id", "cell.*")
-    found = (F.col("best.first_id") == F.col("id")) & (F.col("column_name") == F.col("name"))
-    return values.join(stats, found).select(
-        "column_name", "count", "unique", "top", (-F.col("best.rank")).alias("freq")
+    found = counts.agg(*wide).first()
+    rows = []
+    for i, c in enumerate(columns):
+        rank, first_id = found[f"best{i}"] or (None, None)
+        rows.append((c, found[f"count{i}"], found[f"unique{i}"], None if rank is None else -rank, first_id))
+    id_type = dict(df.dtypes)[id_column]
+    stats = small_frame(
+        df.sparkSession, rows, f"column_name string, count long, unique long, freq long, id {id_type}"
+    )
+    # The ids are literals, so the second read touches little of the table.
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("top")) for c in columns])
+    wanted = F.col(id_column).isin([row[-1] for row in rows if row[-1] is not None])
+    values = df.filter(wanted).select(F.col(id_column).alias("id"), F.inline(cells))
+    # No more rows than the square of the number of columns.
+    return stats.join(F.broadcast(values), ["column_name", "id"], "left").select(
+        "column_name", "count", "unique", "top", "freq"
     )
 
 

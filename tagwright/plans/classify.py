@@ -75,7 +75,8 @@ def _record(store: RunStore, run_id: str, rows: DataFrame, scored: DataFrame, me
     store.log_metrics(run_id, [(split, name, m[name]) for split, m in metrics.items() for name in names])
     folder = f"{store.root}/artifacts/{run_id}"
     sample = samples_by_split(scored, rows, sorted(metrics), sample_size)
-    sinks.write_rows(sample.coalesce(1), f"{folder}/predictions_sample")
+    # One file for a few rows; a coalesce would also squeeze the scan into one task.
+    sinks.write_rows(sample.repartition(1), f"{folder}/predictions_sample")
     sinks.write_rows(disagreements(scored, rows), f"{folder}/disagreements")
 
 

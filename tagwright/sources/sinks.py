@@ -28,4 +28,5 @@ def write_prompt_report(report: DataFrame, path: str, headings: tuple[str, ...])
     rank = F.array_position(F.array(*[F.lit(h) for h in headings]), F.col("section"))
     heading = F.concat(F.lit("## "), "section", F.lit("\n"), "text")
     text = F.when(F.col("ord") == 0, heading).otherwise(F.col("text"))
-    report.orderBy(rank, "ord").select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    lines = report.repartition(1).sortWithinPartitions(rank, "ord").select(text.alias("value"))
+    lines.write.mode("overwrite").text(path)

@@ -81,11 +81,18 @@ def test_categorical(spark):
     assert (got.column_name, got["count"], got.unique, got.top, got.freq) == ("s", 5, 3, "a", 2)
 
 
+def test_categorical_without_values(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, None, "x")], "example_id long, s string, t string")
+    got = {r.column_name: (r["count"], r.unique, r.top, r.freq) for r in profile.describe_categorical(df).collect()}
+    assert got == {"s": (0, 0, None, None), "t": (2, 1, "x", 2)}
+
+
 def test_texts_are_not_shuffled(spark, small_folder):
     documents = spark.read.parquet(f"{small_folder}/documents.parquet").select("doc_id", "text", "lang")
-    plan = plan_of(profile.describe_categorical(documents, ["text", "lang"], "doc_id"))
-    for exchange in plan.split("Exchange")[1:]:
-        assert "text#" not in exchange.split("\n\n")[0].split("Arguments")[0]
+    plan = plan_of(profile._value_counts(documents, ["text", "lang"], "doc_id"))
+    exchanges = [s for s in plan.split("\n\n") if ") Exchange" in s and "Input [" in s]
+    assert exchanges and all("text#" not in s for s in exchanges)
+    assert "PushedFilters: [In(doc_id" in plan_of(profile.describe_categorical(documents, ["text", "lang"], "doc_id"))
 
 
 def test_summary(spark):
