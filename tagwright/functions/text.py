@@ -20,6 +20,11 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
+def is_blank(text: Column) -> Column:
+    """True when nothing is left of a text once it is stripped; stops at the first letter."""
+    return ~text.rlike(f"[^{WHITESPACE}]")
+
+
 def normalize_label(label: Column) -> Column:
     """Label as it is compared: a string, stripped, in lower case."""
     return F.lower(strip(label.cast("string")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagwright.functions.prompts import feedback_column
-from tagwright.functions.text import normalize_label, strip
+from tagwright.functions.text import is_blank, normalize_label
 from tagwright.session import small_frame
 from tagwright.spec import RAW_TEST, RAW_TRAIN, TaskSpec
 
@@ -22,7 +22,7 @@ def _problem(task: TaskSpec) -> Column:
     text, label = F.col("symptoms"), F.col("diagnosis")
     return (
         F.when(text.isNull(), "null_text")
-        .when(strip(text) == "", "empty_text")
+        .when(is_blank(text), "empty_text")
         .when(label.isNull(), "null_label")
         .when(~in_vocabulary(label, task), "label_not_in_vocabulary")
     )

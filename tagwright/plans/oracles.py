@@ -288,7 +288,7 @@ WHERE split = 'train' AND md5('42:' || example_id) < '{_SHARE}' ORDER BY example
         "assign_ids": """SELECT md5(length(text) || ':' || text || length(lang) || ':' || lang) || '-' ||
   row_number() OVER (PARTITION BY text, lang) AS example_id, text AS symptoms, lang AS diagnosis FROM documents""",
         "trim_text": f"""SELECT doc_id AS example_id, length(padded)::INT AS padded_length, {_strip("padded")} AS symptoms
-FROM (SELECT doc_id, '  ' || chr(9) || text || chr(10) || chr(12288) || ' ' AS padded FROM documents)""",
+FROM (SELECT doc_id, '  ' || chr(9) || text || chr(10) || chr(12288) || chr(160) AS padded FROM documents)""",
         "normalize_label": verdict + f"""SELECT example_id, raw_label, lower({_strip("raw_label")}) AS label
 FROM (SELECT example_id, ' ' || upper(diagnosis) || chr(9) || chr(10) AS raw_label FROM verdict)""",
         "label_vocabulary": verdict + """SELECT ord::INT AS ord, label, ord || '. ' || label AS line

@@ -110,7 +110,7 @@ def assign_ids(spark, folder):
 @query("trim_text")
 def trim_text(spark, folder):
     documents = tables.read(spark, folder, "documents")
-    padded = F.concat(F.lit("  \t"), F.col("text"), F.lit("\n\u3000 "))
+    padded = F.concat(F.lit("  \t"), F.col("text"), F.lit("\n\u3000\u00a0"))
     return documents.select(
         F.col("doc_id").alias("example_id"),
         F.length(padded).alias("padded_length"),

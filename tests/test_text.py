@@ -14,15 +14,18 @@ from tagwright.operators.predict import read_answer
 @given(st.lists(st.text(st.characters(exclude_categories=("Cs",))), min_size=1, max_size=30))
 def test_strip_is_python_strip(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = {r.i: r.s for r in df.select("i", text.strip(F.col("t")).alias("s")).collect()}
-    assert got == {i: t.strip() for i, t in enumerate(texts)}
+    got = df.select("i", text.strip(F.col("t")).alias("s"), text.is_blank(F.col("t")).alias("b")).collect()
+    assert {r.i: (r.s, r.b) for r in got} == {i: (t.strip(), not t.strip()) for i, t in enumerate(texts)}
 
 
 def test_every_unicode_blank_is_stripped(spark):
     blanks = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isspace()]
     assert "".join(blanks) == text.WHITESPACE
-    padded = "".join(blanks) + "a b" + "".join(blanks)
-    assert spark.range(1).select(text.strip(F.lit(padded))).first()[0] == "a b"
+    inner = "a\u00a0b"
+    padded = "".join(blanks) + inner + "".join(blanks)
+    assert spark.range(1).select(text.strip(F.lit(padded))).first()[0] == inner
+    df = spark.createDataFrame([(c,) for c in blanks], "t string")
+    assert df.filter(text.is_blank(F.col("t"))).count() == len(blanks)
 
 
 def test_normalize_label(spark):
@@ -50,7 +53,7 @@ def test_experiment_name(spark):
 
 
 def test_answers_are_read_alike_in_tasks_and_in_columns(spark):
-    raws = [" Flu 　", '{"diagnosis": " flu ", "reasoning": "why"}', "not json", '{"other": 1}', '"text"', "", None]
+    raws = [" Flu \u3000", '{"diagnosis": " flu ", "reasoning": "why"}', "not json", '{"other": 1}', '"text"', "", None]
     for style in ("answer_only", "structured", "reasoned"):
         df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw_output string")
         parsed = {r.i: r for r in parse_output(df, style).collect()}
