@@ -389,6 +389,8 @@ class CallablePredictor:
     max_labeled: int = demo_ops.MAX_LABELED
     candidate_instructions: tuple[str, ...] = ()
     auto: str | None = "light"
+    num_candidates: int | None = None
+    pool_rows: int | None = None
     minibatch: int = 35
     full_every: int = 5
     seed: int = 42
@@ -432,7 +434,7 @@ class CallablePredictor:
             return CallableModel(self, bootstrapped)
         if validation is None:
             raise ValueError("a search needs validation rows")
-        plan = search.budget(self.auto, minibatch=self.minibatch, full_every=self.full_every)
+        plan = self.plan()
         prompts = self._candidates(train, base, bootstrapped, plan.candidates)
         trials = search.search(
             validation, list(prompts), lambda rows, ids: self.run(rows, {c: prompts[c] for c in ids}), plan, self.seed
@@ -440,6 +442,12 @@ class CallablePredictor:
         best = search.best_candidate(trials, "full_accuracy").first()
         return CallableModel(self, prompts[best["candidate_id"]], trials)
 
+    def plan(self) -> search.Budget:
+        """The named budget with the sizes given here; without a name they must be given."""
+        sizes = {"candidates": self.num_candidates, "pool_rows": self.pool_rows}
+        given = {k: v for k, v in sizes.items() if v is not None}
+        return search.budget(self.auto, minibatch=self.minibatch, full_every=self.full_every, **given)
+
     def _candidates(self, train: DataFrame, base: Prompt, bootstrapped: Prompt, n: int) -> dict[int, Prompt]:
         """The bootstrapped prompt, then instructions in turn with seeded demonstration sets."""
         wordings = (base.instructions, *self.candidate_instructions)

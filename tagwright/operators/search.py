@@ -53,6 +53,9 @@ BUDGETS = {
 def budget(auto: str | None = "light", **manual: int) -> Budget:
     """A named budget, or a manual one when ``auto`` is None."""
     if auto is None:
+        missing = [name for name in ("candidates", "pool_rows") if name not in manual]
+        if missing:
+            raise ValueError(f"a budget without a name needs {', '.join(missing)}")
         return Budget(**manual)
     if auto not in BUDGETS:
         raise ValueError(f"unknown budget '{auto}'; choose from {', '.join(BUDGETS)}")

@@ -159,7 +159,7 @@ class Dataset:
     def summary(self, split: str = "all", approximate: bool = False) -> Summary:
         return summary(self.population(split), approximate=approximate)
 
-    def checked(self) -> Dataset:
+    def checked(self, check_ids: bool = False) -> Dataset:
         """The same dataset once all its rows are known to be valid."""
-        validate.require_valid(self.examples, self.task)
+        validate.require_valid(self.examples, self.task, check_ids)
         return self

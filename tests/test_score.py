@@ -97,6 +97,8 @@ def test_budgets():
         search.budget("huge")
     with pytest.raises(ValueError, match="minibatch"):
         search.budget("light", minibatch=0)
+    with pytest.raises(ValueError, match="needs pool_rows"):
+        search.budget(None, candidates=3)
 
 
 def known_skill(skills):

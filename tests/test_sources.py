@@ -90,3 +90,30 @@ def test_shared_folder_needs_a_setting_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(Session())
+
+
+def test_sorted_examples_keep_ids_apart_by_file(spark):
+    path = new_folder(spark, "sorted")
+    # Left on, this would fold so few rows into one file.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_examples(make_examples(spark, 400).repartition(6), path, sort=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.read.parquet(path).groupBy("split", F.input_file_name().alias("file")).agg(
+        F.min("example_id").alias("low"), F.max("example_id").alias("high")
+    )
+    for split in ("train", "test"):
+        ranges = [(r.low, r.high) for r in files.filter(F.col("split") == split).orderBy("low").collect()]
+        assert len(ranges) > 1
+        assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_dataset(spark):
+    from tagwright.spec import TaskSpec
+
+    data = ex.Dataset(make_examples(spark, 50), TaskSpec("t", ("allergy", "malaria", "migraine")), source="made")
+    assert data.checked(check_ids=True) is data
+    assert {(r.dataset, r.split) for r in data.info().collect()} == {("made", "train"), ("made", "test")}
+    assert data.summary("test").table.first().total_rows == 10
+    assert data.list("validation", 2).count() == 2
