@@ -167,17 +167,17 @@ class WordsPredictor:
 
     def fit(self, train: DataFrame, task: TaskSpec, validation: DataFrame | None = None) -> WordsModel:
         labels = task.ordered
-        label = normalize_label(F.col("diagnosis"))
+        # The label becomes a number once per row, before its words are unfolded.
+        place = F.array_position(F.array(*[F.lit(name) for name in labels]), normalize_label(F.col("diagnosis")))
+        numbered = train.select(place.alias("place"), "symptoms")
+
+        def per_label(name: str) -> list[Column]:
+            return [F.count_if(F.col("place") == i + 1).alias(f"{name}{i}") for i in range(len(labels))]
+
         # One shuffle on the word, combined per task first; a column per label.
-        occurrences = train.select(label.alias("label"), F.explode(words(F.col("symptoms"))).alias("word"))
-        counts = write_once(
-            occurrences.groupBy("word").agg(
-                *[F.count_if(F.col("label") == name).alias(f"n{i}") for i, name in enumerate(labels)]
-            ),
-            "word-counts",
-        )
-        rows = train.agg(*[F.count_if(label == name).alias(f"r{i}") for i, name in enumerate(labels)])
-        return WordsModel.build(counts, rows.first(), labels, self.broadcast_bytes)
+        occurrences = numbered.select("place", F.explode(words(F.col("symptoms"))).alias("word"))
+        counts = write_once(occurrences.groupBy("word").agg(*per_label("n")), "word-counts")
+        return WordsModel.build(counts, numbered.agg(*per_label("r")).first(), labels, self.broadcast_bytes)
 
     def restore(self, table: DataFrame | None, description: dict, task: TaskSpec) -> WordsModel:
         return WordsModel(

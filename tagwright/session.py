@@ -13,11 +13,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 _local_folder: str | None = None
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A session for tests and benchmarks on one machine."""
+def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
+    """A session for tests and benchmarks on one machine, whose driver does all the work."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tagwright")
+        .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
