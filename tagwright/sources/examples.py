@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,15 +140,22 @@ class Dataset:
     seed: int = splitting.SEED
     mode: str = "hash"
 
+    @cached_property
+    def _in_train(self) -> Column:
+        """Condition for the training part; an exact split looks for its cut-off once."""
+        full = self.examples.filter(F.col("split") == RAW_TRAIN)
+        return splitting.in_train(full, self.ratio, self.seed, self.mode)
+
     def population(self, name: str = "all") -> DataFrame:
-        return population(self.examples, name, self.ratio, self.seed, self.mode)
+        if name not in ("train", "validation"):
+            return population(self.examples, name)
+        full = self.examples.filter(F.col("split") == RAW_TRAIN)
+        return full.filter(self._in_train if name == "train" else ~self._in_train)
 
     def parts(self) -> DataFrame:
         """All rows, with ``split`` naming their part: train, validation or test."""
         raw_test = F.col("split") == RAW_TEST
-        full = self.examples.filter(~raw_test)
-        in_train = splitting.in_train(full, self.ratio, self.seed, self.mode)
-        part = F.when(raw_test, RAW_TEST).when(in_train, "train").otherwise("validation")
+        part = F.when(raw_test, RAW_TEST).when(self._in_train, "train").otherwise("validation")
         return self.examples.withColumn("split", part)
 
     def info(self) -> DataFrame:

@@ -57,6 +57,7 @@ def test_tune_and_evaluate(spark, store, data):
     assert latest.num_examples == 40 and latest.accuracy < 1.0
     assert evaluate(data, store, "m", "live").accuracy == 1.0
     assert evaluate(data, store, "m", 1, "validation").accuracy == 1.0
+    assert evaluate(data, store, "m", 1, "train_full").num_examples == 160
     best = evaluate_best(data, store, ["m", "m"])
     assert best.num_examples == 10 and best.split == "test"
     capped = evaluate(data, store, "m", "1", "train", eval_size=5, run_id="r5")

@@ -62,14 +62,18 @@ def test_bad_arguments(spark):
         split.train_validation(df, 0.8, 42, "other")
 
 
-def test_populations(spark):
-    data = ex.Dataset(make_examples(spark, 200), TASK)
+@pytest.mark.parametrize("mode", split.MODES)
+def test_populations(spark, mode):
+    data = ex.Dataset(make_examples(spark, 200), TASK, mode=mode)
+    assert ids(data.population("train")) == ids(ex.population(data.examples, "train", mode=mode))
     full, test = ids(data.population("train_full")), ids(data.population("test"))
     train, validation = ids(data.population("train")), ids(data.population("validation"))
     assert train | validation == full and not train & validation
     assert full | test == ids(data.population("all")) and not full & test
     named = {r.example_id: r.split for r in data.parts().collect()}
     assert {i for i, s in named.items() if s == "validation"} == validation
+    if mode == "exact":
+        assert len(train) == 128
     with pytest.raises(ValueError, match="Choose from: train, validation, test, all"):
         data.population("dev")
 
