@@ -219,6 +219,7 @@ def _order_statistics(df, sizes, targets, small) -> dict:
     """
     values = df.select(*[_clean(c).alias(c) for c in sizes])
     found: dict = {}
+    finite = _finite_bounds(values) if max(sizes.values()) > small // len(sizes) else {}
     # (column, least, greatest, members) -> ranks within the range and their targets
     open_ranges = {}
     for c, rank in targets:
@@ -237,7 +238,7 @@ def _order_statistics(df, sizes, targets, small) -> dict:
         if not large:
             continue
         ranges = list(large)
-        bounds = [_finite_bounds(values, *r[:3]) for r in ranges]
+        bounds = [(low, high) if low is not None else finite[c] for c, low, high, _ in ranges]
         cell = F.coalesce(*[F.when(F.col("i") == i, _cell(F.col("v"), *b)) for i, b in enumerate(bounds)])
         counted = (
             _members(values, ranges)
@@ -276,12 +277,16 @@ def _inside(column: str, low, high) -> Column:
     return F.col(column).between(low, high)
 
 
-def _finite_bounds(values: DataFrame, column: str, low, high) -> tuple:
-    if low is not None:
-        return low, high
-    value, inf = F.col(column), float("inf")
-    finite = F.when((value > -inf) & (value < inf), value)
-    return tuple(values.agg(F.min(finite), F.max(finite)).first())
+def _finite_bounds(values: DataFrame) -> dict[str, tuple]:
+    """Least and greatest finite value of every column, in one pass."""
+    inf = float("inf")
+    ends = []
+    for i, c in enumerate(values.columns):
+        value = F.col(c)
+        finite = F.when((value > -inf) & (value < inf), value)
+        ends += [F.min(finite).alias(f"low{i}"), F.max(finite).alias(f"high{i}")]
+    row = values.agg(*ends).first()
+    return {c: (row[f"low{i}"], row[f"high{i}"]) for i, c in enumerate(values.columns)}
 
 
 def _cell(value: Column, low, high) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +16,11 @@ SMALL = 10_000
 CHUNK = 100_000
 
 
-def kth_smallest(keys: DataFrame, k: int, width: int = 3, small: int = SMALL) -> str | None:
+def kth_smallest(keys: DataFrame, k: int | Callable[[int], int], width: int = 3, small: int = SMALL) -> str | None:
     """The k-th smallest string of a one-column frame of unique strings (k from 1).
 
+    ``k`` may be a function of the number of keys, which the first pass counts.
+
     Radix selection: each pass counts the next ``width`` characters below the
     prefix found so far and keeps one bucket.  A pass reads one column, combines
     before the shuffle and returns one row per bucket, so nothing whole ever
@@ -24,8 +28,6 @@ def kth_smallest(keys: DataFrame, k: int, width: int = 3, small: int = SMALL) ->
     """
     column = keys.columns[0]
     keys = keys.select(F.col(column).alias("key")).filter(F.col("key").isNotNull())
-    if k <= 0:
-        return None
     prefix = ""
     while True:
         depth = len(prefix) + width
@@ -36,6 +38,10 @@ def kth_smallest(keys: DataFrame, k: int, width: int = 3, small: int = SMALL) ->
             .agg(F.count(F.lit(1)).alias("n"))
             .collect()
         )
+        if callable(k):
+            k = k(sum(n for _, n in buckets))
+        if k <= 0:
+            return None
         for bucket, n in buckets:
             if k <= n:
                 break

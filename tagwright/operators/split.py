@@ -31,7 +31,7 @@ def in_train(df: DataFrame, ratio: float = TRAIN_RATIO, seed: int = SEED, mode:
     if not 0.0 < ratio < 1.0:
         raise ValueError(f"ratio must lie strictly between 0 and 1, got {ratio}")
     hashes = df.select(hash_key(F.col(key), seed).alias("key"))
-    cutoff = kth_smallest(hashes, math.floor(ratio * hashes.count()))
+    cutoff = kth_smallest(hashes, lambda n: math.floor(ratio * n))
     if cutoff is None:
         return F.lit(False)
     return hash_key(F.col(key), seed) <= F.lit(cutoff)
