@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tagwright.spec import TaskSpec
 
+# Fixed value: the feedback on an answer outside the vocabulary.
+FEEDBACK = 'Invalid {noun} "{answer}". Must be one of: {labels}'
+
 STYLES = ("answer_only", "structured", "reasoned")
 
 _RULES = {
@@ -87,14 +90,14 @@ class Prompt:
         return F.concat(F.lit(f"{self.task.input_label}: "), text)
 
     def feedback(self, answer: str | None) -> str:
-        return (f'Invalid {self.task.label_noun} "{answer or ""}". '
-                f"Must be one of: {', '.join(self.task.vocabulary)}")
+        return _feedback(self.task, answer or "")
 
 
 def feedback_column(task: TaskSpec, answer: Column) -> Column:
-    """The message sent back for an answer outside the vocabulary."""
-    return F.concat(
-        F.lit(f'Invalid {task.label_noun} "'),
-        F.coalesce(answer, F.lit("")),
-        F.lit(f'". Must be one of: {", ".join(task.vocabulary)}'),
-    )
+    """The same feedback as a column."""
+    before, after = _feedback(task, "\0").split("\0")
+    return F.concat(F.lit(before), F.coalesce(answer, F.lit("")), F.lit(after))
+
+
+def _feedback(task: TaskSpec, answer: str) -> str:
+    return FEEDBACK.format(noun=task.label_noun, answer=answer, labels=", ".join(task.vocabulary))

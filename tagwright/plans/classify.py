@@ -163,7 +163,7 @@ def evaluate(data: Dataset, store: RunStore, model_name: str = "classifier", ver
              **overrides) -> EvaluateResult:
     """Resolve a version, pick a split, cap, predict once, score and record."""
     if split not in EVALUATION_SPLITS:
-        raise ValueError(f"Invalid split '{split}'. Choose from: {', '.join(EVALUATION_SPLITS)}")
+        raise ValueError(f"'{split}' cannot be evaluated; there are {', '.join(EVALUATION_SPLITS)}")
     if split == "train_full":
         chosen_rows = first_n(data.population(split), eval_size)
         rows = chosen_rows.select("example_id", "symptoms", "diagnosis").withColumn("split", F.lit(split))

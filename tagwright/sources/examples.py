@@ -92,7 +92,7 @@ def population(examples: DataFrame, name: str = "all", ratio: float = splitting.
     two parts of the raw training rows, ``train_full`` both parts.
     """
     if name not in POPULATIONS:
-        raise ValueError(f"Invalid split '{name}'. Choose from: {', '.join(POPULATIONS)}")
+        raise ValueError(f"no population is called '{name}'; there are {', '.join(POPULATIONS)}")
     if name == "all":
         return examples
     if name == "test":

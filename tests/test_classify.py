@@ -65,7 +65,7 @@ def test_tune_and_evaluate(spark, store, data):
     assert params(store, "r5")["eval_size"] == "5"
     with pytest.raises(ValueError, match="no version '9'"):
         evaluate(data, store, "m", 9)
-    with pytest.raises(ValueError, match="Invalid split"):
+    with pytest.raises(ValueError, match="cannot be evaluated; there are train"):
         evaluate(data, store, "m", split="dev")
 
 

@@ -74,7 +74,7 @@ def test_populations(spark, mode):
     assert {i for i, s in named.items() if s == "validation"} == validation
     if mode == "exact":
         assert len(train) == 128
-    with pytest.raises(ValueError, match="Choose from: train, validation, test, all"):
+    with pytest.raises(ValueError, match="there are train, validation, test, all"):
         data.population("dev")
 
 
