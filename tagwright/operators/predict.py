@@ -99,7 +99,8 @@ def _ask(complete: Complete, prompt: Prompt, texts: list[str], max_retries: int)
 
 
 def predict(rows: DataFrame, build: Callable[[], Complete], prompt: Prompt | dict[int, Prompt], *,
-            max_retries: int = 0, parallelism: int | None = None, batch_size: int = 256) -> DataFrame:
+            max_retries: int = 0, parallelism: int | None = None, batch_size: int = 256,
+            keep_text: bool = False) -> DataFrame:
     """Call a model once per row on the executors.
 
     ``build`` runs once per task and returns the call, so clients are opened
@@ -108,8 +109,8 @@ def predict(rows: DataFrame, build: Callable[[], Complete], prompt: Prompt | dic
     by candidate, are all tried on every row and told apart by ``candidate_id``;
     the text reaches the task once.
 
-    The result has every column of ``rows`` but the text, with the label as
-    ``actual``.  It is lazy: write it before using it twice (``predict_once``).
+    The result has every column of ``rows``, with the label as ``actual`` and
+    without the text unless ``keep_text`` is set.  It is lazy: write it before using it twice (``predict_once``).
     A lost task is run again, so calls should be idempotent.
     """
     prompts = prompt if isinstance(prompt, dict) else {None: prompt}
@@ -117,7 +118,7 @@ def predict(rows: DataFrame, build: Callable[[], Complete], prompt: Prompt | dic
     if parallelism:
         # Ids are unique, so hashing them spreads rows evenly and repeatably.
         rows = rows.repartition(parallelism, "example_id")
-    kept = [f for f in rows.schema.fields if f.name != "symptoms"]
+    kept = [f for f in rows.schema.fields if keep_text or f.name != "symptoms"]
     tried = [] if None in prompts else [T.StructField("candidate_id", T.IntegerType())]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,7 +126,9 @@ def predict(rows: DataFrame, build: Callable[[], Complete], prompt: Prompt | dic
         for batch in batches:
             for start in range(0, len(batch), batch_size):
                 part = batch.iloc[start : start + batch_size].reset_index(drop=True)
-                texts = part.pop("symptoms").tolist()
+                texts = part["symptoms"].tolist()
+                if not keep_text:
+                    part = part.drop(columns="symptoms")
                 for key, chosen in prompts.items():
                     answers = _ask(complete, chosen, texts, max_retries)
                     extra = {} if key is None else {"candidate_id": key}

@@ -26,7 +26,8 @@ _registry: dict[str, type] = {}
 
 
 class Model(Protocol):
-    def predict(self, rows: DataFrame) -> DataFrame: ...
+    def predict(self, rows: DataFrame, keep_text: bool = False) -> DataFrame:
+        """Prediction rows; the text comes along if asked for and still at hand."""
 
     def artifact(self) -> tuple[DataFrame | None, dict]:
         """A table and a small description from which the model can be restored."""
@@ -66,8 +67,9 @@ def predictor(name: str, **options: Any) -> Predictor:
     return predictor_class(name)(**options)
 
 
-def _without_text(rows: DataFrame) -> DataFrame:
-    return carried(rows).drop("symptoms")
+def _passed_on(rows: DataFrame, keep_text: bool) -> DataFrame:
+    rows = carried(rows)
+    return rows if keep_text else rows.drop("symptoms")
 
 
 # --- an existing column -----------------------------------------------------
@@ -94,8 +96,8 @@ class ColumnPredictor:
     def artifact(self) -> tuple[DataFrame | None, dict]:
         return None, {}
 
-    def predict(self, rows: DataFrame) -> DataFrame:
-        return _without_text(rows.withColumn("predicted", F.col(self.column))).drop(self.column)
+    def predict(self, rows: DataFrame, keep_text: bool = False) -> DataFrame:
+        return _passed_on(rows.withColumn("predicted", F.col(self.column)), keep_text).drop(self.column)
 
 
 # --- most frequent label ----------------------------------------------------
@@ -128,8 +130,8 @@ class MajorityModel:
 
     label: DataFrame
 
-    def predict(self, rows: DataFrame) -> DataFrame:
-        return _without_text(rows).withColumn("predicted", self.label.scalar())
+    def predict(self, rows: DataFrame, keep_text: bool = False) -> DataFrame:
+        return _passed_on(rows, keep_text).withColumn("predicted", self.label.scalar())
 
     def artifact(self) -> tuple[DataFrame | None, dict]:
         return self.label, {}
@@ -231,12 +233,13 @@ class WordsModel:
             ],
         )
 
-    def predict(self, rows: DataFrame) -> DataFrame:
+    def predict(self, rows: DataFrame, keep_text: bool = False) -> DataFrame:
         """Sum the weights of a row's words and take the best label.
 
         With a small weight table nothing but one row of sums per example is
         shuffled.  Beyond that, only the frequent words (provably few) are
         broadcast and the rest, none of which is frequent, is joined by word.
+        The text is left behind: the sums are shuffled without it.
         """
         k = range(len(self.labels))
         rows = carried(rows)
@@ -328,15 +331,16 @@ class NearestDemoModel:
 
     demos: DataFrame
 
-    def predict(self, rows: DataFrame) -> DataFrame:
+    def predict(self, rows: DataFrame, keep_text: bool = False) -> DataFrame:
         packed = self.demos.agg(_packed(self.demos)).scalar()
         nearest = _nearest(F.col("mine"), F.col("demos"))
-        return _without_text(
+        answered = (
             rows.withColumn("mine", _word_set(F.col("symptoms")))
             .withColumn("demos", packed)
             .withColumn("predicted", nearest)
             .drop("mine", "demos")
         )
+        return _passed_on(answered, keep_text)
 
     def artifact(self) -> tuple[DataFrame | None, dict]:
         return self.demos, {}
@@ -413,12 +417,17 @@ class CallablePredictor:
         kept = {f.name: getattr(self, f.name) for f in fields(self) if f.name not in ("build", "model", "parallelism")}
         return {**kept, "model": asdict(self.model) if self.model else None}
 
-    def run(self, rows: DataFrame, prompt: Prompt | dict[int, Prompt]) -> DataFrame:
+    def run(self, rows: DataFrame, prompt: Prompt | dict[int, Prompt], keep_text: bool = False) -> DataFrame:
         if self.build is None:
             raise ValueError("a callable predictor needs 'build', which returns the model call")
         build, model = self.build, self.model
         return prediction.predict(
-            rows, lambda: build(model), prompt, max_retries=self.max_retries, parallelism=self.parallelism
+            rows,
+            lambda: build(model),
+            prompt,
+            max_retries=self.max_retries,
+            parallelism=self.parallelism,
+            keep_text=keep_text,
         )
 
     def fit(self, train: DataFrame, task: TaskSpec, validation: DataFrame | None = None) -> CallableModel:
@@ -476,8 +485,8 @@ class CallableModel:
     prompt: Prompt
     trials: DataFrame | None = None
 
-    def predict(self, rows: DataFrame) -> DataFrame:
-        return self.settings.run(rows, self.prompt)
+    def predict(self, rows: DataFrame, keep_text: bool = False) -> DataFrame:
+        return self.settings.run(rows, self.prompt, keep_text)
 
     def artifact(self) -> tuple[DataFrame | None, dict]:
         return None, {"instructions": self.prompt.instructions, "demos": [asdict(d) for d in self.prompt.demos]}

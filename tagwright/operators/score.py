@@ -60,13 +60,24 @@ def disagreement_count(scored: DataFrame) -> DataFrame:
     return scored.groupBy("split").agg(F.count_if(F.col("correct") == 0).alias("disagreements"))
 
 
+def keep_wrong_texts(scored: DataFrame) -> DataFrame:
+    """Drop the text of right rows, so that a written table holds what is reported."""
+    if "symptoms" not in scored.columns:
+        return scored
+    return scored.withColumn("symptoms", F.when(F.col("correct") == 0, F.col("symptoms")))
+
+
 def disagreements(scored: DataFrame, examples: DataFrame) -> DataFrame:
     """All wrong rows with their text.
 
-    The join moves ids of wrong rows against the text; right rows are dropped first.
+    Scored rows that brought their text along are only filtered.  Otherwise the
+    ids of wrong rows, and no others, are joined with the texts.
     """
-    wrong = scored.filter(F.col("correct") == 0).select("example_id", "split", "actual", "predicted")
-    return wrong.join(examples.select("example_id", "symptoms"), "example_id")
+    wrong = scored.filter(F.col("correct") == 0)
+    columns = ["example_id", "split", "actual", "predicted"]
+    if "symptoms" in scored.columns:
+        return wrong.select(*columns, "symptoms")
+    return wrong.select(*columns).join(examples.select("example_id", "symptoms"), "example_id")
 
 
 def prediction_sample(scored: DataFrame, examples: DataFrame, n: int = 10) -> DataFrame:

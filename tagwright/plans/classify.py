@@ -12,7 +12,14 @@ from tagwright.operators import demos as demo_ops
 from tagwright.operators import report
 from tagwright.operators.predictors import Model, Predictor, predictor
 from tagwright.operators.rows import among_first, first_n
-from tagwright.operators.score import accuracy_by_split, checked, disagreements, samples_by_split, score
+from tagwright.operators.score import (
+    accuracy_by_split,
+    checked,
+    disagreements,
+    keep_wrong_texts,
+    samples_by_split,
+    score,
+)
 from tagwright.operators.validate import enforce
 from tagwright.session import write_once
 from tagwright.sources import sinks
@@ -59,6 +66,12 @@ def _capped_parts(data: Dataset, caps: dict[str, int | None]) -> DataFrame:
     return parts.filter(wanted)
 
 
+def _predict_and_score(model: Model, rows: DataFrame, data: Dataset) -> DataFrame:
+    """Check, predict and score in one job whose result is written."""
+    predicted = model.predict(enforce(rows, data.task), keep_text=True)
+    return write_once(keep_wrong_texts(score(predicted)), "scored")
+
+
 def _metrics(scored: DataFrame, splits) -> dict[str, dict]:
     metrics = {row["split"]: row.asDict() for row in checked(accuracy_by_split(scored)).collect()}
     for split in splits:
@@ -93,7 +106,7 @@ def tune(data: Dataset, chosen: Predictor, store: RunStore, *, model_name: str =
     rows = _capped_parts(data, {"train": train_size, "validation": val_size})
     train, validation = (rows.filter(F.col("split") == part) for part in ("train", "validation"))
     model = chosen.fit(train, data.task, validation)
-    scored = write_once(score(model.predict(enforce(rows, data.task))), "scored")
+    scored = _predict_and_score(model, rows, data)
     metrics = _metrics(scored, ("train", "validation"))
     options, lm = chosen.options(), getattr(chosen, "model", None)
     lm_model = lm.model if lm else None
@@ -171,7 +184,7 @@ def evaluate(data: Dataset, store: RunStore, model_name: str = "classifier", ver
         rows = _capped_parts(data, {split: eval_size})
     model, entry = load_model(data, store, model_name, version, **overrides)
     config = entry["config"]
-    scored = write_once(score(model.predict(enforce(rows, data.task))), "scored")
+    scored = _predict_and_score(model, rows, data)
     metrics = _metrics(scored, (split,))
     run_id = store.start_run(
         project, experiment, config["predictor"], config["requires_training"], config["lm_model"], run_id

@@ -80,6 +80,21 @@ def test_invalid_rows_stop_the_job(spark, store, data):
         evaluate(Dataset(data.examples.union(odd), TASK), store, "ok")
 
 
+def test_wrong_rows_are_kept_with_their_text(spark, store, data):
+    texts = {r.example_id: r.symptoms for r in data.examples.collect()}
+    schema = "example_id long, actual string, predicted string, symptoms string, split string"
+    for chosen in (
+        predictor("majority"), predictor("nearest_demo"), predictor("words"), predictor("callable", build=build)
+    ):
+        result = tune(data, chosen, store)
+        folder = f"{store.root}/artifacts/{result.run_id}/disagreements/parquet"
+        kept = {r.example_id: r.symptoms for r in spark.read.schema(schema).parquet(folder).collect()}
+        wrong = {r.example_id for r in result.scored.filter("correct = 0").collect()}
+        assert kept == {i: texts[i] for i in wrong}
+        if "symptoms" in result.scored.columns:
+            assert result.scored.filter("correct = 1 and symptoms is not null").count() == 0
+
+
 def test_caps(store, data):
     result = tune(data, predictor("nearest_demo"), store, train_size=5, val_size=3)
     assert (result.num_train_examples, result.num_val_examples) == (5, 3)
