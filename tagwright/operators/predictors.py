@@ -459,11 +459,13 @@ class CallablePredictor:
 
     def _candidates(self, train: DataFrame, base: Prompt, bootstrapped: Prompt, n: int) -> dict[int, Prompt]:
         """The bootstrapped prompt, then instructions in turn with seeded demonstration sets."""
+        prompts = {1: bootstrapped}
+        if n == 1:
+            return prompts
         wordings = (base.instructions, *self.candidate_instructions)
         sets: dict[int, list] = {}
         for row in demo_ops.demo_sets(train, n - 1, self.max_labeled, self.seed).collect():
             sets.setdefault(row["demo_set_id"], []).append(row)
-        prompts = {1: bootstrapped}
         for c in range(2, n + 1):
             rows = sorted(sets.get(c - 1, []), key=lambda r: r["ord"])
             shown = tuple(Demo(r["symptoms"], r["diagnosis"]) for r in rows)

@@ -139,6 +139,10 @@ def test_search_picks_the_better_instructions(store, data):
     trials = store.spark.read.parquet(f"{store.root}/artifacts/{result.run_id}/trials")
     assert trials.count() == 6
     assert evaluate(data, store, "found", build=build).accuracy == 1.0
+    alone = predictor(
+        "callable", build=build, optimizer="search", auto=None, num_candidates=1, pool_rows=20, max_labeled=0
+    )
+    assert tune(data, alone, store, model_name="alone", val_size=20).num_val_examples == 20
     with pytest.raises(ValueError, match="needs 'build'"):
         evaluate(data, store, "found")
 
