@@ -137,14 +137,14 @@ def _language_part(part: str) -> str:
     return _with(_LANGUAGE) + f"SELECT example_id, symptoms, diagnosis, split FROM language WHERE {part}"
 
 
+_MARKED = """marked AS (SELECT example_id, CASE WHEN symptoms IS NULL THEN 'null_text'
+  WHEN symptoms = '' THEN 'empty_text' WHEN diagnosis IS NULL THEN 'null_label'
+  WHEN diagnosis NOT IN ('clean', 'low quality', 'toxic') THEN 'label_not_in_vocabulary' END AS problem
+  FROM reviewed)"""
+
+
 def _validation() -> str:
-    known = "('clean', 'low quality', 'toxic')"
-    return _with(
-        _VERDICT_LEFT,
-        f"""marked AS (SELECT example_id, CASE WHEN symptoms IS NULL THEN 'null_text' WHEN symptoms = '' THEN 'empty_text'
-  WHEN diagnosis IS NULL THEN 'null_label' WHEN diagnosis NOT IN {known} THEN 'label_not_in_vocabulary' END AS problem
-  FROM reviewed)""",
-    ) + """SELECT count(*) AS total,
+    return _with(_VERDICT_LEFT, _MARKED) + """SELECT count(*) AS total,
   count(*) FILTER (WHERE problem = 'null_text') AS null_text,
   count(*) FILTER (WHERE problem = 'empty_text') AS empty_text,
   count(*) FILTER (WHERE problem = 'null_label') AS null_label,
@@ -294,6 +294,8 @@ FROM (SELECT example_id, ' ' || upper(diagnosis) || chr(9) || chr(10) AS raw_lab
         "label_vocabulary": verdict + """SELECT ord::INT AS ord, label, ord || '. ' || label AS line
 FROM (SELECT label, row_number() OVER (ORDER BY label) AS ord FROM (SELECT DISTINCT diagnosis AS label FROM verdict))""",
         "validation_report": _validation(),
+        "rejected_rows": _with(_VERDICT_LEFT, _MARKED)
+        + "SELECT example_id, problem FROM marked WHERE problem IS NOT NULL",
         "invalid_labels": verdict + """SELECT example_id, diagnosis FROM verdict
 WHERE diagnosis NOT IN ('clean', 'low quality', 'toxic')""",
         "vocab_coverage": """WITH declared AS (SELECT * FROM (VALUES ('en'), ('fr'), ('it')) AS t(label))
@@ -333,6 +335,7 @@ FROM verdict v LEFT JOIN answers a ON a.example_id = v.example_id AND a.split =
         "nearest_demo_rows": _with(_VERDICT, _PARTS, _WORD_SETS, _NEAREST)
         + f"SELECT *, {_CORRECT} AS correct FROM nearest_demo",
         "words_rows": words + scored,
+        "words_rows_by_key": words + scored,
         "accuracy": words + f"SELECT {_BY_SPLIT} FROM ({scored})",
         "accuracy_by_split": words + f"""SELECT split, {_BY_SPLIT},
   count(*) FILTER (WHERE correct = 0) AS disagreements FROM ({scored}) GROUP BY split""",

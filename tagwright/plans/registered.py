@@ -140,6 +140,13 @@ def validation_report(spark, folder):
     return validate.validation_report(tables.verdicts(spark, folder, "left"), task, check_ids=True)
 
 
+@query("rejected_rows")
+def rejected_rows(spark, folder):
+    task = TaskSpec("review", ("clean", "low quality", "toxic"))
+    _, rejected = validate.partition_valid(tables.verdicts(spark, folder, "left"), task)
+    return rejected.select("example_id", "problem")
+
+
 @query("invalid_labels")
 def invalid_labels(spark, folder):
     task = TaskSpec("review", ("clean", "low quality", "toxic"))
@@ -262,6 +269,12 @@ def words_rows(spark, folder):
     return _scored(spark, folder, "words")[1]
 
 
+@query("words_rows_by_key")
+def words_rows_by_key(spark, folder):
+    # As if the weights were too large to broadcast: only frequent words are.
+    return _scored(spark, folder, "words", broadcast_bytes=0)[1]
+
+
 @query("accuracy")
 def accuracy_total(spark, folder):
     return checked(accuracy(_scored(spark, folder)[1]))

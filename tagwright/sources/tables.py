@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagwright.functions.text import experiment_name
 from tagwright.sources.examples import Dataset, hold_out, to_examples
 from tagwright.spec import TaskSpec
 
@@ -101,7 +102,9 @@ def tagged_runs(spark: SparkSession, folder: str) -> DataFrame:
     trainable = F.when(F.col("value") >= 20, "true").otherwise("false")
     return read(spark, folder, "events").select(
         F.concat(F.lit("run-"), F.col("event_id").cast("string")).alias("run_id"),
-        F.concat(F.lit("/events/"), "event_type", F.lit("/user-"), F.col("user_id").cast("string")).alias("experiment"),
+        experiment_name(
+            F.lit("events"), F.col("event_type"), F.concat(F.lit("user-"), F.col("user_id").cast("string"))
+        ).alias("experiment"),
         F.create_map(
             F.lit("system"), F.lit("events"),
             F.lit("project"), F.col("event_type"),
