@@ -82,10 +82,12 @@ def disagreements(scored: DataFrame, examples: DataFrame) -> DataFrame:
 
 def prediction_sample(scored: DataFrame, examples: DataFrame, n: int = 10) -> DataFrame:
     """The first n rows by id with text, label, prediction and correctness."""
-    sample = first_n(scored, n).select("example_id", "actual", "predicted", (F.col("correct") == 1).alias("correct"))
-    texts = _texts_up_to(examples, sample)
-    # The sample has n rows; only then is the hint right.
-    return texts.join(F.broadcast(sample) if n <= SMALL else sample, "example_id")
+    if n <= 0:
+        raise ValueError(f"a sample size must be positive, got {n}")
+    narrow = scored.select("example_id", "actual", "predicted", (F.col("correct") == 1).alias("correct"))
+    # The limit proves the size of what is broadcast, whatever the ids are.
+    sample = F.broadcast(narrow.orderBy("example_id").limit(n)) if n <= SMALL else first_n(narrow, n)
+    return _texts_up_to(examples, sample).join(sample, "example_id")
 
 
 def _texts_up_to(examples: DataFrame, sample: DataFrame) -> DataFrame:
