@@ -147,8 +147,10 @@ SCALE = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 # Words holding at least this share of all occurrences; there can be no more
-# than its reciprocal of them, so their weights always fit a broadcast.
+# than its reciprocal of them, so their weights always fit a broadcast.  Runs of
+# letters longer than any word are left to the join.
 HOT_SHARE = 0.001
+HOT_BYTES = 1024
 
 
 def _millionths(value: Column) -> Column:
@@ -188,6 +190,7 @@ class WordsPredictor:
             tuple(description["priors"]),
             tuple(description["totals"]),
             description["size"],
+            description["word_bytes"],
             self.broadcast_bytes,
         )
 
@@ -201,6 +204,7 @@ class WordsModel:
     priors: tuple[int, ...]
     totals: tuple[int, ...]
     size: int
+    word_bytes: int
     broadcast_bytes: int = BROADCAST_BYTES
 
     @classmethod
@@ -214,6 +218,7 @@ class WordsModel:
                 for i in k
             ],
             F.count(F.lit(1)).alias("size"),
+            F.coalesce(F.sum(F.octet_length("word")), F.lit(0)).alias("word_bytes"),
         ).first()
         return cls(
             counts,
@@ -221,6 +226,7 @@ class WordsModel:
             tuple(summary[f"p{i}"] for i in k),
             tuple(summary[f"t{i}"] for i in k),
             summary["size"],
+            summary["word_bytes"],
             broadcast_bytes,
         )
 
@@ -247,11 +253,11 @@ class WordsModel:
         found = rows.select(*keys, F.explode_outer(words(F.col("symptoms"))).alias("word"))
         # Weights of words outside the training text are null and add nothing.
         sums = [F.coalesce(F.sum(f"w{i}"), F.lit(0)).alias(f"w{i}") for i in k]
-        if self.size * (32 + 8 * len(self.labels)) <= self.broadcast_bytes:
+        if self.word_bytes + self.size * (32 + 8 * len(self.labels)) <= self.broadcast_bytes:
             weighted = found.join(F.broadcast(self._weights(self.counts)), "word", "left")
         else:
             occurrences = sum((F.col(f"n{i}") for i in k), F.lit(0))
-            is_hot = occurrences >= HOT_SHARE * sum(self.totals)
+            is_hot = (occurrences >= HOT_SHARE * sum(self.totals)) & (F.octet_length("word") <= HOT_BYTES)
             hot = F.broadcast(self._weights(self.counts.filter(is_hot)))
             cold = self._weights(self.counts.filter(~is_hot))
             rare = found.join(hot.select("word"), "word", "left_anti").join(cold, "word")
@@ -274,6 +280,7 @@ class WordsModel:
             "priors": self.priors,
             "totals": self.totals,
             "size": self.size,
+            "word_bytes": self.word_bytes,
         }
 
 
