@@ -63,7 +63,8 @@ def prompt_report(prompt: Prompt, demos: DataFrame, train: DataFrame) -> DataFra
     def line(frame: DataFrame, section: str, order, text) -> DataFrame:
         return frame.select(F.lit(section).alias("section"), order.cast("int").alias("ord"), text.alias("text"))
 
-    headings = [(TITLE, 0, TITLE), (INSTRUCTIONS, 0, prompt.instruction_text)]
+    about = f"Task: {prompt.task.name}, style: {prompt.style}"
+    headings = [(TITLE, 0, about), (INSTRUCTIONS, 0, prompt.instruction_text)]
     fixed = small_frame(demos.sparkSession, headings, "section string, ord int, text string")
     count = demos.agg(F.count(F.lit(1)).alias("n"))
     total = line(count, EXAMPLES, F.lit(0), F.concat(F.lit("Total examples: "), F.col("n").cast("string")))

@@ -240,7 +240,7 @@ in_full AS (
 def _report() -> str:
     prompt = Prompt(VERDICT_TASK, "reasoned")
     return _with(_VERDICT, _PARTS, _demo_ids("shown", "labeled:42", 7)) + f"""
-SELECT '{report.TITLE}' AS section, 0 AS ord, '{report.TITLE}' AS text
+SELECT '{report.TITLE}' AS section, 0 AS ord, 'Task: verdict, style: reasoned' AS text
 UNION ALL SELECT '{report.INSTRUCTIONS}', 0, {_quote(prompt.instruction_text)}
 UNION ALL SELECT '{report.EXAMPLES}', 0, 'Total examples: ' || count(*) FROM shown
 UNION ALL SELECT '{report.EXAMPLES}', ord::INT, 'Example ' || ord || ' (labeled): ' || symptoms || ' => ' || diagnosis
