@@ -6,12 +6,15 @@ string alone, so equal strings are always filed under equal seeds, and about one
 position in seventeen is a seed.  A seed with the bytes of its strings is an entry
 of a sparse suffix array, whose order is that of the seeds' hashes.
 
-Documents are cut into runs of such entries and each run is split by seed over the
-cluster.  Every shard takes its runs in the order of doc_id, in batches: a batch is
-sorted, merge-scanned against itself and against each existing level of the index,
-entries that meet on a seed are compared byte by byte, and what is new becomes a
-level; levels of about equal size are merged.  Passages seen before add nothing to
-the index, so a passage of a third of all documents does not fill a task.
+Rows are gathered in pieces, and a piece is known by its number.  First only 32-bit
+seed hashes travel, to the shard of their seed, which answers with one bit for each:
+whether another piece has it too.  Only entries of such seeds travel with their
+bytes, as runs of one piece and shard.  Every shard takes its runs in the order of
+doc_id, in batches: a batch is sorted, merge-scanned against itself and against each
+existing level of the index, entries that meet on a seed are compared byte by byte,
+and what is new becomes a level; levels of about equal size are merged.  Passages
+seen before add nothing to the index, so a passage of a third of all documents does
+not fill a task.
 """
 
 from __future__ import annotations
@@ -22,9 +25,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tagwright.llm.textbytes import (
     PIECE_BYTES,
@@ -32,23 +35,30 @@ from tagwright.llm.textbytes import (
     field_names,
     gram_hashes,
     gram_words,
+    mix,
     pieces,
     ragged,
     sliding_min,
 )
+from tagwright.session import write_once
 
 LENGTH = 50
 SEED = 16
 
 #: Entries that a shard gathers before it scans them against the index.
-BATCH_ENTRIES = 100_000
+BATCH_ENTRIES = 50_000
+#: Bytes of text that are cut into entries at a time; small enough for a processor's cache.
+BLOCK_BYTES = 256 << 10
 
 #: Stands for a null doc_id: smaller than no other.
 _LAST = np.iinfo(np.int64).max
 _POSITION = np.uint64((1 << 22) - 1)
 
+_PIECE = "piece long, ids array<long>, sizes array<int>, nulls array<boolean>, text binary"
+_SEEDS = "shard int, piece long, seeds binary"
+_MARKS = "piece long, shard int, n int, marks binary"
 _RUN = "shard int, first_id long, last_id long, run binary"
-_SPAN = "row_id long, row_hash long, start long, end long"
+_SPAN = "piece long, spans binary"
 _DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -81,86 +91,181 @@ def _packed(columns: dict[str, pa.Array]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _cut_runs(shards: int, length: int) -> Callable:
+def _gather(batches: Iterator[pa.RecordBatch], extra: list[str]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows as pieces of about ``PIECE_BYTES``, their texts packed together."""
+    pack = zstandard.ZstdCompressor(level=1)
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        data, offsets = column_bytes(batch["text"])
+        null = batch["text"].is_null().to_numpy(zero_copy_only=False)
+        first = 0
+        while first < batch.num_rows:
+            end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE_BYTES, "right")) - 1)
+            columns = [
+                pa.array([number], pa.int64()),
+                _one_list(batch["row_id"].slice(first, end - first)),
+                _one_list(pa.array(np.diff(offsets[first : end + 1]).astype(np.int32))),
+                _one_list(pa.array(null[first:end])),
+                pa.array([pack.compress(np.ascontiguousarray(data[offsets[first] : offsets[end]]))], pa.binary()),
+                *[_one_list(batch[c].slice(first, end - first)) for c in extra],
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[*field_names(_PIECE), *extra])
+            first, number = end, number + 1
+
+
+def _one_list(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+class _Piece:
+    """A piece's entries: seed, row, place in the row's bytes and the bytes of each."""
+
+    def __init__(self, text: bytes, sizes: np.ndarray, length: int, shards: int):
+        self.data = np.frombuffer(zstandard.decompress(text), np.uint8)
+        self.length = length
+        offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        seeds, begin, last, row = [], [], [], []
+        for first, end, low, high in pieces(offsets, BLOCK_BYTES, length - 1):
+            starts = np.append(np.maximum(offsets[first:end], low) - low, high - low)
+            found, at, to = _entries(self.data[low:high], starts, length)
+            seeds.append(found), begin.append(at + low), last.append(to + low)
+            row.append(first + np.searchsorted(starts, at, side="right") - 1)
+        if not seeds:
+            seeds, begin, last, row = [np.zeros(0, np.uint64)], *[[np.zeros(0, np.int64)]] * 3
+        self.seed, self.begin = np.concatenate(seeds), np.concatenate(begin)
+        self.last, self.row = np.concatenate(last), np.concatenate(row)
+        self.start = self.begin - offsets[self.row]
+        shard = (self.seed >> np.uint64(8) & np.uint64(0xFFFFFF)) % np.uint64(shards)
+        # A seed's place: its shard, then 32 bits that are independent of the shard.
+        place = shard << np.uint64(32) | mix(self.seed.copy()) >> np.uint64(32)
+        self.places, self.of = np.unique(place, return_inverse=True)
+
+    def shards(self) -> tuple[np.ndarray, np.ndarray]:
+        """The shards met, and where the places of each begin."""
+        return np.unique(self.places >> np.uint64(32), return_index=True)
+
+    def met_inside(self) -> np.ndarray:
+        """Of each place, whether several rows of the piece have it."""
+        lowest = np.full(len(self.places), np.iinfo(np.int64).max)
+        highest = np.full(len(self.places), -1)
+        np.minimum.at(lowest, self.of, self.row)
+        np.maximum.at(highest, self.of, self.row)
+        return lowest < highest
+
+
+def _cut_seeds(shards: int, length: int) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            data, offsets = column_bytes(batch["text"])
-            ids = batch["row_id"].fill_null(_LAST).to_numpy(zero_copy_only=False)
-            hashes = batch["row_hash"].to_numpy(zero_copy_only=False)
-            for first, end, low, high in pieces(offsets, PIECE_BYTES, length - 1):
-                if high - low < length:
-                    continue
-                piece = data[low:high]
-                starts = np.append(np.maximum(offsets[first:end], low) - low, high - low)
-                seeds, begin, last = _entries(piece, starts, length)
-                if not len(seeds):
-                    continue
-                shard = ((seeds ^ (seeds >> np.uint64(17))) & np.uint64(0xFFFFFF)) % np.uint64(shards)
-                order = np.argsort(shard, kind="stable")
-                shard, seeds, begin, last = shard[order], seeds[order], begin[order], last[order]
-                sizes = last - begin + length
-                content = piece[ragged(begin, sizes)]
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                row = first + np.searchsorted(starts, begin, side="right") - 1
-                inside = begin + low - offsets[row]
-                cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-                out = []
-                for a, b in zip(cuts[:-1], cuts[1:]):
-                    held = ids[row[a:b]]
-                    text = pa.Array.from_buffers(
-                        pa.binary(),
-                        b - a,
-                        [None, pa.py_buffer(ends[a : b + 1] - ends[a]), pa.py_buffer(content[ends[a] : ends[b]])],
-                    )
-                    run = _packed(
-                        {
-                            "seed": pa.array(seeds[a:b]),
-                            "row_id": pa.array(held),
-                            "row_hash": pa.array(hashes[row[a:b]]),
-                            "start": pa.array(inside[a:b]),
-                            "text": text,
-                        }
-                    )
-                    out.append((int(shard[a]), int(held.min()), int(held.max()), run))
+            for number, sizes, text in zip(batch["piece"].to_pylist(), batch["sizes"], batch["text"]):
+                piece = _Piece(text.as_py(), sizes.values.to_numpy(), length, shards)
+                met, first = piece.shards()
+                parts = np.split((piece.places & np.uint64(0xFFFFFFFF)).astype(np.uint32), first[1:])
+                packed = [pack.compress(np.diff(p, prepend=np.uint32(0)).tobytes()) for p in parts[: len(met)]]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r[0] for r in out], pa.int32()),
-                        pa.array([r[1] for r in out], pa.int64()),
-                        pa.array([r[2] for r in out], pa.int64()),
-                        pa.array([r[3] for r in out], pa.binary()),
-                    ],
-                    names=field_names(_RUN),
+                    [pa.array(met.astype(np.int32)), pa.array(np.full(len(met), number)), pa.array(packed, pa.binary())],
+                    names=field_names(_SEEDS),
                 )
 
     return cut
 
 
+def _mark_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each seed in a run, whether another piece has it; runs come sorted by shard."""
+
+    def marked(shard: int, runs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        seeds = [np.cumsum(np.frombuffer(zstandard.decompress(r), np.uint32), dtype=np.uint32) for _, r in runs]
+        sizes = [len(s) for s in seeds]
+        _, of, times = np.unique(np.concatenate(seeds), return_inverse=True, return_counts=True)
+        bits = np.split(times[of] > 1, np.cumsum(sizes)[:-1])
+        columns = [[p for p, _ in runs], [shard] * len(runs), sizes, [np.packbits(b).tobytes() for b in bits]]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=field_names(_MARKS))
+
+    held: list[tuple[int, bytes]] = []
+    at = None
+    for batch in batches:
+        for shard, piece, run in zip(*[batch[c].to_pylist() for c in ("shard", "piece", "seeds")]):
+            if shard != at and held:
+                yield marked(at, held)
+                held = []
+            at = shard
+            held.append((piece, run))
+    if held:
+        yield marked(at, held)
+
+
+def _cut_runs(shards: int, length: int) -> Callable:
+    def runs_of(number: int, ids: np.ndarray, piece: _Piece, marks: list[dict]) -> pa.RecordBatch | None:
+        answers = [np.unpackbits(np.frombuffer(m["marks"], np.uint8), count=m["n"]) for m in sorted(marks, key=_shard)]
+        shared = np.concatenate(answers).astype(bool) | piece.met_inside()
+        at = np.flatnonzero(shared[piece.of])
+        if not len(at):
+            return None
+        shard = (piece.places >> np.uint64(32))[piece.of[at]].astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        shard, at = shard[order], at[order]
+        out = []
+        for part in np.split(at, np.flatnonzero(shard[1:] != shard[:-1]) + 1):
+            sizes = piece.last[part] - piece.begin[part] + length
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            content = piece.data[ragged(piece.begin[part], sizes)]
+            text = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(content)])
+            held = ids[piece.row[part]]
+            run = {
+                "seed": pa.array(piece.seed[part]),
+                "row_id": pa.array(held),
+                "piece": pa.array(np.full(len(part), number)),
+                "row": pa.array(piece.row[part].astype(np.int32)),
+                "start": pa.array(piece.start[part]),
+                "text": text,
+            }
+            out.append((int(held.min()), int(held.max()), _packed(run)))
+        columns = [np.unique(shard).tolist(), *map(list, zip(*out))]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=field_names(_RUN))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, number in enumerate(batch["piece"].to_pylist()):
+                ids = batch["ids"][i].values.fill_null(_LAST).to_numpy()
+                piece = _Piece(batch["text"][i].as_py(), batch["sizes"][i].values.to_numpy(), length, shards)
+                runs = runs_of(number, ids, piece, batch["answers"][i].as_py())
+                if runs is not None:
+                    yield runs
+
+    return cut
+
+
+def _shard(mark: dict) -> int:
+    return mark["shard"]
+
+
 class _Entries:
-    """Entries sorted by seed: seed, row and place of each, and the bytes of its strings."""
+    """Entries sorted by seed: seed, document, piece, row and place of each, and the bytes of its strings."""
+
+    FLAT = ("seed", "row_id", "piece", "row", "start")
 
-    def __init__(self, seed, row_id, row_hash, start, ends, text):
-        self.seed, self.row_id, self.row_hash, self.start, self.ends, self.text = (
-            seed, row_id, row_hash, start, ends, text,
-        )
+    def __init__(self, flat: dict[str, np.ndarray], ends: np.ndarray, text: np.ndarray):
+        self.flat, self.ends, self.text = flat, ends, text
+        self.seed, self.row_id = flat["seed"], flat["row_id"]
 
     @classmethod
     def read(cls, runs: list[bytes]) -> _Entries:
         table = pa.concat_tables([pa.ipc.open_stream(run).read_all() for run in runs]).combine_chunks()
         text, ends = column_bytes(table["text"].cast(pa.large_binary()))
-        return cls(*[table[c].to_numpy() for c in ("seed", "row_id", "row_hash", "start")], ends, text)
+        return cls({c: table[c].to_numpy() for c in cls.FLAT}, ends, text)
 
     def take(self, at: np.ndarray) -> _Entries:
         sizes = self.ends[at + 1] - self.ends[at]
         text = self.text[ragged(self.ends[at], sizes)]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        return _Entries(self.seed[at], self.row_id[at], self.row_hash[at], self.start[at], ends, text)
+        return _Entries({c: v[at] for c, v in self.flat.items()}, np.concatenate([[0], np.cumsum(sizes)]), text)
 
     def with_(self, other: _Entries) -> _Entries:
-        both = [
-            np.concatenate([getattr(self, c), getattr(other, c)]) for c in ("seed", "row_id", "row_hash", "start")
-        ]
         return _Entries(
-            *both, np.concatenate([self.ends, other.ends[1:] + self.ends[-1]]), np.concatenate([self.text, other.text])
+            {c: np.concatenate([v, other.flat[c]]) for c, v in self.flat.items()},
+            np.concatenate([self.ends, other.ends[1:] + self.ends[-1]]),
+            np.concatenate([self.text, other.text]),
         )
 
     def __len__(self):
@@ -244,18 +349,15 @@ class IndexFamily:
 
 
 def _scan_runs(length: int, batch_entries: int) -> Callable:
-    def spans(family: IndexFamily, runs: list[bytes]) -> pa.RecordBatch:
+    def spans(family: IndexFamily, runs: list[bytes]) -> Iterator[pa.RecordBatch]:
         batch, at, begin, last = family.add(_Entries.read(runs))
-        ids = batch.row_id[at]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids, mask=ids == _LAST),
-                pa.array(batch.row_hash[at]),
-                pa.array(batch.start[at] + begin),
-                pa.array(batch.start[at] + last + length),
-            ],
-            names=field_names(_SPAN),
-        )
+        order = np.argsort(batch.flat["piece"][at], kind="stable")
+        at, begin, last = at[order], begin[order], last[order]
+        found = {c: batch.flat[c][at] for c in ("piece", "row", "start")}
+        ranges = np.stack([found["row"], found["start"] + begin, found["start"] + last + length], axis=1)
+        number, first = np.unique(found["piece"], return_index=True)
+        parts = [p.astype(np.int64).tobytes() for p in np.split(ranges, first[1:])][: len(number)]
+        yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(parts, pa.binary())], names=field_names(_SPAN))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, held, size, reach = IndexFamily(length), [], 0, -1
@@ -263,129 +365,120 @@ def _scan_runs(length: int, batch_entries: int) -> Callable:
             for first, last, run in zip(*[batch[c].to_pylist() for c in ("first_id", "last_id", "run")]):
                 # Documents before all that follow are scanned; runs that overlap in doc_id stay together.
                 if size >= batch_entries and first > reach:
-                    yield spans(family, held)
+                    yield from spans(family, held)
                     held, size = [], 0
                 held.append(run)
                 size += pa.ipc.open_stream(run).read_next_batch().num_rows
                 reach = max(reach, last)
         if held:
-            yield spans(family, held)
+            yield from spans(family, held)
 
     return scan
 
 
-def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    return docs.select(
-        F.col("doc_id").cast("long").alias("row_id"), F.xxhash64("text").alias("row_hash"), "text", *columns
-    )
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, batch_entries: int = BATCH_ENTRIES) -> DataFrame:
-    """Byte ranges ``[start, end)`` that repeat a string of ``length`` bytes of a smaller doc_id.
+def _with_spans(docs: DataFrame, length: int, batch_entries: int) -> DataFrame:
+    """Pieces of the documents, the packed byte ranges found in each, and all other columns of ``docs``.
 
-    A row is known by its doc_id and the hash of its text.  A null text has no
-    bytes.  A null doc_id counts as the largest: it makes no other document
-    lose bytes.  Rows with one doc_id do not make each other lose bytes.  Ranges
-    of one row may touch or overlap.
+    Rows are told apart by piece and place, so ids may be null or repeated.
     """
     if not 2 * SEED <= length <= 1 << 16:
         raise ValueError(f"a length between {2 * SEED} and 65536 is needed, got {length}")
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = _keyed(docs).filter(F.octet_length("text") >= length)
-    runs = keyed.mapInArrow(_cut_runs(shards, length), _RUN)
+    extra = [c for c in docs.columns if c not in ("row_id", "text")]
+    schema = ", ".join([_PIECE, *[f"{c} array<{docs.schema[c].dataType.simpleString()}>" for c in extra]])
+    gathered = write_once(docs.mapInArrow(lambda batches: _gather(batches, extra), schema), "pieces")
+
+    seeds = gathered.select("piece", "sizes", "text").mapInArrow(_cut_seeds(shards, length), _SEEDS)
+    marks = seeds.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(_mark_shared, _MARKS)
+    answers = marks.groupBy(F.col("piece").alias("marked")).agg(
+        F.collect_list(F.struct("shard", "n", "marks")).alias("answers")
+    )
+    asked = gathered.join(answers, F.col("piece") == F.col("marked"))
+    runs = asked.select("piece", "ids", "sizes", "text", "answers").mapInArrow(_cut_runs(shards, length), _RUN)
     sorted_runs = runs.repartitionById(shards, "shard").sortWithinPartitions("first_id", "last_id")
-    return sorted_runs.select("first_id", "last_id", "run").mapInArrow(_scan_runs(length, batch_entries), _SPAN)
-
+    spans = sorted_runs.select("first_id", "last_id", "run").mapInArrow(_scan_runs(length, batch_entries), _SPAN)
+    spans = write_once(spans, "spans")
+    per_piece = spans.groupBy(F.col("piece").alias("spanned")).agg(F.collect_list("spans").alias("spans"))
+    return gathered.join(per_piece, F.col("piece") == F.col("spanned"), "left")
+
+
+def _cuts(text: bytes, sizes: np.ndarray, spans: list[bytes] | None) -> Iterator[tuple[bytes, int, int]]:
+    """Of each row of a piece: what stays of its text, the bytes removed, and the number of ranges."""
+    raw = zstandard.decompress(text)
+    ranges = np.frombuffer(b"".join(spans or ()), np.int64).reshape(-1, 3)
+    ranges = ranges[np.lexsort((ranges[:, 1], ranges[:, 0]))]
+    cuts = np.searchsorted(ranges[:, 0], np.arange(len(sizes) + 1))
+    at = 0
+    for row, size in enumerate(sizes.tolist()):
+        merged: list[list[int]] = []
+        for _, start, end in ranges[cuts[row] : cuts[row + 1]].tolist():
+            if merged and start <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], end)
+            else:
+                merged.append([start, end])
+        edges = [0, *[edge for pair in merged for edge in pair], size]
+        kept = b"".join(raw[at + a : at + b] for a, b in zip(edges[::2], edges[1::2]))
+        yield kept, size - len(kept), len(merged)
+        at += size
+
+
+def dedup_digest(docs: DataFrame, length: int = LENGTH, batch_entries: int = BATCH_ENTRIES) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256.
+
+    A byte goes if a string of ``length`` bytes that covers it starts in a document
+    with a smaller doc_id as well.  A null text has no bytes.  A null doc_id counts
+    as the largest and makes no other document lose bytes; rows with one doc_id do
+    not make each other lose bytes.
+    """
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        texts = batch["text"].cast(pa.binary()).to_pylist()
-        packed = pa.array([None if t is None else pack.compress(t) for t in texts], pa.binary())
-        columns = [packed if name == "text" else batch[name] for name in batch.schema.names]
-        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-
-def _merged(spans: list | None) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for start, end in sorted((s["start"], s["end"]) for s in spans or ()):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], end))
-        else:
-            out.append((start, end))
-    return out
-
-
-def _cuts(text: bytes | None, spans: list | None) -> tuple[bytes, int, int]:
-    """What stays of a text, the bytes removed, and the number of ranges."""
-    raw = zstandard.decompress(text) if text is not None else b""
-    kept, at, ranges = [], 0, _merged(spans)
-    for start, end in ranges:
-        kept.append(raw[at:start])
-        at = end
-    kept.append(raw[at:])
-    return b"".join(kept), sum(end - start for start, end in ranges), len(ranges)
-
-
-def _with_spans(docs: DataFrame, spans: DataFrame, *columns: str) -> DataFrame:
-    """Documents with packed texts, and the ranges found in each."""
-    keyed = _keyed(docs, *columns)
-    schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in keyed.schema])
-    packed = keyed.mapInArrow(_pack, schema)
-    per_row = spans.groupBy(F.col("row_id").alias("span_id"), F.col("row_hash").alias("span_hash")).agg(
-        F.collect_set(F.struct("start", "end")).alias("spans")
-    )
-    found = F.col("row_id").eqNullSafe(F.col("span_id")) & (F.col("row_hash") == F.col("span_hash"))
-    return packed.join(per_row, found, "left").drop("span_id", "span_hash")
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, sizes, text, spans in zip(*[batch[c] for c in ("ids", "sizes", "text", "spans")]):
+                done = list(_cuts(text.as_py(), sizes.values.to_numpy(), spans.as_py()))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.values,
+                        pa.array([len(kept) + removed for kept, removed, _ in done], pa.int64()),
+                        pa.array([removed for _, removed, _ in done], pa.int64()),
+                        pa.array([n for *_, n in done], pa.int64()),
+                        pa.array([hashlib.sha256(kept).hexdigest() for kept, *_ in done], pa.string()),
+                    ],
+                    names=field_names(_DIGEST),
+                )
 
+    keyed = docs.select(F.col("doc_id").cast("long").alias("row_id"), "text")
+    joined = _with_spans(keyed, length, batch_entries)
+    return joined.select("ids", "sizes", "text", "spans").mapInArrow(digest, _DIGEST)
 
-def dedup_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256."""
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [_cuts(*row) for row in zip(batch["text"].to_pylist(), batch["spans"].to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["row_id"],
-                    pa.array([len(kept) + removed for kept, removed, _ in done], pa.int64()),
-                    pa.array([removed for _, removed, _ in done], pa.int64()),
-                    pa.array([n for *_, n in done], pa.int64()),
-                    pa.array([hashlib.sha256(kept).hexdigest() for kept, *_ in done], pa.string()),
-                ],
-                names=field_names(_DIGEST),
-            )
-
-    joined = _with_spans(docs, repeated_spans(docs, length))
-    return joined.select("row_id", "text", "spans").mapInArrow(digest, _DIGEST)
-
-
-def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, batch_entries: int = BATCH_ENTRIES) -> DataFrame:
     """The documents without their repeated bytes, in the columns of ``docs``.
 
     A character of which a byte was removed goes as a whole, n_chars (if there)
     is counted anew, and a document that loses all of its text is dropped.  Null
-    and empty texts stay.
+    and empty texts stay.  Nulls and repeats of doc_id as in ``dedup_digest``.
     """
     names = docs.columns
     carried = [f"_{i}" for i in range(len(names))]
-    renamed = docs.select("doc_id", "text", *[F.col(f"`{n}`").alias(c) for n, c in zip(names, carried) if n != "text"])
     rest = [c for n, c in zip(names, carried) if n != "text"]
+    renamed = docs.select(
+        F.col("doc_id").cast("long").alias("row_id"), "text", *[F.col(f"`{n}`").alias(c) for n, c in zip(names, carried) if n != "text"]
+    )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                (None if t is None else _cuts(t, s)[0].decode("utf-8", "ignore"))
-                for t, s in zip(batch["text"].to_pylist(), batch["spans"].to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, pa.string()), pa.array([bool(s) for s in batch["spans"].to_pylist()]), *[batch[c] for c in rest]],
-                names=["text", "cut", *rest],
-            )
-
-    joined = _with_spans(renamed, repeated_spans(docs, length), *rest).select("text", "spans", *rest)
-    schema = T.StructType(
-        [T.StructField("text", T.StringType()), T.StructField("cut", T.BooleanType())] + [joined.schema[c] for c in rest]
+            for i in range(batch.num_rows):
+                done = list(_cuts(batch["text"][i].as_py(), batch["sizes"][i].values.to_numpy(), batch["spans"][i].as_py()))
+                null = batch["nulls"][i].as_py()
+                texts = [None if n else kept.decode("utf-8", "ignore") for n, (kept, *_) in zip(null, done)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(texts, pa.string()), pa.array([r > 0 for _, r, _ in done]), *[batch[c][i].values for c in rest]],
+                    names=["text", "cut", *rest],
+                )
+
+    joined = _with_spans(renamed, length, batch_entries).select("sizes", "nulls", "text", "spans", *rest)
+    schema = ", ".join(
+        ["text string, cut boolean", *[f"{c} {renamed.schema[c].dataType.simpleString()}" for c in rest]]
     )
     left = joined.mapInArrow(cut, schema).filter(~F.col("cut") | (F.col("text") != ""))
     if "n_chars" in names:

@@ -10,6 +10,9 @@ import pyarrow as pa
 #: Bytes of text that one piece holds at most.
 PIECE_BYTES = 2 << 20
 
+#: Bytes of one text that are split into words at a time.
+WORD_BYTES = 4 << 20
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -110,3 +113,17 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 def field_names(ddl: str) -> list[str]:
     """Names of the flat columns of a DDL string."""
     return [field.split()[0] for field in ddl.split(",")]
+
+
+def parts_between_words(data: bytes) -> Iterator[bytes]:
+    """A long text in parts that end between words."""
+    at = 0
+    while len(data) - at > WORD_BYTES:
+        end = at + WORD_BYTES
+        ends = [e for e in (data.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f")) if e > at]
+        if not ends:  # one word fills the part
+            ends = [e for e in (data.find(c, end) for c in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f")) if e >= 0]
+            ends = [min(ends)] if ends else [len(data)]
+        yield data[at : max(ends)]
+        at = max(ends)
+    yield data[at:]
