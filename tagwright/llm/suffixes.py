@@ -46,7 +46,7 @@ LENGTH = 50
 SEED = 16
 
 #: Entries that a shard gathers before it scans them against the index.
-BATCH_ENTRIES = 50_000
+BATCH_ENTRIES = 25_000
 #: Bytes of text that are cut into entries at a time; small enough for a processor's cache.
 BLOCK_BYTES = 256 << 10
 
@@ -86,7 +86,7 @@ def _entries(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndar
 def _packed(columns: dict[str, pa.Array]) -> bytes:
     batch = pa.RecordBatch.from_pydict(columns)
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -321,18 +321,25 @@ class IndexFamily:
         strings = sizes - self.length + 1
         place = ragged(entries.ends[:-1], strings)
         owner = np.repeat(np.arange(len(entries)), strings)
-        words = [w[place] for w in gram_words(entries.text, self.length)]
+        words = gram_words(entries.text, self.length)
         key = gram_hashes(entries.text, self.length)[place]
         order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        equal = np.ones(len(order) - 1, bool)
-        for w in words:
-            equal &= w[order][1:] == w[order][:-1]
-        if (same & ~equal).any():  # two strings with one hash: order by the bytes
-            order = np.lexsort(words)
-            equal = np.ones(len(order) - 1, bool)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        del key
+
+        def equal_to_next() -> np.ndarray:
+            at = place[order]
+            out = np.ones(len(at) - 1, bool)
             for w in words:
-                equal &= w[order][1:] == w[order][:-1]
+                found = w[at]
+                out &= found[1:] == found[:-1]
+            return out
+
+        equal = equal_to_next()
+        if (same & ~equal).any():  # two strings with one hash: order by the bytes
+            order = np.lexsort([w[place] for w in words])
+            equal = equal_to_next()
         group = np.flatnonzero(np.concatenate([[True], ~equal]))
         smallest = np.minimum.reduceat(entries.row_id[owner[order]], group)
         first_id = np.empty(len(order), np.int64)
@@ -387,6 +394,8 @@ def _with_spans(docs: DataFrame, length: int, batch_entries: int) -> DataFrame:
     extra = [c for c in docs.columns if c not in ("row_id", "text")]
     schema = ", ".join([_PIECE, *[f"{c} array<{docs.schema[c].dataType.simpleString()}>" for c in extra]])
     gathered = write_once(docs.mapInArrow(lambda batches: _gather(batches, extra), schema), "pieces")
+    # Spelled out, as the inner join would add it for itself alone and so read another exchange.
+    gathered = gathered.filter(F.col("piece").isNotNull())
 
     seeds = gathered.select("piece", "sizes", "text").mapInArrow(_cut_seeds(shards, length), _SEEDS)
     marks = seeds.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(_mark_shared, _MARKS)
@@ -394,10 +403,10 @@ def _with_spans(docs: DataFrame, length: int, batch_entries: int) -> DataFrame:
         F.collect_list(F.struct("shard", "n", "marks")).alias("answers")
     )
     asked = gathered.join(answers, F.col("piece") == F.col("marked"))
-    runs = asked.select("piece", "ids", "sizes", "text", "answers").mapInArrow(_cut_runs(shards, length), _RUN)
+    # With all columns of the pieces, so that both joins share one exchange of them.
+    runs = asked.select(*gathered.columns, "answers").mapInArrow(_cut_runs(shards, length), _RUN)
     sorted_runs = runs.repartitionById(shards, "shard").sortWithinPartitions("first_id", "last_id")
     spans = sorted_runs.select("first_id", "last_id", "run").mapInArrow(_scan_runs(length, batch_entries), _SPAN)
-    spans = write_once(spans, "spans")
     per_piece = spans.groupBy(F.col("piece").alias("spanned")).agg(F.collect_list("spans").alias("spans"))
     return gathered.join(per_piece, F.col("piece") == F.col("spanned"), "left")
 
@@ -448,7 +457,7 @@ def dedup_digest(docs: DataFrame, length: int = LENGTH, batch_entries: int = BAT
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("row_id"), "text")
     joined = _with_spans(keyed, length, batch_entries)
-    return joined.select("ids", "sizes", "text", "spans").mapInArrow(digest, _DIGEST)
+    return joined.mapInArrow(digest, _DIGEST)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, batch_entries: int = BATCH_ENTRIES) -> DataFrame:
@@ -476,7 +485,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, batch_entries: int = BATCH_ENTR
                     names=["text", "cut", *rest],
                 )
 
-    joined = _with_spans(renamed, length, batch_entries).select("sizes", "nulls", "text", "spans", *rest)
+    joined = _with_spans(renamed, length, batch_entries)
     schema = ", ".join(
         ["text string, cut boolean", *[f"{c} {renamed.schema[c].dataType.simpleString()}" for c in rest]]
     )
