@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagwright.llm import suffixes
+from tagwright.llm import (
+    licenses,
+    mixing,
+    quality,
+    rules,
+    sentencepieces,
+    sharding,
+    simhash,
+    suffixes,
+    urls,
+    vectors,
+)
 from tagwright.sources.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +44,51 @@ def statements() -> dict[str, str]:
     return dict(_statements)
 
 
+@query("op1_quality_classifier")
+def quality_classifier(spark, folder):
+    return quality.digest(read(spark, folder, "documents"))
+
+
+@query("op2_url_filters", urls.sql())
+def url_filters(spark, folder):
+    return urls.digest(read(spark, folder, "pages"))
+
+
+@query("op3_sentencepiece")
+def sentencepiece(spark, folder):
+    return sentencepieces.digest(read(spark, folder, "documents"))
+
+
+@query("op4_license_scans")
+def license_scans(spark, folder):
+    return licenses.scanned(read(spark, folder, "documents"))
+
+
+@query("op5_embedding_near_dedup", vectors.SQL)
+def embedding_near_dedup(spark, folder):
+    return vectors.near_duplicates(read(spark, folder, "embeddings"))
+
+
+@query("op6_quality_rules", rules.SQL)
+def quality_rules(spark, folder):
+    return rules.digest(read(spark, folder, "documents"))
+
+
+@query("op7_simhash_near_dedup")
+def simhash_near_dedup(spark, folder):
+    return simhash.digest(read(spark, folder, "documents"))
+
+
 @query("op8_suffix_array_dedup")
 def suffix_array_dedup(spark, folder):
     return suffixes.dedup_digest(read(spark, folder, "documents"))
+
+
+@query("op9_mixing")
+def mixing_to_targets(spark, folder):
+    return mixing.digest(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query("op10_sharding")
+def sharding_by_bytes(spark, folder):
+    return sharding.digest(read(spark, folder, "documents"))

@@ -9,7 +9,6 @@ Texts are encoded in batches by the library's threads.  Parity with the
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import struct
@@ -18,7 +17,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,30 +165,43 @@ def _splits(model: Model) -> bool:
     )
 
 
+class Rebuilt(NamedTuple):
+    """What travels to the tasks: the model file's bytes, the tokenizer as text, and the kinds of its pieces."""
+
+    data: bytes
+    tokenizer: str
+    chunked: bool
+    is_byte: np.ndarray
+    is_unknown: np.ndarray
+
+    @classmethod
+    def read(cls, data: bytes) -> Rebuilt:
+        model = parse(data)
+        # Chunks can be encoded alone where the normaliser only marks blanks.
+        chunked = _splits(model) and not model.charsmap and not model.trim and model.dummy_prefix
+        kinds = np.array([p.kind for p in model.pieces])
+        return cls(data, rebuild(model).to_str(), chunked, kinds == BYTE, kinds == UNKNOWN)
+
+
 class Codec:
     """Encodes and decodes batches of texts with one model."""
 
-    def __init__(self, data: bytes, threads: int = THREADS):
+    def __init__(self, rebuilt: Rebuilt, threads: int = THREADS):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         import sentencepiece
+        from tokenizers import Tokenizer, normalizers
 
-        self.model = parse(data)
-        self.tokenizer = rebuild(self.model)
-        self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
-        # Chunks can be encoded alone where the normaliser only marks blanks.
-        self.chunked = _splits(self.model) and not self.model.charsmap and not self.model.trim and self.model.dummy_prefix
+        self.tokenizer = Tokenizer.from_str(rebuilt.tokenizer)
+        self.reference = sentencepiece.SentencePieceProcessor(model_proto=rebuilt.data)
+        self.chunked = rebuilt.chunked
         if self.chunked:
-            from tokenizers import normalizers
-
-            self.core = rebuild(self.model)
+            self.core = Tokenizer.from_str(rebuilt.tokenizer)
             self.core.normalizer = normalizers.Replace(" ", MARK)
         self.known: dict[str, int] = {}
         self.ids: list[list[int]] = []
         self.parity: list[bool] = []
-        pieces = self.model.pieces
-        self.is_byte = np.array([p.kind == BYTE for p in pieces])
-        self.is_unknown = np.array([p.kind == UNKNOWN for p in pieces])
+        self.is_byte, self.is_unknown = rebuilt.is_byte, rebuilt.is_unknown
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode chunks not met before, by threads, and compare them with the reference."""
@@ -227,16 +238,9 @@ class Codec:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
-@functools.lru_cache(maxsize=2)
-def _codec(name: str) -> Codec:
-    with open(SparkFiles.get(name), "rb") as file:
-        return Codec(file.read())
-
-
-def _ship(spark, path: str) -> str:
-    """Send the model file (a few hundred kilobytes) to every executor; its name there."""
-    spark.sparkContext.addFile(path)
-    return os.path.basename(path)
+def _read(path: str) -> Rebuilt:
+    with open(path, "rb") as file:
+        return Rebuilt.read(file.read())
 
 
 def _slices(lengths: list[int], limit: int) -> Iterator[tuple[int, int]]:
@@ -257,9 +261,9 @@ _CHARS = 2 << 20
 _ENCODED = "ids array<int>, n_tokens int, n_byte_tokens int, n_unknown int, parity boolean, decoded string"
 
 
-def _encode(name: str, carried: list[str]) -> Callable:
+def _encode(rebuilt: Rebuilt, carried: list[str]) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(name)
+        codec = Codec(rebuilt)
         for batch in batches:
             texts = [t or "" for t in batch["text"].to_pylist()]
             for start, end in _slices([len(t) for t in texts], _CHARS):
@@ -291,18 +295,17 @@ def encoded(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     pieces in a text are ordinary text.  Ids of bytes that do not form characters
     decode to replacement characters.
     """
-    name = _ship(docs.sparkSession, model_path)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(_encode(name, ["doc_id"]), f"doc_id long, {_ENCODED}")
+    return texts.mapInArrow(_encode(_read(model_path), ["doc_id"]), f"doc_id long, {_ENCODED}")
 
 
 def digest(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     """Per document: doc_id, ids, counts, parity, and whether decoding gives the text again."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    name = _ship(docs.sparkSession, model_path)
+    encode = _encode(_read(model_path), ["doc_id", "text"])
 
     def round_trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for done in _encode(name, ["doc_id", "text"])(batches):
+        for done in encode(batches):
             same = [(t or "") == d for t, d in zip(done["text"].to_pylist(), done["decoded"].to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [done[c] for c in ("doc_id", "ids", "n_tokens", "n_byte_tokens", "n_unknown", "parity")]
