@@ -4,17 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagwright.llm import suffixes
+from tagwright.llm import mixing, quality, sentencepieces, simhash, suffixes
 from tagwright.session import write_once
 
+#: Domain weights of the mixture; clean tokens stay as many as they are.
+WEIGHTS = {"clean": 0.97, "low": 0.005, "toxic": 0.025}
+
+
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly labelled classifier rejects go."""
+    return quality.keep_good(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose fingerprints are linked by 2 bits or fewer, the one with the smallest doc_id stays."""
+    return simhash.first_of_each(docs)
+
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 50 bytes and more that occur in a document with a smaller doc_id."""
     return suffixes.dedup(docs)
 
 
+def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Thin out domains with more tokens than their weight, by rates that the posteriors imply."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return mixing.sampled(docs, labels, WEIGHTS, keep="clean")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with parity and round trip."""
+    return sentencepieces.digest(docs)
+
+
 STAGES = [
+    ("quality classifier", reject_low_quality),
+    ("simhash near-dedup", drop_near_copies),
     ("suffix-array dedup", remove_repeats),
+    ("mixing to weights", mix_domains),
+    ("sentencepiece", encode),
 ]
 
 #: Expectation maximisation, trained scorers and tokenizers are beyond SQL.
@@ -22,6 +50,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; every other stage is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = write_once(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -239,5 +239,6 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def sampled(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], keep: str) -> DataFrame:
     """The documents at their rates without repeats (a rate of 1 at most), in the columns of ``docs``."""
-    done = mixed(docs, labels, targets, max_rate=1.0, keep=keep).filter("mix_copies > 0")
-    return done.select(*[F.col(f"`{n}`") for n in docs.columns])
+    carried = [F.col(f"`{n}`").alias(f"_{i}") for i, n in enumerate(docs.columns)]
+    done = mixed(docs.select("doc_id", "text", *carried), labels, targets, max_rate=1.0, keep=keep)
+    return done.filter("mix_copies > 0").select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(docs.columns)])

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from itertools import product
 from operator import eq
 from typing import NamedTuple
 
@@ -44,6 +43,8 @@ THRESHOLD = 0.5
 
 _GRAM = 5
 _SYMBOLS = b"#*$%&|<>"
+_SYMBOL_WORDS = [bytes([c]) for c in _SYMBOLS]
+_BEYOND = bytes(range(128, 256))
 
 
 class Facts(NamedTuple):
@@ -60,6 +61,8 @@ class Facts(NamedTuple):
     word_bytes: int
     lines: int
     repeated_lines: int
+    bare: int
+    beyond_ascii: int
 
 
 def _share(part: int, whole: int) -> float:
@@ -102,7 +105,7 @@ def _sentences(f: Facts) -> int:
 
 def _lines(f: Facts) -> int:
     rate = _share(f.repeated_lines, f.lines)
-    return 0 if f.lines < 4 else _vote(rate, rate > 0.3, rate < 0.1)
+    return 0 if f.lines < 4 else _vote(rate, rate > 0.5, rate < 0.1)
 
 
 def _length(f: Facts) -> int:
@@ -110,14 +113,25 @@ def _length(f: Facts) -> int:
     return _vote(mean, not f.words or mean > 20 or mean < 1.5, 2.5 < mean < 12)
 
 
+def _letters(f: Facts) -> int:
+    rate = _share(f.letters + f.beyond_ascii, f.word_bytes)
+    return 0 if f.words < 5 else _vote(rate, rate < 0.78, rate > 0.9)
+
+
+def _bare(f: Facts) -> int:
+    rate = _share(f.bare, f.words)
+    return 0 if f.words < 20 else _vote(rate, rate > 0.15, rate < 0.05)
+
+
 LABELLERS: tuple[Callable[[Facts], int], ...] = (
-    _spread, _symbols, _capitals, _stutter, _shouting, _sentences, _lines, _length,
+    _spread, _symbols, _capitals, _stutter, _shouting, _sentences, _lines, _length, _letters,
+    _bare,
 )
 
 
 def facts(text: bytes) -> Facts:
     """Counts over the whole text; a long text is split into words part by part."""
-    words = adjacent = word_bytes = 0
+    words = adjacent = word_bytes = bare = 0
     distinct: set[bytes] = set()
     last = None
     for part in parts_between_words(text):
@@ -128,6 +142,8 @@ def facts(text: bytes) -> Facts:
         words += len(found)
         word_bytes += sum(map(len, found))
         distinct.update(found)
+        # Words of nothing but symbols.
+        bare += sum(map(found.count, _SYMBOL_WORDS)) if found else 0
     lines = [line for line in text.split(b"\n") if line and not line.isspace()]
     letters = len(text) - len(text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
     upper = len(text) - len(text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
@@ -135,7 +151,7 @@ def facts(text: bytes) -> Facts:
     stops = sum(text.count(c) for c in (b".", b"?", b"!"))
     return Facts(
         words, len(distinct), adjacent, letters, upper, symbols, text.count(b"!"), stops, word_bytes,
-        len(lines), len(lines) - len(set(lines)),
+        len(lines), len(lines) - len(set(lines)), bare, len(text) - len(text.translate(None, _BEYOND)),
     )
 
 
@@ -157,56 +173,58 @@ def _cast_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["row_id"], batch["row_hash"], patterns], names=field_names(_VOTES))
 
 
+def _cast(patterns: list[str]) -> np.ndarray:
+    return np.array([["-.+".index(v) - 1 for v in p] for p in patterns], int).reshape(len(patterns), len(LABELLERS))
+
+
 class LabelModel(NamedTuple):
-    """Prior of good, and ``rates[labeller][good][vote + 1]``."""
+    """Prior of good, and ``bad[labeller][good]``: how often a vote is bad, for bad and for good documents."""
 
     prior: float
-    rates: np.ndarray
+    bad: np.ndarray
 
     def posterior(self, patterns: list[str]) -> np.ndarray:
-        """Probability of good for each vote pattern; a document without a positive or negative vote gets the prior."""
-        cast = np.array([["-.+".index(v) for v in p] for p in patterns], int).reshape(len(patterns), len(self.rates))
-        log = np.log(self.rates)
-        bad, good = (sum(log[i, y, cast[:, i]] for i in range(len(self.rates))) for y in (0, 1))
-        odds = np.clip(good - bad + math.log(self.prior / (1 - self.prior)), -500, 500)
-        return 1 / (1 + np.exp(-odds))
+        """Probability of good for each vote pattern; a labeller that does not vote says nothing."""
+        cast = _cast(patterns)
+        odds = np.full(len(patterns), math.log(self.prior / (1 - self.prior)))
+        says_bad, says_good = np.log(self.bad[:, 1] / self.bad[:, 0]), np.log((1 - self.bad[:, 1]) / (1 - self.bad[:, 0]))
+        odds += (cast < 0) @ says_bad + (cast > 0) @ says_good
+        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
     def accuracies(self) -> np.ndarray:
         """How often each labeller is right where it votes."""
-        right = self.prior * self.rates[:, 1, 2] + (1 - self.prior) * self.rates[:, 0, 0]
-        wrong = self.prior * self.rates[:, 1, 0] + (1 - self.prior) * self.rates[:, 0, 2]
-        return right / (right + wrong)
+        return self.prior * (1 - self.bad[:, 1]) + (1 - self.prior) * self.bad[:, 0]
 
 
-def fit_labels(counts: dict[str, int], rounds: int = 100) -> LabelModel:
+def fit_labels(counts: dict[str, int], rounds: int = 200) -> LabelModel:
     """Expectation maximisation over pattern counts, from a start at the majority of votes.
 
-    Labellers are taken to be better than chance; without documents they all are alike.
+    Labellers call good documents bad rarely; a hundredth of the documents is put in
+    beside the counts to say so.  Without documents that is all that is known.
     """
     width = len(LABELLERS)
-    start = np.tile(np.array([[0.4, 0.4, 0.2], [0.1, 0.4, 0.5]]), (width, 1, 1))
-    model = LabelModel(0.5, start)
+    assumed = np.tile([0.5, 0.01], (width, 1))
+    model = LabelModel(0.5, assumed)
     if not counts:
         return model
     patterns = list(counts)
     n = np.array([counts[p] for p in patterns], float)
-    cast = np.array([["-.+".index(v) for v in p] for p in patterns], int)
-    # A start that counts a single bad vote against several good ones.
-    negative, positive = (cast == 0).sum(1), (cast == 2).sum(1)
-    good = 1 / (1 + np.exp(3.0 * negative - 0.5 * positive))
-    before = -math.inf
+    cast = _cast(patterns)
+    strength = max(4.0, 0.01 * n.sum())
+    # A bad vote is stronger than a good one to begin with.
+    good = 1 / (1 + np.exp(3.0 * (cast < 0).sum(1) - 0.5 * (cast > 0).sum(1)))
+    before = None
     for _ in range(rounds):
         prior = float(np.clip((n * good).sum() / n.sum(), 1e-3, 1 - 1e-3))
-        rates = np.empty((width, 2, 3))
-        for i, (y, weight) in product(range(width), enumerate((n * (1 - good), n * good))):
-            rates[i, y] = np.bincount(cast[:, i], weights=weight, minlength=3) + start[i, y]
-            rates[i, y] /= rates[i, y].sum()
-        model = LabelModel(prior, rates)
+        bad = np.empty((width, 2))
+        for y, weight in enumerate((n * (1 - good), n * good)):
+            said_bad, said_good = weight @ (cast < 0), weight @ (cast > 0)
+            bad[:, y] = (said_bad + strength * assumed[:, y]) / (said_bad + said_good + strength)
+        model = LabelModel(prior, np.clip(bad, 1e-6, 1 - 1e-6))
         good = model.posterior(patterns)
-        score = float((n * np.log(np.maximum(np.maximum(good, 1 - good), 1e-300))).sum())
-        if abs(score - before) < 1e-9 * n.sum():
+        if before is not None and np.abs(good - before).max() < 1e-9:
             break
-        before = score
+        before = good
     return model
 
 
@@ -267,7 +285,7 @@ def _training_rows(posterior: dict[str, float]) -> Callable:
                 total = sum(held.values()) or 1
                 labels.append(posterior[_pattern(votes(f))])
                 buckets.append(_levels(f) + list(held))
-                weights.append([1.0] * len(LABELLERS) + [c / total for c in held.values()])
+                weights.append([1.0] * len(_levels(f)) + [c / total for c in held.values()])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(labels, pa.float64()),
@@ -366,7 +384,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Classifier:
 
 
 def judged(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with judged_posterior, judged_score, judged_kept and judged_pattern beside their columns.
+    """The columns of ``docs`` as _0, _1 and so on, and judged_posterior, judged_score, judged_kept, judged_pattern.
 
     A text without words (null, empty, blank) is rejected.
     """
@@ -377,15 +395,14 @@ def judged(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) ->
         [f"{c} {renamed.schema[c].dataType.simpleString()}" for c in carried]
         + [f"judged_{field.strip()}" for field in _JUDGED.split(",")]
     )
-    done = renamed.mapInArrow(_judge(model, carried, threshold), schema)
-    return done.select(*[F.col(c).alias(n) for n, c in zip(names, carried)], *[f"judged_{c}" for c in field_names(_JUDGED)])
+    return renamed.mapInArrow(_judge(model, carried, threshold), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, votes, posterior of the votes, score and whether it is kept."""
     done = judged(docs.select("doc_id", "text"), fit(docs))
     return done.select(
-        "doc_id",
+        F.col("_0").cast("long").alias("doc_id"),
         F.col("judged_pattern").alias("votes"),
         F.col("judged_posterior").alias("posterior"),
         F.col("judged_score").alias("score"),
@@ -395,6 +412,5 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that are not rejected, in the columns of ``docs``."""
-    names = docs.columns
     done = judged(docs, fit(docs)).filter("judged_kept")
-    return done.select(*[F.col(f"`{n}`") for n in names])
+    return done.select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(docs.columns)])

@@ -9,10 +9,12 @@ Texts are encoded in batches by the library's threads.  Parity with the
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagwright.llm.textbytes import field_names
+from tagwright.llm.textbytes import field_names, ragged
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -32,7 +34,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Threads that encode in one Python worker.
 THREADS = 2
 #: Chunks of text whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 
 class Piece(NamedTuple):
@@ -120,6 +122,10 @@ def _merges(pieces: list[Piece]) -> list[tuple[str, str]]:
     return [(pieces[left].text, pieces[right].text) for _, left, right in sorted(found)]
 
 
+# Fixed value: how the reference decodes an unknown piece; no text has it once its blanks are marked.
+_UNKNOWN = " ⁇ "
+
+
 def rebuild(model: Model):
     """The model as a tokenizer of the ``tokenizers`` library."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -127,18 +133,23 @@ def rebuild(model: Model):
     unknown = next(i for i, p in enumerate(model.pieces) if p.kind == UNKNOWN)
     if model.kind == BPE:
         core = models.BPE(
-            vocab={p.text: i for i, p in enumerate(model.pieces)},
+            vocab={_UNKNOWN if i == unknown else p.text: i for i, p in enumerate(model.pieces)},
             merges=_merges(model.pieces),
-            unk_token=model.pieces[unknown].text,
+            unk_token=_UNKNOWN,
             fuse_unk=True,
             byte_fallback=model.byte_fallback,
         )
     else:
-        core = models.Unigram([(p.text, p.score) for p in model.pieces], unknown, model.byte_fallback)
+        # Control and unknown pieces do not occur in texts, whatever their names.
+        named = [f"\U0010fffe{i}" if p.kind == CONTROL else p.text for i, p in enumerate(model.pieces)]
+        named[unknown] = _UNKNOWN
+        lowest = 10 * min([p.score for p in model.pieces if p.kind == NORMAL], default=-1.0) - 1000
+        scores = [p.score if p.kind == NORMAL else lowest for p in model.pieces]
+        core = models.Unigram(list(zip(named, scores)), unknown, model.byte_fallback)
     tokenizer = Tokenizer(core)
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.trim:
-        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ | $"), "")]
+        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex(r"\A +| +\z"), "")]
     if model.dummy_prefix and not model.suffix:
         steps.append(normalizers.Prepend(" "))
     elif model.dummy_prefix:
@@ -154,8 +165,7 @@ def rebuild(model: Model):
 
 
 _CHUNK = f"{MARK}*[^{MARK}]+|{MARK}+"
-# The same before blanks are marked.
-_PLAIN_CHUNK = re.compile(" *[^ ]+| +")
+_CHUNKS = re.compile(_CHUNK)
 
 
 def _splits(model: Model) -> bool:
@@ -183,6 +193,11 @@ class Rebuilt(NamedTuple):
         return cls(data, rebuild(model).to_str(), chunked, kinds == BYTE, kinds == UNKNOWN)
 
 
+def _bare(tokenizer: str) -> str:
+    """The tokenizer without its normaliser and its splitting of texts."""
+    return json.dumps(json.loads(tokenizer) | {"normalizer": None, "pre_tokenizer": None})
+
+
 class Codec:
     """Encodes and decodes batches of texts with one model."""
 
@@ -195,44 +210,58 @@ class Codec:
         self.tokenizer = Tokenizer.from_str(rebuilt.tokenizer)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=rebuilt.data)
         self.chunked = rebuilt.chunked
-        if self.chunked:
-            self.core = Tokenizer.from_str(rebuilt.tokenizer)
-            self.core.normalizer = normalizers.Replace(" ", MARK)
-        self.known: dict[str, int] = {}
-        self.ids: list[list[int]] = []
-        self.parity: list[bool] = []
+        # Encodes chunks whose blanks are marked already.
+        self.core = Tokenizer.from_str(_bare(rebuilt.tokenizer))
+        self._forget()
         self.is_byte, self.is_unknown = rebuilt.is_byte, rebuilt.is_unknown
 
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.ends, self.parity = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+
     def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks not met before, by threads, and compare them with the reference."""
+        """Encode chunks not met before, by threads, and compare them with the reference.
+
+        The reference puts a blank before a text, as which a word's own blank
+        counts; blanks alone are compared behind a line's end.
+        """
         if not chunks:
             return
         found = [e.ids for e in self.core.encode_batch_fast(chunks, add_special_tokens=False)]
-        # The reference puts a blank before a text; a chunk brings its own.
-        own = [c[1:] if c[0] == " " else None for c in chunks]
-        expected = iter(self.reference.encode([c for c in own if c is not None], num_threads=1))
-        for chunk, ids, bare in zip(chunks, found, own):
-            self.known[chunk] = len(self.ids)
-            self.ids.append(ids)
-            self.parity.append(ids == next(expected) if bare is not None else True)
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """Ids of each text, and whether the reference gives the same."""
+        words = [bool(c.strip(MARK)) for c in chunks]
+        asked = [(c[1:] if word else "\n" + c).replace(MARK, " ") for c, word in zip(chunks, words)]
+        before = len(self.reference.encode("\n"))
+        expected = self.reference.encode(asked, num_threads=1)
+        expected = [e if word else e[before:] for e, word in zip(expected, words)]
+        self.known.update(zip(chunks, range(len(self.parity), len(self.parity) + len(chunks))))
+        sizes = np.fromiter(map(len, expected), np.int64, len(expected))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(expected), np.int32, int(sizes.sum()))])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.parity = np.concatenate([self.parity, [a == b for a, b in zip(found, expected)]])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, how many each text has, and whether the rebuilt tokenizer and the reference agree.
+
+        Where they do not agree the ids are the reference's.
+        """
         if not self.chunked:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            return found, [a == b for a, b in zip(found, self.reference.encode(texts, num_threads=1))]
-        if len(self.ids) > REMEMBERED:
-            self.known, self.ids, self.parity = {}, [], []
-        # With the blank put before it, every chunk of a text begins with one, so none is without a check.
-        cut = [_PLAIN_CHUNK.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        self._learn(list({c for chunks in cut for c in chunks if c not in self.known}))
-        known, ids, parity = self.known, self.ids, self.parity
-        out, same = [], []
-        for chunks in cut:
-            places = [known[c] for c in chunks]
-            out.append([i for p in places for i in ids[p]])
-            same.append(all(parity[p] for p in places))
-        return out, same
+            expected = self.reference.encode(texts, num_threads=1)
+            sizes = np.fromiter(map(len, expected), np.int64, len(texts))
+            same = np.array([a == b for a, b in zip(found, expected)], bool)
+            return np.fromiter(chain.from_iterable(expected), np.int32, int(sizes.sum())), sizes, same
+        if len(self.parity) > REMEMBERED:
+            self._forget()
+        # With the blank put before it, every chunk of a text has blanks of its own.
+        cut = [_CHUNKS.findall((" " + t).replace(" ", MARK)) if t else [] for t in texts]
+        flat = list(chain.from_iterable(cut))
+        self._learn(list({c for c in flat if c not in self.known}))
+        place = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        of = np.repeat(np.arange(len(texts)), np.fromiter(map(len, cut), np.int64, len(cut)))
+        sizes = self.ends[place + 1] - self.ends[place]
+        ids = self.flat[ragged(self.ends[place], sizes)]
+        same = np.bincount(of, weights=~self.parity[place], minlength=len(texts)) == 0
+        return ids, np.bincount(of, weights=sizes, minlength=len(texts)).astype(np.int64), same
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -267,20 +296,19 @@ def _encode(rebuilt: Rebuilt, carried: list[str]) -> Callable:
         for batch in batches:
             texts = [t or "" for t in batch["text"].to_pylist()]
             for start, end in _slices([len(t) for t in texts], _CHARS):
-                ids, parity = codec.encode(texts[start:end])
-                sizes = np.array([len(i) for i in ids], np.int64)
+                flat, sizes, parity = codec.encode(texts[start:end])
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                flat = np.fromiter((i for row in ids for i in row), np.int32, int(offsets[-1]))
-                row = np.repeat(np.arange(len(ids)), sizes)
-                counts = [np.bincount(row[kind[flat]], minlength=len(ids)) for kind in (codec.is_byte, codec.is_unknown)]
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                counts = [np.bincount(row[kind[flat]], minlength=len(sizes)) for kind in (codec.is_byte, codec.is_unknown)]
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[batch[c].slice(start, end - start) for c in carried],
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                        ids,
                         pa.array(sizes.astype(np.int32)),
                         *[pa.array(c.astype(np.int32)) for c in counts],
                         pa.array(parity, pa.bool_()),
-                        pa.array(codec.decode(ids), pa.string()),
+                        pa.array(codec.decode(ids.to_pylist()), pa.string()),
                     ],
                     names=[*carried, *field_names(_ENCODED)],
                 )

@@ -25,6 +25,7 @@ def test_em_finds_planted_accuracies():
 def test_em_without_documents():
     model = quality.fit_labels({})
     assert model.prior == 0.5 and model.posterior(["+" * len(quality.LABELLERS)])[0] > 0.9
+    assert model.posterior(["." * len(quality.LABELLERS)])[0] == 0.5
 
 
 def test_facts_in_parts(monkeypatch):
@@ -32,7 +33,7 @@ def test_facts_in_parts(monkeypatch):
     whole = quality.facts(text)
     monkeypatch.setattr("tagwright.llm.textbytes.WORD_BYTES", 20)
     assert quality.facts(text) == whole
-    assert (whole.words, whole.distinct, whole.adjacent) == (38, 6, 31)
+    assert (whole.words, whole.distinct, whole.adjacent) == (38, 6, 29)
     assert (whole.shouts, whole.symbols, whole.lines, whole.repeated_lines) == (30, 2, 3, 1)
 
 
