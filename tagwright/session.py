@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
 import pyarrow as pa
@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-_local_folder: str | None = None
+def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "12g",
+                  folder: str | None = None) -> SparkSession:
+    """A session for tests and benchmarks on one machine, whose driver does all the work.
 
-
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
-    """A session for tests and benchmarks on one machine, whose driver does all the work."""
+    ``folder`` is for intermediate tables; a new one for each process if not given.
+    """
+    folder = folder or f"/tmp/tagwright-local/{os.getpid()}"
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tagwright")
@@ -25,6 +27,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", f"file://{folder}")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -32,19 +35,16 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can read, as named by ``spark.checkpoint.dir``.
+    """Folder every executor can read: the one that ``spark.checkpoint.dir`` names.
 
-    Only a local session may fall back to a folder of this machine.
+    Where it is unset a folder beside the tables of the warehouse is taken, which
+    a session's executors share as well, and the session keeps that choice.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    global _local_folder
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="tagwright-")
-    return _local_folder
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tagwright-scratch"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -53,6 +53,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tagwright/{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Remove the intermediate tables that this application has written; results read from them are then gone."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tagwright/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_once(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 

@@ -48,8 +48,11 @@ def with_roles(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
-               schema: T.StructType | str | None = None) -> DataFrame:
-    """Read files with a declared schema; Parquet may bring its own."""
+               schema: T.StructType | str | None = None, multiline: bool = False) -> DataFrame:
+    """Read files with a declared schema; Parquet may bring its own.
+
+    CSV fields with line ends need ``multiline``, which makes each file one task.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format '{fmt}'; choose from {', '.join(FORMATS)}")
     if schema is None and fmt != "parquet":
@@ -58,12 +61,13 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.options(header=True, multiLine=True, escape='"')
+        reader = reader.options(header=True, multiLine=multiline, escape='"')
     return reader.load(path)
 
 
 def load_examples(spark: SparkSession, path: str | dict[str, str], split: str | None = None,
-                  fmt: str = "parquet", schema: T.StructType | str | None = None) -> DataFrame:
+                  fmt: str = "parquet", schema: T.StructType | str | None = None,
+                  multiline: bool = False) -> DataFrame:
     """Examples of a split-keyed dataset, or of one of its populations.
 
     ``path`` is one table with a ``split`` column, best a Parquet table
@@ -71,13 +75,13 @@ def load_examples(spark: SparkSession, path: str | dict[str, str], split: str |
     """
     if isinstance(path, dict):
         parts = [
-            read_table(spark, p, fmt, schema).withColumn("split", F.lit(name)) for name, p in path.items()
+            read_table(spark, p, fmt, schema, multiline).withColumn("split", F.lit(name)) for name, p in path.items()
         ]
         raw = parts[0]
         for part in parts[1:]:
             raw = raw.unionByName(part)
     else:
-        raw = read_table(spark, path, fmt, schema)
+        raw = read_table(spark, path, fmt, schema, multiline)
     if "split" not in raw.columns:
         raw = raw.withColumn("split", F.lit(RAW_TRAIN))
     examples = to_examples(raw)
@@ -94,7 +98,7 @@ def population(examples: DataFrame, name: str = "all", ratio: float = splitting.
     if name not in POPULATIONS:
         raise ValueError(f"no population is called '{name}'; there are {', '.join(POPULATIONS)}")
     if name == "all":
-        return examples
+        return examples.filter(F.col("split").isin(RAW_TRAIN, RAW_TEST))
     if name == "test":
         test = examples.filter(F.col("split") == RAW_TEST)
         if test.select("example_id").limit(1).isEmpty():
@@ -153,10 +157,13 @@ class Dataset:
         return full.filter(self._in_train if name == "train" else ~self._in_train)
 
     def parts(self) -> DataFrame:
-        """All rows, with ``split`` naming their part: train, validation or test."""
+        """The raw training and test rows, with ``split`` naming their part: train, validation or test.
+
+        Rows of any other raw split belong to no population and are left out.
+        """
         raw_test = F.col("split") == RAW_TEST
         part = F.when(raw_test, RAW_TEST).when(self._in_train, "train").otherwise("validation")
-        return self.examples.withColumn("split", part)
+        return population(self.examples, "all").withColumn("split", part)
 
     def info(self) -> DataFrame:
         return dataset_info(self.examples).withColumn("dataset", F.lit(self.source))

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ def test_round_trip(spark, fmt):
     df = spark.createDataFrame(TRICKY, EXAMPLE_SCHEMA)
     path = new_folder(spark, f"rt-{fmt}")
     sinks.write_examples(df, path, fmt)
-    back = ex.load_examples(spark, path, fmt=fmt, schema=EXAMPLE_SCHEMA)
+    back = ex.load_examples(spark, path, fmt=fmt, schema=EXAMPLE_SCHEMA, multiline=True)
     assert rows_of(back) == sorted(TRICKY)
 
 
@@ -75,21 +77,50 @@ def test_roles_and_union(spark):
     assert rows_of(ex.all_splits(*halves)) == rows_of(df)
 
 
-def test_shared_folder_needs_a_setting_on_a_cluster(monkeypatch):
+def test_shared_folder():
     from tagwright import session
 
-    class Conf:
-        def get(self, key, default):
-            return default
-
-    class Context:
-        master = "spark://host:7077"
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
 
     class Session:
-        conf, sparkContext = Conf(), Context()
+        conf = Conf({"spark.sql.warehouse.dir": "hdfs:/warehouse/"})
+
+    assert session.shared_folder(Session()) == "hdfs:/warehouse/tagwright-scratch"
+    Session.conf["spark.checkpoint.dir"] = "s3a://shared/x/"
+    assert session.shared_folder(Session()) == "s3a://shared/x"
+
+
+def test_cleanup_removes_intermediate_tables(spark):
+    from tagwright import session
+
+    app = f"{session.shared_folder(spark)}/tagwright/{spark.sparkContext.applicationId}".removeprefix("file://")
+    session.write_once(spark.range(3), "numbers")
+    assert os.path.isdir(app)
+    session.cleanup(spark)
+    assert not os.path.exists(app)
+
+
+def test_csv_with_line_ends(spark, tmp_path):
+    path = str(tmp_path / "rows.csv")
+    with open(path, "w") as file:
+        file.write('symptoms,diagnosis\n"two\nlines",allergy\n')
+    schema = "symptoms string, diagnosis string"
+    assert ex.read_table(spark, path, "csv", schema, multiline=True).first().symptoms == "two\nlines"
+    assert ex.read_table(spark, path, "csv", schema).count() == 2
+
+
+def test_other_raw_splits_belong_to_no_part(spark):
+    from tagwright.spec import TaskSpec
 
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        session.shared_folder(Session())
+    df = make_examples(spark, 40)
+    other = F.when(F.col("example_id") % 4 == 0, "dev").when(F.col("example_id") % 4 == 1, "validation")
+    data = ex.Dataset(df.withColumn("split", F.coalesce(other, "split")), TaskSpec("t", ("allergy", "malaria", "migraine")))
+    parts = {(r.example_id, r.split) for r in data.parts().collect()}
+    named = {(r.example_id, n) for n in ("train", "validation", "test") for r in data.population(n).collect()}
+    assert parts == named and {i % 4 for i, _ in parts} == {2, 3}
+    assert {r.example_id for r in data.population("all").collect()} == {i for i, _ in parts}
 
 
 def test_sorted_examples_keep_ids_apart_by_file(spark):
