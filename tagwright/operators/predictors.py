@@ -157,6 +157,13 @@ def _millionths(value: Column) -> Column:
     return F.round(value * SCALE).cast("long")
 
 
+def _frequent(found: DataFrame) -> DataFrame:
+    """Words with at least ``HOT_SHARE`` of all occurrences; counted per task before the shuffle."""
+    counts = found.filter(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = write_once(counts, "scored-words")
+    return counts.filter(F.col("n") >= HOT_SHARE * counts.agg(F.sum("n")).scalar()).select("word")
+
+
 @register
 @dataclass(frozen=True)
 class WordsPredictor:
@@ -243,26 +250,32 @@ class WordsModel:
         """Sum the weights of a row's words and take the best label.
 
         With a small weight table nothing but one row of sums per example is
-        shuffled.  Beyond that, only the frequent words (provably few) are
-        broadcast and the rest, none of which is frequent, is joined by word.
+        shuffled.  Beyond that, only the words that are frequent in the training
+        texts or in these rows (provably few) are broadcast, and the rest, none of
+        which is frequent, is joined by word.
         The text is left behind: the sums are shuffled without it.
         """
         k = range(len(self.labels))
         rows = carried(rows)
         keys = [c for c in rows.columns if c != "symptoms"]
-        found = rows.select(*keys, F.explode_outer(words(F.col("symptoms"))).alias("word"))
+        # Sums are kept by row, not by id: rows that are alike stay as many as they are.
+        rows = rows.withColumn("_row", F.monotonically_increasing_id())
+        found = rows.select(*keys, "_row", F.explode_outer(words(F.col("symptoms"))).alias("word"))
         # Weights of words outside the training text are null and add nothing.
         sums = [F.coalesce(F.sum(f"w{i}"), F.lit(0)).alias(f"w{i}") for i in k]
         if self.word_bytes + self.size * (32 + 8 * len(self.labels)) <= self.broadcast_bytes:
             weighted = found.join(F.broadcast(self._weights(self.counts)), "word", "left")
         else:
             occurrences = sum((F.col(f"n{i}") for i in k), F.lit(0))
-            is_hot = (occurrences >= HOT_SHARE * sum(self.totals)) & (F.octet_length("word") <= HOT_BYTES)
-            hot = F.broadcast(self._weights(self.counts.filter(is_hot)))
-            cold = self._weights(self.counts.filter(~is_hot))
-            rare = found.join(hot.select("word"), "word", "left_anti").join(cold, "word")
+            trained = self.counts.filter(occurrences >= HOT_SHARE * sum(self.totals)).select("word")
+            # Words of these rows that few or no training texts had are hot keys as well.
+            hot_words = write_once(trained.unionByName(_frequent(found)).distinct(), "hot-words")
+            hot_words = F.broadcast(hot_words.filter(F.octet_length("word") <= HOT_BYTES))
+            hot = F.broadcast(self._weights(self.counts.join(hot_words, "word", "left_semi")))
+            cold = self._weights(self.counts.join(hot_words, "word", "left_anti"))
+            rare = found.join(hot_words, "word", "left_anti").join(cold, "word")
             weighted = found.join(hot, "word", "left").unionByName(rare)
-        scored = weighted.groupBy(*keys).agg(*sums)
+        scored = weighted.groupBy(*keys, "_row").agg(*sums)
         best = F.array_max(
             F.array(
                 *[
@@ -362,12 +375,13 @@ def nearest_by_candidate(rows: DataFrame, demo_sets: DataFrame) -> DataFrame:
     sets = demo_sets.groupBy(F.col("demo_set_id").alias("candidate_id")).agg(_packed(demo_sets).alias("demos"))
     packed = sets.agg(F.collect_list(F.struct("candidate_id", "demos"))).scalar()
     keys = [c for c in carried(rows).columns if c != "symptoms"]
-    unfolded = carried(rows).select(
-        *keys, _word_set(F.col("symptoms")).alias("mine"), F.explode(packed).alias("set")
-    )
-    return unfolded.select(
-        *keys, F.col("set.candidate_id"), _nearest(F.col("mine"), F.col("set.demos")).alias("predicted")
+    # Tried inside the row; only the answers are unfolded, not the row's words.
+    answers = F.transform(
+        F.col("sets"),
+        lambda c: F.struct(c["candidate_id"].alias("candidate_id"), _nearest(F.col("mine"), c["demos"]).alias("predicted")),
     )
+    tried = carried(rows).select(*keys, _word_set(F.col("symptoms")).alias("mine"), packed.alias("sets"))
+    return tried.select(*keys, answers.alias("answers")).select(*keys, F.inline("answers"))
 
 
 # --- a user's model call ----------------------------------------------------
@@ -383,6 +397,7 @@ class CallablePredictor:
 
     ``build(model)`` is called once per task and returns the call.  Without an
     optimizer the prompt is fixed, with ``few_shot`` training rows as examples.
+    ``validator`` says whether an answer will do, in place of the vocabulary.
     ``bootstrap`` adds training rows the model gets right to labeled ones;
     ``search`` also tries instructions and demonstration sets on validation rows.
     """
@@ -393,6 +408,7 @@ class CallablePredictor:
     style: str = "answer_only"
     instructions: str | None = None
     max_retries: int = 1
+    validator: Any = None
     few_shot: int = 0
     parallelism: int | None = None
     optimizer: str | None = None
@@ -421,7 +437,7 @@ class CallablePredictor:
         return self.optimizer is not None
 
     def options(self) -> dict[str, Any]:
-        kept = {f.name: getattr(self, f.name) for f in fields(self) if f.name not in ("build", "model", "parallelism")}
+        kept = {f.name: getattr(self, f.name) for f in fields(self) if f.name not in ("build", "model", "parallelism", "validator")}
         return {**kept, "model": asdict(self.model) if self.model else None}
 
     def run(self, rows: DataFrame, prompt: Prompt | dict[int, Prompt], keep_text: bool = False) -> DataFrame:
@@ -433,6 +449,7 @@ class CallablePredictor:
             lambda: build(model),
             prompt,
             max_retries=self.max_retries,
+            validator=self.validator,
             parallelism=self.parallelism,
             keep_text=keep_text,
         )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagwright.functions.text import content_key, hash_key
+from tagwright.session import write_once
 
 # Up to this many keys a top-k on the key column alone is one cheap job.
 SMALL = 10_000
@@ -56,31 +57,42 @@ def kth_smallest(keys: DataFrame, k: int | Callable[[int], int], width: int = 3,
             return rest.agg(F.max("key")).first()[0]
 
 
-def sortable(row_id: Column, data_type: str) -> Column:
-    """Row id as a string that sorts like the id itself."""
-    if data_type == "string":
-        return row_id
-    shifted = row_id.cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")
-    return F.lpad(shifted.cast("decimal(20,0)").cast("string"), 20, "0")
+def nth_smallest(keys: DataFrame, n: int) -> object:
+    """The n-th smallest of one column of any orderable type, nulls left out; ``None`` when there are fewer.
+
+    Up to ``SMALL`` a top-n does; beyond it the column is range-partitioned and
+    sorted by many tasks, the driver adds up one count per task, and the value at
+    the place that is left is read.  Either way finds the same value.
+    """
+    column = keys.columns[0]
+    keys = keys.select(F.col(column).alias("key")).filter(F.col("key").isNotNull())
+    if n <= SMALL:
+        row = keys.orderBy("key").limit(n).agg(F.max("key"), F.count(F.lit(1))).first()
+        return row[0] if row[1] == n else None
+    placed = write_once(keys.orderBy("key").withColumn("at", F.monotonically_increasing_id()), "sorted-keys")
+    task = F.shiftright(F.col("at"), 33)
+    counts = placed.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).collect()
+    for row in sorted(counts):
+        if n <= row["n"]:
+            return placed.filter(F.col("at") == row["first"] + n - 1).first()["key"]
+        n -= row["n"]
+    return None
 
 
 def among_first(df: DataFrame, n: int | None, key: str = "example_id") -> Column:
     """Condition for the n rows of ``df`` with the smallest keys; ``None`` is no cap.
 
-    Only the key column is read to find the n-th key.  The condition is then a
-    comparison with one value, which the file scan can use.
+    Only the key column is read to find the n-th key, and the condition is a
+    comparison with one value, which the file scan can use.  Rows without a key are
+    never among the first.  Keys are meant to be unique: rows that share the n-th
+    key are all among the first.
     """
     if n is None:
         return F.lit(True)
     if n <= 0:
         raise ValueError(f"a row cap must be positive, got {n}")
-    if n <= SMALL:
-        return F.col(key) <= df.select(key).orderBy(key).limit(n).agg(F.max(key)).scalar()
-    kind = dict(df.dtypes)[key]
-    keyed = sortable(F.col(key), kind)
-    # Strings may use any alphabet, so they are told apart one character at a time.
-    last = kth_smallest(df.select(keyed.alias("key")), n, width=1 if kind == "string" else 3)
-    return F.lit(True) if last is None else keyed <= F.lit(last)
+    last = nth_smallest(df.select(key), n)
+    return F.col(key).isNotNull() if last is None else F.col(key) <= F.lit(last)
 
 
 def first_n(df: DataFrame, n: int | None, key: str = "example_id") -> DataFrame:
@@ -95,25 +107,23 @@ def list_rows(df: DataFrame, rows: int = 5, key: str = "example_id") -> DataFram
 
 
 def first_ids_by_hash(df: DataFrame, k: int, salt: object, key: str = "example_id") -> list:
-    """Ids of the k rows with the smallest hash, in hash order; for small k."""
+    """Ids of the k rows with the smallest hash, in hash order; for small k.  Rows without an id are passed over."""
     if not 0 <= k <= SMALL:
         raise ValueError(f"between 0 and {SMALL} ids can be picked, got {k}")
-    picked = df.select(key, hash_key(F.col(key), salt).alias("hash")).orderBy("hash").limit(k)
+    keys = df.select(key).filter(F.col(key).isNotNull())
+    picked = keys.select(key, hash_key(F.col(key), salt).alias("hash")).orderBy("hash").limit(k)
     return [row[0] for row in picked.collect()]
 
 
 def sample_n(df: DataFrame, n: int | None, salt: object, key: str = "example_id") -> DataFrame:
-    """A seeded sample: the n rows with the smallest hash; ``None`` keeps all."""
+    """A seeded sample: the n rows with the smallest hash; ``None`` keeps all.  Rows without an id are left out."""
     if n is None:
         return df
     if n <= 0:
         raise ValueError(f"a sample size must be positive, got {n}")
     hashed = hash_key(F.col(key), salt)
-    hashes = df.select(hashed.alias("key"))
-    if n <= SMALL:
-        return df.filter(hashed <= hashes.orderBy("key").limit(n).agg(F.max("key")).scalar())
-    last = kth_smallest(hashes, n)
-    return df if last is None else df.filter(hashed <= F.lit(last))
+    last = nth_smallest(df.select(hashed.alias("key")), n)
+    return df.filter(F.col(key).isNotNull() if last is None else hashed <= F.lit(last))
 
 
 def fetch(df: DataFrame, ids: list, key: str = "example_id") -> DataFrame:

@@ -80,6 +80,24 @@ def require_valid(df: DataFrame, task: TaskSpec, check_ids: bool = False) -> Dat
     return df
 
 
+def id_problems(df: DataFrame, key: str = "example_id") -> DataFrame:
+    """Rows without an id, and rows whose id was used before, counted; one shuffle of the ids."""
+    ids = df.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    missing = F.col("id").isNull()
+    return ids.agg(
+        F.coalesce(F.sum(F.when(missing, F.col("n"))), F.lit(0)).alias("null_ids"),
+        F.coalesce(F.sum(F.when(~missing, F.col("n") - 1)), F.lit(0)).alias("repeated_ids"),
+    )
+
+
+def require_ids(df: DataFrame, key: str = "example_id") -> DataFrame:
+    """``df`` itself; raises when ids are missing or repeated."""
+    found = {k: v for k, v in id_problems(df, key).first().asDict().items() if v}
+    if found:
+        raise ValueError(", ".join(f"{k}={v}" for k, v in found.items()))
+    return df
+
+
 def enforce(df: DataFrame, task: TaskSpec) -> DataFrame:
     """``df`` itself; the job that reads it fails at the first row to reject.
 

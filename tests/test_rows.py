@@ -1,5 +1,7 @@
 import hashlib
 import random
+from datetime import date, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,11 +33,32 @@ def test_kth_smallest_with_keys_of_many_lengths_and_alphabets(spark):
         assert rows.kth_smallest(df, k, width=1, small=2) == ordered[k - 1]
 
 
-def test_sortable_ids_keep_their_order(spark):
-    ids = [0, -1, 1, 9, 10, 2**63 - 1, -(2**63), 123456789]
-    df = spark.createDataFrame([(i,) for i in ids], "i long")
-    got = [r.i for r in df.orderBy(rows.sortable(F.col("i"), "bigint")).collect()]
-    assert got == sorted(ids)
+@pytest.mark.parametrize(
+    ("kind", "make"),
+    [
+        ("bigint", lambda i: i - 40),
+        ("double", lambda i: i / 4 - 7.5),
+        ("decimal(10,2)", lambda i: Decimal(i) / 4),
+        ("date", lambda i: date(2020, 1, 1) + timedelta(days=i)),
+        ("string", lambda i: "shared prefix of many characters " + f"{i * 7919 % 1000:04d}é"),
+    ],
+)
+def test_caps_on_both_sides_of_the_switch(spark, monkeypatch, kind, make):
+    """The plan may differ with the size of the cap; the rows may not.  Rows without an id are never among the first."""
+    ids = [make(i) for i in range(150)]
+    df = spark.createDataFrame([(i,) for i in ids] + [(None,)] * 5, f"example_id {kind}").repartition(4)
+    for n in (1, 7, 60, 150, 151):
+        expected = sorted(ids)[:n]
+        for small in (1000, 5):
+            monkeypatch.setattr(rows, "SMALL", small)
+            assert sorted(r.example_id for r in rows.first_n(df, n).collect()) == expected
+    sampled = []
+    for small in (1000, 5):
+        monkeypatch.setattr(rows, "SMALL", small)
+        sampled.append(sorted(r.example_id for r in rows.sample_n(df, 40, "s").collect()))
+    assert sampled[0] == sampled[1] and len(sampled[0]) == 40
+    monkeypatch.setattr(rows, "SMALL", 1000)
+    assert None not in rows.first_ids_by_hash(df, 12, "s")
 
 
 def test_first_n(spark):

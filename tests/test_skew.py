@@ -44,3 +44,26 @@ def test_one_run_logged_most_values(spark):
     log = spark.createDataFrame(logged, "run_id string, split string, metric string, value double, logged_at long")
     got = {r.run_id: r.value for r in tracking.metrics_latest(log.repartition(9)).collect()}
     assert got["hot"] == 2999.0 and len(got) == 1001
+
+
+def test_rows_that_are_alike_stay_as_many(spark):
+    df = spark.createDataFrame([(1, "calls malaria", "malaria", "train")] * 50, "example_id long, symptoms string, diagnosis string, split string")
+    for options in ({}, {"broadcast_bytes": 0}):
+        assert predictor("words", **options).fit(df, TASK).predict(df).count() == 50
+
+
+def test_a_word_frequent_only_in_the_scored_rows(spark):
+    """No task of the join by word gets its occurrences."""
+    train = make_examples(spark, 60)
+    flooded = make_examples(spark, 400).withColumn("symptoms", F.concat("symptoms", F.lit(" flood" * 40)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        model = predictor("words", broadcast_bytes=0).fit(train.withColumn("symptoms", F.concat("symptoms", F.lit(" flood"))), TASK)
+        got = model.predict(flooded)
+        assert got.count() == 400
+        plain = predictor("words").fit(train.withColumn("symptoms", F.concat("symptoms", F.lit(" flood"))), TASK).predict(flooded)
+        assert {(r.example_id, r.predicted) for r in got.collect()} == {(r.example_id, r.predicted) for r in plain.collect()}
+        plan = got._jdf.queryExecution().toString()
+        assert "LeftAnti" in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
