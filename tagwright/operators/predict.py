@@ -42,6 +42,7 @@ _ANSWER_FIELDS = [
     T.StructField("valid", T.BooleanType()),
     T.StructField("prompt_tokens", T.LongType()),
     T.StructField("completion_tokens", T.LongType()),
+    T.StructField("error", T.StringType()),
 ]
 
 
@@ -61,25 +62,50 @@ def read_answer(raw: str | None, style: str) -> tuple[str | None, str | None]:
     if not isinstance(reply, dict):
         return None, None
     label, reasoning = reply.get("diagnosis"), reply.get("reasoning")
+    if reasoning is not None and not isinstance(reasoning, str):
+        reasoning = json.dumps(reasoning, ensure_ascii=False)
     return (label.strip(WHITESPACE) if isinstance(label, str) else None), reasoning
 
 
-def _ask(complete: Complete, prompt: Prompt, texts: list[str], max_retries: int) -> dict[str, list]:
-    """Answers for one batch; rows answered outside the vocabulary are asked again."""
+class ReplyCountError(ValueError):
+    """A call that does not answer every message is wrong itself."""
+
+
+def _replies(complete: Complete, system: str, messages: list[str]) -> list[Reply | Exception]:
+    """A reply or the failure of each message; messages of a failing batch are tried one by one."""
+    try:
+        replies = complete(system, messages)
+    except Exception as e:
+        if len(messages) == 1:
+            return [e]
+        return [reply for m in messages for reply in _replies(complete, system, [m])]
+    if len(replies) != len(messages):
+        raise ReplyCountError(f"asked for {len(messages)} replies, got {len(replies)}")
+    return [r if isinstance(r, Reply) else Reply(r) for r in replies]
+
+
+def _ask(complete: Complete, prompt: Prompt, texts: list[str], max_retries: int,
+         validator: Callable[[str], bool] | None = None) -> dict[str, list]:
+    """Answers for one batch; rows whose answer is not valid or whose call failed are asked again."""
     allowed = set(prompt.task.vocabulary)
+    passes = validator or (lambda label: label.lower() in allowed)
     n = len(texts)
     messages = [prompt.user(t or "") for t in texts]
     answers = {f.name: [None] * n for f in _ANSWER_FIELDS}
     pending = list(range(n))
     for attempt in range(1, max_retries + 2):
-        replies = complete(prompt.system, [messages[i] for i in pending])
-        if len(replies) != len(pending):
-            raise ValueError(f"asked for {len(pending)} replies, got {len(replies)}")
+        replies = _replies(complete, prompt.system, [messages[i] for i in pending])
         invalid = []
         for i, reply in zip(pending, replies):
-            reply = reply if isinstance(reply, Reply) else Reply(reply)
+            if isinstance(reply, Exception):
+                answers["error"][i] = f"{type(reply).__name__}: {reply}"
+                answers["attempts"][i] = attempt
+                answers["valid"][i] = False
+                invalid.append(i)
+                continue
+            answers["error"][i] = None
             label, reasoning = read_answer(reply.output, prompt.style)
-            valid = label is not None and label.lower() in allowed
+            valid = label is not None and bool(passes(label))
             answers["raw_output"][i] = reply.output
             answers["predicted"][i] = label
             answers["reasoning"][i] = reasoning
@@ -100,7 +126,7 @@ def _ask(complete: Complete, prompt: Prompt, texts: list[str], max_retries: int)
 
 def predict(rows: DataFrame, build: Callable[[], Complete], prompt: Prompt | dict[int, Prompt], *,
             max_retries: int = 0, parallelism: int | None = None, batch_size: int = 256,
-            keep_text: bool = False) -> DataFrame:
+            keep_text: bool = False, validator: Callable[[str], bool] | None = None) -> DataFrame:
     """Call a model once per row on the executors.
 
     ``build`` runs once per task and returns the call, so clients are opened
@@ -111,7 +137,9 @@ def predict(rows: DataFrame, build: Callable[[], Complete], prompt: Prompt | dic
 
     The result has every column of ``rows``, with the label as ``actual`` and
     without the text unless ``keep_text`` is set.  It is lazy: write it before using it twice (``predict_once``).
-    A lost task is run again, so calls should be idempotent.
+    A lost task is run again, so calls should be idempotent.  A row whose calls all
+    fail is not valid and has the failure under ``error``; ``predict_missing`` asks
+    for such rows again.
     """
     prompts = prompt if isinstance(prompt, dict) else {None: prompt}
     rows = carried(rows)
@@ -130,7 +158,7 @@ def predict(rows: DataFrame, build: Callable[[], Complete], prompt: Prompt | dic
                 if not keep_text:
                     part = part.drop(columns="symptoms")
                 for key, chosen in prompts.items():
-                    answers = _ask(complete, chosen, texts, max_retries)
+                    answers = _ask(complete, chosen, texts, max_retries, validator)
                     extra = {} if key is None else {"candidate_id": key}
                     columns = {
                         f.name: pd.Series(answers[f.name], dtype="Int64" if f.name.endswith("_tokens") else object)
@@ -146,6 +174,16 @@ def predict_once(predictions: DataFrame) -> DataFrame:
     return write_once(predictions, "predictions")
 
 
+def predict_missing(rows: DataFrame, done: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A written prediction table, completed: rows not in it, and rows whose call failed, are asked.
+
+    Rows are told apart by ``example_id``, which has to be unique.
+    """
+    answered = done.filter(F.col("error").isNull())
+    missing = rows.join(answered.select("example_id"), "example_id", "left_anti")
+    return answered.unionByName(run(missing))
+
+
 def retry_rows(predictions: DataFrame, task: TaskSpec) -> DataFrame:
     """Rows of a prediction table that need another try, with their feedback."""
     return flag_invalid_output(predictions, task).filter(~F.col("valid"))

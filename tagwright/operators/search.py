@@ -93,8 +93,8 @@ def search(validation: DataFrame, candidates: list, run: Run, plan: Budget, seed
     """Minibatch score of every candidate and pool score of the leaders.
 
     Minibatches depend on the ids alone, so the rows of all rounds are predicted
-    together, each (candidate, row) once; a second pass scores the leaders in
-    full.  The driver sees one number per candidate and round.
+    together, each (candidate, row) once; a second pass asks the leaders about the
+    rest of the pool, and what both passes found is written.  The driver sees one number per candidate and round.
     """
     if not 0 < len(candidates) <= plan.candidates:
         raise ValueError(f"the budget allows {plan.candidates} candidates, got {len(candidates)}")
@@ -118,7 +118,11 @@ def search(validation: DataFrame, candidates: list, run: Run, plan: Budget, seed
          / max(1, sum(x["n"] for x in by_round if x["candidate_id"] == c)))
         for c in candidates
     ]
-    full = candidate_scores(score(run(pool, leaders))).select(
+    # Rows of the minibatches have been answered under every candidate; only the others are asked.
+    rest = pool.join(chosen, "example_id", "left_anti")
+    answered = scored.filter(F.col("candidate_id").isin(leaders))
+    in_full = answered.unionByName(write_once(score(run(rest, leaders)), "search-pool-scores").select(*scored.columns))
+    full = candidate_scores(in_full).select(
         "candidate_id", F.col("accuracy").alias("full_accuracy"), F.col("num_examples").alias("full_examples")
     )
     kind = dict(scored.dtypes)["candidate_id"]

@@ -20,7 +20,7 @@ from tagwright.operators.score import (
     samples_by_split,
     score,
 )
-from tagwright.operators.validate import enforce
+from tagwright.operators.validate import enforce, require_ids
 from tagwright.session import write_once
 from tagwright.sources import sinks
 from tagwright.sources.examples import Dataset
@@ -29,9 +29,6 @@ from tagwright.sources.tracking import RunStore, dataset_params
 # Fixed value: rows in a prediction sample.
 SAMPLE_SIZE = 10
 
-# Fixed value: rows on which the best of several models is tried.
-BEST_EVAL_SIZE = 10
-
 EVALUATION_SPLITS = ("train", "validation", "test", "train_full")
 
 
@@ -54,6 +51,7 @@ class EvaluateResult:
     split: str
     run_id: str
     scored: DataFrame
+    model_name: str
 
 
 def _capped_parts(data: Dataset, caps: dict[str, int | None]) -> DataFrame:
@@ -66,10 +64,26 @@ def _capped_parts(data: Dataset, caps: dict[str, int | None]) -> DataFrame:
     return parts.filter(wanted)
 
 
-def _predict_and_score(model: Model, rows: DataFrame, data: Dataset) -> DataFrame:
-    """Check, predict and score in one job whose result is written."""
-    predicted = model.predict(enforce(rows, data.task), keep_text=True)
-    return write_once(keep_wrong_texts(score(predicted)), "scored")
+def _checked(rows: DataFrame, data: Dataset) -> DataFrame:
+    """The rows, once their ids are known to be there and unique; every job over them fails at an invalid row."""
+    return enforce(require_ids(rows), data.task)
+
+
+def _predict_and_score(model: Model, rows: DataFrame) -> DataFrame:
+    """Predict and score in one job whose result is written."""
+    return write_once(keep_wrong_texts(score(model.predict(rows, keep_text=True))), "scored")
+
+
+def _usage(scored: DataFrame) -> list[tuple[str, str, float]]:
+    """Tokens that the calls of each part reported, and calls that failed."""
+    if "prompt_tokens" not in scored.columns:
+        return []
+    used = scored.groupBy("split").agg(
+        *[F.sum(c).alias(c) for c in ("prompt_tokens", "completion_tokens")],
+        F.count_if(F.col("error").isNotNull()).alias("errors"),
+    )
+    names = ("prompt_tokens", "completion_tokens", "errors")
+    return [(row["split"], name, row[name]) for row in used.collect() for name in names if row[name] is not None]
 
 
 def _metrics(scored: DataFrame, splits) -> dict[str, dict]:
@@ -85,7 +99,8 @@ def _record(store: RunStore, run_id: str, rows: DataFrame, scored: DataFrame, me
     """Parameters, metrics, samples and disagreements of written predictions."""
     store.log_params(run_id, params)
     names = ("accuracy", "num_examples", "disagreements")
-    store.log_metrics(run_id, [(split, name, m[name]) for split, m in metrics.items() for name in names])
+    values = [(split, name, m[name]) for split, m in metrics.items() for name in names]
+    store.log_metrics(run_id, values + _usage(scored))
     folder = f"{store.root}/artifacts/{run_id}"
     sample = samples_by_split(scored, rows, sorted(metrics), sample_size)
     # One file for a few rows; a coalesce would also squeeze the scan into one task.
@@ -99,14 +114,15 @@ def tune(data: Dataset, chosen: Predictor, store: RunStore, *, model_name: str =
          sample_size: int = SAMPLE_SIZE) -> TuneResult:
     """Split, cap, fit, predict once, score, record and register.
 
-    Training and validation rows are predicted in one job whose result is
-    written; every metric and artifact is read from that table.  That job also
-    fails on a row that would not pass validation.
+    Missing and repeated ids are refused before anything is fitted, and fitting
+    fails at a row that would not pass validation.  Training and validation rows
+    are predicted in one job whose result is written; every metric and artifact is
+    read from that table.
     """
-    rows = _capped_parts(data, {"train": train_size, "validation": val_size})
+    rows = _checked(_capped_parts(data, {"train": train_size, "validation": val_size}), data)
     train, validation = (rows.filter(F.col("split") == part) for part in ("train", "validation"))
     model = chosen.fit(train, data.task, validation)
-    scored = _predict_and_score(model, rows, data)
+    scored = _predict_and_score(model, rows)
     metrics = _metrics(scored, ("train", "validation"))
     options, lm = chosen.options(), getattr(chosen, "model", None)
     lm_model = lm.model if lm else None
@@ -182,9 +198,10 @@ def evaluate(data: Dataset, store: RunStore, model_name: str = "classifier", ver
         rows = chosen_rows.select("example_id", "symptoms", "diagnosis").withColumn("split", F.lit(split))
     else:
         rows = _capped_parts(data, {split: eval_size})
+    rows = _checked(rows, data)
     model, entry = load_model(data, store, model_name, version, **overrides)
     config = entry["config"]
-    scored = _predict_and_score(model, rows, data)
+    scored = _predict_and_score(model, rows)
     metrics = _metrics(scored, (split,))
     run_id = store.start_run(
         project, experiment, config["predictor"], config["requires_training"], config["lm_model"], run_id
@@ -198,11 +215,11 @@ def evaluate(data: Dataset, store: RunStore, model_name: str = "classifier", ver
         **dataset_params(data.source, {split: size}),
     }
     _record(store, run_id, rows, scored, metrics, params, sample_size)
-    return EvaluateResult(metrics[split]["accuracy"], size, split, run_id, scored)
+    return EvaluateResult(metrics[split]["accuracy"], size, split, run_id, scored, model_name)
 
 
 def evaluate_best(data: Dataset, store: RunStore, model_names: list[str], split: str = "test",
-                  eval_size: int | None = BEST_EVAL_SIZE, metric: str = "validation_accuracy",
+                  eval_size: int | None = None, metric: str = "validation_accuracy",
                   **options) -> EvaluateResult:
     """Evaluate the model whose latest version has the highest metric; ties go to the first named."""
     best = max(model_names, key=lambda name: store.resolve(name)["metrics"][metric])

@@ -170,6 +170,12 @@ class RunStore:
         return version
 
     def set_alias(self, name: str, alias: str, version: int) -> None:
+        """Point an alias at a version that exists; numbers and ``latest`` name versions themselves."""
+        if not alias or alias == "latest" or alias.isdigit():
+            raise ValueError(f"'{alias}' cannot be an alias")
+        versions = self.table("model_versions")
+        if versions.filter((F.col("name") == name) & (F.col("version") == version)).isEmpty():
+            raise ValueError(f"model '{name}' has no version {version}")
         self.append("model_aliases", [(name, alias, version, _now())])
 
     def resolve(self, name: str, version: int | str | None = None) -> dict:

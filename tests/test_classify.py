@@ -58,8 +58,9 @@ def test_tune_and_evaluate(spark, store, data):
     assert evaluate(data, store, "m", "live").accuracy == 1.0
     assert evaluate(data, store, "m", 1, "validation").accuracy == 1.0
     assert evaluate(data, store, "m", 1, "train_full").num_examples == 160
-    best = evaluate_best(data, store, ["m", "m"])
-    assert best.num_examples == 10 and best.split == "test"
+    best = evaluate_best(data, store, ["m", "m"], eval_size=10)
+    assert best.num_examples == 10 and best.split == "test" and best.model_name == "m"
+    assert evaluate_best(data, store, ["m"]).num_examples == 40
     capped = evaluate(data, store, "m", "1", "train", eval_size=5, run_id="r5")
     assert (capped.num_examples, capped.run_id) == (5, "r5")
     assert params(store, "r5")["eval_size"] == "5"
@@ -80,6 +81,92 @@ def test_invalid_rows_stop_the_job(spark, store, data):
         evaluate(Dataset(data.examples.union(odd), TASK), store, "ok")
 
 
+def test_missing_and_repeated_ids_stop_the_job(spark, store, data):
+    for extra in ([(None, "text", "malaria", "train")], [(0, "text", "malaria", "train")]):
+        schema = "example_id long, symptoms string, diagnosis string, split string"
+        broken = Dataset(data.examples.union(spark.createDataFrame(extra, schema)), TASK)
+        with pytest.raises(ValueError, match="null_ids=1" if extra[0][0] is None else "repeated_ids=1"):
+            tune(broken, predictor("majority"), store)
+    assert store.table("runs").isEmpty()
+
+
+def test_aliases_are_checked(store, data):
+    tune(data, predictor("majority"), store, model_name="named")
+    for alias, version in (("latest", 1), ("7", 1), ("", 1), ("live", 99)):
+        with pytest.raises(ValueError):
+            store.set_alias("named", alias, version)
+    store.set_alias("named", "live", 1)
+    assert store.resolve("named", "live")["version"] == 1
+
+
+def test_comparisons_take_the_latest_value(store):
+    from tagwright.operators import compare
+
+    for run, framework in (("a", "words"), ("b", "majority")):
+        store.start_run("p", "e", framework, True, run_id=run)
+    store.log_metrics("a", [("validation", "accuracy", 0.9)])
+    store.log_metrics("b", [("validation", "accuracy", 0.6)])
+    store.log_metrics("a", [("validation", "accuracy", 0.5)])
+    log = store.table("run_metrics")
+    got = {r.run_id: (r.validation_accuracy, r.framework) for r in compare.compare_runs(log, runs=store.table("runs")).collect()}
+    assert got == {"a": (0.5, "words"), "b": (0.6, "majority")}
+    assert compare.metric_diff(log, "a", "b").first().difference == pytest.approx(0.1)
+    assert compare.winner(log, "a", "b").first().winner == "b"
+    assert tuple(compare.best_run(log).first()) == ("b", 0.6)
+    store.log_metrics("a", [("validation", "accuracy", 0.6)])
+    tied = store.table("run_metrics")
+    assert compare.best_run(tied).first().run_id == "a" and compare.best_run(tied, order=["b", "a"]).first().run_id == "b"
+
+
+def test_tokens_and_errors_are_recorded(spark, store, data):
+    from tagwright.operators.predict import Reply
+
+    def counting(model):
+        def complete(system, messages):
+            if any("case 7 " in m for m in messages):
+                raise ConnectionError("down")
+            return [Reply("malaria", 10, 1) for m in messages]
+
+        return complete
+
+    result = tune(data, predictor("callable", build=counting, max_retries=0), store)
+    kept = {(r.split, r.metric): r.value for r in store.latest_metrics().collect()}
+    failed = result.scored.filter("error is not null").first()
+    sizes = {"train": result.num_train_examples, "validation": result.num_val_examples}
+    for split, n in sizes.items():
+        errors = 1.0 if failed.split == split else 0.0
+        assert kept[split, "errors"] == errors and kept[split, "prompt_tokens"] == 10 * (n - errors)
+    assert result.scored.filter("error is not null and correct = 1").count() == 0
+
+
+def test_search_asks_each_candidate_about_each_row_once(spark, data):
+    from tagwright.operators import search
+    from tagwright.operators.score import score  # noqa: F401
+
+    asked = spark.sparkContext.accumulator(0)
+
+    def run(rows, candidates):
+        def count(batches):
+            for batch in batches:
+                asked.add(len(batch) * len(candidates))
+                for c in candidates:
+                    yield batch.assign(candidate_id=c, actual=batch["diagnosis"], predicted="malaria")[
+                        ["example_id", "candidate_id", "actual", "predicted"]
+                    ]
+
+        return rows.mapInPandas(count, "example_id long, candidate_id int, actual string, predicted string")
+
+    plan = search.Budget(candidates=3, pool_rows=40, minibatch=5, full_every=2)
+    trials = search.search(data.population("train"), [1, 2, 3], run, plan)
+    trials.collect(), trials.count()
+    chosen = search.write_once(search.sample_n(data.population("train"), 40, "pool:42"), "pool")
+    rounds = [search.minibatch_sample(chosen, 5, r) for r in (1, 2, 3)]
+    tried = len({r.example_id for part in rounds for r in part.collect()})
+    leaders = len(trials.filter("full_accuracy is not null").collect())
+    assert asked.value == 3 * tried + leaders * (40 - tried)
+    assert {r.full_examples for r in trials.collect()} - {None} == {40}
+
+
 def test_wrong_rows_are_kept_with_their_text(spark, store, data):
     texts = {r.example_id: r.symptoms for r in data.examples.collect()}
     schema = "example_id long, actual string, predicted string, symptoms string, split string"

@@ -147,3 +147,55 @@ def test_model_options_reach_the_call(spark):
 
     chosen = predictor("callable", build=build, model=ModelOptions("local/malaria"))
     assert chosen.fit(make_examples(spark, 5), TASK).predict(make_examples(spark, 5)).first().predicted == "malaria"
+
+
+def fragile_call():
+    """Fails for a batch in which any message speaks of malaria."""
+    inner = cue_call()
+
+    def complete(system, messages):
+        if any("malaria" in m.split("\n\n")[0] for m in messages):
+            raise ConnectionError("down")
+        return inner(system, messages)
+
+    return complete
+
+
+def test_a_failing_call_costs_its_own_rows_alone(spark):
+    df = make_examples(spark, 60)
+    done = predict.predict_once(predict.predict(df, fragile_call, Prompt(TASK), max_retries=1))
+    bad = done.filter("error is not null").collect()
+    assert len(bad) == 20 and {(r.actual, r.error, r.valid, r.attempts, r.predicted) for r in bad} == {
+        ("malaria", "ConnectionError: down", False, 2, None)
+    }
+    assert done.filter("valid").count() == 40
+    asked = spark.sparkContext.accumulator(0)
+
+    def build():
+        inner = cue_call()
+
+        def complete(system, messages):
+            asked.add(len(messages))
+            return inner(system, messages)
+
+        return complete
+
+    whole = predict.predict_once(
+        predict.predict_missing(df, done.filter("example_id <> 0"), lambda rows: predict.predict(rows, build, Prompt(TASK)))
+    )
+    assert whole.count() == 60 and whole.filter("valid").count() == 60 and asked.value == 21
+
+
+def test_odd_reasoning_is_kept_as_text(spark):
+    def build():
+        return lambda system, messages: ['{"reasoning": ["a", 1], "diagnosis": "malaria"}'] * len(messages)
+
+    row = predict.predict(make_examples(spark, 1), build, Prompt(TASK, "reasoned")).first()
+    assert (row.reasoning, row.predicted) == ('["a", 1]', "malaria")
+
+
+def test_validator_decides_on_retries(spark):
+    got = predict.predict(
+        make_examples(spark, 10), stubborn_call, Prompt(TASK), max_retries=1, validator=lambda label: label.startswith("9")
+    ).collect()
+    assert {(r.attempts, r.valid, r.predicted) for r in got} == {(1, True, "9. flu")}
