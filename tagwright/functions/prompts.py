@@ -14,21 +14,13 @@ FEEDBACK = 'Invalid {noun} "{answer}". Must be one of: {labels}'
 
 STYLES = ("answer_only", "structured", "reasoned")
 
+# What the parser of answers asks for; case and outer blanks it forgives.
 _RULES = {
-    "answer_only": (
-        "Reply with one entry of the list and nothing else.",
-        "Write it exactly as listed: lower case, blanks between words.",
-        "Leave out numbers, bullets and explanations.",
-    ),
-    "structured": (
-        "Pick exactly one entry of the list.",
-        "Write it exactly as listed: lower case, blanks between words.",
-        'Return a JSON object of the form {"diagnosis": "<entry>"}.',
-    ),
+    "answer_only": ("The whole reply is read as the answer, so give a list entry alone.",),
+    "structured": ('The reply is read as a JSON object whose key "diagnosis" holds a list entry.',),
     "reasoned": (
-        "Think step by step before you answer.",
-        "Pick exactly one entry of the list.",
-        'Return a JSON object of the form {"reasoning": "<steps>", "diagnosis": "<entry>"}.',
+        'The reply is read as a JSON object: the key "reasoning" holds your steps, '
+        'the key "diagnosis" after it a list entry.',
     ),
 }
 

@@ -26,14 +26,22 @@ SHOWN = 5
 def render_prompt(rows: DataFrame, prompts: list[Prompt]) -> DataFrame:
     """System and user text of every row under each prompt.
 
-    The system text is a literal; it is not joined to the rows.
+    The system text is a literal; it is not joined to the rows.  Each prompt words
+    the user text itself.
     """
     variants = F.array(
-        *[F.struct(F.lit(p.style).alias("style"), F.lit(p.system).alias("system_prompt")) for p in prompts]
+        *[
+            F.struct(
+                F.lit(p.task.name).alias("task"),
+                F.lit(p.style).alias("style"),
+                F.lit(p.system).alias("system_prompt"),
+                p.user_column(F.col("symptoms")).alias("user_prompt"),
+            )
+            for p in prompts
+        ]
     )
-    user = prompts[0].user_column(F.col("symptoms"))
-    return rows.select("example_id", user.alias("user_prompt"), F.explode(variants).alias("v")).select(
-        "example_id", "v.style", "v.system_prompt", "user_prompt"
+    return rows.select("example_id", F.explode(variants).alias("v")).select(
+        "example_id", "v.task", "v.style", "v.system_prompt", "v.user_prompt"
     )
 
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from tagwright.functions.prompts import STYLES, Prompt
 from tagwright.functions.text import WHITESPACE
-from tagwright.operators import report
-from tagwright.sources.tables import LANGUAGE_TASK, VERDICT_TASK
+from tagwright.sources.tables import VERDICT_TASK
 
 _BLANKS = "||".join(f"chr({ord(c)})" for c in WHITESPACE)
 
@@ -169,10 +167,55 @@ FROM (SELECT {column} AS top, count(*) AS freq, min(example_id) AS first_id FROM
   WHERE {column} IS NOT NULL GROUP BY {column} ORDER BY freq DESC, first_id LIMIT 1)"""
 
 
+# Prompts as they are to be, word by word.
+_LANGUAGE_HEAD = """You sort entries for language identification. Read each entry and name the single most likely language.
+
+Allowed values of language:
+1. de
+2. en
+3. es
+4. fr
+
+Rules:
+- """
+
+_RULE = {
+    "answer_only": "The whole reply is read as the answer, so give a list entry alone.",
+    "structured": 'The reply is read as a JSON object whose key "diagnosis" holds a list entry.',
+    "reasoned": 'The reply is read as a JSON object: the key "reasoning" holds your steps, '
+    'the key "diagnosis" after it a list entry.',
+}
+
+_ORIGIN_PROMPT = """Guess.
+
+Allowed values of origin:
+1. europe
+2. overseas
+
+Rules:
+- The whole reply is read as the answer, so give a list entry alone."""
+
+_VERDICT_INSTRUCTIONS = (
+    "You sort entries for content review. Read each entry and name the single most likely verdict."
+)
+
+_VERDICT_PROMPT = _VERDICT_INSTRUCTIONS + """
+
+Allowed values of verdict:
+1. clean
+2. low quality
+3. low quality toxic
+4. toxic
+
+Rules:
+- """ + _RULE["reasoned"]
+
+
 def _prompts() -> str:
-    variants = ", ".join(f"('{s}', {_quote(Prompt(LANGUAGE_TASK, s).system)})" for s in STYLES)
-    return _with(_LANGUAGE) + f"""SELECT example_id, style, system_prompt, 'Document: ' || symptoms AS user_prompt
-FROM language CROSS JOIN (VALUES {variants}) AS t(style, system_prompt)"""
+    variants = [f"('language', '{s}', {_quote(_LANGUAGE_HEAD + rule)}, 'Document: ')" for s, rule in _RULE.items()]
+    variants.append(f"('origin', 'answer_only', {_quote(_ORIGIN_PROMPT)}, 'Entry: ')")
+    return _with(_LANGUAGE) + f"""SELECT example_id, task, style, system_prompt, label || symptoms AS user_prompt
+FROM language CROSS JOIN (VALUES {", ".join(variants)}) AS t(task, style, system_prompt, label)"""
 
 
 def _feedback(answer: str) -> str:
@@ -238,16 +281,15 @@ in_full AS (
 
 
 def _report() -> str:
-    prompt = Prompt(VERDICT_TASK, "reasoned")
     return _with(_VERDICT, _PARTS, _demo_ids("shown", "labeled:42", 7)) + f"""
-SELECT '{report.TITLE}' AS section, 0 AS ord, 'Task: verdict, style: reasoned' AS text
-UNION ALL SELECT '{report.INSTRUCTIONS}', 0, {_quote(prompt.instruction_text)}
-UNION ALL SELECT '{report.EXAMPLES}', 0, 'Total examples: ' || count(*) FROM shown
-UNION ALL SELECT '{report.EXAMPLES}', ord::INT, 'Example ' || ord || ' (labeled): ' || symptoms || ' => ' || diagnosis
+SELECT 'OPTIMIZED PROMPT DETAILS' AS section, 0 AS ord, 'Task: verdict, style: reasoned' AS text
+UNION ALL SELECT 'SIGNATURE-LEVEL INSTRUCTIONS', 0, {_quote(_VERDICT_INSTRUCTIONS)}
+UNION ALL SELECT 'FEW-SHOT EXAMPLES', 0, 'Total examples: ' || count(*) FROM shown
+UNION ALL SELECT 'FEW-SHOT EXAMPLES', ord::INT, 'Example ' || ord || ' (labeled): ' || symptoms || ' => ' || diagnosis
   FROM shown JOIN parts USING (example_id) WHERE ord <= 5
-UNION ALL SELECT '{report.EXAMPLES}', 6, '... and ' || (n - 5) || ' more examples'
+UNION ALL SELECT 'FEW-SHOT EXAMPLES', 6, '... and ' || (n - 5) || ' more examples'
   FROM (SELECT count(*) AS n FROM shown) WHERE n > 5
-UNION ALL SELECT '{report.SAMPLE}', 0, {_quote(prompt.system)} || chr(10) || chr(10) || 'Document: ' || symptoms
+UNION ALL SELECT 'ACTUAL PROMPT EXAMPLE', 0, {_quote(_VERDICT_PROMPT)} || chr(10) || chr(10) || 'Document: ' || symptoms
   FROM parts WHERE example_id = (SELECT min(example_id) FROM parts WHERE part = 'train')"""
 
 
@@ -390,15 +432,13 @@ FROM run_table""",
         "metrics_latest": """SELECT 'run-' || user_id AS run_id,
   CASE WHEN event_type IN ('click', 'view') THEN 'train' ELSE 'validation' END AS split, event_type AS metric, value
 FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""",
-        "next_model_version": """SELECT 'model-' || user_id AS name,
-  coalesce(max(event_id + 1) FILTER (WHERE event_type = 'signup'), 0) + 1 AS next_version
-FROM events GROUP BY user_id""",
+        "next_model_version": """SELECT 'model-' || user_id AS name, max(event_id + 1) + 1 AS next_version
+FROM events GROUP BY user_id UNION ALL SELECT min('model-' || user_id) || '-new', 1 FROM events""",
         "latest_model_version": """SELECT 'model-' || user_id AS name, max(event_id) + 1 AS version,
-  'run-' || max(event_id) AS run_id FROM events WHERE event_type = 'signup' GROUP BY user_id""",
+  'run-' || max(event_id) AS run_id FROM events GROUP BY user_id""",
         "alias_resolve": """SELECT 'model-' || user_id AS name, event_type AS alias,
   json_extract_string(props, '$.k')::BIGINT AS version
-FROM events WHERE event_type IN ('click', 'view')
-QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""",
+FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""",
         "runs_by_tag": """SELECT 'run-' || event_id AS run_id, '/events/' || event_type || '/user-' || user_id AS experiment
 FROM events WHERE event_type = 'purchase' AND value >= 20""",
         "run_provider": """SELECT 'run-' || p_partkey AS run_id,
@@ -420,4 +460,94 @@ FROM (SELECT b.value - a.value AS difference FROM run_metrics a JOIN run_metrics
   ORDER BY example_id LIMIT 10) GROUP BY run_id""",
         "best_run": runs + """SELECT run_id, value FROM run_metrics
 WHERE split = 'validation' AND metric = 'accuracy' ORDER BY value DESC, run_id LIMIT 1""",
+        **_tracked(runs),
+        **_unusual(),
+    }
+
+
+def _tracked(runs: str) -> dict[str, str]:
+    """What a tuned and evaluated run of the most frequent label leaves in the tables."""
+    value = "SELECT value FROM run_metrics WHERE run_id = 'majority' AND split = '{}' AND metric = 'accuracy'"
+    size = "SELECT count(*)::VARCHAR FROM parts WHERE part = '{}'"
+    params = {
+        "framework": "'majority'",
+        "requires_training": "'True'",
+        "train_size": f"({size.format('train')})",
+        "val_size": f"({size.format('validation')})",
+        "dataset_train_source": "'documents+labels'",
+        "dataset_train_size": f"({size.format('train')})",
+        "dataset_validation_source": "'documents+labels'",
+        "dataset_validation_size": f"({size.format('validation')})",
+        "model_name": "'m'",
+        "model_version": "'best'",
+        "split": "'test'",
+        "eval_size": f"({size.format('test')})",
+        "dataset_test_source": "'documents+labels'",
+        "dataset_test_size": f"({size.format('test')})",
+    }
+    cues = _with(_LANGUAGE, _cues(1))
+    return {
+        "store_params": _with(_VERDICT, _PARTS)
+        + "\nUNION ALL ".join(f"SELECT 'majority' AS run_id, '{k}' AS key, {v} AS value" for k, v in params.items()),
+        "store_metrics": runs + "SELECT * FROM run_metrics WHERE run_id = 'majority'",
+        "store_versions": runs + f"""SELECT 'm' AS name, 1::BIGINT AS version, 'majority' AS run_id,
+  ({value.format("train")}) AS train_accuracy, ({value.format("validation")}) AS validation_accuracy,
+  'majority' AS predictor, 1::BIGINT AS alias_version""",
+        "compare_logged_runs": runs + f"""SELECT 'majority' AS run_id, ({value.format("train")}) AS train_accuracy,
+  ({value.format("validation")}) AS validation_accuracy, ({value.format("test")}) AS test_accuracy,
+  'majority' AS framework""",
+        "best_logged_run": runs + f"""SELECT 'majority' AS run_id, ({value.format("validation")}) AS value""",
+        "run_tokens": cues + """SELECT split, 'prompt_tokens' AS metric, sum(prompt_tokens)::DOUBLE AS value
+FROM cues WHERE split <> 'test' GROUP BY split
+UNION ALL SELECT split, 'completion_tokens', sum(completion_tokens)::DOUBLE FROM cues WHERE split <> 'test' GROUP BY split
+UNION ALL SELECT split, 'errors', 0.0 FROM cues WHERE split <> 'test' GROUP BY split""",
+    }
+
+
+def _unusual() -> dict[str, str]:
+    keys = """WITH keys AS (SELECT CASE WHEN l_orderkey % 7 <> 0 THEN l_orderkey || '-' || l_linenumber END AS example_id
+  FROM lineitem)
+"""
+    by_length = _with(_VERDICT, _PARTS, """answered AS (SELECT example_id, part AS split, diagnosis AS actual,
+  CASE WHEN length(symptoms) < 500 THEN 'low quality' ELSE 'clean' END AS predicted FROM parts)""")
+    cues = _with(_LANGUAGE, _cues(0))
+    sizes = "\nUNION ALL ".join(
+        f"SELECT '{name}' AS name, {known} AS known, count(*) AS num_rows FROM language WHERE {where}"
+        for name, known, where in (
+            ("train", "true", f"split = 'train' AND md5('42:' || example_id) < '{_SHARE}'"),
+            ("validation", "true", f"split = 'train' AND md5('42:' || example_id) >= '{_SHARE}'"),
+            ("test", "true", "split = 'test'"),
+            ("all", "true", "true"),
+            ("train_full", "true", "split = 'train'"),
+            ("holdout", "false", "false"),
+        )
+    )
+    return {
+        "repeated_ids": """SELECT count(*) FILTER (WHERE user_id % 5 = 0) AS null_ids,
+  count(*) FILTER (WHERE user_id % 5 <> 0) - count(DISTINCT user_id) FILTER (WHERE user_id % 5 <> 0) AS repeated_ids
+FROM events""",
+        "first_n_large": keys + "SELECT * FROM keys WHERE example_id IS NOT NULL ORDER BY example_id LIMIT 10001",
+        "sample_large": keys + """SELECT * FROM keys WHERE example_id IS NOT NULL
+ORDER BY md5('large:' || example_id) LIMIT 12000""",
+        "parts_with_other_split": _with(_VERDICT, _PARTS) + """SELECT example_id, part AS split FROM parts
+WHERE example_id % 7 NOT IN (0, 1)""",
+        "population_sizes": _with(_LANGUAGE) + sizes,
+        "with_roles": _with(_LANGUAGE) + "SELECT example_id, symptoms AS input_text, diagnosis AS label FROM language",
+        "registered_predictor": by_length + f"SELECT *, {_CORRECT} AS correct FROM answered",
+        "own_metric": by_length + """SELECT split, sum(CASE WHEN actual = predicted THEN 1.0
+  WHEN split_part(actual, ' ', 1) = split_part(predicted, ' ', 1) THEN 0.5 ELSE 0.0 END)::DOUBLE AS points
+FROM answered GROUP BY split""",
+        "own_validator": _with(_VERDICT, _NUMBERED)
+        + "SELECT example_id, NOT starts_with(predicted, '1. ') AS valid FROM answers",
+        # The model answers EN to any feedback.
+        "predict_with_validator": cues + """SELECT example_id,
+  CASE WHEN first_answer = 'fr' THEN 'fr' ELSE 'EN' END AS predicted,
+  CASE WHEN first_answer = 'fr' THEN 1 ELSE 2 END AS attempts, true AS valid FROM answered""",
+        "predict_with_errors": cues + f"""SELECT example_id, CASE WHEN NOT bad THEN first_answer END AS predicted,
+  NOT bad AND first_answer <> 'unknown' AS valid, 1 AS attempts,
+  CASE WHEN bad THEN 'ConnectionError: no answer' END AS error,
+  CASE WHEN bad THEN 0.0 ELSE (first_answer = actual)::INT::DOUBLE END AS correct
+FROM (SELECT *, contains(message, ' der ') AS bad FROM answered)""",
+        "predict_resumed": cues + """SELECT example_id, first_answer AS predicted, first_answer <> 'unknown' AS valid,
+  NULL::VARCHAR AS error FROM answered""",
     }

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +13,8 @@ from pyspark.sql import functions as F
 from tagwright.functions.prompts import STYLES, Prompt
 from tagwright.functions.text import normalize_label, strip
 from tagwright.operators import compare, demos, output, profile, report, rows, search, split, validate
-from tagwright.operators.predict import Reply
-from tagwright.operators.predictors import nearest_by_candidate, predictor
+from tagwright.operators.predict import Reply, carried, predict, predict_missing, predict_once
+from tagwright.operators.predictors import available, nearest_by_candidate, predictor, register
 from tagwright.operators.score import (
     accuracy,
     accuracy_by_split,
@@ -23,11 +25,12 @@ from tagwright.operators.score import (
     score,
     score_rows,
 )
-from tagwright.plans.classify import BEST_EVAL_SIZE, evaluate, tune
+from tagwright.plans import classify
+from tagwright.plans.classify import evaluate, tune
 from tagwright.session import new_folder, write_once
 from tagwright.sources import tables, tracking
-from tagwright.sources.examples import all_splits, with_label
-from tagwright.spec import TaskSpec
+from tagwright.sources.examples import Dataset, all_splits, population, with_label, with_roles
+from tagwright.spec import POPULATIONS, TaskSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -192,7 +195,9 @@ def describe_categorical(spark, folder):
 
 @query("render_prompt")
 def render_prompt(spark, folder):
-    prompts = [Prompt(tables.LANGUAGE_TASK, style) for style in STYLES]
+    # A second task words its texts in its own way; own instructions replace the usual ones.
+    origin = TaskSpec("origin", ("europe", "overseas"), "origin guessing", input_label="Entry", label_noun="origin")
+    prompts = [Prompt(tables.LANGUAGE_TASK, style) for style in STYLES] + [Prompt(origin, instructions="Guess.")]
     return report.render_prompt(tables.language(spark, folder).examples, prompts)
 
 
@@ -322,7 +327,7 @@ def _cue_model(model):
 def _cue_predictions(spark, folder, max_retries):
     data = tables.language(spark, folder)
     chosen = predictor("callable", build=_cue_model, max_retries=max_retries)
-    return chosen.fit(data.population("train"), data.task).predict(data.parts())
+    return chosen.fit(data.population("train"), data.task).predict(data.parts()).drop("error")
 
 
 @query("predict_callable")
@@ -524,9 +529,224 @@ def best_run(spark, folder):
 
 @query("evaluate_best")
 def evaluate_best(spark, folder):
-    """The run that is best on validation rows, on the first test rows."""
-    best = compare.best_run(_run_metrics(spark, folder)).first()["run_id"]
+    """Of three tuned models the best on validation rows, on the first ten test rows."""
+    store, data = _store(spark), tables.verdict(spark, folder)
+    for name in RUNS:
+        tune(data, predictor(name), store, model_name=name, run_id=name)
+    result = classify.evaluate_best(data, store, list(RUNS), eval_size=10)
+    return checked(accuracy(result.scored)).withColumn("run_id", F.lit(result.model_name))
+
+
+# --- tables that the pipelines write -----------------------------------------
+
+
+def _tracked(spark, folder):
+    """A run that logged something else before it was tuned, and was resumed to be evaluated."""
+    store, data = _store(spark), tables.verdict(spark, folder)
+    store.log_metrics("majority", [("validation", "accuracy", 1.0), ("train", "accuracy", 1.0)])
+    tune(data, predictor("majority"), store, model_name="m", run_id="majority", aliases=["best"])
+    evaluate(data, store, "m", "best", run_id="majority")
+    return store
+
+
+@query("store_params")
+def store_params(spark, folder):
+    return _tracked(spark, folder).table("run_params").select("run_id", "key", "value")
+
+
+@query("store_metrics")
+def store_metrics(spark, folder):
+    return _tracked(spark, folder).latest_metrics()
+
+
+@query("store_versions")
+def store_versions(spark, folder):
+    store = _tracked(spark, folder)
+    resolved = store.resolve("m", "best")["version"]
+    return store.table("model_versions").select(
+        "name",
+        "version",
+        "run_id",
+        F.col("metrics")["train_accuracy"].alias("train_accuracy"),
+        F.col("metrics")["validation_accuracy"].alias("validation_accuracy"),
+        F.get_json_object("config_json", "$.predictor").alias("predictor"),
+        F.lit(resolved).cast("long").alias("alias_version"),
+    )
+
+
+@query("compare_logged_runs")
+def compare_logged_runs(spark, folder):
+    store = _tracked(spark, folder)
+    return compare.compare_runs(store.table("run_metrics"), runs=store.table("runs"))
+
+
+@query("best_logged_run")
+def best_logged_run(spark, folder):
+    return compare.best_run(_tracked(spark, folder).table("run_metrics"), order=["other", "majority"])
+
+
+@query("run_tokens")
+def run_tokens(spark, folder):
+    store = _store(spark)
+    tune(tables.language(spark, folder), predictor("callable", build=_cue_model), store, run_id="cues")
+    used = ("prompt_tokens", "completion_tokens", "errors")
+    return store.latest_metrics().filter(F.col("metric").isin(*used)).select("split", "metric", "value")
+
+
+# --- ids, caps and splits that are out of the ordinary --------------------------
+
+
+@query("repeated_ids")
+def repeated_ids(spark, folder):
+    events = tables.read(spark, folder, "events")
+    # One user in five has no id.
+    return validate.id_problems(events.select(F.when(F.col("user_id") % 5 != 0, F.col("user_id")).alias("example_id")))
+
+
+def _line_keys(spark, folder):
+    """Line items by a string key that is null for some."""
+    line = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    return tables.read(spark, folder, "lineitem").select(F.when(F.col("l_orderkey") % 7 != 0, line).alias("example_id"))
+
+
+@query("first_n_large")
+def first_n_large(spark, folder):
+    return rows.first_n(_line_keys(spark, folder), rows.SMALL + 1)
+
+
+@query("sample_large")
+def sample_large(spark, folder):
+    return rows.sample_n(_line_keys(spark, folder), rows.SMALL + 2_000, "large")
+
+
+@query("parts_with_other_split")
+def parts_with_other_split(spark, folder):
+    examples = tables.verdict(spark, folder).examples
+    other = F.when(F.col("example_id") % 7 == 0, "dev").when(F.col("example_id") % 7 == 1, "validation")
+    mixed = examples.withColumn("split", F.coalesce(other, "split"))
+    return Dataset(mixed, tables.VERDICT_TASK).parts().select("example_id", "split")
+
+
+@query("population_sizes")
+def population_sizes(spark, folder):
+    """Rows of each population by name; a name that there is not is refused."""
+    examples = tables.language(spark, folder).examples
+    found = []
+    for name in (*POPULATIONS, "holdout"):
+        try:
+            counted = population(examples, name).agg(F.count(F.lit(1)).alias("num_rows"))
+            found.append(counted.select(F.lit(name).alias("name"), F.lit(True).alias("known"), "num_rows"))
+        except ValueError:
+            found.append(examples.limit(0).agg(F.lit(name).alias("name"), F.lit(False).alias("known"), F.count(F.lit(1)).alias("num_rows")))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("with_roles")
+def roles(spark, folder):
+    return with_roles(tables.language(spark, folder).examples).select(
+        "example_id", F.col("inputs.symptoms").alias("input_text"), "label"
+    )
+
+
+# --- a user's own predictor, metric, validator and failing calls ------------------
+
+
+@register
+@dataclass(frozen=True)
+class LengthPredictor:
+    """Calls short texts of low quality; stands for a predictor that a user registers."""
+
+    name: ClassVar[str] = "by_length"
+    requires_training: ClassVar[bool] = False
+    shortest: int = 200
+
+    def options(self):
+        return {"shortest": self.shortest}
+
+    def fit(self, train, task, validation=None):
+        return self
+
+    def restore(self, table, description, task):
+        return self
+
+    def artifact(self):
+        return None, {}
+
+    def predict(self, rows, keep_text=False):
+        label = F.when(F.length("symptoms") < self.shortest, "low quality").otherwise("clean")
+        answered = carried(rows.withColumn("predicted", label))
+        return answered if keep_text else answered.drop("symptoms")
+
+
+@query("registered_predictor")
+def registered_predictor(spark, folder):
+    if "by_length" not in available():
+        raise LookupError("the predictor is not registered")
+    return _scored(spark, folder, "by_length", shortest=500)[1]
+
+
+@query("own_metric")
+def own_metric(spark, folder):
+    """Half a point for an answer that shares the first word with the label."""
     data = tables.verdict(spark, folder)
-    model = predictor(best).fit(data.population("train"), data.task)
-    first = rows.first_n(data.population("test"), BEST_EVAL_SIZE)
-    return checked(accuracy(score(model.predict(first)))).withColumn("run_id", F.lit(best))
+
+    def partial(actual, predicted):
+        first = F.substring_index(actual, " ", 1) == F.substring_index(predicted, " ", 1)
+        return F.when(actual == predicted, 1.0).when(first, 0.5).otherwise(0.0)
+
+    answers = predictor("by_length", shortest=500).predict(data.parts())
+    return score(answers, partial).groupBy("split").agg(F.sum("correct").alias("points"))
+
+
+@query("own_validator")
+def own_validator(spark, folder):
+    answers = _numbered_answers(spark, folder)
+    flagged = validate.flag_invalid_output(
+        answers, tables.VERDICT_TASK, validator=lambda answer: ~F.startswith(answer, F.lit("1. "))
+    )
+    return flagged.select("example_id", "valid")
+
+
+@query("predict_with_validator")
+def predict_with_validator(spark, folder):
+    """Retries until the user's validator is content, whatever the vocabulary says."""
+    data = tables.language(spark, folder)
+    chosen = predictor("callable", build=_cue_model, max_retries=1, validator=lambda label: label in ("fr", "EN"))
+    done = chosen.fit(data.population("train"), data.task).predict(data.parts())
+    return done.select("example_id", "predicted", "attempts", "valid")
+
+
+def _fragile_model(failing):
+    """The cue-word model, out of order for messages with a certain word."""
+
+    def build():
+        inner = _cue_model(None)
+
+        def complete(system, messages):
+            if any(failing in m for m in messages):
+                raise ConnectionError("no answer")
+            return inner(system, messages)
+
+        return complete
+
+    return build
+
+
+def _fragile_predictions(spark, folder, failing):
+    data = tables.language(spark, folder)
+    return predict(data.parts(), _fragile_model(failing), Prompt(data.task))
+
+
+@query("predict_with_errors")
+def predict_with_errors(spark, folder):
+    done = _fragile_predictions(spark, folder, " der ")
+    return score(done).select("example_id", "predicted", "valid", "attempts", "error", "correct")
+
+
+@query("predict_resumed")
+def predict_resumed(spark, folder):
+    """What failed is asked again; what was answered is kept."""
+    data = tables.language(spark, folder)
+    done = predict_once(_fragile_predictions(spark, folder, " der "))
+    again = predict_missing(data.parts(), done, lambda rows: predict(rows, lambda: _cue_model(None), Prompt(data.task)))
+    return again.select("example_id", "predicted", "valid", "error")

@@ -70,16 +70,14 @@ def run_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_names(spark: SparkSession, folder: str) -> DataFrame:
-    """One model per user of the event log."""
-    return read(spark, folder, "events").select(
-        F.concat(F.lit("model-"), F.col("user_id").cast("string")).alias("name")
-    )
+    """One model per user of the event log, and one that has no version yet."""
+    named = read(spark, folder, "events").select(F.concat(F.lit("model-"), F.col("user_id").cast("string")).alias("name"))
+    return named.unionByName(named.agg(F.concat(F.min("name"), F.lit("-new")).alias("name")))
 
 
 def version_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Sign-up events read as registered model versions."""
-    events = read(spark, folder, "events").filter(F.col("event_type") == "signup")
-    return events.select(
+    """Events read as registered model versions, one model per user."""
+    return read(spark, folder, "events").select(
         F.concat(F.lit("model-"), F.col("user_id").cast("string")).alias("name"),
         (F.col("event_id") + 1).alias("version"),
         F.concat(F.lit("run-"), F.col("event_id").cast("string")).alias("run_id"),
@@ -87,9 +85,8 @@ def version_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def alias_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Click and view events read as aliases being set."""
-    events = read(spark, folder, "events").filter(F.col("event_type").isin("click", "view"))
-    return events.select(
+    """Events read as aliases being set; the event type is the alias."""
+    return read(spark, folder, "events").select(
         F.concat(F.lit("model-"), F.col("user_id").cast("string")).alias("name"),
         F.col("event_type").alias("alias"),
         F.get_json_object("props", "$.k").cast("long").alias("version"),
