@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 import pyarrow as pa
@@ -10,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "12g",
                   folder: str | None = None) -> SparkSession:
     """A session for tests and benchmarks on one machine, whose driver does all the work.
 
-    ``folder`` is for intermediate tables; a new one for each process if not given.
+    ``folder`` is for intermediate tables, where Spark's own settings do not name one.
     """
-    folder = folder or f"/tmp/tagwright-local/{os.getpid()}"
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tagwright")
         .config("spark.driver.memory", memory)
@@ -27,9 +26,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
-        .config("spark.checkpoint.dir", f"file://{folder}")
-        .getOrCreate()
     )
+    spark = (builder.config("spark.checkpoint.dir", folder) if folder else builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -38,12 +36,11 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can read: the one that ``spark.checkpoint.dir`` names.
 
     Where it is unset a folder beside the tables of the warehouse is taken, which
-    a session's executors share as well, and the session keeps that choice.
+    a session's executors share as well.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tagwright-scratch"
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 

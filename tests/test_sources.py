@@ -80,12 +80,8 @@ def test_roles_and_union(spark):
 def test_shared_folder():
     from tagwright import session
 
-    class Conf(dict):
-        def set(self, key, value):
-            self[key] = value
-
     class Session:
-        conf = Conf({"spark.sql.warehouse.dir": "hdfs:/warehouse/"})
+        conf = dict({"spark.sql.warehouse.dir": "hdfs:/warehouse/"})
 
     assert session.shared_folder(Session()) == "hdfs:/warehouse/tagwright-scratch"
     Session.conf["spark.checkpoint.dir"] = "s3a://shared/x/"
