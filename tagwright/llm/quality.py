@@ -115,7 +115,7 @@ def _length(f: Facts) -> int:
 
 def _letters(f: Facts) -> int:
     rate = _share(f.letters + f.beyond_ascii, f.word_bytes)
-    return 0 if f.words < 5 else _vote(rate, rate < 0.78, rate > 0.9)
+    return 0 if f.words < 30 else _vote(rate, rate < 0.7, rate > 0.9)
 
 
 def _bare(f: Facts) -> int:
