@@ -18,6 +18,9 @@ from tagwright.session import small_frame
 MAX_BOOTSTRAPPED = 3
 MAX_LABELED = 4
 
+# A slice of about so many rows is fetched by id.
+SLICE_IDS = 1000
+
 # Example rows -> rows with ``actual`` and ``predicted``.
 Teacher = Callable[[DataFrame], DataFrame]
 
@@ -56,7 +59,12 @@ def bootstrap_ids(train: DataFrame, teacher: Teacher, k: int = MAX_BOOTSTRAPPED,
         bounds = hashed >= F.lit(_hash_bound(low))
         if high < 1.0:
             bounds = bounds & (hashed < F.lit(_hash_bound(high)))
-        scored = score(teacher(train.filter(bounds)))
+        part = train.filter(bounds)
+        if high * n <= SLICE_IDS:
+            # So few rows are found in the id column alone, and the scan is told their ids.
+            ids = [row[0] for row in train.select("example_id").filter(bounds).collect()]
+            part = train.filter(F.col("example_id").isin(ids))
+        scored = score(teacher(part))
         found += first_ids_by_hash(scored.filter(F.col("correct") == 1), k - len(found), salt)
         if len(found) >= k or high >= 1.0:
             break

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from typing import ClassVar
 
@@ -248,6 +248,8 @@ def _scored(spark, folder, name="words", **options):
 
 def _scored_runs(spark, folder):
     data = tables.verdict(spark, folder)
+    # Joined and stripped once; the three predictors fit and predict from what is written.
+    data = replace(data, examples=write_once(data.examples, "examples"))
     train, parts = data.population("train"), data.parts()
     runs = [
         score(predictor(name).fit(train, data.task).predict(parts)).withColumn("run_id", F.lit(name)) for name in RUNS
