@@ -14,7 +14,7 @@ import os
 import re
 import struct
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -187,15 +187,19 @@ class Rebuilt(NamedTuple):
     @classmethod
     def read(cls, data: bytes) -> Rebuilt:
         model = parse(data)
-        # Chunks can be encoded alone where the normaliser only marks blanks.
-        chunked = _splits(model) and not model.charsmap and not model.trim and model.dummy_prefix
+        # Chunks can be encoded and decoded alone where the normaliser only marks blanks and the mark is a piece.
+        marked = any(p.text == MARK and p.kind == NORMAL for p in model.pieces)
+        chunked = marked and _splits(model) and not model.charsmap and not model.trim and model.dummy_prefix
         kinds = np.array([p.kind for p in model.pieces])
         return cls(data, rebuild(model).to_str(), chunked, kinds == BYTE, kinds == UNKNOWN)
 
 
 def _bare(tokenizer: str) -> str:
-    """The tokenizer without its normaliser and its splitting of texts."""
-    return json.dumps(json.loads(tokenizer) | {"normalizer": None, "pre_tokenizer": None})
+    """The tokenizer without its normaliser, its splitting of texts, and the stripping of what it decodes."""
+    parts = json.loads(tokenizer)
+    steps = [step for step in parts["decoder"]["decoders"] if step["type"] != "Strip"]
+    decoder = parts["decoder"] | {"decoders": steps}
+    return json.dumps(parts | {"normalizer": None, "pre_tokenizer": None, "decoder": decoder})
 
 
 class Codec:
@@ -210,7 +214,7 @@ class Codec:
         self.tokenizer = Tokenizer.from_str(rebuilt.tokenizer)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=rebuilt.data)
         self.chunked = rebuilt.chunked
-        # Encodes chunks whose blanks are marked already.
+        # Encodes chunks whose blanks are marked already, and decodes them with their blanks.
         self.core = Tokenizer.from_str(_bare(rebuilt.tokenizer))
         self._forget()
         self.is_byte, self.is_unknown = rebuilt.is_byte, rebuilt.is_unknown
@@ -218,6 +222,7 @@ class Codec:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.ends, self.parity = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+        self.decoded: list[str] = []
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode chunks not met before, by threads, and compare them with the reference.
@@ -233,14 +238,15 @@ class Codec:
         before = len(self.reference.encode("\n"))
         expected = self.reference.encode(asked, num_threads=1)
         expected = [e if word else e[before:] for e, word in zip(expected, words)]
+        self.decoded += self.core.decode_batch(expected, skip_special_tokens=False)
         self.known.update(zip(chunks, range(len(self.parity), len(self.parity) + len(chunks))))
         sizes = np.fromiter(map(len, expected), np.int64, len(expected))
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(expected), np.int32, int(sizes.sum()))])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         self.parity = np.concatenate([self.parity, [a == b for a, b in zip(found, expected)]])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, how many each text has, and whether the rebuilt tokenizer and the reference agree.
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """All ids, how many each text has, whether the rebuilt tokenizer and the reference agree, and the texts decoded.
 
         Where they do not agree the ids are the reference's.
         """
@@ -249,7 +255,8 @@ class Codec:
             expected = self.reference.encode(texts, num_threads=1)
             sizes = np.fromiter(map(len, expected), np.int64, len(texts))
             same = np.array([a == b for a, b in zip(found, expected)], bool)
-            return np.fromiter(chain.from_iterable(expected), np.int32, int(sizes.sum())), sizes, same
+            flat = np.fromiter(chain.from_iterable(expected), np.int32, int(sizes.sum()))
+            return flat, sizes, same, self.decode(expected)
         if len(self.parity) > REMEMBERED:
             self._forget()
         # With the blank put before it, every chunk of a text has blanks of its own.
@@ -258,10 +265,13 @@ class Codec:
         self._learn(list({c for c in flat if c not in self.known}))
         place = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         of = np.repeat(np.arange(len(texts)), np.fromiter(map(len, cut), np.int64, len(cut)))
+        # The first blank was put there by the normaliser.
+        found = map(self.decoded.__getitem__, place.tolist())
+        decoded = ["".join(islice(found, len(chunks)))[1:] for chunks in cut]
         sizes = self.ends[place + 1] - self.ends[place]
         ids = self.flat[ragged(self.ends[place], sizes)]
         same = np.bincount(of, weights=~self.parity[place], minlength=len(texts)) == 0
-        return ids, np.bincount(of, weights=sizes, minlength=len(texts)).astype(np.int64), same
+        return ids, np.bincount(of, weights=sizes, minlength=len(texts)).astype(np.int64), same, decoded
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -296,7 +306,7 @@ def _encode(rebuilt: Rebuilt, carried: list[str]) -> Callable:
         for batch in batches:
             texts = [t or "" for t in batch["text"].to_pylist()]
             for start, end in _slices([len(t) for t in texts], _CHARS):
-                flat, sizes, parity = codec.encode(texts[start:end])
+                flat, sizes, parity, decoded = codec.encode(texts[start:end])
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 counts = [np.bincount(row[kind[flat]], minlength=len(sizes)) for kind in (codec.is_byte, codec.is_unknown)]
@@ -308,7 +318,7 @@ def _encode(rebuilt: Rebuilt, carried: list[str]) -> Callable:
                         pa.array(sizes.astype(np.int32)),
                         *[pa.array(c.astype(np.int32)) for c in counts],
                         pa.array(parity, pa.bool_()),
-                        pa.array(codec.decode(ids.to_pylist()), pa.string()),
+                        pa.array(decoded, pa.string()),
                     ],
                     names=[*carried, *field_names(_ENCODED)],
                 )

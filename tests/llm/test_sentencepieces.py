@@ -69,7 +69,7 @@ def test_parity(data):
             data = file.read()
     codec = sp.Codec(sp.Rebuilt.read(data))
     for batch in (texts(), texts()[::-1]):
-        flat, sizes, parity = codec.encode(batch)
+        flat, sizes, parity, decoded = codec.encode(batch)
         ids = [part.tolist() for part in np.split(flat, np.cumsum(sizes)[:-1])]
         want = codec.reference.encode(batch)
         assert ids == want
@@ -78,7 +78,7 @@ def test_parity(data):
         assert [t for t, p in zip(batch, parity) if not p] == [t for t, a, b in zip(batch, rebuilt, want) if a != b]
         assert parity.sum() >= len(batch) - 2
         if any(codec.is_byte):
-            assert codec.decode(ids) == codec.reference.decode(want)
+            assert decoded == codec.decode(ids) == codec.reference.decode(want)
 
 
 def test_query(spark, small_folder):
