@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagwright.llm.textbytes import (
-    PIECE_BYTES,
     column_bytes,
     field_names,
     mix,
@@ -38,6 +37,8 @@ BUCKETS = 1 << 15
 TRAIN_ROWS = 12_000
 TRAIN_PARTITIONS = 12
 ROUNDS = 25
+#: Bytes of text whose byte strings are hashed at a time.
+PIECE_BYTES = 256 << 10
 #: Documents with a lower score are rejected.
 THRESHOLD = 0.5
 
@@ -270,32 +271,42 @@ _FEATURES = "label double, buckets array<int>, weights array<float>"
 
 
 def _training_rows(posterior: dict[str, float]) -> Callable:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(part: pa.RecordBatch) -> pa.RecordBatch:
+        n, found = part.num_rows, []
+        for row, bucket in _rows_of_pieces(part["text"]):
+            found.append(np.unique(row * BUCKETS + bucket, return_counts=True))
+        pairs = np.concatenate([np.zeros(0, np.int64), *[p for p, _ in found]])
+        times = np.concatenate([np.zeros(0, np.int64), *[t for _, t in found]])
+        pairs, of = np.unique(pairs, return_inverse=True)
+        times = np.bincount(of, weights=times, minlength=len(pairs))
+        row = pairs // BUCKETS
+        total = np.bincount(row, weights=times, minlength=n)
+        seen = [facts(t or b"") for t in part["text"].cast(pa.binary()).to_pylist()]
+        levels = np.array([_levels(f) for f in seen], np.int64)
+        rows = np.concatenate([np.repeat(np.arange(n), levels.shape[1]), row])
+        order = np.argsort(rows, kind="stable")
+        buckets = np.concatenate([levels.reshape(-1), pairs % BUCKETS])[order].astype(np.int32)
+        weights = np.concatenate([np.ones(levels.size), times / total[row]])[order].astype(np.float32)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([posterior[_pattern(votes(f))] for f in seen], pa.float64()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(buckets)),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(weights)),
+            ],
+            names=["label", "buckets", "weights"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            found: list[dict[int, int]] = [{} for _ in range(n)]
-            for row, bucket in _rows_of_pieces(batch["text"]):
-                pairs, times = np.unique(row * BUCKETS + bucket, return_counts=True)
-                for pair, count in zip(pairs.tolist(), times.tolist()):
-                    held = found[pair // BUCKETS]
-                    held[pair % BUCKETS] = held.get(pair % BUCKETS, 0) + count
-            labels, buckets, weights = [], [], []
-            for text, held in zip(batch["text"].cast(pa.binary()).to_pylist(), found):
-                f = facts(text or b"")
-                total = sum(held.values()) or 1
-                labels.append(posterior[_pattern(votes(f))])
-                buckets.append(_levels(f) + list(held))
-                weights.append([1.0] * len(_levels(f)) + [c / total for c in held.values()])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(labels, pa.float64()),
-                    pa.array(buckets, pa.list_(pa.int32())),
-                    pa.array(weights, pa.list_(pa.float32())),
-                ],
-                names=["label", "buckets", "weights"],
-            )
-
-    return rows
+            _, offsets = column_bytes(batch["text"])
+            first = 0
+            while first < batch.num_rows:
+                end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE_BYTES, "right")) - 1)
+                yield features(batch.slice(first, end - first))
+                first = end
+
+    return run
 
 
 def _gradient(model: np.ndarray) -> Callable:
