@@ -258,9 +258,10 @@ class WordsModel:
         k = range(len(self.labels))
         rows = carried(rows)
         keys = [c for c in rows.columns if c != "symptoms"]
-        # Sums are kept by row, not by id: rows that are alike stay as many as they are.
-        rows = rows.withColumn("_row", F.monotonically_increasing_id())
-        found = rows.select(*keys, "_row", F.explode_outer(words(F.col("symptoms"))).alias("word"))
+        # Rows that share an id are told apart by their text; equal rows are counted by
+        # one null word each, so that they come out as many as they went in.
+        marked = F.concat(F.coalesce(words(F.col("symptoms")), F.array()), F.array(F.lit(None).cast("string")))
+        found = rows.select(*keys, F.xxhash64("symptoms").alias("_text"), F.explode(marked).alias("word"))
         # Weights of words outside the training text are null and add nothing.
         sums = [F.coalesce(F.sum(f"w{i}"), F.lit(0)).alias(f"w{i}") for i in k]
         if self.word_bytes + self.size * (32 + 8 * len(self.labels)) <= self.broadcast_bytes:
@@ -275,17 +276,19 @@ class WordsModel:
             cold = self._weights(self.counts.join(hot_words, "word", "left_anti"))
             rare = found.join(hot_words, "word", "left_anti").join(cold, "word")
             weighted = found.join(hot, "word", "left").unionByName(rare)
-        scored = weighted.groupBy(*keys, "_row").agg(*sums)
+        scored = weighted.groupBy(*keys, "_text").agg(*sums, F.count_if(F.col("word").isNull()).alias("_copies"))
         best = F.array_max(
             F.array(
                 *[
-                    F.struct((F.col(f"w{i}") + F.lit(self.priors[i])).alias("score"), F.lit(-i).alias("order"))
+                    F.struct((F.expr(f"w{i} div _copies") + F.lit(self.priors[i])).alias("score"), F.lit(-i).alias("order"))
                     for i in k
                 ]
             )
         )
         names = F.array(*[F.lit(name) for name in self.labels])
-        return scored.select(*keys, F.get(names, -best.getField("order")).alias("predicted"))
+        answer = F.get(names, -best.getField("order")).alias("predicted")
+        copies = F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy")
+        return scored.select(*keys, answer, copies).drop("_copy")
 
     def artifact(self) -> tuple[DataFrame | None, dict]:
         return self.counts, {
