@@ -29,10 +29,12 @@ BUCKETS = 1 << 14
 TRAIN_ROWS = 6_000
 #: Words that a posterior weighs at most as evidence, however long the text.
 EVIDENCE = 300
-ROUNDS = 30
+ROUNDS = 20
 MAX_RATE = 4.0
 #: Misfit of a domain's total, as a share of all tokens, at which fitting ends.
-TOLERANCE = 1e-6
+TOLERANCE = 1e-4
+#: Change of the misfit in a round at which fitting ends, where targets are out of reach.
+STALL = 1e-5
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -59,7 +61,7 @@ class Classifier(NamedTuple):
 
     def table(self, i: int) -> Column:
         """A domain's weights as one value of the plan, which Spark folds once; as wide as the buckets."""
-        return F.split(F.lit(",".join(f"{w:.3f}" for w in self.weights[i])), ",").cast("array<double>")
+        return F.split(F.lit(",".join(f"{w:.2f}" for w in self.weights[i])), ",").cast("array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Classifier:
@@ -123,16 +125,6 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     )
 
 
-def _rate(path: list[list[float]], domains: tuple[str, ...], max_rate: float) -> Column:
-    """A document's rate after the steps taken so far, from a start at 1."""
-    shares = [F.col(f"mix_{d}") for d in domains]
-    rate = F.lit(1.0)
-    for step in path:
-        move = reduce(Column.__add__, [F.lit(s) * q for s, q in zip(step, shares)])
-        rate = F.least(F.greatest(rate - move, F.lit(0.0)), F.lit(max_rate))
-    return rate
-
-
 def fit_rates(
     scored: DataFrame,
     domains: tuple[str, ...],
@@ -161,22 +153,28 @@ def fit_rates(
     weight = sum(targets.get(d, 0.0) for d in domains)
     wanted = np.array([targets.get(d, 0.0) / weight for d in domains]) * (total or tokens) / tokens
     path: list[list[float]] = []
+    before = np.full(n, np.inf)
     for _ in range(rounds):
         rate = _rate_at(path, domains, max_rate)
         sums = scored.select(*[(rate * F.col("mix_tokens") * c).alias(f"s{i}") for i, c in enumerate(q)]).agg(
             *[F.sum(f"s{i}") for i in range(n)]
         )
         misfit = np.array(sums.first(), float) / tokens - wanted
-        if np.abs(misfit).max() <= TOLERANCE:
+        if np.abs(misfit).max() <= TOLERANCE or np.abs(misfit - before).max() <= STALL:
             break
+        before = misfit
         path.append((metric @ misfit).tolist())
     return path
 
 
 def _rate_at(path: list[list[float]], domains: tuple[str, ...], max_rate: float) -> Column:
-    """As ``_rate``, folded over one array so that the plan does not grow with the steps."""
-    if len(path) < 3:
-        return _rate(path, domains, max_rate)
+    """A document's rate after the steps taken so far, from a start at 1.
+
+    The steps are folded from one array, so that the plan and its generated code
+    stay the same from round to round.
+    """
+    if not path:
+        return F.lit(1.0)
     steps = F.array(*[F.array(*map(F.lit, step)) for step in path])
 
     def one(rate: Column, step: Column) -> Column:

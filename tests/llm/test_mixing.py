@@ -55,7 +55,7 @@ def test_fit_is_at_a_minimum(spark):
     t = draw.integers(1, 100, 200)
     rows = [(int(n), *map(float, p)) for n, p in zip(t, q)]
     scored = spark.createDataFrame(rows, "mix_tokens long, mix_clean double, mix_low double, mix_toxic double")
-    path = mixing.fit_rates(scored, mixing.DOMAINS, {"clean": 0.98, "low": 0.01, "toxic": 0.01}, rounds=200, max_rate=2.0)
+    path = mixing.fit_rates(scored, mixing.DOMAINS, {"clean": 0.98, "low": 0.01, "toxic": 0.01}, rounds=60, max_rate=2.0)
     rate = np.array([r[0] for r in scored.select(mixing._rate_at(path, mixing.DOMAINS, 2.0)).collect()])
     wanted = np.array([0.98, 0.01, 0.01])
     overlap = (q * t[:, None]).T @ q / t.sum()
