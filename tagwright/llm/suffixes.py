@@ -38,6 +38,7 @@ from tagwright.llm.textbytes import (
     mix,
     pieces,
     ragged,
+    release_memory,
     sliding_min,
 )
 from tagwright.session import write_once
@@ -46,7 +47,7 @@ LENGTH = 50
 SEED = 16
 
 #: Entries that a shard gathers before it scans them against the index.
-BATCH_ENTRIES = 25_000
+BATCH_ENTRIES = 12_000
 #: Bytes of text that are cut into entries at a time; small enough for a processor's cache.
 BLOCK_BYTES = 256 << 10
 
@@ -166,6 +167,7 @@ def _cut_seeds(shards: int, length: int) -> Callable:
                     [pa.array(met.astype(np.int32)), pa.array(np.full(len(met), number)), pa.array(packed, pa.binary())],
                     names=field_names(_SEEDS),
                 )
+        release_memory()
 
     return cut
 
@@ -193,6 +195,8 @@ def _mark_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((piece, run))
     if held:
         yield marked(at, held)
+    held = []
+    release_memory()
 
 
 def _cut_runs(shards: int, length: int) -> Callable:
@@ -233,6 +237,7 @@ def _cut_runs(shards: int, length: int) -> Callable:
                 runs = runs_of(number, ids, piece, batch["answers"][i].as_py())
                 if runs is not None:
                     yield runs
+        release_memory()
 
     return cut
 
@@ -379,6 +384,8 @@ def _scan_runs(length: int, batch_entries: int) -> Callable:
                 reach = max(reach, last)
         if held:
             yield from spans(family, held)
+        del family, held
+        release_memory()
 
     return scan
 
