@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagwright.session import write_once
+from tagwright.session import small_frame, write_once
 
 #: Domains of the labels table, by (quality, toxic).
 DOMAINS = ("clean", "low", "toxic")
@@ -57,11 +57,7 @@ class Classifier(NamedTuple):
 
     domains: tuple[str, ...]
     intercepts: list[float]
-    weights: np.ndarray
-
-    def table(self, i: int) -> Column:
-        """A domain's weights as one value of the plan, which Spark folds once; as wide as the buckets."""
-        return F.split(F.lit(",".join(f"{w:.2f}" for w in self.weights[i])), ",").cast("array<double>")
+    weights: DataFrame
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Classifier:
@@ -89,7 +85,11 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> C
     likely = (counts + 4 * overall) / (sizes[:, None] + 4)
     log = np.log(likely) - np.log(likely[0])
     prior = np.log(sizes + 1) - np.log(sizes[0] + 1)
-    return Classifier(DOMAINS, prior.tolist(), log)
+    # One row, as wide as the buckets; it reaches the tasks as the value of subqueries.
+    names = [f"w{i}" for i in range(1, len(DOMAINS))]
+    row = tuple(log[i].tolist() for i in range(1, len(DOMAINS)))
+    table = small_frame(docs.sparkSession, [row], ", ".join(f"{n} array<double>" for n in names))
+    return Classifier(DOMAINS, prior.tolist(), write_once(table, "mixing-weights"))
 
 
 def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -106,8 +106,12 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
         F.array_distinct(_buckets(F.col("mix_words"))).alias("mix_buckets"),
     )
 
+    # Each named once below, so that Spark puts the subquery itself there and copies no weights into rows.
+    tables = [model.weights.select(f"w{i}").scalar().alias(f"mix_w{i}") for i in range(1, len(model.domains))]
+    cut = cut.select(*[F.col(f"`{n}`") for n in names], "mix_tokens", "mix_buckets", *tables)
+
     def evidence(i: int) -> Column:
-        return F.aggregate("mix_buckets", F.lit(0.0), lambda total, b: total + F.get(model.table(i), b))
+        return F.aggregate("mix_buckets", F.lit(0.0), lambda total, b: total + F.get(F.col(f"mix_w{i}"), b))
 
     scale = F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.greatest(F.size("mix_buckets"), F.lit(1)))
     odds = [F.lit(0.0)] + [F.lit(model.intercepts[i]) + scale * evidence(i) for i in range(1, len(model.domains))]
