@@ -292,7 +292,8 @@ def near_duplicates(
     named_nodes = nodes.join(smallest, F.col("root") == F.col("of")).select(
         F.col("content").alias("held"), "n_links", "usable", "smallest"
     )
-    done = named.select("vec_id", "content").join(named_nodes, F.col("content") == F.col("held"))
+    # Null vectors have a null digest.
+    done = named.select("vec_id", "content").join(named_nodes, F.col("content").eqNullSafe(F.col("held")))
     component = F.when(F.col("usable"), F.col("smallest")).otherwise(F.col("vec_id"))
     return done.select(
         "vec_id",

@@ -93,3 +93,9 @@ def test_floats_and_empty_table(spark):
     frame = spark.createDataFrame([(1, [0.6, 0.8], 7), (2, [0.6, 0.8], 7)], "vec_id int, embedding array<float>, node int")
     assert sorted(tuple(r) for r in vectors.near_duplicates(frame).collect()) == [(1, 1, 1, True), (2, 1, 1, False)]
     assert vectors.near_duplicates(frame.limit(0)).collect() == []
+
+
+def test_null_vectors_keep_their_rows(spark):
+    rows = [(1, None), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, None), (4, None), (None, None)]
+    assert found(spark, rows) == expected(rows)
+    assert len(found(spark, rows)) == 6
