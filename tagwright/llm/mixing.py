@@ -30,7 +30,6 @@ TRAIN_ROWS = 6_000
 #: Words that a posterior weighs at most as evidence, however long the text.
 EVIDENCE = 300
 ROUNDS = 20
-MAX_RATE = 4.0
 #: Misfit of a domain's total, as a share of all tokens, at which fitting ends.
 TOLERANCE = 1e-4
 #: Change of the misfit in a round at which fitting ends, where targets are out of reach.
@@ -135,7 +134,7 @@ def fit_rates(
     targets: Mapping[str, float],
     total: float | None = None,
     rounds: int = ROUNDS,
-    max_rate: float = MAX_RATE,
+    max_rate: float | None = None,
 ) -> list[list[float]]:
     """Steps of projected gradient descent on the squared misfit of the domains' token totals.
 
@@ -171,7 +170,7 @@ def fit_rates(
     return path
 
 
-def _rate_at(path: list[list[float]], domains: tuple[str, ...], max_rate: float) -> Column:
+def _rate_at(path: list[list[float]], domains: tuple[str, ...], max_rate: float | None) -> Column:
     """A document's rate after the steps taken so far, from a start at 1.
 
     The steps are folded from one array, so that the plan and its generated code
@@ -183,7 +182,8 @@ def _rate_at(path: list[list[float]], domains: tuple[str, ...], max_rate: float)
 
     def one(rate: Column, step: Column) -> Column:
         move = reduce(Column.__add__, [F.get(step, i) * F.col(f"mix_{d}") for i, d in enumerate(domains)])
-        return F.least(F.greatest(rate - move, F.lit(0.0)), F.lit(max_rate))
+        moved = F.greatest(rate - move, F.lit(0.0))
+        return moved if max_rate is None else F.least(moved, F.lit(max_rate))
 
     return F.aggregate(steps, F.lit(1.0), one)
 
@@ -196,21 +196,21 @@ def copies(rate: Column, *identity: Column | str) -> Column:
     """Whole copies of a document: its rate rounded up or down by a hash, so that totals are kept on average."""
     near = F.round(rate)
     draw = F.pmod(F.xxhash64(*identity, F.lit("copies")), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    return F.when(F.abs(rate - near) <= SNAP, near).otherwise(F.floor(rate + draw)).cast("int")
+    return F.when(F.abs(rate - near) <= SNAP, near).otherwise(F.least(F.floor(rate + draw), F.lit((1 << 31) - 1))).cast("int")
 
 
 def mixed(
     docs: DataFrame,
     labels: DataFrame,
     targets: Mapping[str, float] = TARGETS,
-    max_rate: float = MAX_RATE,
+    max_rate: float | None = None,
     keep: str | None = None,
 ) -> DataFrame:
     """``docs`` with mix_tokens, the posterior per domain, mix_rate and mix_copies.
 
     ``keep`` names a domain whose tokens are to stay as many as they are; else the
-    number of all tokens stays.  Targets that the bound on rates does not allow are
-    approached.  A document without words has no tokens and moves no total; its
+    number of all tokens stays.  Rates have no upper bound unless ``max_rate`` is
+    given; targets that it does not allow are approached.  A document without words has no tokens and moves no total; its
     rate follows from the overall shares.
     """
     model = train(docs, labels)

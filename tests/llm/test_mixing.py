@@ -87,3 +87,14 @@ def test_nothing_to_learn_from(spark):
     rows = mixing.digest(docs, labels.limit(0)).collect()
     assert len(rows) == docs.count() and all(r.p_clean == pytest.approx(1 / 3) for r in rows)
     assert mixing.digest(docs.limit(0), labels).collect() == []
+
+
+def test_registered_query_meets_targets_of_a_rare_domain(spark):
+    docs, labels = corpus(spark)
+    rare = "doc_id % 5 <> 4 or doc_id < 20"
+    docs, labels = docs.filter(rare), labels.filter(rare)
+    rows = mixing.digest(docs, labels).collect()
+    tokens = sum(r.n_tokens for r in rows)
+    for d, target in mixing.TARGETS.items():
+        assert sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in rows) / tokens == pytest.approx(target, abs=1e-3)
+    assert max(r.rate for r in rows) > 4
