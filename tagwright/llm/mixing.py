@@ -188,15 +188,10 @@ def _rate_at(path: list[list[float]], domains: tuple[str, ...], max_rate: float
     return F.aggregate(steps, F.lit(1.0), one)
 
 
-#: A rate this near a whole number counts as that number.
-SNAP = 0.05
-
-
 def copies(rate: Column, *identity: Column | str) -> Column:
     """Whole copies of a document: its rate rounded up or down by a hash, so that totals are kept on average."""
-    near = F.round(rate)
     draw = F.pmod(F.xxhash64(*identity, F.lit("copies")), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    return F.when(F.abs(rate - near) <= SNAP, near).otherwise(F.least(F.floor(rate + draw), F.lit((1 << 31) - 1))).cast("int")
+    return F.least(F.floor(rate + draw), F.lit((1 << 31) - 1)).cast("int")
 
 
 def mixed(

@@ -98,3 +98,10 @@ def test_registered_query_meets_targets_of_a_rare_domain(spark):
     for d, target in mixing.TARGETS.items():
         assert sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in rows) / tokens == pytest.approx(target, abs=1e-3)
     assert max(r.rate for r in rows) > 4
+
+
+def test_copies_near_whole_numbers_keep_totals(spark):
+    for rate in (0.005, 0.03, 0.96, 1.04, 2.97):
+        n = spark.range(200_000).select(mixing.copies(F.lit(rate), "id").alias("n")).agg(F.avg("n")).first()[0]
+        assert n == pytest.approx(rate, abs=2e-3)
+    assert spark.range(1000).select(mixing.copies(F.lit(1.0), "id").alias("n")).distinct().collect() == [(1,)]
