@@ -1,15 +1,16 @@
 """Mixing to target weights when a document's domain is only known with a probability.
 
 A naive Bayes classifier over hashed words, trained on labelled documents, gives each
-document a posterior over domains.  Projected gradient steps then fit a nonnegative
+document a posterior over domains.  Projected Newton steps then fit a nonnegative
 rate per document so that the domains' expected token totals match their targets.
-The gradient of a document is its posterior times the domains' misfit, so a step
-needs one distributed sum per domain and the driver holds those sums alone.
+A document's rate follows from its posterior and a weight per domain, so a step
+needs a few distributed sums and the driver holds those sums alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import logging
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from tagwright.session import small_frame, write_once
 
+logger = logging.getLogger(__name__)
+
 #: Domains of the labels table, by (quality, toxic).
 DOMAINS = ("clean", "low", "toxic")
 TARGETS: Mapping[str, float] = {"clean": 0.85, "low": 0.05, "toxic": 0.10}
@@ -29,11 +32,13 @@ BUCKETS = 1 << 14
 TRAIN_ROWS = 6_000
 #: Words that a posterior weighs at most as evidence, however long the text.
 EVIDENCE = 300
-ROUNDS = 20
+#: Sums that a fit may take; it raises beyond them.
+ROUNDS = 200
 #: Misfit of a domain's total, as a share of all tokens, at which fitting ends.
-TOLERANCE = 1e-4
-#: Change of the misfit in a round at which fitting ends, where targets are out of reach.
-STALL = 1e-5
+TOLERANCE = 1e-6
+#: Share of the distance from a rate of 1 in what is minimised: the first, the one from which on
+#: a misfit that no longer halves is as small as the bounds allow, and the least.
+FIRST_SHARE, LAST_SHARE, LEAST_SHARE = 1e-2, 2e-5, 1e-10
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -135,57 +140,103 @@ def fit_rates(
     total: float | None = None,
     rounds: int = ROUNDS,
     max_rate: float | None = None,
-) -> list[list[float]]:
-    """Steps of projected gradient descent on the squared misfit of the domains' token totals.
-
-    The misfit is measured in the metric of the domains' overlap (the inverse of
-    the sum of posterior products), in which a step of size 1 cannot overshoot.
+) -> list[float]:
+    """Weights of the domains from which ``_rate_at`` makes the rates nearest to 1 that meet the targets.
+
+    The squared misfit of the domains' totals is measured in the metric of their
+    overlap (the inverse of the sum of posterior products), and a share of the
+    squared distance from a rate of 1 is added.  The rates that minimise both are
+    1 plus a weighted sum of the posteriors, within the bounds.  Newton steps find
+    the weights, and the share shrinks until the misfit is within ``TOLERANCE`` or
+    no longer falls; a warning tells what is left then.  Each round is one
+    distributed sum, and an error is raised if ``rounds`` of them are not enough.
     ``total`` is the number of tokens wanted; as many as there are if not given.
     """
     q = [F.col(f"mix_{d}") for d in domains]
     n = len(domains)
+    cells = [(i, j) for i in range(n) for j in range(i, n)]
     first = scored.agg(
         F.coalesce(F.sum("mix_tokens"), F.lit(0)).alias("tokens"),
-        *[F.coalesce(F.sum(F.col("mix_tokens") * q[i] * q[j]), F.lit(0.0)).alias(f"o{i}_{j}") for i in range(n) for j in range(i, n)],
+        *[F.coalesce(F.sum(F.col("mix_tokens") * q[i] * q[j]), F.lit(0.0)) for i, j in cells],
     ).first()
     tokens = float(first["tokens"])
     if not tokens:
         return []
-    overlap = np.array([[first[f"o{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]) / tokens
-    metric = np.linalg.pinv(overlap + 1e-6 * np.eye(n))
+
+    def symmetric(sums: Sequence[float]) -> np.ndarray:
+        out = np.empty((n, n))
+        for (i, j), value in zip(cells, sums):
+            out[i, j] = out[j, i] = value / tokens
+        return out
+
     weight = sum(targets.get(d, 0.0) for d in domains)
     wanted = np.array([targets.get(d, 0.0) / weight for d in domains]) * (total or tokens) / tokens
-    path: list[list[float]] = []
-    before = np.full(n, np.inf)
-    for _ in range(rounds):
-        rate = _rate_at(path, domains, max_rate)
-        sums = scored.select(*[(rate * F.col("mix_tokens") * c).alias(f"s{i}") for i, c in enumerate(q)]).agg(
-            *[F.sum(f"s{i}") for i in range(n)]
-        )
-        misfit = np.array(sums.first(), float) / tokens - wanted
-        if np.abs(misfit).max() <= TOLERANCE or np.abs(misfit - before).max() <= STALL:
-            break
-        before = misfit
-        path.append((metric @ misfit).tolist())
-    return path
-
-
-def _rate_at(path: list[list[float]], domains: tuple[str, ...], max_rate: float | None) -> Column:
-    """A document's rate after the steps taken so far, from a start at 1.
-
-    The steps are folded from one array, so that the plan and its generated code
-    stay the same from round to round.
+    metric = symmetric(first[1:]) + 1e-6 * np.eye(n)
+    passes = 0
+
+    def at(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Misfit at these weights, and how it changes with them: by the documents within the bounds."""
+        nonlocal passes
+        if passes == rounds:
+            raise RuntimeError(f"rates have not converged in {rounds} rounds; misfit {dict(zip(domains, misfit.tolist()))}")
+        passes += 1
+        free = _unbounded(weights.tolist(), domains)
+        rated = scored.select("mix_tokens", *q, free.alias("mix_free"))
+        free = F.col("mix_free")
+        rate = F.col("mix_tokens") * _bounded(free, max_rate)
+        within = (free > 0) if max_rate is None else (free > 0) & (free < max_rate)
+        moving = F.when(within, F.col("mix_tokens")).otherwise(0)
+        sums = rated.agg(*[F.sum(rate * c) for c in q], *[F.sum(moving * q[i] * q[j]) for i, j in cells]).first()
+        return np.array(sums[:n], float) / tokens - wanted, symmetric(sums[n:])
+
+    weights, share, before = np.zeros(n), FIRST_SHARE, np.inf
+    misfit, change = at(weights)
+    while True:
+        last = share <= LAST_SHARE
+        # On the way, a share need not be finished.
+        while np.abs(misfit + share * metric @ weights).max() > max(TOLERANCE / 2, 0 if last else 0.05 * np.abs(misfit).max()):
+            slope = misfit + share * metric @ weights
+            step = -np.linalg.solve(change + share * metric, slope)
+            falls, length = -slope @ step, 1.0
+            while True:
+                there = weights + length * step
+                found = at(there)
+                rises = (found[0] + share * metric @ there) @ step
+                # A step must not go far beyond the lowest point on its way.
+                if rises <= 0.1 * falls:
+                    break
+                length *= min(0.7, max(0.1, falls / (falls + rises)))
+            weights, (misfit, change) = there, found
+        most = np.abs(misfit).max()
+        if most <= TOLERANCE:
+            return weights.tolist()
+        if last and most > before / 2 or share <= LEAST_SHARE:
+            logger.warning("targets are out of reach; misfit as a share of all tokens: %s", dict(zip(domains, misfit.tolist())))
+            return weights.tolist()
+        share, before = share / 10, most
+
+
+def _unbounded(weights: list[float], domains: tuple[str, ...]) -> Column:
+    """1 plus the weighted posteriors.
+
+    The weights come from an array that a fold goes over, so that the plan and its
+    generated code stay the same from round to round.
     """
-    if not path:
-        return F.lit(1.0)
-    steps = F.array(*[F.array(*map(F.lit, step)) for step in path])
 
-    def one(rate: Column, step: Column) -> Column:
-        move = reduce(Column.__add__, [F.get(step, i) * F.col(f"mix_{d}") for i, d in enumerate(domains)])
-        moved = F.greatest(rate - move, F.lit(0.0))
-        return moved if max_rate is None else F.least(moved, F.lit(max_rate))
+    def one(rate: Column, row: Column) -> Column:
+        return reduce(Column.__add__, [F.get(row, i) * F.col(f"mix_{d}") for i, d in enumerate(domains)], rate)
+
+    return F.aggregate(F.array(F.array(*map(F.lit, weights))), F.lit(1.0), one)
+
+
+def _bounded(rate: Column, max_rate: float | None) -> Column:
+    rate = F.greatest(rate, F.lit(0.0))
+    return rate if max_rate is None else F.least(rate, F.lit(float(max_rate)))
+
 
-    return F.aggregate(steps, F.lit(1.0), one)
+def _rate_at(weights: list[float], domains: tuple[str, ...], max_rate: float | None) -> Column:
+    """A document's rate; 1 where nothing was fitted."""
+    return _bounded(_unbounded(weights, domains), max_rate) if weights else F.lit(1.0)
 
 
 def copies(rate: Column, *identity: Column | str) -> Column:
@@ -216,8 +267,8 @@ def mixed(
     if keep is not None:
         held = fitted.agg(F.sum(F.col("mix_tokens") * F.col(f"mix_{keep}"))).first()[0] or 0.0
         total = held * sum(targets.values()) / targets[keep] if held else None
-    path = fit_rates(fitted, model.domains, targets, total, max_rate=max_rate)
-    rate = _rate_at(path, model.domains, max_rate)
+    weights = fit_rates(fitted, model.domains, targets, total, max_rate=max_rate)
+    rate = _rate_at(weights, model.domains, max_rate)
     rated = posteriors(docs, model).withColumn("mix_rate", rate)
     return rated.withColumn("mix_copies", copies(F.col("mix_rate"), "doc_id", "text"))
 

@@ -105,3 +105,20 @@ def test_copies_near_whole_numbers_keep_totals(spark):
         n = spark.range(200_000).select(mixing.copies(F.lit(rate), "id").alias("n")).agg(F.avg("n")).first()[0]
         assert n == pytest.approx(rate, abs=2e-3)
     assert spark.range(1000).select(mixing.copies(F.lit(1.0), "id").alias("n")).distinct().collect() == [(1,)]
+
+
+def test_soft_posteriors_and_a_rare_domain_converge(spark, caplog):
+    draw = np.random.default_rng(6)
+    odds = draw.normal(0, 1, (2000, 3))
+    odds[np.arange(2000), draw.choice(3, 2000, p=[0.02, 0.6, 0.38])] += 3
+    q = np.exp(odds) / np.exp(odds).sum(axis=1, keepdims=True)
+    rows = [(int(n), *map(float, p)) for n, p in zip(draw.integers(1, 100, 2000), q)]
+    scored = spark.createDataFrame(rows, "mix_tokens long, mix_clean double, mix_low double, mix_toxic double")
+    rate = mixing._rate_at(mixing.fit_rates(scored, mixing.DOMAINS, mixing.TARGETS), mixing.DOMAINS, None)
+    shares = [F.sum(rate * F.col("mix_tokens") * F.col(f"mix_{d}")) / F.sum("mix_tokens") for d in mixing.DOMAINS]
+    assert scored.agg(*shares).first()[:] == pytest.approx(tuple(mixing.TARGETS.values()), abs=2e-6)
+    assert not caplog.records
+    with pytest.raises(RuntimeError, match="not converged"):
+        mixing.fit_rates(scored, mixing.DOMAINS, mixing.TARGETS, rounds=3)
+    mixing.fit_rates(scored, mixing.DOMAINS, mixing.TARGETS, max_rate=1.0)
+    assert "out of reach" in caplog.text
