@@ -6,7 +6,7 @@ string alone, so equal strings are always filed under equal seeds, and about one
 position in seventeen is a seed.  A seed with the bytes of its strings is an entry
 of a sparse suffix array, whose order is that of the seeds' hashes.
 
-Rows are gathered in pieces, and a piece is known by its number.  First only 32-bit
+Rows are sorted by doc_id and gathered in pieces, and a piece is known by its number.  First only 32-bit
 seed hashes travel, to the shard of their seed, which answers with one bit for each:
 whether another piece has it too.  Only entries of such seeds travel with their
 bytes, as runs of one piece and shard.  Every shard takes its runs in the order of
@@ -400,6 +400,10 @@ def _with_spans(docs: DataFrame, length: int, batch_entries: int) -> DataFrame:
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     extra = [c for c in docs.columns if c not in ("row_id", "text")]
     schema = ", ".join([_PIECE, *[f"{c} array<{docs.schema[c].dataType.simpleString()}>" for c in extra]])
+    # Pieces in the order of doc_id, whatever the table's layout: else no batch of runs would end
+    # before the last.  Rows of one id, or of none, are spread by their texts.
+    order = F.col("row_id").asc_nulls_last()
+    docs = docs.repartitionByRange(shards, order, F.xxhash64("text")).sortWithinPartitions(order)
     gathered = write_once(docs.mapInArrow(lambda batches: _gather(batches, extra), schema), "pieces")
     # Spelled out, as the inner join would add it for itself alone and so read another exchange.
     gathered = gathered.filter(F.col("piece").isNotNull())

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tempfile
 
 import numpy as np
 import pytest
@@ -109,3 +110,23 @@ def test_documents_keep_their_columns(spark):
     assert done[1].text == rows[0][1] and done[1].n_chars == 3
     assert done[2].text == "zwei" and done[2].n_chars == 4 and done[2].spans == "b"
     assert 3 not in done and done[4].text is None and done[5].text == ""
+
+
+def test_shuffled_table_takes_several_batches(spark, monkeypatch, tmp_path):
+    real, folder = suffixes._scan_runs, str(tmp_path)
+
+    def counting(length, batch_entries):
+        scan = real(length, batch_entries)
+
+        def counted(batches):
+            for spans in scan(batches):
+                tempfile.mkstemp(dir=folder)
+                yield spans
+
+        return counted
+
+    monkeypatch.setattr(suffixes, "_scan_runs", counting)
+    rows = corpus(seed=6, n=300)
+    assert found(spark, rows, batch_entries=1) == expected(rows)
+    # Each of the 8 shards takes its runs in one batch where every piece spans all ids.
+    assert len(list(tmp_path.iterdir())) >= 16
