@@ -34,6 +34,84 @@ TEMPLATES: Mapping[str, str] = {
     "MIT": "Released under the MIT License.",
 }
 
+_WARRANTY = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO '
+    "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+    "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, "
+    "TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD_CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution. "
+)
+_BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission. "
+)
+_BSD_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _gnu(name: str, version: str) -> str:
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as "
+        f"published by the Free Software Foundation, either version {version} of the License, or (at your option) any later "
+        "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+        f"the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details. "
+        f"You should have received a copy of the {name} along with this program."
+    )
+
+
+#: What is scanned for: the short notices, and the full text or the usual header of common licenses.
+NOTICES: Mapping[str, str] = {
+    **TEMPLATES,
+    "AGPL-3.0 header": _gnu("GNU Affero General Public License", "3"),
+    "Apache-2.0 header": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with '
+        "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
+        "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+        "governing permissions and limitations under the License."
+    ),
+    "BSD-2-Clause text": _BSD_CONDITIONS + _BSD_WARRANTY,
+    "BSD-3-Clause text": _BSD_CONDITIONS + _BSD_NAMES + _BSD_WARRANTY,
+    "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "GPL-2.0 header": _gnu("GNU General Public License", "2"),
+    "GPL-3.0 header": _gnu("GNU General Public License", "3"),
+    "ISC text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS "
+        'PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED '
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, "
+        "OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION "
+        "OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS "
+        "SOFTWARE."
+    ),
+    "LGPL-3.0 header": _gnu("GNU Lesser General Public License", "3"),
+    "MIT text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice "
+        "and this permission notice shall be included in all copies or substantial portions of the Software. " + _WARRANTY
+    ),
+    "MPL-2.0 header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+}
+
 
 def bands_for(similarity: float, rows: int, miss: float = MISS) -> int:
     """Bands of ``rows`` hashes with which sets of this Jaccard similarity collide but with probability ``miss``."""
@@ -128,8 +206,8 @@ def _classes(templates: list[_Template]) -> list[_Class]:
     by_size: dict[int, list[_Template]] = {}
     for t in templates:
         by_size.setdefault((len(t.hashes) - 1).bit_length(), []).append(t)
-    # An occurrence of n shingles lies within as many blocks wherever it starts.
-    return [_Class(ts, -(-((1 << bits) - 1) // BLOCK) + 1) for bits, ts in sorted(by_size.items())]
+    # Twice the longest template of the class lies within as many blocks wherever it starts.
+    return [_Class(ts, -(-((2 << bits) - 1) // BLOCK) + 1) for bits, ts in sorted(by_size.items())]
 
 
 def _least_similarity(classes: list[_Class], containment: float) -> float:
@@ -143,6 +221,19 @@ def _least_similarity(classes: list[_Class], containment: float) -> float:
     return least
 
 
+def _shortest(found: list[tuple]) -> tuple[int, int]:
+    """First and last place of the first shortest stretch with all different shingles that were found."""
+    wanted, held, a, best = len(set(found)), {}, 0, (0, len(found) - 1)
+    for z, shingle in enumerate(found):
+        held[shingle] = held.get(shingle, 0) + 1
+        while held[found[a]] > 1:
+            held[found[a]] -= 1
+            a += 1
+        if len(held) == wanted and z - a < best[1] - best[0]:
+            best = a, z
+    return best
+
+
 class Scanner:
     """Finds templates in pieces of text; small enough to be sent to every task."""
 
@@ -225,7 +316,8 @@ class Scanner:
                     share = len({s for _, s in held}) / len(template.shingles)
                     if share >= self.containment:
                         r = int(block_row[b])
-                        begin, end = int(words.start[held[0][0]]) - r, int(words.end[held[-1][0] + self.size - 1]) - r
+                        a, z = _shortest([s for _, s in held])
+                        begin, end = int(words.start[held[a][0]]) - r, int(words.end[held[z][0] + self.size - 1]) - r
                         found.append((r, template.name, share, begin, end))
         return found
 
@@ -270,7 +362,7 @@ def _scan(scanner: Scanner) -> Callable:
 
 def scanned(
     docs: DataFrame,
-    templates: Mapping[str, str] = TEMPLATES,
+    templates: Mapping[str, str] = NOTICES,
     containment: float = CONTAINMENT,
     size: int = SHINGLE,
 ) -> DataFrame:

@@ -88,3 +88,23 @@ def test_empty_table_and_bad_templates(spark):
     assert licenses.scanned(spark.createDataFrame([(1, "a")], docs.schema), {}).collect() == []
     with pytest.raises(ValueError):
         licenses.scanned(docs, {"short": "two words"})
+
+
+def test_full_texts_and_headers_are_found(spark):
+    rows = [(i, f"some words before, {text}\nand after") for i, text in enumerate(licenses.NOTICES.values())]
+    got = {(r.doc_id, r.license) for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(enumerate(licenses.NOTICES)) <= got
+    assert {"MIT text", "Apache-2.0 header", "GPL-3.0 header", "BSD-3-Clause text", "MPL-2.0 header"} <= {n for _, n in got}
+
+
+def test_inserts_inside_long_templates(spark):
+    template = " ".join(f"w{i}" for i in range(516))
+    ws, rows = template.split(), []
+    for i, at in enumerate((60, 128, 256, 400, 500)):
+        edited = [*ws[:at], *[f"new{j}" for j in range(300)], *ws[at:]]
+        rows.append((i, "pad " * (3 * i) + " ".join(edited)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in licenses.scanned(docs, {"long": template}).collect():
+        whole = shingles(words(rows[r.doc_id][1])) & shingles(ws)
+        assert r.containment == pytest.approx(len(whole) / 512)
+    assert licenses.scanned(docs, {"long": template}).count() == len(rows)
