@@ -7,6 +7,8 @@ the others run inside Spark without any service.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, fields, replace
 from typing import Any, ClassVar, Protocol
 
@@ -52,6 +54,20 @@ def register(cls: type) -> type:
     return cls
 
 
+@contextmanager
+def registered(cls: type) -> Iterator[type]:
+    """Make a predictor available under its ``name`` inside a ``with`` block, and no longer."""
+    before = _registry.get(cls.name)
+    register(cls)
+    try:
+        yield cls
+    finally:
+        if before is None:
+            del _registry[cls.name]
+        else:
+            _registry[cls.name] = before
+
+
 def available() -> list[str]:
     return sorted(_registry)
 
@@ -378,13 +394,14 @@ def nearest_by_candidate(rows: DataFrame, demo_sets: DataFrame) -> DataFrame:
     sets = demo_sets.groupBy(F.col("demo_set_id").alias("candidate_id")).agg(_packed(demo_sets).alias("demos"))
     packed = sets.agg(F.collect_list(F.struct("candidate_id", "demos"))).scalar()
     keys = [c for c in carried(rows).columns if c != "symptoms"]
-    # Tried inside the row; only the answers are unfolded, not the row's words.
+    # Tried inside the row; only the answers are unfolded, not the row's words.  The outer form keeps
+    # Spark from testing the size of the answers, and so computing them, once more in the scan.
     answers = F.transform(
         F.col("sets"),
         lambda c: F.struct(c["candidate_id"].alias("candidate_id"), _nearest(F.col("mine"), c["demos"]).alias("predicted")),
     )
     tried = carried(rows).select(*keys, _word_set(F.col("symptoms")).alias("mine"), packed.alias("sets"))
-    return tried.select(*keys, answers.alias("answers")).select(*keys, F.inline("answers"))
+    return tried.select(*keys, answers.alias("answers")).select(*keys, F.inline_outer("answers"))
 
 
 # --- a user's model call ----------------------------------------------------

@@ -14,7 +14,8 @@ from tagwright.functions.prompts import STYLES, Prompt
 from tagwright.functions.text import normalize_label, strip
 from tagwright.operators import compare, demos, output, profile, report, rows, search, split, validate
 from tagwright.operators.predict import Reply, carried, predict, predict_missing, predict_once
-from tagwright.operators.predictors import available, nearest_by_candidate, predictor, register
+from tagwright.operators.predictors import available, nearest_by_candidate, predictor
+from tagwright.operators.predictors import registered as own_predictor
 from tagwright.operators.score import (
     accuracy,
     accuracy_by_split,
@@ -653,7 +654,6 @@ def roles(spark, folder):
 # --- a user's own predictor, metric, validator and failing calls ------------------
 
 
-@register
 @dataclass(frozen=True)
 class LengthPredictor:
     """Calls short texts of low quality; stands for a predictor that a user registers."""
@@ -682,9 +682,10 @@ class LengthPredictor:
 
 @query("registered_predictor")
 def registered_predictor(spark, folder):
-    if "by_length" not in available():
-        raise LookupError("the predictor is not registered")
-    return _scored(spark, folder, "by_length", shortest=500)[1]
+    with own_predictor(LengthPredictor):
+        if "by_length" not in available():
+            raise LookupError("the predictor is not registered")
+        return _scored(spark, folder, "by_length", shortest=500)[1]
 
 
 @query("own_metric")
@@ -696,7 +697,8 @@ def own_metric(spark, folder):
         first = F.substring_index(actual, " ", 1) == F.substring_index(predicted, " ", 1)
         return F.when(actual == predicted, 1.0).when(first, 0.5).otherwise(0.0)
 
-    answers = predictor("by_length", shortest=500).predict(data.parts())
+    with own_predictor(LengthPredictor):
+        answers = predictor("by_length", shortest=500).predict(data.parts())
     return score(answers, partial).groupBy("split").agg(F.sum("correct").alias("points"))
 
 
