@@ -14,15 +14,16 @@ import os
 import re
 import struct
 from collections.abc import Callable, Iterator
-from itertools import chain, islice
+from itertools import accumulate, chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagwright.llm.textbytes import field_names, ragged
+from tagwright.llm.textbytes import field_names, release_memory
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -33,8 +34,9 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 #: Threads that encode in one Python worker.
 THREADS = 2
-#: Chunks of text whose ids a worker remembers.
-REMEMBERED = 1_000_000
+#: Bytes of chunks and their ids that a worker remembers at most, and of what is kept beside each.
+REMEMBERED = 48 << 20
+_ENTRY = 200
 
 
 class Piece(NamedTuple):
@@ -203,78 +205,111 @@ def _bare(tokenizer: str) -> str:
 
 
 class Codec:
-    """Encodes and decodes batches of texts with one model."""
+    """Encodes and decodes batches of texts with one model.
 
-    def __init__(self, rebuilt: Rebuilt, threads: int = THREADS):
+    Ids come from the rebuilt tokenizer; ``sentencepiece`` checks them, and its ids
+    replace those that differ.
+    """
+
+    def __init__(self, rebuilt: Rebuilt, threads: int = THREADS, remembered: int = REMEMBERED):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         import sentencepiece
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(rebuilt.tokenizer)
-        self.reference = sentencepiece.SentencePieceProcessor(model_proto=rebuilt.data)
         self.chunked = rebuilt.chunked
-        # Encodes chunks whose blanks are marked already, and decodes them with their blanks.
-        self.core = Tokenizer.from_str(_bare(rebuilt.tokenizer))
-        self._forget()
+        # In pieces, chunks arrive with their blanks marked already, and are decoded with their blanks.
+        self.tokenizer = Tokenizer.from_str(_bare(rebuilt.tokenizer) if self.chunked else rebuilt.tokenizer)
+        self.reference = sentencepiece.SentencePieceProcessor(model_proto=rebuilt.data)
         self.is_byte, self.is_unknown = rebuilt.is_byte, rebuilt.is_unknown
+        self.remembered = remembered
+        # Ids of chunks met lately and of those met before, the bytes of the former, and the chunks
+        # that the two libraries encode differently or that decode to something else.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+        self.differs: set[str] = set()
+        self.odd: dict[str, str] = {}
+
+    def _encode(self, texts: list[str], asked: list[str] | None = None, skip: list[int] | None = None) -> tuple[list, list]:
+        """Ids of each text and whether the two libraries agree on them.
+
+        The reference is asked about ``asked`` where that differs, and the first
+        ``skip`` of its ids are left out.
+        """
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        expected = self.reference.encode(asked or texts, num_threads=1)
+        if skip:
+            expected = [e[n:] for e, n in zip(expected, skip)]
+        same = [a == b for a, b in zip(found, expected)]
+        return [a if agree else b for a, b, agree in zip(found, expected, same)], same
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.ends, self.parity = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
-        self.decoded: list[str] = []
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks not met before, by threads, and compare them with the reference.
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks not remembered.
 
         The reference puts a blank before a text, as which a word's own blank
         counts; blanks alone are compared behind a line's end.
         """
         if not chunks:
-            return
-        found = [e.ids for e in self.core.encode_batch_fast(chunks, add_special_tokens=False)]
+            return {}
         words = [bool(c.strip(MARK)) for c in chunks]
-        asked = [(c[1:] if word else "\n" + c).replace(MARK, " ") for c, word in zip(chunks, words)]
         before = len(self.reference.encode("\n"))
-        expected = self.reference.encode(asked, num_threads=1)
-        expected = [e if word else e[before:] for e, word in zip(expected, words)]
-        self.decoded += self.core.decode_batch(expected, skip_special_tokens=False)
-        self.known.update(zip(chunks, range(len(self.parity), len(self.parity) + len(chunks))))
-        sizes = np.fromiter(map(len, expected), np.int64, len(expected))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(expected), np.int32, int(sizes.sum()))])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        self.parity = np.concatenate([self.parity, [a == b for a, b in zip(found, expected)]])
+        asked = [(c[1:] if word else "\n" + c).replace(MARK, " ") for c, word in zip(chunks, words)]
+        ids, same = self._encode(chunks, asked, [0 if word else before for word in words])
+        decoded = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        for chunk, agree, text in zip(chunks, same, decoded):
+            if not agree:
+                self.differs.add(chunk)
+            if text != chunk.replace(MARK, " "):
+                self.odd[chunk] = text
+        flat = np.fromiter(chain.from_iterable(ids), np.int32).tobytes()
+        ends = [4 * end for end in accumulate(map(len, ids), initial=0)]
+        return {c: flat[a:b] for c, a, b in zip(chunks, ends, ends[1:])}
+
+    def _ids_of(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of these chunks; the ones met lately stay in memory, within the bound."""
+        known = {c: ids for c in chunks if (ids := self.young.get(c)) is not None}
+        fresh = {c: ids for c in chunks if c not in known and (ids := self.old.get(c)) is not None}
+        fresh.update(self._learn([c for c in chunks if c not in known and c not in fresh]))
+        for c, ids in fresh.items():
+            size = _ENTRY + 4 * len(c) + len(ids)
+            if self.held + size > self.remembered // 2:
+                self.old, self.young, self.held = self.young, {}, 0
+                rest = self.young.keys() | self.old.keys() | chunks
+                self.differs &= rest
+                self.odd = {c: t for c, t in self.odd.items() if c in rest}
+            if size <= self.remembered // 2:
+                self.young[c] = ids
+                self.held += size
+        return known | fresh
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """All ids, how many each text has, whether the rebuilt tokenizer and the reference agree, and the texts decoded.
-
-        Where they do not agree the ids are the reference's.
-        """
+        """All ids, how many each text has, whether the rebuilt tokenizer and the reference agree, and the texts decoded."""
         if not self.chunked:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            expected = self.reference.encode(texts, num_threads=1)
-            sizes = np.fromiter(map(len, expected), np.int64, len(texts))
-            same = np.array([a == b for a, b in zip(found, expected)], bool)
-            flat = np.fromiter(chain.from_iterable(expected), np.int32, int(sizes.sum()))
-            return flat, sizes, same, self.decode(expected)
-        if len(self.parity) > REMEMBERED:
-            self._forget()
+            ids, same = self._encode(texts)
+            sizes = np.fromiter(map(len, ids), np.int64, len(texts))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+            return flat, sizes, np.array(same, bool), self.decode(ids)
         # With the blank put before it, every chunk of a text has blanks of its own.
         cut = [_CHUNKS.findall((" " + t).replace(" ", MARK)) if t else [] for t in texts]
-        flat = list(chain.from_iterable(cut))
-        self._learn(list({c for c in flat if c not in self.known}))
-        place = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        of = np.repeat(np.arange(len(texts)), np.fromiter(map(len, cut), np.int64, len(cut)))
-        # The first blank was put there by the normaliser.
-        found = map(self.decoded.__getitem__, place.tolist())
-        decoded = ["".join(islice(found, len(chunks)))[1:] for chunks in cut]
-        sizes = self.ends[place + 1] - self.ends[place]
-        ids = self.flat[ragged(self.ends[place], sizes)]
-        same = np.bincount(of, weights=~self.parity[place], minlength=len(texts)) == 0
-        return ids, np.bincount(of, weights=sizes, minlength=len(texts)).astype(np.int64), same, decoded
+        ids_of = self._ids_of(set(chain.from_iterable(cut)))
+        found = [b"".join(map(ids_of.__getitem__, chunks)) for chunks in cut]
+        sizes = np.fromiter((len(f) // 4 for f in found), np.int64, len(found))
+        differs, odd = self.differs & ids_of.keys(), self.odd.keys() & ids_of.keys()
+        same = [not differs or differs.isdisjoint(chunks) for chunks in cut]
+        decoded = [
+            t if MARK not in t and (not odd or odd.isdisjoint(chunks)) else self._decoded(chunks)
+            for t, chunks in zip(texts, cut)
+        ]
+        return np.frombuffer(b"".join(found), np.int32), sizes, np.array(same, bool), decoded
+
+    def _decoded(self, chunks: list[str]) -> str:
+        """The first blank was put there by the normaliser."""
+        return "".join(self.odd.get(c) or c.replace(MARK, " ") for c in chunks)[1:]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        decoded = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        return [t[1:] if t[:1] == " " else t for t in decoded] if self.chunked else decoded
 
 
 def _read(path: str) -> Rebuilt:
@@ -304,16 +339,17 @@ def _encode(rebuilt: Rebuilt, carried: list[str]) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(rebuilt)
         for batch in batches:
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            for start, end in _slices([len(t) for t in texts], _CHARS):
-                flat, sizes, parity, decoded = codec.encode(texts[start:end])
+            lengths = pc.fill_null(pc.utf8_length(batch["text"]), 0).to_pylist()
+            for start, end in _slices(lengths, _CHARS):
+                rows = batch.slice(start, end - start)
+                flat, sizes, parity, decoded = codec.encode([t or "" for t in rows["text"].to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 counts = [np.bincount(row[kind[flat]], minlength=len(sizes)) for kind in (codec.is_byte, codec.is_unknown)]
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *[batch[c].slice(start, end - start) for c in carried],
+                        *[rows[c] for c in carried],
                         ids,
                         pa.array(sizes.astype(np.int32)),
                         *[pa.array(c.astype(np.int32)) for c in counts],
@@ -322,6 +358,8 @@ def _encode(rebuilt: Rebuilt, carried: list[str]) -> Callable:
                     ],
                     names=[*carried, *field_names(_ENCODED)],
                 )
+        del codec
+        release_memory()
 
     return encode
 
@@ -329,7 +367,9 @@ def _encode(rebuilt: Rebuilt, carried: list[str]) -> Callable:
 def encoded(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     """doc_id and ids of every document, with counts, the decoded text and parity with the reference.
 
-    A null text is encoded as an empty one, which has no ids.  Strings of control
+    Ids are the rebuilt tokenizer's; where the check finds a chunk (a word with the
+    blanks before it) that it encodes otherwise, ``parity`` is false and the chunk
+    has the reference's ids.  A null text is encoded as an empty one, which has no ids.  Strings of control
     pieces in a text are ordinary text.  Ids of bytes that do not form characters
     decode to replacement characters.
     """

@@ -6,6 +6,7 @@ import struct
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from tagwright.llm import sentencepieces as sp
 
@@ -73,7 +74,8 @@ def test_parity(data):
         ids = [part.tolist() for part in np.split(flat, np.cumsum(sizes)[:-1])]
         want = codec.reference.encode(batch)
         assert ids == want
-        rebuilt = [e.ids for e in codec.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+        whole = Tokenizer.from_str(sp.Rebuilt.read(data).tokenizer)
+        rebuilt = [e.ids for e in whole.encode_batch_fast(batch, add_special_tokens=False)]
         # What the rebuilt tokenizer does otherwise is reported: a run of forty blanks, names of byte pieces.
         assert [t for t, p in zip(batch, parity) if not p] == [t for t, a, b in zip(batch, rebuilt, want) if a != b]
         assert parity.sum() >= len(batch) - 2
@@ -92,3 +94,31 @@ def test_query(spark, small_folder):
     assert sp.digest(docs.limit(0)).collect() == []
     done = sp.digest(spark.read.parquet(f"{small_folder}/documents.parquet"))
     assert done.filter("parity and round_trip").count() == 200
+
+
+def bpe_model():
+    with open(sp.MODEL, "rb") as file:
+        return file.read()
+
+
+def test_memory_of_chunks_is_bounded():
+    draw = random.Random(2)
+    batches = [[" ".join(f"w{draw.randrange(3000)}" for _ in range(60)) + " the stone" for _ in range(20)] for _ in range(12)]
+    rebuilt = sp.Rebuilt.read(bpe_model())
+    small, large = sp.Codec(rebuilt, remembered=1 << 16), sp.Codec(rebuilt)
+    for batch in [*batches, [f"long {'y' * 50_000} end", " " * 40 + "x"], *batches]:
+        few, many = small.encode(batch), large.encode(batch)
+        assert all(list(a) == list(b) for a, b in zip(few, many))
+        assert few[0].tolist() == [i for ids in small.reference.encode(batch) for i in ids]
+        assert small.held <= 1 << 15 and len(small.young) + len(small.old) < 700
+    assert len(large.young) > 2500
+
+
+def test_texts_longer_than_a_slice(spark, monkeypatch):
+    monkeypatch.setattr(sp, "_CHARS", 1000)
+    rows = [(1, "stone lake " * 500), (2, "z" * 5000), (3, ""), (4, "a b"), (5, " " * 3000), (6, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    codec = sp.Codec(sp.Rebuilt.read(bpe_model()))
+    for r in sp.encoded(frame).collect():
+        text = dict(rows)[r.doc_id] or ""
+        assert r.ids == codec.reference.encode(text) and r.decoded == text and r.n_tokens == len(r.ids)
