@@ -289,4 +289,8 @@ def sampled(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], ke
     """The documents at their rates without repeats (a rate of 1 at most), in the columns of ``docs``."""
     carried = [F.col(f"`{n}`").alias(f"_{i}") for i, n in enumerate(docs.columns)]
     done = mixed(docs.select("doc_id", "text", *carried), labels, targets, max_rate=1.0, keep=keep)
-    return done.filter("mix_copies > 0").select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(docs.columns)])
+    # Unfolding a list of one or none, and not a filter on the copies: Spark would move that below
+    # the classifier's steps and copy these, the splitting of the text included, into it many times.
+    kept = F.explode_outer(F.when(F.col("mix_copies") > 0, F.array(F.lit(True)))).alias("mix_kept")
+    done = done.select(*[f"_{i}" for i in range(len(carried))], kept).filter("mix_kept is not null")
+    return done.select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(docs.columns)])

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagwright.llm import mixing
+from tests.conftest import plan_of
 
 WORDS = {"clean": "calm lake river stone cloud", "low": "click buy now cheap deal", "toxic": "scum idiot awful nasty vile"}
 LABELS = {"clean": (1, 0), "low": (0, 0), "toxic": (1, 1)}
@@ -70,7 +71,6 @@ def test_copies_keep_totals(spark):
     rates = spark.range(20_000).select("id", (F.col("id") % 4 * 0.4 + 0.3).alias("rate"))
     made = rates.select("rate", mixing.copies(F.col("rate"), "id").alias("n")).groupBy("rate").agg(F.avg("n").alias("n")).collect()
     assert all(r.n == pytest.approx(r.rate, abs=0.03) for r in made)
-    assert spark.range(1).select(mixing.copies(F.lit(0.97), F.lit(1)), mixing.copies(F.lit(0.02), F.lit(1))).first()[:] == (1, 0)
 
 
 def test_sampled_keeps_clean_documents(spark):
@@ -122,3 +122,10 @@ def test_soft_posteriors_and_a_rare_domain_converge(spark, caplog):
         mixing.fit_rates(scored, mixing.DOMAINS, mixing.TARGETS, rounds=3)
     mixing.fit_rates(scored, mixing.DOMAINS, mixing.TARGETS, max_rate=1.0)
     assert "out of reach" in caplog.text
+
+
+def test_a_text_is_split_once(spark):
+    docs, labels = corpus(spark, 20)
+    plan = plan_of(mixing.sampled(docs, labels, {"clean": 0.97, "low": 0.0, "toxic": 0.03}, keep="clean"))
+    executed = plan[plan.index("== Physical Plan"):].split("Subqueries")[0]
+    assert executed.count("split(") == 1
