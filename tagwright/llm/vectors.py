@@ -306,7 +306,8 @@ def near_duplicates(
 #: The exact result in SQL, all pairs compared.
 SQL = """
 WITH RECURSIVE usable AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  SELECT vec_id, list_transform(embedding,
+    lambda x: CAST(x AS DOUBLE) / list_max(list_transform(embedding, lambda y: abs(CAST(y AS DOUBLE))))) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (

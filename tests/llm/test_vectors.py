@@ -13,6 +13,7 @@ def expected(rows, threshold=0.9):
         if v is None or not v or any(x is None or not math.isfinite(x) for x in v) or not any(v):
             return None
         a = np.array(v, float)
+        a /= np.abs(a).max()
         return a / np.linalg.norm(a)
 
     units = [unit(v) for _, v in rows]
