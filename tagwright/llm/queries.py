@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tagwright.llm import (
+    codelength,
+    conversations,
     licenses,
     mixing,
     quality,
@@ -17,6 +19,7 @@ from tagwright.llm import (
     suffixes,
     urls,
     vectors,
+    whitening,
 )
 from tagwright.sources.tables import read
 
@@ -92,3 +95,18 @@ def mixing_to_targets(spark, folder):
 @query("op10_sharding")
 def sharding_by_bytes(spark, folder):
     return sharding.digest(read(spark, folder, "documents"))
+
+
+@query("op11_context_tree_scores")
+def context_tree_scores(spark, folder):
+    return codelength.scores(read(spark, folder, "documents"))
+
+
+@query("op12_prefix_trie", conversations.SQL)
+def conversation_prefix_trie(spark, folder):
+    return conversations.digest(read(spark, folder, "conversations"))
+
+
+@query("op13_whitening")
+def embedding_whitening(spark, folder):
+    return whitening.whitened(read(spark, folder, "embeddings"))

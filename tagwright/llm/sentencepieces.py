@@ -35,7 +35,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Threads that encode in one Python worker.
 THREADS = 2
 #: Bytes of chunks and their ids that a worker remembers at most, and of what is kept beside each.
-REMEMBERED = 48 << 20
+REMEMBERED = 24 << 20
 _ENTRY = 200
 
 
@@ -330,7 +330,7 @@ def _slices(lengths: list[int], limit: int) -> Iterator[tuple[int, int]]:
 
 
 #: Characters that are encoded at a time.
-_CHARS = 2 << 20
+_CHARS = 1 << 20
 
 _ENCODED = "ids array<int>, n_tokens int, n_byte_tokens int, n_unknown int, parity boolean, decoded string"
 

@@ -25,7 +25,7 @@ def con(small_folder):
 
 def test_one_query_for_each_operator():
     numbers = [int(name[2:].split("_")[0]) for name in queries.registered()]
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries()
     assert set(queries.statements()) <= set(queries.registered())
 
 
