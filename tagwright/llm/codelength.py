@@ -6,12 +6,12 @@ rule.  A node's weighted probability is half its own estimate and half the produ
 its children's, so that a prediction mixes the estimates of all depths by how well each
 depth has coded the training texts.
 
-Texts are packed into chunks once.  A chunk asks for its different strings of a context
+Texts are packed into blocks once.  A block asks for its different strings of a context
 and a byte, of which it has few, and counts those of its training texts; what all
-chunks ask for is added up in buckets by hash.  The different strings are sorted by
+blocks ask for is added up in buckets by hash.  The different strings are sorted by
 context, their trees are computed below every pair of bytes on its own, and the two
-levels above are small by the alphabet.  Buckets answer every chunk with a code length
-per string asked for, and the chunk adds them up per text.
+levels above are small by the alphabet.  Buckets answer every block with a code length
+per string asked for, and the block adds them up per text.
 """
 
 from __future__ import annotations
@@ -32,11 +32,14 @@ from pyspark.sql import functions as F
 from tagwright.llm.textbytes import field_names, mix, release_memory
 from tagwright.session import write_once
 
-#: Bytes of context; with the byte itself and its text's place in a chunk they fill 64 bits.
-DEPTH = 5
-#: Bytes of text in a chunk, about, and texts in it.
-CHUNK_BYTES = 6 << 20
-CHUNK_TEXTS = 1 << 16
+#: Bytes of context; with the byte itself and its text's place in a part they fill 64 bits.
+DEPTH = 6
+#: Bytes of text in a block, about, and texts in it at most.
+BLOCK_BYTES = 24 << 20
+BLOCK_TEXTS = 1 << 20
+#: Bytes of text that are worked on at a time, about, and texts at most.
+PART_BYTES = 2 << 20
+PART_TEXTS = 1 << 8
 #: Bytes of text for each bucket of strings, and buckets at most; strings grow far slower than texts.
 BUCKET_BYTES = 16 << 20
 BUCKETS = 4096
@@ -85,7 +88,7 @@ def tokens_of(text: str | None) -> bytes:
     return b" ".join((text or "").encode().lower().split()) + END
 
 
-def _parts(data: bytes, limit: int) -> Iterator[tuple[int, int]]:
+def _cut(data: bytes, limit: int) -> Iterator[tuple[int, int]]:
     """Parts of a long text that end behind a blank; a word is never cut."""
     at = 0
     while len(data) - at > limit:
@@ -97,25 +100,25 @@ def _parts(data: bytes, limit: int) -> Iterator[tuple[int, int]]:
     yield at, len(data)
 
 
-_CHUNK = (
-    "chunk long, size long, rows array<long>, doc_ids array<long>, held array<boolean>, starts array<long>, ends array<long>, data binary"
+_BLOCK = (
+    "block long, size long, rows array<long>, doc_ids array<long>, held array<boolean>, starts array<long>, ends array<long>, data binary"
 )
 
 
-class _Chunk:
+class _Block:
     """Texts gathered until there are enough; each has the bytes before it in front."""
 
     def __init__(self, number: int):
         self.number = number
         self.size = 0
-        self.parts: list[bytes] = []
+        self.pieces: list[bytes] = []
         self.columns: tuple[list, ...] = ([], [], [], [], [])
 
     def add(self, row: int | None, doc_id: int | None, held: bool, past: bytes, data: bytes) -> int:
-        """The row's name: that of its first part."""
-        row = self.number * CHUNK_TEXTS + len(self.columns[0]) if row is None else row
+        """The row's name: that of its first piece."""
+        row = self.number * BLOCK_TEXTS + len(self.columns[0]) if row is None else row
         start = self.size + len(past)
-        self.parts += [past, data]
+        self.pieces += [past, data]
         self.size = start + len(data)
         for column, value in zip(self.columns, (row, doc_id, held, start, self.size)):
             column.append(value)
@@ -124,123 +127,130 @@ class _Chunk:
     def batch(self) -> pa.RecordBatch:
         types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
         lists = [pa.array([c], pa.list_(t)) for c, t in zip(self.columns, types)]
-        data = _zip(b"".join(self.parts))
+        data = _zip(b"".join(self.pieces))
         return pa.RecordBatch.from_arrays(
-            [pa.array([self.number]), pa.array([self.size]), *lists, pa.array([data], pa.binary())], names=field_names(_CHUNK)
+            [pa.array([self.number]), pa.array([self.size]), *lists, pa.array([data], pa.binary())], names=field_names(_BLOCK)
         )
 
 
-def _pack_texts(chunk_bytes: int) -> Callable:
+def _pack_texts(block_bytes: int) -> Callable:
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 28
-        chunk = _Chunk(number)
+        block = _Block(TaskContext.get().partitionId() << 20)
         for batch in batches:
             for i in range(batch.num_rows):
                 doc_id, held = batch["doc_id"][i].as_py(), batch["held"][i].as_py()
                 data = tokens_of(batch["text"][i].as_py())
                 row, past = None, _PAST
-                for start, end in _parts(data, chunk_bytes):
-                    if chunk.size and (chunk.size + end - start > chunk_bytes or len(chunk.columns[0]) == CHUNK_TEXTS):
-                        yield chunk.batch()
-                        chunk = _Chunk(chunk.number + 1)
-                    row = chunk.add(row, doc_id, held, past, data[start:end])
+                for start, end in _cut(data, PART_BYTES):
+                    if block.size and (block.size + end - start > block_bytes or len(block.columns[0]) == BLOCK_TEXTS):
+                        yield block.batch()
+                        block = _Block(block.number + 1)
+                    row = block.add(row, doc_id, held, past, data[start:end])
                     past = (_PAST + data[:end] if end < DEPTH else data[end - DEPTH : end])[-DEPTH:]
-        if chunk.size:
-            yield chunk.batch()
+        if block.size:
+            yield block.batch()
+        release_memory()
 
     return packed
 
 
-# --- strings of a chunk -----------------------------------------------------------
+# --- strings and tokens of a block ------------------------------------------------
+
+
+class Part(NamedTuple):
+    """Some neighbouring texts of a block: its first one, its bytes, and where each text starts and ends in them."""
+
+    first: int
+    data: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+
+
+def _parts(row: dict) -> Iterator[Part]:
+    data = _unzip(row["data"], row["size"])
+    starts, ends = np.array(row["starts"], np.int64), np.array(row["ends"], np.int64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at]) - DEPTH
+        end = max(at + 1, min(at + PART_TEXTS, int(np.searchsorted(ends, low + PART_BYTES, side="right"))))
+        yield Part(at, data[low : int(ends[end - 1])], starts[at:end] - low, ends[at:end] - low)
+        at = end
 
 
 class Strings(NamedTuple):
-    """Different strings of a chunk, by bucket and then in order, and where the texts have them.
+    """Different strings in order; and of every occurrence, sorted alike, the string's rank and its text.
 
     A string is a byte, lowest, below its context, the byte right before it on top.
     """
 
     keys: np.ndarray
-    bounds: np.ndarray
-    #: Rank of every occurrence's string among the sorted ones, its text, and the sorted ones' places in ``keys``.
     rank: np.ndarray
     text: np.ndarray
-    order: np.ndarray
 
 
-def strings_of(data: bytes, starts: np.ndarray, ends: np.ndarray, buckets: int) -> Strings:
-    every = np.frombuffer(data, np.uint8)
+def strings_of(part: Part) -> Strings:
+    every = np.frombuffer(part.data, np.uint8)
     n = len(every) - DEPTH
-    keys = every[DEPTH:].astype(np.uint64)
-    for d in range(1, DEPTH + 1):
-        keys |= every[DEPTH - d : DEPTH - d + n].astype(np.uint64) << np.uint64(8 * (DEPTH - d + 1))
-    keys <<= np.uint64(16)
+    keys = np.zeros(n, np.uint64)
+    for d in (*range(1, DEPTH + 1), 0):
+        keys <<= np.uint64(8)
+        keys |= every[DEPTH - d : DEPTH - d + n]
+    keys <<= np.uint64(8)
     # Bytes in front of a text are context only.
-    real = np.zeros(len(every) + 1, np.int8)
-    real[starts] += 1
-    real[ends] -= 1
-    real = np.cumsum(real[:-1], dtype=np.int8)[DEPTH:].astype(bool)
-    keys = keys[real]
-    keys |= np.repeat(np.arange(len(starts), dtype=np.uint64), ends - starts)
+    edges = np.zeros(len(every) + 1, np.int8)
+    edges[part.starts] += 1
+    edges[part.ends] -= 1
+    keys = keys[np.cumsum(edges[:-1], dtype=np.int8)[DEPTH:].astype(bool)]
+    keys |= np.repeat(np.arange(len(part.starts), dtype=np.uint8), part.ends - part.starts)
     keys.sort()
-    text = (keys & np.uint64(0xFFFF)).astype(np.uint16)
-    keys >>= np.uint64(16)
+    text = (keys & np.uint64(PART_TEXTS - 1)).astype(np.uint8)
+    keys >>= np.uint64(8)
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
-    rank = np.cumsum(new, dtype=np.int32) - 1
-    different = keys[new]
-    bucket = (mix(different.copy()) >> np.uint64(32)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-    return Strings(different[order].astype(np.int64), bounds, rank, text, order)
+    return Strings(keys[new].astype(np.int64), np.cumsum(new, dtype=np.int32) - 1, text)
 
 
 class Tokens(NamedTuple):
-    """Different tokens of a chunk by bucket, and each text's tokens as places among them."""
+    """Different tokens of a part, and of every occurrence its token's place among them and its text."""
 
     tokens: list[bytes]
-    bounds: np.ndarray
     place: np.ndarray
     text: np.ndarray
 
 
-def bucket_of(token: bytes, buckets: int) -> int:
-    return zlib.crc32(token) % buckets
-
-
-def split_tokens(data: bytes, starts: np.ndarray, ends: np.ndarray, buckets: int) -> Tokens:
+def split_tokens(part: Part) -> Tokens:
     found: list[bytes] = []
     sizes = []
-    for start, end in zip(starts.tolist(), ends.tolist()):
-        part = data[start:end]
+    for start, end in zip(part.starts.tolist(), part.ends.tolist()):
+        piece = part.data[start:end]
         before = len(found)
-        found += part.split()
-        if part.endswith(END):
+        found += piece.split()
+        if piece.endswith(END):
             found.append(END)
         sizes.append(len(found) - before)
     coded = pa.array(found, pa.large_binary()).dictionary_encode()
-    different = coded.dictionary.to_pylist()
-    bucket = np.array([bucket_of(t, buckets) for t in different], np.int64)
+    return Tokens(coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes))
+
+
+def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the strings, bucket by bucket and in order within one, and where each bucket starts."""
+    bucket = (mix(keys.astype(np.uint64)) >> np.uint64(32)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    place = back[coded.indices.to_numpy(zero_copy_only=False)]
-    return Tokens([different[i] for i in order.tolist()], bounds, place, np.repeat(np.arange(len(starts)), sizes))
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
 
 
-def _opened(row: dict) -> tuple[bytes, np.ndarray, np.ndarray]:
-    return _unzip(row["data"], row["size"]), np.array(row["starts"], np.int64), np.array(row["ends"], np.int64)
+def bucket_of(token: bytes, buckets: int) -> int:
+    return zlib.crc32(token) % buckets
 
 
-#: Rows that go to the buckets: code lengths of strings (kind 0), counts of tokens (1), what a chunk asks for (2).
+#: Rows that go to the buckets: code lengths of strings (kind 0), counts of tokens (1), what a block asks for (2).
 _ASKED = (
-    "bucket int, kind int, chunk long, n_keys long, keys binary, key_values binary, n_tokens long, tokens binary, token_values binary"
+    "bucket int, kind int, block long, n_keys long, keys binary, key_values binary, n_tokens long, tokens binary, token_values binary"
 )
 
 
-def _asked(bucket, kind, chunk, keys, key_values, tokens, token_values) -> pa.RecordBatch:
-    values = [bucket, kind, chunk, len(keys), _pack_sorted(keys), key_values, len(tokens), _joined(tokens), token_values]
+def _asked(bucket, kind, block, keys, key_values, tokens, token_values) -> pa.RecordBatch:
+    values = [bucket, kind, block, len(keys), _pack_sorted(keys), key_values, len(tokens), _joined(tokens), token_values]
     types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=field_names(_ASKED))
 
@@ -257,18 +267,28 @@ def _tokens(data: bytes) -> list[bytes]:
 def _ask(buckets: int) -> Callable:
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
-            data, starts, ends = _opened(row)
             learnt = ~np.array(row["held"], bool)
-            s = strings_of(data, starts, ends, buckets)
-            counts = np.bincount(s.rank, weights=learnt[s.text], minlength=len(s.keys)).astype(np.int64)[s.order]
-            bounds, keys = s.bounds, s.keys
-            del s
-            t = split_tokens(data, starts, ends, buckets)
-            token_counts = np.bincount(t.place, weights=learnt[t.text], minlength=len(t.tokens)).astype(np.int64)
+            strings = _Sums()
+            counts: dict[bytes, int] = {}
+            for part in _parts(row):
+                mine = learnt[part.first : part.first + len(part.starts)]
+                s = strings_of(part)
+                strings.add(s.keys, np.bincount(s.rank, weights=mine[s.text], minlength=len(s.keys)).astype(np.int64))
+                t = split_tokens(part)
+                for token, n in zip(t.tokens, np.bincount(t.place, weights=mine[t.text], minlength=len(t.tokens)).astype(int).tolist()):
+                    counts[token] = counts.get(token, 0) + n
+            keys, n = strings.done()
+            order, bounds = _by_bucket(keys, buckets)
+            tokens: list[list[bytes]] = [[] for _ in range(buckets)]
+            for token in counts:
+                tokens[bucket_of(token, buckets)].append(token)
             for b in range(buckets):
-                a, z, c, d = bounds[b], bounds[b + 1], t.bounds[b], t.bounds[b + 1]
-                if z > a or d > c:
-                    yield _asked(b, 2, row["chunk"], keys[a:z], pack(counts[a:z]), t.tokens[c:d], pack(token_counts[c:d]))
+                some = order[bounds[b] : bounds[b + 1]]
+                # In order, so that scoring finds them in the same.
+                named = sorted(tokens[b])
+                if len(some) or named:
+                    held = np.array([counts[t] for t in named], np.int64)
+                    yield _asked(b, 2, row["block"], keys[some], pack(n[some]), named, pack(held))
         release_memory()
 
     return asked
@@ -292,24 +312,38 @@ def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return every[first], np.add.reduceat(n, first) if len(first) else n
 
 
+class _Sums:
+    """Counts of strings added up in memory for the different ones."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts, self.held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.held += len(keys)
+        if self.held > max(2 * SEGMENT_STRINGS, len(self.keys[0])):
+            self.done()
+
+    def done(self) -> tuple[np.ndarray, np.ndarray]:
+        merged = _added(self.keys, self.counts)
+        self.keys, self.counts, self.held = [merged[0]], [merged[1]], 0
+        return merged
+
+
 _MERGED = "bucket int, n_keys long, keys binary, counts binary, n_tokens long, tokens binary, token_counts binary, known long, total long"
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per bucket with all that chunks ask for; chunks come one by one."""
+    """A row per bucket with all that blocks ask for; blocks come one by one."""
     for bucket, rows in groupby(_each(batches), key=itemgetter("bucket")):
-        keys, counts, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        strings = _Sums()
         tokens: dict[bytes, int] = {}
         for row in rows:
-            keys.append(_unpack_sorted(row["keys"], row["n_keys"]))
-            counts.append(unpack(row["key_values"], row["n_keys"]))
-            held += row["n_keys"]
-            if held > max(SEGMENT_STRINGS, 2 * len(keys[0])):
-                merged = _added(keys, counts)
-                keys, counts, held = [merged[0]], [merged[1]], 0
+            strings.add(_unpack_sorted(row["keys"], row["n_keys"]), unpack(row["key_values"], row["n_keys"]))
             for token, n in zip(_tokens(row["tokens"]), unpack(row["token_values"], row["n_tokens"]).tolist()):
                 tokens[token] = tokens.get(token, 0) + n
-        every, n = _added(keys, counts)
+        every, n = strings.done()
         found = np.fromiter(tokens.values(), np.int64, len(tokens))
         values = [bucket, len(every), _pack_sorted(every), pack(n), len(tokens), _joined(list(tokens)), pack(found)]
         values += [int((found > 0).sum()), int(found.sum())]
@@ -522,11 +556,11 @@ def _answer_strings(top: Top) -> Callable:
 
 # --- answers --------------------------------------------------------------------------
 
-_ANSWERS = "chunk long, bucket int, lengths binary, n_tokens long, counts binary"
+_ANSWERS = "block long, bucket int, lengths binary, n_tokens long, counts binary"
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each chunk what it asked the bucket for; the bucket's own rows come first."""
+    """For each block what it asked the bucket for; the bucket's own rows come first."""
     for bucket, rows in groupby(_each(batches), key=itemgetter("bucket")):
         parts: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.float32))]
         keys = lengths = None
@@ -546,7 +580,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = np.array([counts[t] for t in _tokens(row["tokens"])], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([row["chunk"]]),
+                    pa.array([row["block"]]),
                     pa.array([bucket], pa.int32()),
                     pa.array([lengths[place].tobytes()], pa.binary()),
                     pa.array([len(found)]),
@@ -557,33 +591,49 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release_memory()
 
 
-_PARTS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, bits double, n_bytes long"
+_PIECES = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, bits double, n_bytes long"
 
 
 def _score(buckets: int, normal: float) -> Callable:
-    def scored(chunks: pa.Table, answers: pa.Table) -> pa.Table:
-        row = chunks.to_pylist()[0]
-        data, starts, ends = _opened(row)
-        texts = len(starts)
+    def scored(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        row = blocks.to_pylist()[0]
         answers = sorted(answers.to_pylist(), key=itemgetter("bucket"))
-        s = strings_of(data, starts, ends, buckets)
-        lengths = np.empty(len(s.keys), np.float64)
-        lengths[s.order] = np.frombuffer(b"".join(a["lengths"] for a in answers), np.float32)
-        bits = np.bincount(s.text, weights=lengths[s.rank], minlength=texts)
-        del s, lengths
-        t = split_tokens(data, starts, ends, buckets)
-        counts = np.concatenate([unpack(a["counts"], a["n_tokens"]) for a in answers])
-        n_tokens = np.bincount(t.text, minlength=texts)
-        base = np.bincount(t.text, weights=np.log10(counts + 0.5)[t.place], minlength=texts) - n_tokens * normal
-        known = np.bincount(t.text, weights=(counts > 0)[t.place], minlength=texts).astype(np.int64)
-        columns = [row["rows"], row["doc_ids"], row["held"], n_tokens, known, base, bits, ends - starts]
+        # What was asked for comes back in the order of asking.
+        strings, tokens = _Sums(), set()
+        parts = list(_parts(row))
+        for part in parts:
+            keys = strings_of(part).keys
+            strings.add(keys, np.zeros(len(keys), np.int64))
+            tokens.update(split_tokens(part).tokens)
+        keys, _ = strings.done()
+        order, _ = _by_bucket(keys, buckets)
+        lengths = np.empty(len(keys), np.float64)
+        lengths[order] = np.frombuffer(b"".join(a["lengths"] for a in answers), np.float32)
+        named: list[list[bytes]] = [[] for _ in range(buckets)]
+        for token in tokens:
+            named[bucket_of(token, buckets)].append(token)
+        counts: dict[bytes, int] = {}
+        for a in answers:
+            counts.update(zip(sorted(named[a["bucket"]]), unpack(a["counts"], a["n_tokens"]).tolist()))
+        n_tokens, known, base, bits = [], [], [], []
+        for part in parts:
+            texts = len(part.starts)
+            s = strings_of(part)
+            bits.append(np.bincount(s.text, weights=lengths[np.searchsorted(keys, s.keys)][s.rank], minlength=texts))
+            t = split_tokens(part)
+            c = np.array([counts[w] for w in t.tokens], np.int64)
+            n_tokens.append(np.bincount(t.text, minlength=texts))
+            base.append(np.bincount(t.text, weights=np.log10(c + 0.5)[t.place], minlength=texts) - n_tokens[-1] * normal)
+            known.append(np.bincount(t.text, weights=(c > 0)[t.place], minlength=texts).astype(np.int64))
+        sizes = np.array(row["ends"]) - np.array(row["starts"])
+        columns = [row["rows"], row["doc_ids"], row["held"], *map(np.concatenate, (n_tokens, known, base, bits)), sizes]
         types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=field_names(_PARTS))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=field_names(_PIECES))
 
     return scored
 
 
-def scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: its log10 probability by the weighted context trees, and by single tokens.
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes and
@@ -599,11 +649,11 @@ def scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     number = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
     texts = docs.select(doc_id.alias("doc_id"), (number % 5 == HELD_OUT).alias("held"), F.col("text").cast("string").alias("text"))
-    chunks = write_once(texts.mapInArrow(_pack_texts(chunk_bytes), _CHUNK), "codelength-chunks")
-    size = chunks.agg(F.sum("size")).first()[0] or 0
+    blocks = write_once(texts.mapInArrow(_pack_texts(block_bytes), _BLOCK), "codelength-blocks")
+    size = blocks.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, min(BUCKETS, -(-size // BUCKET_BYTES)))
-    asked = write_once(chunks.mapInArrow(_ask(buckets), _ASKED), "codelength-asked")
-    # All that a bucket is asked for comes to one task, one chunk after the other.
+    asked = write_once(blocks.mapInArrow(_ask(buckets), _ASKED), "codelength-asked")
+    # All that a bucket is asked for comes to one task, one block after the other.
     by_bucket = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     merged = write_once(by_bucket.mapInArrow(_merge, _MERGED), "codelength-strings")
     sums = merged.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_keys", "known", "total")]).first()
@@ -617,15 +667,15 @@ def scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     lengths = strings.mapInArrow(_answer_strings(top), _ASKED)
     nothing = F.lit(b"")
     tokens = merged.select(
-        "bucket", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("chunk"), F.lit(0).cast("long").alias("n_keys"),
+        "bucket", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("block"), F.lit(0).cast("long").alias("n_keys"),
         nothing.alias("keys"), nothing.alias("key_values"), "n_tokens", "tokens", F.col("token_counts").alias("token_values"),
     )
     every = asked.unionByName(lengths).unionByName(tokens)
     answers = every.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer, _ANSWERS)
     normal = math.log10(sums["total"] + 0.5 * (sums["known"] + 1))
-    parts = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(buckets, normal), _PARTS)
-    # A long text is in several parts.
-    whole = parts.groupBy("row").agg(
+    pieces = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(buckets, normal), _PIECES)
+    # A long text is in several pieces.
+    whole = pieces.groupBy("row").agg(
         *[F.first(c).alias(c) for c in ("doc_id", "held_out")], *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "bits", "n_bytes")]
     )
     return whole.select(
