@@ -189,19 +189,19 @@ class Strings(NamedTuple):
 
 
 def strings_of(part: Part) -> Strings:
-    every = np.frombuffer(part.data, np.uint8)
-    n = len(every) - DEPTH
-    keys = np.zeros(n, np.uint64)
-    for d in (*range(1, DEPTH + 1), 0):
-        keys <<= np.uint64(8)
-        keys |= every[DEPTH - d : DEPTH - d + n]
-    keys <<= np.uint64(8)
+    every = np.frombuffer(part.data + b"\0\0", np.uint8)
+    n = len(every) - 2 - DEPTH
+    # Eight bytes from the farthest of the context on, the lowest first; only the context stays.
+    keys = np.ndarray((n,), np.dtype("<u8"), buffer=every, strides=(1,)) << np.uint64(16)
     # Bytes in front of a text are context only.
     edges = np.zeros(len(every) + 1, np.int8)
     edges[part.starts] += 1
     edges[part.ends] -= 1
-    keys = keys[np.cumsum(edges[:-1], dtype=np.int8)[DEPTH:].astype(bool)]
-    keys |= np.repeat(np.arange(len(part.starts), dtype=np.uint8), part.ends - part.starts)
+    real = np.cumsum(edges[:-1], dtype=np.int8)[DEPTH : DEPTH + n].astype(bool)
+    keys = keys[real]
+    low = every[DEPTH : DEPTH + n][real].astype(np.uint16) << np.uint16(8)
+    low |= np.repeat(np.arange(len(part.starts), dtype=np.uint16), part.ends - part.starts)
+    keys |= low
     keys.sort()
     text = (keys & np.uint64(PART_TEXTS - 1)).astype(np.uint8)
     keys >>= np.uint64(8)
@@ -211,31 +211,52 @@ def strings_of(part: Part) -> Strings:
 
 
 class Tokens(NamedTuple):
-    """Different tokens of a part, and of every occurrence its token's place among them and its text."""
+    """Different tokens of a block, bucket by bucket and in order within one; and each part's tokens as places among them."""
 
     tokens: list[bytes]
-    place: np.ndarray
-    text: np.ndarray
-
-
-def split_tokens(part: Part) -> Tokens:
-    found: list[bytes] = []
-    sizes = []
-    for start, end in zip(part.starts.tolist(), part.ends.tolist()):
-        piece = part.data[start:end]
-        before = len(found)
-        found += piece.split()
-        if piece.endswith(END):
-            found.append(END)
-        sizes.append(len(found) - before)
-    coded = pa.array(found, pa.large_binary()).dictionary_encode()
-    return Tokens(coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes))
+    bounds: np.ndarray
+    places: list[np.ndarray]
+    texts: list[np.ndarray]
+
+
+def tokens_by_bucket(parts: list[Part], buckets: int) -> Tokens:
+    coded, texts = [], []
+    for part in parts:
+        found: list[bytes] = []
+        sizes = []
+        for start, end in zip(part.starts.tolist(), part.ends.tolist()):
+            piece = part.data[start:end]
+            before = len(found)
+            found += piece.split()
+            if piece.endswith(END):
+                found.append(END)
+            sizes.append(len(found) - before)
+        coded.append(pa.array(found, pa.large_binary()).dictionary_encode())
+        texts.append(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes))
+    # The parts' own tokens once more, for those of the block.
+    whole = pa.concat_arrays([c.dictionary for c in coded]).dictionary_encode()
+    of = whole.indices.to_numpy(zero_copy_only=False)
+    different = whole.dictionary.to_pylist()
+    bucket = np.fromiter((bucket_of(t, buckets) for t in different), np.int64, len(different))
+    order = np.array(sorted(range(len(different)), key=different.__getitem__), np.int64)
+    order = order[np.argsort(bucket[order], kind="stable")]
+    back = np.empty(len(order), np.int32)
+    back[order] = np.arange(len(order))
+    places, at = [], 0
+    for c in coded:
+        mine = back[of[at : at + len(c.dictionary)]]
+        places.append(mine[c.indices.to_numpy(zero_copy_only=False)])
+        at += len(c.dictionary)
+    return Tokens([different[i] for i in order.tolist()], np.searchsorted(bucket[order], np.arange(buckets + 1)), places, texts)
 
 
 def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the strings, bucket by bucket and in order within one, and where each bucket starts."""
-    bucket = (mix(keys.astype(np.uint64)) >> np.uint64(32)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
+    """Places of the strings, bucket by bucket and in order within one, and where each bucket starts.
+
+    Strings with the same last four bytes of context share a bucket, so that those of a bucket lie close.
+    """
+    bucket = (mix((keys >> 8 * (DEPTH - 3)).astype(np.uint64)) >> np.uint64(32)) % np.uint64(buckets)
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
 
 
@@ -268,27 +289,22 @@ def _ask(buckets: int) -> Callable:
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             learnt = ~np.array(row["held"], bool)
+            parts = list(_parts(row))
+            mine = [learnt[p.first : p.first + len(p.starts)] for p in parts]
             strings = _Sums()
-            counts: dict[bytes, int] = {}
-            for part in _parts(row):
-                mine = learnt[part.first : part.first + len(part.starts)]
+            for part, some in zip(parts, mine):
                 s = strings_of(part)
-                strings.add(s.keys, np.bincount(s.rank, weights=mine[s.text], minlength=len(s.keys)).astype(np.int64))
-                t = split_tokens(part)
-                for token, n in zip(t.tokens, np.bincount(t.place, weights=mine[t.text], minlength=len(t.tokens)).astype(int).tolist()):
-                    counts[token] = counts.get(token, 0) + n
+                strings.add(s.keys, np.bincount(s.rank, weights=some[s.text], minlength=len(s.keys)).astype(np.int64))
             keys, n = strings.done()
             order, bounds = _by_bucket(keys, buckets)
-            tokens: list[list[bytes]] = [[] for _ in range(buckets)]
-            for token in counts:
-                tokens[bucket_of(token, buckets)].append(token)
+            t = tokens_by_bucket(parts, buckets)
+            held = np.zeros(len(t.tokens), np.int64)
+            for place, text, some in zip(t.places, t.texts, mine):
+                held += np.bincount(place, weights=some[text], minlength=len(held)).astype(np.int64)
             for b in range(buckets):
-                some = order[bounds[b] : bounds[b + 1]]
-                # In order, so that scoring finds them in the same.
-                named = sorted(tokens[b])
-                if len(some) or named:
-                    held = np.array([counts[t] for t in named], np.int64)
-                    yield _asked(b, 2, row["block"], keys[some], pack(n[some]), named, pack(held))
+                some, c, d = order[bounds[b] : bounds[b + 1]], t.bounds[b], t.bounds[b + 1]
+                if len(some) or d > c:
+                    yield _asked(b, 2, row["block"], keys[some], pack(n[some]), t.tokens[c:d], pack(held[c:d]))
         release_memory()
 
     return asked
@@ -303,32 +319,56 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 # --- adding up in buckets -----------------------------------------------------------
 
 
-def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Different keys in order, and the sum of each one's counts."""
-    every, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(every, kind="stable")
-    every, n = every[order], n[order]
-    first = np.flatnonzero(np.diff(every, prepend=-1))
-    return every[first], np.add.reduceat(n, first) if len(first) else n
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return np.flatnonzero(new)
 
 
 class _Sums:
-    """Counts of strings added up in memory for the different ones."""
+    """Different strings in order, and sums of their counts.
+
+    A count travels in the lowest byte below its string, several times where it is
+    larger, so that one sort of plain numbers brings them together.
+    """
 
     def __init__(self) -> None:
-        self.keys, self.counts, self.held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        self.keys, self.totals = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.held = 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.keys.append(keys)
-        self.counts.append(counts)
-        self.held += len(keys)
-        if self.held > max(2 * SEGMENT_STRINGS, len(self.keys[0])):
+        small = (keys.astype(np.uint64) << np.uint64(8)) | np.minimum(counts, 255).astype(np.uint64)
+        large = np.flatnonzero(counts > 255)
+        if len(large):
+            whole, rest = np.divmod(counts[large] - 255, 255)
+            more = np.repeat(keys[large].astype(np.uint64) << np.uint64(8) | np.uint64(255), whole)
+            small = np.concatenate([small, more, (keys[large].astype(np.uint64) << np.uint64(8)) | rest.astype(np.uint64)])
+        self.waiting.append(small)
+        self.held += len(small)
+        if self.held > len(self.keys) + 8 * SEGMENT_STRINGS:
             self.done()
 
     def done(self) -> tuple[np.ndarray, np.ndarray]:
-        merged = _added(self.keys, self.counts)
-        self.keys, self.counts, self.held = [merged[0]], [merged[1]], 0
-        return merged
+        if self.held:
+            every = np.concatenate([self.keys.astype(np.uint64) << np.uint64(8), *self.waiting])
+            every.sort()
+            keys = (every >> np.uint64(8)).astype(np.int64)
+            first = _starts(keys)
+            totals = np.add.reduceat((every & np.uint64(255)).astype(np.int64), first)
+            keys = keys[first]
+            totals[np.searchsorted(keys, self.keys)] += self.totals
+            self.keys, self.totals, self.waiting, self.held = keys, totals, [], 0
+        return self.keys, self.totals
+
+
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and the sum of each one's counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = _starts(keys)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 _MERGED = "bucket int, n_keys long, keys binary, counts binary, n_tokens long, tokens binary, token_counts binary, known long, total long"
@@ -417,14 +457,14 @@ def _levels(keys: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.n
     """Different (context, byte) of every depth from 2 on, and their counts."""
     out = [(keys, counts)]
     for _ in range(DEPTH - 2):
-        keys, counts = _added([(keys >> 16 << 8) | (keys & 255)], [counts])
+        keys, counts = _added((keys >> 16 << 8) | (keys & 255), counts)
         out.append((keys, counts))
     return out[::-1]
 
 
 def _nodes(keys: np.ndarray, counts: np.ndarray, bit: int) -> Level:
     names = ((keys >> 8) << bit) | ((keys & 255) >> (8 - bit))
-    first = np.flatnonzero(np.diff(names, prepend=-1))
+    first = _starts(names)
     ones = counts * (keys >> (7 - bit) & 1)
     total, ones = (np.add.reduceat(c, first) for c in (counts, ones))
     return Level(names[first], total - ones, ones)
@@ -494,7 +534,7 @@ def _climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = (level.names >> bit + 8 << 8) | (1 << bit) | (level.names & (1 << bit) - 1)
             order = np.argsort(at, kind="stable")
             at = at[order]
-            first = np.flatnonzero(np.diff(at, prepend=-1))
+            first = _starts(at)
             sums = [np.add.reduceat(v[order], first) for v in (level.zeros, level.ones, done.weighted)]
             at = at[first]
             columns = [(at >> 8).astype(np.int32), (at & 255).astype(np.int32), *sums]
@@ -599,32 +639,25 @@ def _score(buckets: int, normal: float) -> Callable:
         row = blocks.to_pylist()[0]
         answers = sorted(answers.to_pylist(), key=itemgetter("bucket"))
         # What was asked for comes back in the order of asking.
-        strings, tokens = _Sums(), set()
         parts = list(_parts(row))
+        strings = _Sums()
         for part in parts:
-            keys = strings_of(part).keys
-            strings.add(keys, np.zeros(len(keys), np.int64))
-            tokens.update(split_tokens(part).tokens)
+            mine = strings_of(part).keys
+            strings.add(mine, np.zeros(len(mine), np.int64))
         keys, _ = strings.done()
-        order, _ = _by_bucket(keys, buckets)
         lengths = np.empty(len(keys), np.float64)
-        lengths[order] = np.frombuffer(b"".join(a["lengths"] for a in answers), np.float32)
-        named: list[list[bytes]] = [[] for _ in range(buckets)]
-        for token in tokens:
-            named[bucket_of(token, buckets)].append(token)
-        counts: dict[bytes, int] = {}
-        for a in answers:
-            counts.update(zip(sorted(named[a["bucket"]]), unpack(a["counts"], a["n_tokens"]).tolist()))
+        lengths[_by_bucket(keys, buckets)[0]] = np.frombuffer(b"".join(a["lengths"] for a in answers), np.float32)
+        t = tokens_by_bucket(parts, buckets)
+        counts = np.concatenate([unpack(a["counts"], a["n_tokens"]) for a in answers])
+        logs = np.log10(counts + 0.5)
         n_tokens, known, base, bits = [], [], [], []
-        for part in parts:
+        for part, place, text in zip(parts, t.places, t.texts):
             texts = len(part.starts)
             s = strings_of(part)
             bits.append(np.bincount(s.text, weights=lengths[np.searchsorted(keys, s.keys)][s.rank], minlength=texts))
-            t = split_tokens(part)
-            c = np.array([counts[w] for w in t.tokens], np.int64)
-            n_tokens.append(np.bincount(t.text, minlength=texts))
-            base.append(np.bincount(t.text, weights=np.log10(c + 0.5)[t.place], minlength=texts) - n_tokens[-1] * normal)
-            known.append(np.bincount(t.text, weights=(c > 0)[t.place], minlength=texts).astype(np.int64))
+            n_tokens.append(np.bincount(text, minlength=texts))
+            base.append(np.bincount(text, weights=logs[place], minlength=texts) - n_tokens[-1] * normal)
+            known.append(np.bincount(text, weights=(counts > 0)[place], minlength=texts).astype(np.int64))
         sizes = np.array(row["ends"]) - np.array(row["starts"])
         columns = [row["rows"], row["doc_ids"], row["held"], *map(np.concatenate, (n_tokens, known, base, bits)), sizes]
         types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
@@ -670,7 +703,9 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         "bucket", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("block"), F.lit(0).cast("long").alias("n_keys"),
         nothing.alias("keys"), nothing.alias("key_values"), "n_tokens", "tokens", F.col("token_counts").alias("token_values"),
     )
-    every = asked.unionByName(lengths).unionByName(tokens)
+    # Counts have been added up; the order of what is asked for is all that answers need.
+    wanted = asked.withColumn("key_values", nothing).withColumn("token_values", nothing)
+    every = wanted.unionByName(lengths).unionByName(tokens)
     answers = every.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer, _ANSWERS)
     normal = math.log10(sums["total"] + 0.5 * (sums["known"] + 1))
     pieces = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(buckets, normal), _PIECES)
