@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import sys
+import threading
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,23 +128,64 @@ def _ask(complete: Complete, prompt: Prompt, texts: list[str], max_retries: int,
     return answers
 
 
+def in_order(work: Callable, items: Iterator, at_once: int) -> Iterator:
+    """``work`` on every item, up to ``at_once`` of them in threads at a time; results come in the items' order.
+
+    An item is taken only when there is room for its result, so no more than
+    ``at_once`` items and results are held.  A failure is raised where its result
+    would come, and what has not begun then never does.
+    """
+    if at_once == 1:
+        yield from map(work, items)
+        return
+    waiting: deque[Future] = deque()
+    with ThreadPoolExecutor(at_once) as pool:
+        try:
+            for item in items:
+                waiting.append(pool.submit(work, item))
+                if len(waiting) == at_once:
+                    yield waiting.popleft().result()
+            while waiting:
+                yield waiting.popleft().result()
+        finally:
+            pool.shutdown(wait=True, cancel_futures=True)
+
+
+def call_profile(cpus: int) -> ResourceProfile:
+    """Resources of a stage whose tasks take ``cpus`` cores each.
+
+    A cluster with n cores then runs n // cpus tasks of model calls at a time, whatever
+    other stages do, which bounds all calls in flight to ``in_flight`` times that.
+    """
+    if cpus < 1:
+        raise ValueError(f"a task takes one core at least, got {cpus}")
+    return ResourceProfileBuilder().require(TaskResourceRequests().cpus(cpus)).build
+
+
 def predict(rows: DataFrame, build: Callable[[], Complete], prompt: Prompt | dict[int, Prompt], *,
             max_retries: int = 0, parallelism: int | None = None, batch_size: int = 256,
-            keep_text: bool = False, validator: Callable[[str], bool] | None = None) -> DataFrame:
+            keep_text: bool = False, validator: Callable[[str], bool] | None = None,
+            in_flight: int = 1, profile: ResourceProfile | None = None) -> DataFrame:
     """Call a model once per row on the executors.
 
-    ``build`` runs once per task and returns the call, so clients are opened
-    where they are used; the prompt travels with the task instead of with every
-    row.  Retries with feedback happen inside the task.  Several prompts, keyed
-    by candidate, are all tried on every row and told apart by ``candidate_id``;
+    ``build`` runs once per task, or once per thread of it, and returns the call, so
+    clients are opened where they are used; the prompt travels with the task instead
+    of with every row.  Retries with feedback happen inside the task.  Several prompts,
+    keyed by candidate, are all tried on every row and told apart by ``candidate_id``;
     the text reaches the task once.
 
+    A task has up to ``in_flight`` calls of ``batch_size`` rows out at a time, each with
+    its own retries; rows keep their order, and no more batches than that are held.
+    ``profile`` (see ``call_profile``) bounds the tasks that run at a time.
+
     The result has every column of ``rows``, with the label as ``actual`` and
     without the text unless ``keep_text`` is set.  It is lazy: write it before using it twice (``predict_once``).
     A lost task is run again, so calls should be idempotent.  A row whose calls all
     fail is not valid and has the failure under ``error``; ``predict_missing`` asks
     for such rows again.
     """
+    if in_flight < 1 or batch_size < 1:
+        raise ValueError("in_flight and batch_size must be positive")
     prompts = prompt if isinstance(prompt, dict) else {None: prompt}
     rows = carried(rows)
     if parallelism:
@@ -150,23 +195,30 @@ def predict(rows: DataFrame, build: Callable[[], Complete], prompt: Prompt | dic
     tried = [] if None in prompts else [T.StructField("candidate_id", T.IntegerType())]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        complete = build()
-        for batch in batches:
-            for start in range(0, len(batch), batch_size):
-                part = batch.iloc[start : start + batch_size].reset_index(drop=True)
-                texts = part["symptoms"].tolist()
-                if not keep_text:
-                    part = part.drop(columns="symptoms")
-                for key, chosen in prompts.items():
-                    answers = _ask(complete, chosen, texts, max_retries, validator)
-                    extra = {} if key is None else {"candidate_id": key}
-                    columns = {
-                        f.name: pd.Series(answers[f.name], dtype="Int64" if f.name.endswith("_tokens") else object)
-                        for f in _ANSWER_FIELDS
-                    }
-                    yield part.assign(**extra, **columns)
-
-    return rows.mapInPandas(run, T.StructType([*kept, *tried, *_ANSWER_FIELDS]))
+        opened = threading.local()
+
+        def parts() -> Iterator[tuple]:
+            for batch in batches:
+                for start in range(0, len(batch), batch_size):
+                    part = batch.iloc[start : start + batch_size].reset_index(drop=True)
+                    for key, chosen in prompts.items():
+                        yield part, key, chosen
+
+        def answered(item: tuple) -> pd.DataFrame:
+            part, key, chosen = item
+            if not hasattr(opened, "complete"):
+                opened.complete = build()
+            answers = _ask(opened.complete, chosen, part["symptoms"].tolist(), max_retries, validator)
+            extra = {} if key is None else {"candidate_id": key}
+            columns = {
+                f.name: pd.Series(answers[f.name], dtype="Int64" if f.name.endswith("_tokens") else object)
+                for f in _ANSWER_FIELDS
+            }
+            return (part if keep_text else part.drop(columns="symptoms")).assign(**extra, **columns)
+
+        yield from in_order(answered, parts(), in_flight)
+
+    return rows.mapInPandas(run, T.StructType([*kept, *tried, *_ANSWER_FIELDS]), profile=profile)
 
 
 def predict_once(predictions: DataFrame) -> DataFrame:

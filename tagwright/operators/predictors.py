@@ -19,7 +19,8 @@ from tagwright.functions.prompts import Demo, Prompt
 from tagwright.functions.text import normalize_label, words
 from tagwright.operators import demos as demo_ops
 from tagwright.operators import predict as prediction
-from tagwright.operators import search
+from tagwright.operators import propose, search
+from tagwright.operators.answers import AnswerStore, predict_distinct
 from tagwright.operators.predict import carried
 from tagwright.session import write_once
 from tagwright.spec import ModelOptions, TaskSpec
@@ -407,7 +408,7 @@ def nearest_by_candidate(rows: DataFrame, demo_sets: DataFrame) -> DataFrame:
 # --- a user's model call ----------------------------------------------------
 
 
-OPTIMIZERS = ("bootstrap", "search")
+OPTIMIZERS = ("bootstrap", "search", "propose")
 
 
 @register
@@ -418,8 +419,11 @@ class CallablePredictor:
     ``build(model)`` is called once per task and returns the call.  Without an
     optimizer the prompt is fixed, with ``few_shot`` training rows as examples.
     ``validator`` says whether an answer will do, in place of the vocabulary.
+    ``answers`` names a folder of answers by content: what is answered there is not
+    asked again, and rows with one text are asked about once.
     ``bootstrap`` adds training rows the model gets right to labeled ones;
-    ``search`` also tries instructions and demonstration sets on validation rows.
+    ``search`` also tries instructions and demonstration sets on validation rows;
+    ``propose`` tries those of all their combinations that the scores so far speak for.
     """
 
     name: ClassVar[str] = "callable"
@@ -431,6 +435,10 @@ class CallablePredictor:
     validator: Any = None
     few_shot: int = 0
     parallelism: int | None = None
+    in_flight: int = 1
+    batch_size: int = 256
+    profile: Any = None
+    answers: str | None = None
     optimizer: str | None = None
     max_bootstrapped: int = demo_ops.MAX_BOOTSTRAPPED
     max_labeled: int = demo_ops.MAX_LABELED
@@ -457,22 +465,28 @@ class CallablePredictor:
         return self.optimizer is not None
 
     def options(self) -> dict[str, Any]:
-        kept = {f.name: getattr(self, f.name) for f in fields(self) if f.name not in ("build", "model", "parallelism", "validator")}
+        # How and where calls are made does not change the answers.
+        passed_over = ("build", "model", "validator", "parallelism", "in_flight", "batch_size", "profile", "answers")
+        kept = {f.name: getattr(self, f.name) for f in fields(self) if f.name not in passed_over}
         return {**kept, "model": asdict(self.model) if self.model else None}
 
     def run(self, rows: DataFrame, prompt: Prompt | dict[int, Prompt], keep_text: bool = False) -> DataFrame:
         if self.build is None:
             raise ValueError("a callable predictor needs 'build', which returns the model call")
         build, model = self.build, self.model
-        return prediction.predict(
-            rows,
-            lambda: build(model),
-            prompt,
-            max_retries=self.max_retries,
-            validator=self.validator,
-            parallelism=self.parallelism,
-            keep_text=keep_text,
-        )
+        how = {
+            "max_retries": self.max_retries,
+            "validator": self.validator,
+            "parallelism": self.parallelism,
+            "in_flight": self.in_flight,
+            "batch_size": self.batch_size,
+            "profile": self.profile,
+            "keep_text": keep_text,
+        }
+        if self.answers is None:
+            return prediction.predict(rows, lambda: build(model), prompt, **how)
+        kept = AnswerStore(rows.sparkSession, self.answers)
+        return predict_distinct(rows, lambda: build(model), prompt, kept, model=asdict(model) if model else None, **how)
 
     def fit(self, train: DataFrame, task: TaskSpec, validation: DataFrame | None = None) -> CallableModel:
         base = Prompt(task, self.style, self.instructions)
@@ -488,6 +502,8 @@ class CallablePredictor:
         if validation is None:
             raise ValueError("a search needs validation rows")
         plan = self.plan()
+        if self.optimizer == "propose":
+            return self._proposed(train, validation, base, bootstrapped, plan)
         prompts = self._candidates(train, base, bootstrapped, plan.candidates)
         trials = search.search(
             validation, list(prompts), lambda rows, ids: self.run(rows, {c: prompts[c] for c in ids}), plan, self.seed
@@ -495,6 +511,34 @@ class CallablePredictor:
         best = search.best_candidate(trials, "full_accuracy").first()
         return CallableModel(self, prompts[best["candidate_id"]], trials)
 
+    def _proposed(self, train: DataFrame, validation: DataFrame, base: Prompt, bootstrapped: Prompt,
+                  plan: search.Budget) -> CallableModel:
+        """The best of the proposed combinations of wording and demonstrations."""
+        shown = {1: bootstrapped.demos}
+        if plan.candidates > 1:
+            for set_id, rows in self._demo_sets(train, plan.candidates - 1).items():
+                shown[set_id + 1] = rows
+        wordings = (base.instructions, *self.candidate_instructions)
+        space = propose.grid(len(wordings), len(shown))
+        prompts = {
+            c.candidate_id: replace(base, instructions=wordings[c.instruction - 1], demos=shown[c.demo_set]) for c in space
+        }
+        rounds, trials = propose.search_proposed(
+            validation, space, lambda rows, ids: self.run(rows, {c: prompts[c] for c in ids}), plan, seed=self.seed
+        )
+        best = search.best_candidate(trials, "full_accuracy").first()
+        return CallableModel(self, prompts[best["candidate_id"]], rounds)
+
+    def _demo_sets(self, train: DataFrame, n: int) -> dict[int, tuple[Demo, ...]]:
+        """Seeded demonstration sets by number, each in order."""
+        sets: dict[int, list] = {set_id: [] for set_id in range(1, n + 1)}
+        for row in demo_ops.demo_sets(train, n, self.max_labeled, self.seed).collect():
+            sets[row["demo_set_id"]].append(row)
+        return {
+            set_id: tuple(Demo(r["symptoms"], r["diagnosis"]) for r in sorted(rows, key=lambda r: r["ord"]))
+            for set_id, rows in sets.items()
+        }
+
     def plan(self) -> search.Budget:
         """The named budget with the sizes given here; without a name they must be given."""
         sizes = {"candidates": self.num_candidates, "pool_rows": self.pool_rows}
@@ -507,13 +551,8 @@ class CallablePredictor:
         if n == 1:
             return prompts
         wordings = (base.instructions, *self.candidate_instructions)
-        sets: dict[int, list] = {}
-        for row in demo_ops.demo_sets(train, n - 1, self.max_labeled, self.seed).collect():
-            sets.setdefault(row["demo_set_id"], []).append(row)
-        for c in range(2, n + 1):
-            rows = sorted(sets.get(c - 1, []), key=lambda r: r["ord"])
-            shown = tuple(Demo(r["symptoms"], r["diagnosis"]) for r in rows)
-            prompts[c] = replace(base, instructions=wordings[(c - 1) % len(wordings)], demos=shown)
+        for set_id, shown in self._demo_sets(train, n - 1).items():
+            prompts[set_id + 1] = replace(base, instructions=wordings[set_id % len(wordings)], demos=shown)
         return prompts
 
     def restore(self, table: DataFrame | None, description: dict, task: TaskSpec) -> CallableModel:

@@ -280,6 +280,90 @@ in_full AS (
   GROUP BY candidate_id)"""
 
 
+# The proposing search: 3 shortest word lengths times 4 demonstration sets, 35 rows assumed beforehand, half a
+# standard deviation of curiosity; 4 candidates, then 2 and 2, a leader in full after rounds 2 and 3.
+_SPACE = """space AS (SELECT (i - 1) * 4 + s AS candidate_id, i AS instruction, s AS demo_set, [1, 4, 7][i] AS shortest
+  FROM (SELECT unnest(range(1, 4))::INT AS i) CROSS JOIN (SELECT unnest(range(1, 5))::INT AS s))"""
+
+_PROPOSED = f"""sets AS (
+  SELECT c AS demo_set, example_id, row_number() OVER (
+    PARTITION BY c ORDER BY md5('labeled:42-' || c || ':' || example_id)) AS ord
+  FROM parts CROSS JOIN (SELECT unnest(range(1, 5))::INT AS c) WHERE part = 'train' QUALIFY ord <= 4),
+long_words AS (SELECT w.example_id, w.diagnosis, l.shortest, list_filter(w.words, lambda x: length(x) >= l.shortest) AS words
+  FROM word_sets w CROSS JOIN (SELECT unnest([1, 4, 7]) AS shortest) l),
+tried AS (
+  SELECT c.candidate_id, r.example_id, r.diagnosis AS actual, d.diagnosis AS predicted,
+    row_number() OVER (PARTITION BY c.candidate_id, r.example_id
+      ORDER BY {_similarity("r.words", "d.words")} DESC, s.ord) AS place
+  FROM pool p JOIN long_words r ON r.example_id = p.example_id JOIN space c ON c.shortest = r.shortest
+  JOIN sets s ON s.demo_set = c.demo_set JOIN long_words d ON d.example_id = s.example_id AND d.shortest = c.shortest),
+judged AS (SELECT candidate_id, example_id, {_CORRECT} AS correct FROM tried WHERE place = 1)"""
+
+
+def _surrogate(name: str, seen: str) -> str:
+    """Expectation and promise of every candidate after the scores in ``seen(candidate_id, correct, n)``."""
+    sums = ",\n".join(
+        f"{name}_{part} AS (SELECT {part}, sum(correct) AS c, sum(n) AS n FROM {seen} JOIN space USING (candidate_id) GROUP BY {part})"
+        for part in ("instruction", "demo_set")
+    )
+    drawn = " + ".join(f"(coalesce({p}.c, 0) - mean * coalesce({p}.n, 0)) / (coalesce({p}.n, 0) + 35.0)" for p in ("a", "b"))
+    curious = " + ".join(f"1 / sqrt(coalesce({p}.n, 0) + 35.0)" for p in ("a", "b"))
+    return f"""{sums},
+{name}_base AS (
+  SELECT candidate_id, mean + {drawn} AS base, 0.5 * ({curious}) AS curious
+  FROM space CROSS JOIN (SELECT sum(correct) / sum(n) AS mean FROM {seen})
+  LEFT JOIN {name}_instruction a USING (instruction) LEFT JOIN {name}_demo_set b USING (demo_set)),
+{name} AS (
+  SELECT candidate_id, base + (coalesce(correct, 0) - coalesce(n, 0) * base) / (coalesce(n, 0) + 35.0) AS expected, curious
+  FROM {name}_base LEFT JOIN {seen} USING (candidate_id))"""
+
+
+def _proposals() -> str:
+    def minibatch(number: int) -> str:
+        return f"""batch_{number} AS (SELECT {number} AS round, candidate_id, 'minibatch' AS kind, sum(correct) AS correct, count(*) AS n
+  FROM judged JOIN rounds USING (example_id) JOIN picked_{number} USING (candidate_id) WHERE round = {number} GROUP BY candidate_id)"""
+
+    def in_full(number: int, model: str, among: str) -> str:
+        return f"""leader_{number} AS (SELECT candidate_id, expected FROM {model} WHERE candidate_id IN ({among})
+  ORDER BY round(expected, 9) DESC, candidate_id LIMIT 1),
+full_{number} AS (SELECT {number} AS round, candidate_id, 'pool' AS kind, sum(correct) AS correct, count(*) AS n
+  FROM judged JOIN leader_{number} USING (candidate_id) GROUP BY candidate_id)"""
+
+    def picked(number: int, model: str, tried: str) -> str:
+        return f"""picked_{number} AS (SELECT candidate_id, expected FROM {model} WHERE candidate_id NOT IN ({tried})
+  ORDER BY round(expected + curious, 9) DESC, candidate_id LIMIT 2)"""
+
+    def seen(name: str, *tables: str, without: str | None = None) -> str:
+        rows = [f"SELECT candidate_id, correct, n FROM {t}" for t in tables]
+        if without:
+            rows = [rows[0]] + [f"{r} WHERE candidate_id NOT IN (SELECT candidate_id FROM {without})" for r in rows[1:]]
+        return f"{name} AS ({' UNION ALL '.join(rows)})"
+
+    def ids(*tables: str) -> str:
+        return " UNION ALL ".join(f"SELECT candidate_id FROM {t}" for t in tables)
+
+    steps = [
+        _SPACE, _PROPOSED,
+        "picked_1 AS (SELECT candidate_id, NULL::DOUBLE AS expected FROM space WHERE candidate_id IN (1, 6, 11, 4))",
+        minibatch(1), seen("seen_1", "batch_1"), _surrogate("model_1", "seen_1"),
+        picked(2, "model_1", ids("batch_1")), minibatch(2), seen("seen_2", "batch_1", "batch_2"), _surrogate("model_2", "seen_2"),
+        in_full(2, "model_2", ids("batch_1", "batch_2")),
+        seen("seen_2f", "full_2", "batch_1", "batch_2", without="full_2"), _surrogate("model_2f", "seen_2f"),
+        picked(3, "model_2f", ids("batch_1", "batch_2")), minibatch(3),
+        seen("seen_3", "full_2", "batch_1", "batch_2", "batch_3", without="full_2"), _surrogate("model_3", "seen_3"),
+        in_full(3, "model_3", ids("batch_1", "batch_2", "batch_3") + " EXCEPT SELECT candidate_id FROM full_2"),
+        """recorded AS (
+  SELECT b.*, expected FROM batch_1 b JOIN picked_1 USING (candidate_id)
+  UNION ALL SELECT b.*, expected FROM batch_2 b JOIN picked_2 USING (candidate_id)
+  UNION ALL SELECT b.*, expected FROM batch_3 b JOIN picked_3 USING (candidate_id)
+  UNION ALL SELECT f.*, expected FROM full_2 f JOIN leader_2 USING (candidate_id)
+  UNION ALL SELECT f.*, expected FROM full_3 f JOIN leader_3 USING (candidate_id))""",
+    ]
+    return _with(_VERDICT, _PARTS, _WORD_SETS, _POOL, *steps) + """SELECT round, candidate_id, kind, correct, n AS num_examples,
+  round(expected, 6) AS expected, candidate_id = (SELECT candidate_id FROM (TABLE full_2 UNION ALL TABLE full_3)
+    ORDER BY correct / n DESC, candidate_id LIMIT 1) AS winner FROM recorded"""
+
+
 def _report() -> str:
     return _with(_VERDICT, _PARTS, _demo_ids("shown", "labeled:42", 7)) + f"""
 SELECT 'OPTIMIZED PROMPT DETAILS' AS section, 0 AS ord, 'Task: verdict, style: reasoned' AS text
@@ -391,6 +475,9 @@ FROM words w JOIN parts p ON p.example_id = w.example_id
 QUALIFY row_number() OVER (PARTITION BY split ORDER BY w.example_id) <= 10""",
         "predict_callable": _with(_LANGUAGE, _cues(0)) + f"SELECT {_CUE_COLUMNS} FROM cues",
         "predict_with_retry": _with(_LANGUAGE, _cues(1)) + f"SELECT {_CUE_COLUMNS} FROM cues",
+        "predict_distinct": _with(_LANGUAGE, _cues(0)) + f"SELECT {_CUE_COLUMNS} FROM cues",
+        "predict_in_flight": _with(_LANGUAGE, _cues(1)) + f"SELECT {_CUE_COLUMNS} FROM cues",
+        "search_proposed": _proposals(),
         "token_usage": _with(_LANGUAGE, _cues(1)) + """SELECT 'cues' AS run_id, split,
   sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens
 FROM cues GROUP BY split""",

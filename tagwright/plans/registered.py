@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagwright.functions.prompts import STYLES, Prompt
-from tagwright.functions.text import normalize_label, strip
-from tagwright.operators import compare, demos, output, profile, report, rows, search, split, validate
+from tagwright.functions.text import normalize_label, strip, words
+from tagwright.operators import compare, demos, output, profile, propose, report, rows, search, split, validate
+from tagwright.operators.answers import AnswerStore, predict_distinct
 from tagwright.operators.predict import Reply, carried, predict, predict_missing, predict_once
 from tagwright.operators.predictors import available, nearest_by_candidate, predictor
 from tagwright.operators.predictors import registered as own_predictor
@@ -338,6 +339,25 @@ def predict_callable(spark, folder):
     return _cue_predictions(spark, folder, 0).drop("reasoning")
 
 
+@query("predict_distinct")
+def predict_once_per_text(spark, folder):
+    """Two runs over one store: the second finds what the first has asked about half of the rows."""
+    data = tables.language(spark, folder)
+    store = AnswerStore(spark, new_folder(spark, "answers"))
+    half = data.parts().filter(F.col("example_id") % 2 == 0)
+    predict_distinct(half, lambda: _cue_model(None), Prompt(data.task), store)
+    done = predict_distinct(data.parts(), lambda: _cue_model(None), Prompt(data.task), store)
+    return done.drop("error", "reasoning")
+
+
+@query("predict_in_flight")
+def predict_in_flight(spark, folder):
+    """The model call with several batches of a task out at a time."""
+    data = tables.language(spark, folder)
+    done = predict(data.parts(), lambda: _cue_model(None), Prompt(data.task), max_retries=1, batch_size=64, in_flight=4)
+    return done.drop("error", "reasoning")
+
+
 @query("predict_with_retry")
 def predict_with_retry(spark, folder):
     return _cue_predictions(spark, folder, 1).drop("reasoning")
@@ -400,6 +420,48 @@ def best_candidate(spark, folder):
     return search.best_candidate(table, "full_accuracy")
 
 
+#: Shortest words that count for each stand-in of an instruction, and demonstration sets of the proposing search.
+WORD_LENGTHS = (1, 4, 7)
+PROPOSED_SETS = 4
+PROPOSALS = search.Budget(candidates=8, pool_rows=100, minibatch=35, full_every=2)
+
+
+def _proposing(spark, folder):
+    """Rows under some candidates: nearest demonstrations by words of a candidate's length and up."""
+    data = tables.verdict(spark, folder)
+    space = {c.candidate_id: c for c in propose.grid(len(WORD_LENGTHS), PROPOSED_SETS)}
+    sets = write_once(demos.demo_sets(data.population("train"), PROPOSED_SETS), "demo-sets")
+
+    def long_words(frame, length):
+        kept = F.filter(words(F.col("symptoms")), lambda w: F.length(w) >= length)
+        return frame.withColumn("symptoms", F.array_join(kept, " "))
+
+    def run(frame, ids):
+        done = []
+        for i, length in enumerate(WORD_LENGTHS, 1):
+            chosen = {space[c].demo_set: c for c in ids if space[c].instruction == i}
+            if chosen:
+                mine = sets.filter(F.col("demo_set_id").isin(list(chosen)))
+                found = nearest_by_candidate(long_words(frame, length), long_words(mine, length))
+                first = (i - 1) * PROPOSED_SETS
+                done.append(found.withColumn("candidate_id", (F.col("candidate_id") + first).cast("int")))
+        return reduce(DataFrame.unionByName, done)
+
+    return data, list(space.values()), run
+
+
+@query("search_proposed")
+def search_proposed(spark, folder):
+    """Every round's candidates with their scores, and which one wins."""
+    data, space, run = _proposing(spark, folder)
+    rounds, trials = propose.search_proposed(data.population("validation"), space, run, PROPOSALS)
+    best = search.best_candidate(trials, "full_accuracy").first()["candidate_id"]
+    return rounds.select(
+        "round", "candidate_id", "kind", "correct", "num_examples", F.round("expected", 6).alias("expected"),
+        (F.col("candidate_id") == best).alias("winner"),
+    )
+
+
 @query("prompt_report")
 def prompt_report(spark, folder):
     data = tables.verdict(spark, folder)

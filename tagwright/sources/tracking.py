@@ -2,15 +2,18 @@
 
 Every table is append-only; the current state is an aggregation over it, which
 combines per task, so a run or model that owns most rows is no bottleneck.
-Version numbers are ``max + 1`` and need one writer at a time.
+Several writers may append and register at once: every append has a folder of its
+own, and a version number is claimed by a file that only one writer can create.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,15 +124,43 @@ class RunStore:
     def table(self, name: str) -> DataFrame:
         """All rows ever appended; empty before the first one."""
         try:
-            return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
+            return self._reader(name).parquet(self.path(name))
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return small_frame(self.spark, [], SCHEMAS[name])
 
+    def _reader(self, name: str):
+        return self.spark.read.schema(SCHEMAS[name]).option("recursiveFileLookup", "true")
+
     def append(self, name: str, rows: list[tuple]) -> None:
+        """Add rows in a folder of their own, so that appends of several writers do not meet."""
         frame = small_frame(self.spark, rows, SCHEMAS[name])
-        frame.coalesce(1).write.mode("append").parquet(self.path(name))
+        frame.coalesce(1).write.parquet(f"{self.path(name)}/part-{uuid.uuid4().hex}")
+
+    def compact(self, name: str) -> int:
+        """Bring the appends so far together in one; how many there were.
+
+        What is appended meanwhile stays as it is.  For a moment rows are there twice,
+        never not at all, and every reader takes the latest of equal rows.
+        """
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            return 0
+        found = [s.getPath() for s in files.listStatus(folder) if not s.getPath().getName().startswith(("_", "."))]
+        if len(found) < 2:
+            return len(found)
+        merged = f"part-{uuid.uuid4().hex}"
+        # Hidden until it is whole; a folder becomes visible at once.
+        hidden = f"{self.path(name)}/_{merged}"
+        self._reader(name).parquet(*[p.toString() for p in found]).coalesce(1).write.parquet(hidden)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        if not files.rename(path(hidden), path(f"{self.path(name)}/{merged}")):
+            raise OSError(f"{hidden} cannot be renamed")
+        for old in found:
+            files.delete(old, True)
+        return len(found)
 
     def start_run(self, project: str, experiment: str, framework: str, requires_training: bool,
                   lm_model: str | None = None, run_id: str | None = None) -> str:
@@ -162,13 +193,41 @@ class RunStore:
         """The next version of a model; the name comes into being on first use."""
         named = small_frame(self.spark, [(name,)], "name string")
         mine = self.table("model_versions").filter(F.col("name") == name)
-        version = next_model_version(named, mine).first()["next_version"]
+        version = self._claimed(name, next_model_version(named, mine).first()["next_version"])
         text = json.dumps(config, sort_keys=True)
         self.append("model_versions", [(name, version, run_id, text, metrics, _now())])
         for alias in aliases:
             self.set_alias(name, alias, version)
         return version
 
+    def _claimed(self, name: str, version: int) -> int:
+        """The first number from ``version`` on that no other writer has; it is this writer's from now on.
+
+        A writer that ends between its claim and its row leaves its number unused.
+        """
+        folder = f"{self.root}/model_version_claims/{hashlib.sha256(name.encode()).hexdigest()}"
+        while not self._created(f"{folder}/{version}"):
+            version += 1
+        return version
+
+    def _created(self, path: str) -> bool:
+        """Create an empty file; False if it is there, also when someone else creates it at this moment."""
+        jvm = self.spark._jvm
+        file = jvm.org.apache.hadoop.fs.Path(path)
+        files = file.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(file.getParent())
+        try:
+            if files.getScheme() == "file":
+                # Hadoop's own local file system looks first and creates then.
+                local = jvm.java.io.File(file.toUri().getPath())
+                return local.createNewFile()
+            files.create(file, False).close()
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
     def set_alias(self, name: str, alias: str, version: int) -> None:
         """Point an alias at a version that exists; numbers and ``latest`` name versions themselves."""
         if not alias or alias == "latest" or alias.isdigit():

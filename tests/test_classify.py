@@ -262,3 +262,43 @@ def test_params_long(spark):
     assert {tuple(r) for r in tracking.params_long(runs, ["n", "flag"]).collect()} == {
         ("r", "n", "1"), ("r", "flag", "true"),
     }
+
+
+def test_writers_at_once_get_numbers_of_their_own(spark, store):
+    """Several sessions register under one name; numbers are distinct and without gaps."""
+    import threading
+
+    found, failed = [], []
+
+    def writer(i):
+        try:
+            mine = tracking.RunStore(spark.newSession(), store.root)
+            for j in range(3):
+                found.append(mine.register("shared", f"run-{i}-{j}", {}, {"a": 1.0}))
+                mine.log_metrics(f"run-{i}-{j}", [("test", "accuracy", 0.5)])
+        except Exception as e:
+            failed.append(e)
+
+    writers = [threading.Thread(target=writer, args=(i,)) for i in range(4)]
+    [t.start() for t in writers]
+    [t.join() for t in writers]
+    assert not failed and sorted(found) == list(range(1, 13))
+    rows = store.table("model_versions").collect()
+    assert sorted(r.version for r in rows) == list(range(1, 13)) and len({r.run_id for r in rows}) == 12
+    assert store.table("run_metrics").count() == 12 and store.register("other", "r", {}, {}) == 1
+
+
+def test_a_claimed_number_is_passed_over(store):
+    assert store._claimed("m", 1) == 1 and store._claimed("m", 1) == 2
+    assert store.register("m", "r", {}, {}) == 3 and store.resolve("m")["version"] == 3
+
+
+def test_compacting_keeps_every_row(spark, store):
+    assert store.compact("run_metrics") == 0
+    for i in range(5):
+        store.log_metrics("r", [("test", "accuracy", i / 10)])
+    before = sorted(store.table("run_metrics").collect())
+    assert store.compact("run_metrics") == 5 and store.compact("run_metrics") == 1
+    assert sorted(store.table("run_metrics").collect()) == before
+    store.log_metrics("r", [("test", "accuracy", 0.9)])
+    assert store.table("run_metrics").count() == 6 and store.latest_metrics().first().value == 0.9
