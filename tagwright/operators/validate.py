@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tagwright.functions.prompts import feedback_column
 from tagwright.functions.text import is_blank, normalize_label
-from tagwright.session import small_frame
+from tagwright.session import small_frame, write_once
 from tagwright.spec import RAW_TEST, RAW_TRAIN, TaskSpec
 
 
@@ -38,6 +39,19 @@ def check_columns(df: DataFrame) -> None:
             raise ValueError(f"column '{name}' must be a string, not {types[name]}")
 
 
+PROBLEMS = ("null_text", "empty_text", "null_label", "label_not_in_vocabulary")
+
+
+def _counts(problem: Column) -> list[Column]:
+    """Rows, rows under each problem, and valid and rejected rows."""
+    return [
+        F.count(F.lit(1)).alias("total"),
+        *[F.count_if(F.coalesce(problem == name, F.lit(False))).alias(name) for name in PROBLEMS],
+        F.count_if(problem.isNull()).alias("valid"),
+        F.count_if(problem.isNotNull()).alias("rejected"),
+    ]
+
+
 def validation_report(df: DataFrame, task: TaskSpec, check_ids: bool = False) -> DataFrame:
     """One row of counts; a row is counted under the first problem it has.
 
@@ -45,17 +59,7 @@ def validation_report(df: DataFrame, task: TaskSpec, check_ids: bool = False) ->
     whose id was used before, which costs a shuffle of the ids.
     """
     check_columns(df)
-    problem = F.col("problem")
-    marked = df.withColumn("problem", _problem(task))
-    report = marked.agg(
-        F.count(F.lit(1)).alias("total"),
-        *[
-            F.count_if(F.coalesce(problem == name, F.lit(False))).alias(name)
-            for name in ("null_text", "empty_text", "null_label", "label_not_in_vocabulary")
-        ],
-        F.count_if(problem.isNull()).alias("valid"),
-        F.count_if(problem.isNotNull()).alias("rejected"),
-    )
+    report = df.withColumn("problem", _problem(task)).agg(*_counts(F.col("problem")))
     if check_ids:
         ids = df.groupBy("example_id").agg((F.count(F.lit(1)) - 1).alias("extra"))
         repeated = ids.agg(F.coalesce(F.sum("extra"), F.lit(0)))
@@ -105,8 +109,44 @@ def enforce(df: DataFrame, task: TaskSpec) -> DataFrame:
     """
     check_columns(df)
     problem = _problem(task)
-    message = F.concat(F.lit("row "), F.col("example_id").cast("string"), F.lit(": "), problem)
-    return df.filter(F.when(problem.isNull(), True).otherwise(F.raise_error(message).cast("boolean")))
+    return df.filter(F.when(problem.isNull(), True).otherwise(F.raise_error(_rejection(problem)).cast("boolean")))
+
+
+def _rejection(problem: Column) -> Column:
+    row_id = F.coalesce(F.col("example_id").cast("string"), F.lit("without id"))
+    return F.concat(F.lit("row "), row_id, F.lit(": "), problem)
+
+
+def observed(df: DataFrame, task: TaskSpec) -> tuple[DataFrame, Observation]:
+    """``df`` with the counts of ``validation_report`` taken along by whatever job reads it first."""
+    check_columns(df)
+    seen = Observation(f"validation-{uuid.uuid4().hex}")
+    problem = _problem(task)
+    counts = _counts(problem)
+    if "example_id" in df.columns:
+        counts.append(F.min(F.when(problem.isNotNull(), _rejection(problem))).alias("example"))
+    return df.observe(seen, *counts), seen
+
+
+def observed_counts(seen: Observation) -> dict[str, int]:
+    """What an observed job has counted; zeros if it had no rows."""
+    return {name: seen.get.get(name) or 0 for name in ("total", *PROBLEMS, "valid", "rejected")}
+
+
+def write_valid(df: DataFrame, task: TaskSpec, name: str = "checked-rows") -> tuple[DataFrame, dict[str, int]]:
+    """``df`` written once and read back, with the counts taken by the job that wrote it.
+
+    Raises when any row is to be rejected, or when ids are missing or repeated; these
+    are looked for in the id column of what was written.  Later jobs read the written
+    rows and do not derive them anew.
+    """
+    watched, seen = observed(df, task)
+    written = write_once(watched, name)
+    counts = observed_counts(seen)
+    if counts["rejected"]:
+        wrong = ", ".join(f"{k}={counts[k]}" for k in PROBLEMS if counts[k])
+        raise ValueError(f"{counts['total']} rows checked: {wrong}; {seen.get.get('example')}")
+    return require_ids(written), counts
 
 
 def invalid_labels(df: DataFrame, task: TaskSpec) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tagwright.functions.prompts import Prompt
@@ -13,14 +14,12 @@ from tagwright.operators import report
 from tagwright.operators.predictors import Model, Predictor, predictor
 from tagwright.operators.rows import among_first, first_n
 from tagwright.operators.score import (
-    accuracy_by_split,
-    checked,
     disagreements,
     keep_wrong_texts,
     samples_by_split,
     score,
 )
-from tagwright.operators.validate import enforce, require_ids
+from tagwright.operators.validate import write_valid
 from tagwright.session import write_once
 from tagwright.sources import sinks
 from tagwright.sources.examples import Dataset
@@ -65,42 +64,50 @@ def _capped_parts(data: Dataset, caps: dict[str, int | None]) -> DataFrame:
 
 
 def _checked(rows: DataFrame, data: Dataset) -> DataFrame:
-    """The rows, once their ids are known to be there and unique; every job over them fails at an invalid row."""
-    return enforce(require_ids(rows), data.task)
-
-
-def _predict_and_score(model: Model, rows: DataFrame) -> DataFrame:
-    """Predict and score in one job whose result is written."""
-    return write_once(keep_wrong_texts(score(model.predict(rows, keep_text=True))), "scored")
-
-
-def _usage(scored: DataFrame) -> list[tuple[str, str, float]]:
-    """Tokens that the calls of each part reported, and calls that failed."""
-    if "prompt_tokens" not in scored.columns:
-        return []
-    used = scored.groupBy("split").agg(
-        *[F.sum(c).alias(c) for c in ("prompt_tokens", "completion_tokens")],
-        F.count_if(F.col("error").isNotNull()).alias("errors"),
-    )
-    names = ("prompt_tokens", "completion_tokens", "errors")
-    return [(row["split"], name, row[name]) for row in used.collect() for name in names if row[name] is not None]
-
-
-def _metrics(scored: DataFrame, splits) -> dict[str, dict]:
-    metrics = {row["split"]: row.asDict() for row in checked(accuracy_by_split(scored)).collect()}
-    for split in splits:
-        if split not in metrics:
+    """The chosen rows, written once and checked on the way; whatever follows reads them and not the source."""
+    return write_valid(rows, data.task)[0]
+
+
+_TOKENS = ("prompt_tokens", "completion_tokens")
+
+
+def _predict_and_score(model: Model, rows: DataFrame, splits: tuple[str, ...]) -> tuple[DataFrame, dict[str, dict]]:
+    """Predict and score in one job whose result is written; the job counts each part's metrics on its way."""
+    scored = keep_wrong_texts(score(model.predict(rows, keep_text=True)))
+    calls = "prompt_tokens" in scored.columns
+    correct = F.col("correct")
+    sums = []
+    for i, split in enumerate(splits):
+        mine = F.col("split") == split
+        sums += [
+            F.count_if(mine).alias(f"num_examples_{i}"),
+            F.sum(F.when(mine, correct)).alias(f"correct_{i}"),
+            F.count_if(mine & (correct == 0)).alias(f"disagreements_{i}"),
+        ]
+        if calls:
+            sums += [F.sum(F.when(mine, F.col(name))).alias(f"{name}_{i}") for name in _TOKENS]
+            sums.append(F.count_if(mine & F.col("error").isNotNull()).alias(f"errors_{i}"))
+    seen = Observation(f"scores-{uuid.uuid4().hex}")
+    written = write_once(scored.observe(seen, *sums), "scored")
+    metrics = {}
+    for i, split in enumerate(splits):
+        n = seen.get.get(f"num_examples_{i}") or 0
+        if not n:
             raise ValueError(f"the {split} part has no rows")
-    return metrics
+        accuracy = (seen.get[f"correct_{i}"] or 0.0) / n
+        if not 0.0 <= accuracy <= 1.0:
+            raise ValueError(f"accuracy of the {split} part must be between 0.0 and 1.0, got {accuracy}")
+        used = {name: seen.get[f"{name}_{i}"] for name in (*_TOKENS, "errors")} if calls else {}
+        metrics[split] = {"accuracy": accuracy, "num_examples": n, "disagreements": seen.get[f"disagreements_{i}"], **used}
+    return written, metrics
 
 
 def _record(store: RunStore, run_id: str, rows: DataFrame, scored: DataFrame, metrics: dict[str, dict],
             params: dict, sample_size: int) -> None:
     """Parameters, metrics, samples and disagreements of written predictions."""
     store.log_params(run_id, params)
-    names = ("accuracy", "num_examples", "disagreements")
-    values = [(split, name, m[name]) for split, m in metrics.items() for name in names]
-    store.log_metrics(run_id, values + _usage(scored))
+    # Tokens that no call has reported are no metric.
+    store.log_metrics(run_id, [(split, name, v) for split, m in metrics.items() for name, v in m.items() if v is not None])
     folder = f"{store.root}/artifacts/{run_id}"
     sample = samples_by_split(scored, rows, sorted(metrics), sample_size)
     # One file for a few rows; a coalesce would also squeeze the scan into one task.
@@ -114,16 +121,15 @@ def tune(data: Dataset, chosen: Predictor, store: RunStore, *, model_name: str =
          sample_size: int = SAMPLE_SIZE) -> TuneResult:
     """Split, cap, fit, predict once, score, record and register.
 
-    Missing and repeated ids are refused before anything is fitted, and fitting
-    fails at a row that would not pass validation.  Training and validation rows
+    The chosen rows are written once; rows that do not pass validation and missing or
+    repeated ids are refused before anything is fitted.  Training and validation rows
     are predicted in one job whose result is written; every metric and artifact is
-    read from that table.
+    read from these two tables.
     """
     rows = _checked(_capped_parts(data, {"train": train_size, "validation": val_size}), data)
     train, validation = (rows.filter(F.col("split") == part) for part in ("train", "validation"))
     model = chosen.fit(train, data.task, validation)
-    scored = _predict_and_score(model, rows)
-    metrics = _metrics(scored, ("train", "validation"))
+    scored, metrics = _predict_and_score(model, rows, ("train", "validation"))
     options, lm = chosen.options(), getattr(chosen, "model", None)
     lm_model = lm.model if lm else None
     run_id = store.start_run(project, experiment, chosen.name, chosen.requires_training, lm_model, run_id)
@@ -190,7 +196,7 @@ def evaluate(data: Dataset, store: RunStore, model_name: str = "classifier", ver
              split: str = "test", eval_size: int | None = None, *, project: str = "default",
              experiment: str = "evaluate", run_id: str | None = None, sample_size: int = SAMPLE_SIZE,
              **overrides) -> EvaluateResult:
-    """Resolve a version, pick a split, cap, predict once, score and record."""
+    """Resolve a version, pick a split, cap, check, predict once, score and record; the source is read once."""
     if split not in EVALUATION_SPLITS:
         raise ValueError(f"'{split}' cannot be evaluated; there are {', '.join(EVALUATION_SPLITS)}")
     if split == "train_full":
@@ -201,8 +207,7 @@ def evaluate(data: Dataset, store: RunStore, model_name: str = "classifier", ver
     rows = _checked(rows, data)
     model, entry = load_model(data, store, model_name, version, **overrides)
     config = entry["config"]
-    scored = _predict_and_score(model, rows)
-    metrics = _metrics(scored, (split,))
+    scored, metrics = _predict_and_score(model, rows, (split,))
     run_id = store.start_run(
         project, experiment, config["predictor"], config["requires_training"], config["lm_model"], run_id
     )

@@ -141,15 +141,15 @@ _MARKED = """marked AS (SELECT example_id, CASE WHEN symptoms IS NULL THEN 'null
   FROM reviewed)"""
 
 
-def _validation() -> str:
-    return _with(_VERDICT_LEFT, _MARKED) + """SELECT count(*) AS total,
+def _validation(ids: bool = True) -> str:
+    repeated = ",\n  count(*) - count(DISTINCT example_id) AS repeated_ids" if ids else ""
+    return _with(_VERDICT_LEFT, _MARKED) + f"""SELECT count(*) AS total,
   count(*) FILTER (WHERE problem = 'null_text') AS null_text,
   count(*) FILTER (WHERE problem = 'empty_text') AS empty_text,
   count(*) FILTER (WHERE problem = 'null_label') AS null_label,
   count(*) FILTER (WHERE problem = 'label_not_in_vocabulary') AS label_not_in_vocabulary,
   count(*) FILTER (WHERE problem IS NULL) AS valid,
-  count(problem) AS rejected,
-  count(*) - count(DISTINCT example_id) AS repeated_ids
+  count(problem) AS rejected{repeated}
 FROM marked"""
 
 
@@ -420,6 +420,7 @@ FROM (SELECT example_id, ' ' || upper(diagnosis) || chr(9) || chr(10) AS raw_lab
         "label_vocabulary": verdict + """SELECT ord::INT AS ord, label, ord || '. ' || label AS line
 FROM (SELECT label, row_number() OVER (ORDER BY label) AS ord FROM (SELECT DISTINCT diagnosis AS label FROM verdict))""",
         "validation_report": _validation(),
+        "validation_observed": _validation(ids=False),
         "rejected_rows": _with(_VERDICT_LEFT, _MARKED)
         + "SELECT example_id, problem FROM marked WHERE problem IS NOT NULL",
         "invalid_labels": verdict + """SELECT example_id, diagnosis FROM verdict

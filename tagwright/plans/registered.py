@@ -29,7 +29,7 @@ from tagwright.operators.score import (
 )
 from tagwright.plans import classify
 from tagwright.plans.classify import evaluate, tune
-from tagwright.session import new_folder, write_once
+from tagwright.session import new_folder, small_frame, write_once
 from tagwright.sources import tables, tracking
 from tagwright.sources.examples import Dataset, all_splits, population, with_label, with_roles
 from tagwright.spec import POPULATIONS, TaskSpec
@@ -145,6 +145,16 @@ def validation_report(spark, folder):
     return validate.validation_report(tables.verdicts(spark, folder, "left"), task, check_ids=True)
 
 
+@query("validation_observed")
+def validation_observed(spark, folder):
+    """The counts of the report, taken along by a job that writes the rows."""
+    task = TaskSpec("review", ("clean", "low quality", "toxic"))
+    watched, seen = validate.observed(tables.verdicts(spark, folder, "left"), task)
+    write_once(watched, "reviewed")
+    counts = validate.observed_counts(seen)
+    return small_frame(spark, [tuple(counts.values())], ", ".join(f"{name} long" for name in counts))
+
+
 @query("rejected_rows")
 def rejected_rows(spark, folder):
     task = TaskSpec("review", ("clean", "low quality", "toxic"))

@@ -302,3 +302,32 @@ def test_compacting_keeps_every_row(spark, store):
     assert sorted(store.table("run_metrics").collect()) == before
     store.log_metrics("r", [("test", "accuracy", 0.9)])
     assert store.table("run_metrics").count() == 6 and store.latest_metrics().first().value == 0.9
+
+
+def _jobs(spark, work):
+    """How many Spark jobs some work takes."""
+    import uuid
+
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_the_source_is_read_once_and_jobs_are_few(spark, store):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = make_examples(spark, 200)
+    data = Dataset(rows.mapInPandas(counted, rows.schema), TASK, source="counted")
+    jobs = _jobs(spark, lambda: tune(data, predictor("words"), store, model_name="m"))
+    assert read.value == 200 and jobs <= 32
+    jobs = _jobs(spark, lambda: evaluate(data, store, "m"))
+    assert read.value == 400 and jobs <= 21

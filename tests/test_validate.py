@@ -92,3 +92,16 @@ def test_model_options():
     for bad in ({"temperature": 2.5}, {"temperature": -0.1}, {"max_tokens": 0}):
         with pytest.raises(ValueError):
             ModelOptions("a/b", **bad)
+
+
+def test_counts_are_taken_by_the_job_that_writes(spark, validation_fixture):
+    watched, seen = validate.observed(validation_fixture, SYMPTOM_TASK)
+    watched.write.format("noop").mode("overwrite").save()
+    report = validate.validation_report(validation_fixture, SYMPTOM_TASK).first().asDict()
+    assert validate.observed_counts(seen) == report
+    with pytest.raises(ValueError, match="6 rows checked: null_text=1.*row 3: label_not_in_vocabulary"):
+        validate.write_valid(validation_fixture, SYMPTOM_TASK)
+    written, counts = validate.write_valid(validation_fixture.filter("example_id < 3"), SYMPTOM_TASK)
+    assert counts["valid"] == counts["total"] == 2 and written.count() == 2
+    none, counts = validate.write_valid(validation_fixture.limit(0), SYMPTOM_TASK)
+    assert none.count() == counts["total"] == 0
