@@ -8,14 +8,13 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagwright.functions.prompts import Prompt
 from tagwright.operators.predict import _ANSWER_FIELDS, Complete, carried, predict
-from tagwright.session import write_once
+from tagwright.session import path_exists, write_once
 
 ANSWER = [f.name for f in _ANSWER_FIELDS]
 SCHEMA = T.StructType([T.StructField("digest", T.BinaryType()), *_ANSWER_FIELDS])
@@ -33,12 +32,9 @@ class AnswerStore:
 
     def table(self) -> DataFrame:
         """One answer per digest; runs at the same time may have asked for the same one."""
-        try:
-            found = self.spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(self.root)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        if not path_exists(self.spark, self.root):
             return self.spark.createDataFrame([], SCHEMA)
+        found = self.spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(self.root)
         whole = F.struct(*ANSWER)
         first = found.groupBy("digest").agg(F.min(whole).alias("answer"))
         return first.select("digest", "answer.*")

@@ -22,7 +22,7 @@ from tagwright.operators import predict as prediction
 from tagwright.operators import propose, search
 from tagwright.operators.answers import AnswerStore, predict_distinct
 from tagwright.operators.predict import carried
-from tagwright.session import write_once
+from tagwright.session import small_frame, write_once
 from tagwright.spec import ModelOptions, TaskSpec
 
 _registry: dict[str, type] = {}
@@ -174,6 +174,10 @@ def _millionths(value: Column) -> Column:
     return F.round(value * SCALE).cast("long")
 
 
+# Labels whose counts stand side by side in one row; a word has a row for each block of labels it occurs with.
+BLOCK = 64
+
+
 def _frequent(found: DataFrame) -> DataFrame:
     """Words with at least ``HOT_SHARE`` of all occurrences; counted per task before the shuffle."""
     counts = found.filter(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -196,16 +200,19 @@ class WordsPredictor:
     def fit(self, train: DataFrame, task: TaskSpec, validation: DataFrame | None = None) -> WordsModel:
         labels = task.ordered
         # The label becomes a number once per row, before its words are unfolded.
-        place = F.array_position(F.array(*[F.lit(name) for name in labels]), normalize_label(F.col("diagnosis")))
-        numbered = train.select(place.alias("place"), "symptoms")
-
-        def per_label(name: str) -> list[Column]:
-            return [F.count_if(F.col("place") == i + 1).alias(f"{name}{i}") for i in range(len(labels))]
-
-        # One shuffle on the word, combined per task first; a column per label.
-        occurrences = numbered.select("place", F.explode(words(F.col("symptoms"))).alias("word"))
-        counts = write_once(occurrences.groupBy("word").agg(*per_label("n")), "word-counts")
-        return WordsModel.build(counts, numbered.agg(*per_label("r")).first(), labels, self.broadcast_bytes)
+        numbers = F.create_map(*[F.lit(x) for i, name in enumerate(labels) for x in (name, i)])
+        place = F.try_element_at(numbers, normalize_label(F.col("diagnosis")))
+        # A null word per row counts the rows of each label along with its words.
+        marked = F.concat(F.coalesce(words(F.col("symptoms")), F.array()), F.array(F.lit(None).cast("string")))
+        occurrences = train.select(place.alias("place"), F.explode(marked).alias("word"))
+        # A word of an unlabelled row still belongs to the vocabulary.
+        block = F.floor(F.coalesce("place", F.lit(0)) / BLOCK).cast("int").alias("block")
+        within = F.col("place") % BLOCK
+        # One shuffle on word and block, combined per task first.
+        counts = occurrences.groupBy("word", block).agg(
+            *[F.count_if(within == i).alias(f"n{i}") for i in range(min(BLOCK, len(labels)))]
+        )
+        return WordsModel.build(write_once(counts, "word-counts"), labels, self.broadcast_bytes)
 
     def restore(self, table: DataFrame | None, description: dict, task: TaskSpec) -> WordsModel:
         return WordsModel(
@@ -215,13 +222,19 @@ class WordsPredictor:
             tuple(description["totals"]),
             description["size"],
             description["word_bytes"],
+            description["entries"],
             self.broadcast_bytes,
         )
 
 
 @dataclass(frozen=True)
 class WordsModel:
-    """Counts per word and label (a table), and one number per label."""
+    """Counts per word and block of labels (a table; rows per label under the null word), and one number per label.
+
+    A word that a label never had weighs the same in that label whatever the word is.
+    So a row needs this weight, times its words that are known at all, and the
+    difference that the label's own words make: only what occurred is joined.
+    """
 
     counts: DataFrame
     labels: tuple[str, ...]
@@ -229,81 +242,155 @@ class WordsModel:
     totals: tuple[int, ...]
     size: int
     word_bytes: int
+    entries: int
     broadcast_bytes: int = BROADCAST_BYTES
 
+    @property
+    def width(self) -> int:
+        return min(BLOCK, len(self.labels))
+
     @classmethod
-    def build(cls, counts: DataFrame, label_rows, labels, broadcast_bytes) -> WordsModel:
-        k = range(len(labels))
-        n = sum(label_rows[f"r{i}"] for i in k)
-        summary = counts.agg(
-            *[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"t{i}") for i in k],
-            *[
-                _millionths(F.log((F.lit(label_rows[f"r{i}"]) + 1.0) / F.lit(n + len(labels)))).alias(f"p{i}")
-                for i in k
-            ],
-            F.count(F.lit(1)).alias("size"),
-            F.coalesce(F.sum(F.octet_length("word")), F.lit(0)).alias("word_bytes"),
-        ).first()
+    def build(cls, counts: DataFrame, labels, broadcast_bytes) -> WordsModel:
+        width = min(BLOCK, len(labels))
+        known = F.col("word").isNotNull()
+        first = known & (F.col("block") == 0)
+        sums = counts.groupBy("block").agg(
+            *[F.sum(F.when(known, F.col(f"n{i}"))).alias(f"t{i}") for i in range(width)],
+            *[F.sum(F.when(~known, F.col(f"n{i}"))).alias(f"r{i}") for i in range(width)],
+            F.count_if(known).alias("entries"),
+            F.coalesce(F.sum(F.when(known, F.octet_length("word"))), F.lit(0)).alias("word_bytes"),
+        )
+        # A row per block of labels.
+        by_block = {row["block"]: row for row in sums.collect()}
+        several = len(labels) > BLOCK
+        size = counts.filter(known).select("word").distinct().count() if several else (by_block[0]["entries"] if 0 in by_block else 0)
+
+        def of(name: str, place: int) -> int:
+            row = by_block.get(place // BLOCK)
+            return (row[f"{name}{place % BLOCK}"] or 0) if row else 0
+
+        rows = [of("r", i) for i in range(len(labels))]
+        table = small_frame(counts.sparkSession, list(enumerate(rows)), "place int, n long")
+        priors = table.select("place", _millionths(F.log((F.col("n") + 1.0) / F.lit(sum(rows) + len(labels)))).alias("prior"))
         return cls(
             counts,
             tuple(labels),
-            tuple(summary[f"p{i}"] for i in k),
-            tuple(summary[f"t{i}"] for i in k),
-            summary["size"],
-            summary["word_bytes"],
+            tuple(row["prior"] for row in sorted(priors.collect())),
+            tuple(of("t", i) for i in range(len(labels))),
+            size,
+            sum(row["word_bytes"] for row in by_block.values()),
+            sum(row["entries"] for row in by_block.values()),
             broadcast_bytes,
         )
 
+    def _labels(self) -> dict[str, Column]:
+        """By label: its prior, its number of words, and the weight of a word it never had; each one value for all rows."""
+        spark = self.counts.sparkSession
+        table = small_frame(spark, list(enumerate(self.totals)), "place int, total long")
+        never = table.select("place", _millionths(F.log(F.lit(1.0) / (F.col("total") + F.lit(max(1, self.size))))).alias("never"))
+        weights = [row["never"] for row in sorted(never.collect())]
+        row = (list(self.priors), list(self.totals), weights)
+        one = small_frame(spark, [row], "prior array<long>, total array<long>, never array<long>")
+        return {name: one.select(name).scalar() for name in one.columns}
+
     def _weights(self, counts: DataFrame) -> DataFrame:
-        return counts.select(
-            "word",
-            *[
-                _millionths(F.log((F.col(f"n{i}") + 1.0) / F.lit(total + self.size))).alias(f"w{i}")
-                for i, total in enumerate(self.totals)
-            ],
+        """What each label's count of a word adds to the weight of a word it never had; a word's first row marks it known."""
+        labels = self._labels()
+        known = counts.filter(F.col("word").isNotNull()).select(
+            "word", "block", *[f"n{i}" for i in range(self.width)], labels["total"].alias("total"), labels["never"].alias("never")
         )
 
+        def more(i: int) -> Column:
+            place = F.col("block") * BLOCK + i
+            weight = _millionths(F.log((F.col(f"n{i}") + 1.0) / (F.get("total", place) + F.lit(self.size))))
+            return F.when(F.col(f"n{i}") > 0, weight - F.get("never", place)).otherwise(0)
+
+        return known.select("word", "block", *[more(i).alias(f"w{i}") for i in range(self.width)])
+
     def predict(self, rows: DataFrame, keep_text: bool = False) -> DataFrame:
         """Sum the weights of a row's words and take the best label.
 
-        With a small weight table nothing but one row of sums per example is
-        shuffled.  Beyond that, only the words that are frequent in the training
+        With a small weight table nothing but a row of sums per example and block of
+        labels is shuffled.  Beyond that, only the words that are frequent in the training
         texts or in these rows (provably few) are broadcast, and the rest, none of
         which is frequent, is joined by word.
         The text is left behind: the sums are shuffled without it.
         """
-        k = range(len(self.labels))
+        k = range(self.width)
         rows = carried(rows)
         keys = [c for c in rows.columns if c != "symptoms"]
         # Rows that share an id are told apart by their text; equal rows are counted by
         # one null word each, so that they come out as many as they went in.
         marked = F.concat(F.coalesce(words(F.col("symptoms")), F.array()), F.array(F.lit(None).cast("string")))
         found = rows.select(*keys, F.xxhash64("symptoms").alias("_text"), F.explode(marked).alias("word"))
-        # Weights of words outside the training text are null and add nothing.
+        # Words outside the training text have no block and add nothing.
+        counts = self._with_first_blocks()
         sums = [F.coalesce(F.sum(f"w{i}"), F.lit(0)).alias(f"w{i}") for i in k]
-        if self.word_bytes + self.size * (32 + 8 * len(self.labels)) <= self.broadcast_bytes:
-            weighted = found.join(F.broadcast(self._weights(self.counts)), "word", "left")
+        if self.word_bytes + (self.entries + self.size) * (32 + 8 * self.width) <= self.broadcast_bytes:
+            weighted = found.join(F.broadcast(self._weights(counts)), "word", "left")
         else:
             occurrences = sum((F.col(f"n{i}") for i in k), F.lit(0))
-            trained = self.counts.filter(occurrences >= HOT_SHARE * sum(self.totals)).select("word")
+            trained = counts.filter(F.col("word").isNotNull()).groupBy("word").agg(F.sum(occurrences).alias("n"))
+            trained = trained.filter(F.col("n") >= HOT_SHARE * sum(self.totals)).select("word")
             # Words of these rows that few or no training texts had are hot keys as well.
             hot_words = write_once(trained.unionByName(_frequent(found)).distinct(), "hot-words")
             hot_words = F.broadcast(hot_words.filter(F.octet_length("word") <= HOT_BYTES))
-            hot = F.broadcast(self._weights(self.counts.join(hot_words, "word", "left_semi")))
-            cold = self._weights(self.counts.join(hot_words, "word", "left_anti"))
+            hot = F.broadcast(self._weights(counts.join(hot_words, "word", "left_semi")))
+            cold = self._weights(counts.join(hot_words, "word", "left_anti"))
             rare = found.join(hot_words, "word", "left_anti").join(cold, "word")
             weighted = found.join(hot, "word", "left").unionByName(rare)
-        scored = weighted.groupBy(*keys, "_text").agg(*sums, F.count_if(F.col("word").isNull()).alias("_copies"))
-        best = F.array_max(
-            F.array(
-                *[
-                    F.struct((F.expr(f"w{i} div _copies") + F.lit(self.priors[i])).alias("score"), F.lit(-i).alias("order"))
-                    for i in k
-                ]
+        null_words = F.count_if(F.col("word").isNull())
+        if len(self.labels) <= BLOCK:
+            scored = weighted.groupBy(*keys, "_text").agg(
+                *sums, F.count("block").alias("_known"), null_words.alias("_copies")
+            ).withColumn("_sums", F.array(F.struct(F.lit(0).alias("block"), F.array(*[F.col(f"w{i}") for i in k]).alias("w"))))
+        else:
+            by_block = weighted.groupBy(*keys, "_text", "block").agg(*sums, F.count("block").alias("n"), null_words.alias("marks"))
+            # A row per block of labels at most comes together, whatever the text's length.
+            scored = by_block.groupBy(*keys, "_text").agg(
+                F.sum(F.when(F.col("block") == 0, F.col("n")).otherwise(0)).alias("_known"),
+                F.sum("marks").alias("_copies"),
+                F.collect_list(F.when(F.col("block").isNotNull(), F.struct("block", F.array(*[F.col(f"w{i}") for i in k]).alias("w")))).alias("_sums"),
             )
-        )
+        return self._answered(scored, keys)
+
+    def _with_first_blocks(self) -> DataFrame:
+        """The counts, with an empty first block for words that only labels of later blocks had: it marks them as known."""
+        if len(self.labels) <= BLOCK:
+            return self.counts
+        known = self.counts.filter(F.col("word").isNotNull())
+        without = known.groupBy("word").agg(F.min("block").alias("least")).filter("least > 0")
+        empty = without.select("word", F.lit(0).alias("block"), *[F.lit(0).cast("long").alias(f"n{i}") for i in range(self.width)])
+        return self.counts.unionByName(empty)
+
+    def _answered(self, scored: DataFrame, keys: list[str]) -> DataFrame:
+        """The best label of every row, as often as the row occurs; ties go to the first label.
+
+        A label's own words never make it worse, so the best is among all labels
+        without their words and the labels of the row's blocks with them.
+        """
+        labels = self._labels()
+        # Counts and sums are of all copies of a row.
+        each = F.expr("transform(_sums, x -> named_struct('block', x.block, 'w', transform(x.w, w -> w div _copies)))")
+        scored = scored.select(
+            *keys, "_copies", F.expr("_known div _copies").alias("_words"), each.alias("_sums"),
+            labels["prior"].alias("_prior"), labels["never"].alias("_never"),
+        )
+
+        def judged(place: Column, own: Column) -> Column:
+            plain = F.get("_prior", place) + F.get("_never", place) * F.col("_words")
+            return F.struct((plain + own).alias("score"), (-place).alias("order"))
+
+        def best(block: Column) -> Column:
+            return F.array_max(F.transform(block["w"], lambda own, i: judged((block["block"] * BLOCK + i).cast("int"), own)))
+
+        found = F.array_max(F.transform("_sums", best))
+        if len(self.labels) > BLOCK:
+            plain = F.array_max(F.transform("_prior", lambda _, i: judged(i, F.lit(0).cast("long"))))
+            found = F.greatest(found, plain)
+        scored = scored.select(*keys, "_copies", found.alias("_best"))
         names = F.array(*[F.lit(name) for name in self.labels])
-        answer = F.get(names, -best.getField("order")).alias("predicted")
+        answer = F.get(names, -F.col("_best.order")).alias("predicted")
         copies = F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy")
         return scored.select(*keys, answer, copies).drop("_copy")
 
@@ -314,6 +401,7 @@ class WordsModel:
             "totals": self.totals,
             "size": self.size,
             "word_bytes": self.word_bytes,
+            "entries": self.entries,
         }
 
 

@@ -14,12 +14,11 @@ import uuid
 from datetime import datetime, timezone
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagwright.functions.text import provider, strip_provider
-from tagwright.session import small_frame
+from tagwright.session import path_exists, small_frame
 
 SCHEMAS = {
     "runs": "run_id string, experiment string, tags map<string,string>, requires_training boolean, "
@@ -123,12 +122,9 @@ class RunStore:
 
     def table(self, name: str) -> DataFrame:
         """All rows ever appended; empty before the first one."""
-        try:
-            return self._reader(name).parquet(self.path(name))
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        if not path_exists(self.spark, self.path(name)):
             return small_frame(self.spark, [], SCHEMAS[name])
+        return self._reader(name).parquet(self.path(name))
 
     def _reader(self, name: str):
         return self.spark.read.schema(SCHEMAS[name]).option("recursiveFileLookup", "true")

@@ -115,6 +115,39 @@ def test_words_equals_plain_python(spark, monkeypatch, broadcast_bytes, hot_shar
     assert predicted(model, rows) == naive_bayes(TEXTS, UNSEEN + TEXTS)
 
 
+@pytest.mark.parametrize("broadcast_bytes", [predictors.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("block", [1, 2, 64])
+def test_words_in_blocks_of_labels_equals_plain_python(spark, monkeypatch, broadcast_bytes, block):
+    monkeypatch.setattr(predictors, "BLOCK", block)
+    schema = "example_id long, symptoms string, diagnosis string"
+    odd = [(6, "words of an unlisted label", "scurvy"), (7, "and of none", None)]
+    train, rows = spark.createDataFrame(TEXTS, schema), spark.createDataFrame(UNSEEN + TEXTS + UNSEEN, schema)
+    model = predictors.predictor("words", broadcast_bytes=broadcast_bytes).fit(train, TASK)
+    answers = model.predict(rows).collect()
+    want = naive_bayes(TEXTS, UNSEEN + TEXTS)
+    assert len(answers) == len(UNSEEN) * 2 + len(TEXTS) and all(r.predicted == want[r.example_id] for r in answers)
+    # Words of rows without a listed label are known words all the same.
+    more = predictors.predictor("words", broadcast_bytes=broadcast_bytes).fit(train.union(spark.createDataFrame(odd, schema)), TASK)
+    assert more.size == model.size + 6 and more.priors == model.priors
+
+
+def test_words_with_thousands_of_labels(spark):
+    labels = tuple(f"label {i:04d}" for i in range(2000))
+    task = TaskSpec("many", labels)
+    rows = [(i, f"common word w{i % 2000} x{i % 50}", labels[i % 2000]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "example_id long, symptoms string, diagnosis string").repartition(4)
+    model = predictors.predictor("words").fit(df, task)
+    # A row per word and block of labels it occurs with, not a column per label.
+    assert len(model.counts.columns) == 2 + predictors.BLOCK
+    assert model.counts.filter("word = 'w'").count() == 32 and model.size == 4
+    labelled = df.withColumn("symptoms", F.concat("symptoms", F.lit(" "), F.translate(F.lpad((F.col("example_id") % 2000).cast("string"), 4, "0"), "0123456789", "abcdefghij")))
+    model = predictors.predictor("words").fit(labelled, task)
+    done = model.predict(labelled.limit(300))
+    assert done.filter("predicted = actual").count() == done.count() == 300
+    stored = predictors.predictor("words").restore(model.counts, model.artifact()[1], task)
+    assert stored.predict(labelled.limit(20)).filter("predicted = actual").count() == 20
+
+
 def test_words_does_not_depend_on_partitioning(spark):
     df = make_examples(spark, 300)
     first = predicted(predictors.predictor("words").fit(df, TASK), df)
