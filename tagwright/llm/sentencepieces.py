@@ -9,12 +9,13 @@ Texts are encoded in batches by the library's threads.  Parity with the
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 import struct
 from collections.abc import Callable, Iterator
-from itertools import accumulate, chain
+from itertools import chain, compress
 from typing import NamedTuple
 
 import numpy as np
@@ -35,7 +36,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Threads that encode in one Python worker.
 THREADS = 2
 #: Bytes of chunks and their ids that a worker remembers at most, and of what is kept beside each.
-REMEMBERED = 24 << 20
+REMEMBERED = 80 << 20
 _ENTRY = 200
 
 
@@ -185,6 +186,8 @@ class Rebuilt(NamedTuple):
     chunked: bool
     is_byte: np.ndarray
     is_unknown: np.ndarray
+    #: Text of every ordinary piece, its blanks marked; others are empty.
+    pieces: list[str]
 
     @classmethod
     def read(cls, data: bytes) -> Rebuilt:
@@ -193,7 +196,8 @@ class Rebuilt(NamedTuple):
         marked = any(p.text == MARK and p.kind == NORMAL for p in model.pieces)
         chunked = marked and _splits(model) and not model.charsmap and not model.trim and model.dummy_prefix
         kinds = np.array([p.kind for p in model.pieces])
-        return cls(data, rebuild(model).to_str(), chunked, kinds == BYTE, kinds == UNKNOWN)
+        return cls(data, rebuild(model).to_str(), chunked, kinds == BYTE, kinds == UNKNOWN,
+                   [p.text if p.kind == NORMAL else "" for p in model.pieces])
 
 
 def _bare(tokenizer: str) -> str:
@@ -222,6 +226,9 @@ class Codec:
         self.tokenizer = Tokenizer.from_str(_bare(rebuilt.tokenizer) if self.chunked else rebuilt.tokenizer)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=rebuilt.data)
         self.is_byte, self.is_unknown = rebuilt.is_byte, rebuilt.is_unknown
+        # Texts of ordinary pieces; no chunk has the length of another.
+        self.pieces = rebuilt.pieces
+        self.lengths = np.array([len(p) if p else 1 << 40 for p in self.pieces], np.int64)
         self.remembered = remembered
         # Ids of chunks met lately and of those met before, the bytes of the former, and the chunks
         # that the two libraries encode differently or that decode to something else.
@@ -231,8 +238,8 @@ class Codec:
         self.differs: set[str] = set()
         self.odd: dict[str, str] = {}
 
-    def _encode(self, texts: list[str], asked: list[str] | None = None, skip: list[int] | None = None) -> tuple[list, list]:
-        """Ids of each text and whether the two libraries agree on them.
+    def _encode(self, texts: list[str], asked: list[str] | None = None, skip: int = 0) -> tuple[list, list]:
+        """Ids of each text, and the places of texts on whose ids the two libraries disagree.
 
         The reference is asked about ``asked`` where that differs, and the first
         ``skip`` of its ids are left out.
@@ -240,9 +247,13 @@ class Codec:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         expected = self.reference.encode(asked or texts, num_threads=1)
         if skip:
-            expected = [e[n:] for e, n in zip(expected, skip)]
-        same = [a == b for a, b in zip(found, expected)]
-        return [a if agree else b for a, b, agree in zip(found, expected, same)], same
+            expected = [e[skip:] for e in expected]
+        if found == expected:
+            return found, []
+        wrong = [i for i, (a, b) in enumerate(zip(found, expected)) if a != b]
+        for i in wrong:
+            found[i] = expected[i]
+        return found, wrong
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks not remembered.
@@ -250,52 +261,80 @@ class Codec:
         The reference puts a blank before a text, as which a word's own blank
         counts; blanks alone are compared behind a line's end.
         """
-        if not chunks:
-            return {}
-        words = [bool(c.strip(MARK)) for c in chunks]
-        before = len(self.reference.encode("\n"))
-        asked = [(c[1:] if word else "\n" + c).replace(MARK, " ") for c, word in zip(chunks, words)]
-        ids, same = self._encode(chunks, asked, [0 if word else before for word in words])
-        decoded = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        for chunk, agree, text in zip(chunks, same, decoded):
-            if not agree:
-                self.differs.add(chunk)
-            if text != chunk.replace(MARK, " "):
-                self.odd[chunk] = text
-        flat = np.fromiter(chain.from_iterable(ids), np.int32).tobytes()
-        ends = [4 * end for end in accumulate(map(len, ids), initial=0)]
-        return {c: flat[a:b] for c, a, b in zip(chunks, ends, ends[1:])}
+        words = [c for c in chunks if c[0] == MARK and len(c) > 1 and MARK not in c[1:]]
+        if len(words) == len(chunks):
+            return self._learnt(words, *self._encode(words, [c[1:] for c in words])) if words else {}
+        plain = set(words)
+        others = [c for c in chunks if c not in plain]
+        spaced = [c for c in others if c.strip(MARK)]
+        blank = [c for c in others if not c.strip(MARK)]
+        known = self._learnt(words, *self._encode(words, [c[1:] for c in words])) if words else {}
+        if spaced:
+            known |= self._learnt(spaced, *self._encode(spaced, [c[1:].replace(MARK, " ") for c in spaced]))
+        if blank:
+            before = len(self.reference.encode("\n"))
+            known |= self._learnt(blank, *self._encode(blank, ["\n" + c.replace(MARK, " ") for c in blank], before))
+        return known
+
+    def _learnt(self, chunks: list[str], ids: list[list[int]], wrong: list[int]) -> dict[str, bytes]:
+        """Ids by chunk; chunks that differ, and those that decode to something else, are noted."""
+        self.differs.update(chunks[i] for i in wrong)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+        ends = np.cumsum(sizes)
+        # Ordinary pieces decode to their own text: chunks that they add up to need no decoding.
+        lengths = np.add.reduceat(self.lengths[flat], ends - sizes) if sizes.all() else np.full(len(chunks), -1)
+        plain = lengths == np.fromiter(map(len, chunks), np.int64, len(chunks))
+        spelled = "".join(map(self.pieces.__getitem__, flat[np.repeat(plain, sizes)].tolist()))
+        if spelled != "".join(compress(chunks, plain.tolist())):
+            plain[:] = False
+        rest = np.flatnonzero(~plain).tolist()
+        for i, text in zip(rest, self.tokenizer.decode_batch([ids[i] for i in rest], skip_special_tokens=False)):
+            if text != chunks[i].replace(MARK, " "):
+                self.odd[chunks[i]] = text
+        data = flat.tobytes()
+        cuts = (4 * ends).tolist()
+        return {c: data[a:b] for c, a, b in zip(chunks, [0, *cuts], cuts)}
 
     def _ids_of(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of these chunks; the ones met lately stay in memory, within the bound."""
-        known = {c: ids for c in chunks if (ids := self.young.get(c)) is not None}
-        fresh = {c: ids for c in chunks if c not in known and (ids := self.old.get(c)) is not None}
-        fresh.update(self._learn([c for c in chunks if c not in known and c not in fresh]))
-        for c, ids in fresh.items():
-            size = _ENTRY + 4 * len(c) + len(ids)
-            if self.held + size > self.remembered // 2:
-                self.old, self.young, self.held = self.young, {}, 0
-                rest = self.young.keys() | self.old.keys() | chunks
-                self.differs &= rest
-                self.odd = {c: t for c, t in self.odd.items() if c in rest}
-            if size <= self.remembered // 2:
-                self.young[c] = ids
-                self.held += size
-        return known | fresh
+        young, old = self.young, self.old
+        missing = [c for c in chunks if c not in young]
+        again = {c: old[c] for c in missing if c in old}
+        fresh = self._learn([c for c in missing if c not in again] if again else missing)
+        fresh.update(again)
+        self.held += _ENTRY * len(fresh) + 4 * sum(map(len, fresh)) + sum(map(len, fresh.values()))
+        if self.held <= self.remembered // 2:
+            young.update(fresh)
+            return young
+        found = {c: ids for c in chunks if (ids := fresh.get(c) or young.get(c)) is not None}
+        # What this batch has, and before it what the one before had, in place of all that is older.
+        size = _ENTRY * len(found) + 4 * sum(map(len, found)) + sum(map(len, found.values()))
+        if size <= self.remembered // 2:
+            self.old, self.young, self.held = young, found.copy(), size
+        else:
+            self.old, self.young, self.held = young, {}, 0
+        rest = self.young.keys() | self.old.keys() | chunks
+        self.differs &= rest
+        self.odd = {c: t for c, t in self.odd.items() if c in rest}
+        return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """All ids, how many each text has, whether the rebuilt tokenizer and the reference agree, and the texts decoded."""
         if not self.chunked:
-            ids, same = self._encode(texts)
+            ids, wrong = self._encode(texts)
             sizes = np.fromiter(map(len, ids), np.int64, len(texts))
             flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
-            return flat, sizes, np.array(same, bool), self.decode(ids)
+            same = np.ones(len(texts), bool)
+            same[wrong] = False
+            return flat, sizes, same, self.decode(ids)
         # With the blank put before it, every chunk of a text has blanks of its own.
         cut = [_CHUNKS.findall((" " + t).replace(" ", MARK)) if t else [] for t in texts]
-        ids_of = self._ids_of(set(chain.from_iterable(cut)))
+        met = set(chain.from_iterable(cut))
+        ids_of = self._ids_of(met)
         found = [b"".join(map(ids_of.__getitem__, chunks)) for chunks in cut]
         sizes = np.fromiter((len(f) // 4 for f in found), np.int64, len(found))
-        differs, odd = self.differs & ids_of.keys(), self.odd.keys() & ids_of.keys()
+        differs, odd = self.differs & met, self.odd.keys() & met
         same = [not differs or differs.isdisjoint(chunks) for chunks in cut]
         decoded = [
             t if MARK not in t and (not odd or odd.isdisjoint(chunks)) else self._decoded(chunks)
@@ -338,6 +377,8 @@ _ENCODED = "ids array<int>, n_tokens int, n_byte_tokens int, n_unknown int, pari
 def _encode(rebuilt: Rebuilt, carried: list[str]) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(rebuilt)
+        # Nothing here makes cycles, and going through millions of small lists for some takes a quarter of the time.
+        gc.disable()
         for batch in batches:
             lengths = pc.fill_null(pc.utf8_length(batch["text"]), 0).to_pylist()
             for start, end in _slices(lengths, _CHARS):
@@ -358,6 +399,7 @@ def _encode(rebuilt: Rebuilt, carried: list[str]) -> Callable:
                     ],
                     names=[*carried, *field_names(_ENCODED)],
                 )
+        gc.enable()
         del codec
         release_memory()
 

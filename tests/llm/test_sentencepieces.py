@@ -110,7 +110,7 @@ def test_memory_of_chunks_is_bounded():
         few, many = small.encode(batch), large.encode(batch)
         assert all(list(a) == list(b) for a, b in zip(few, many))
         assert few[0].tolist() == [i for ids in small.reference.encode(batch) for i in ids]
-        assert small.held <= 1 << 15 and len(small.young) + len(small.old) < 700
+        assert small.held <= 1 << 15 and len(small.young) < 170 and len(small.old) < 1500
     assert len(large.young) > 2500
 
 
