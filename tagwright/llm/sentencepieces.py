@@ -38,6 +38,8 @@ THREADS = 2
 #: Bytes of chunks and their ids that a worker remembers at most, and of what is kept beside each.
 REMEMBERED = 80 << 20
 _ENTRY = 200
+#: Chunks that are encoded at a time.
+_AT_ONCE = 1 << 13
 
 
 class Piece(NamedTuple):
@@ -301,8 +303,11 @@ class Codec:
         young, old = self.young, self.old
         missing = [c for c in chunks if c not in young]
         again = {c: old[c] for c in missing if c in old}
-        fresh = self._learn([c for c in missing if c not in again] if again else missing)
-        fresh.update(again)
+        unknown = [c for c in missing if c not in again] if again else missing
+        fresh = again
+        # The library's own objects take a kilobyte a chunk while they last.
+        for at in range(0, len(unknown), _AT_ONCE):
+            fresh.update(self._learn(unknown[at : at + _AT_ONCE]))
         self.held += _ENTRY * len(fresh) + 4 * sum(map(len, fresh)) + sum(map(len, fresh.values()))
         if self.held <= self.remembered // 2:
             young.update(fresh)
@@ -377,6 +382,8 @@ _ENCODED = "ids array<int>, n_tokens int, n_byte_tokens int, n_unknown int, pari
 def _encode(rebuilt: Rebuilt, carried: list[str]) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(rebuilt)
+        # Building it takes more than it keeps, and earlier tasks of this worker may have left something too.
+        release_memory()
         # Nothing here makes cycles, and going through millions of small lists for some takes a quarter of the time.
         gc.disable()
         for batch in batches:
