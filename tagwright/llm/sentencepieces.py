@@ -36,10 +36,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Threads that encode in one Python worker.
 THREADS = 2
 #: Bytes of chunks and their ids that a worker remembers at most, and of what is kept beside each.
-REMEMBERED = 60 << 20
+REMEMBERED = 80 << 20
 _ENTRY = 200
-#: Chunks that are encoded at a time.
-_AT_ONCE = 1 << 13
 
 
 class Piece(NamedTuple):
@@ -217,7 +215,7 @@ class Codec:
     replace those that differ.
     """
 
-    def __init__(self, rebuilt: Rebuilt, threads: int = THREADS, remembered: int = REMEMBERED):
+    def __init__(self, rebuilt: Rebuilt, threads: int = THREADS, remembered: int = REMEMBERED, at_once: int | None = None):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         import sentencepiece
@@ -231,7 +229,7 @@ class Codec:
         # Texts of ordinary pieces; no chunk has the length of another.
         self.pieces = rebuilt.pieces
         self.lengths = np.array([len(p) if p else 1 << 40 for p in self.pieces], np.int64)
-        self.remembered = remembered
+        self.remembered, self.at_once = remembered, at_once
         # Ids of chunks met lately and of those met before, the bytes of the former, and the chunks
         # that the two libraries encode differently or that decode to something else.
         self.young: dict[str, bytes] = {}
@@ -306,8 +304,9 @@ class Codec:
         unknown = [c for c in missing if c not in again] if again else missing
         fresh = again
         # The library's own objects take a kilobyte a chunk while they last.
-        for at in range(0, len(unknown), _AT_ONCE):
-            fresh.update(self._learn(unknown[at : at + _AT_ONCE]))
+        some = self.at_once or max(1, len(unknown))
+        for at in range(0, len(unknown), some):
+            fresh.update(self._learn(unknown[at : at + some]))
         self.held += _ENTRY * len(fresh) + 4 * sum(map(len, fresh)) + sum(map(len, fresh.values()))
         if self.held <= self.remembered // 2:
             young.update(fresh)
@@ -379,9 +378,9 @@ _CHARS = 1 << 20
 _ENCODED = "ids array<int>, n_tokens int, n_byte_tokens int, n_unknown int, parity boolean, decoded string"
 
 
-def _encode(rebuilt: Rebuilt, carried: list[str]) -> Callable:
+def _encode(rebuilt: Rebuilt, carried: list[str], remembered: int = REMEMBERED, at_once: int | None = None) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(rebuilt)
+        codec = Codec(rebuilt, remembered=remembered, at_once=at_once)
         # Building it takes more than it keeps, and earlier tasks of this worker may have left something too.
         release_memory()
         # Nothing here makes cycles, and going through millions of small lists for some takes a quarter of the time.
@@ -406,7 +405,8 @@ def _encode(rebuilt: Rebuilt, carried: list[str]) -> Callable:
                     ],
                     names=[*carried, *field_names(_ENCODED)],
                 )
-            release_memory()
+            if at_once:
+                release_memory()
         gc.enable()
         del codec
         release_memory()
@@ -427,10 +427,14 @@ def encoded(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     return texts.mapInArrow(_encode(_read(model_path), ["doc_id"]), f"doc_id long, {_ENCODED}")
 
 
-def digest(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
-    """Per document: doc_id, ids, counts, parity, and whether decoding gives the text again."""
+def digest(docs: DataFrame, model_path: str = MODEL, remembered: int = REMEMBERED, at_once: int | None = None) -> DataFrame:
+    """Per document: doc_id, ids, counts, parity, and whether decoding gives the text again.
+
+    A worker remembers chunks in ``remembered`` bytes.  With ``at_once`` it learns so many
+    chunks at a time and gives memory back after every batch: slower, with less memory.
+    """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    encode = _encode(_read(model_path), ["doc_id", "text"])
+    encode = _encode(_read(model_path), ["doc_id", "text"], remembered, at_once)
 
     def round_trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for done in encode(batches):
