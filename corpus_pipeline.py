@@ -33,8 +33,11 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with parity and round trip."""
-    return sentencepieces.digest(docs)
+    """Token ids of every document, with parity and round trip.
+
+    By now the executors hold memory of four stages, so the workers take less for a longer time.
+    """
+    return sentencepieces.digest(docs, remembered=32 << 20, at_once=1 << 12)
 
 
 STAGES = [
