@@ -36,7 +36,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Threads that encode in one Python worker.
 THREADS = 2
 #: Bytes of chunks and their ids that a worker remembers at most, and of what is kept beside each.
-REMEMBERED = 80 << 20
+REMEMBERED = 256 << 20
 _ENTRY = 200
 
 
