@@ -8,8 +8,8 @@ A host is blocked when its distrust outweighs its trust.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -44,7 +44,8 @@ RULES = (
 
 #: Share of a host's score that it passes on.
 DAMPING = 0.85
-ROUNDS = 10
+#: Trust and distrust that may still move in a round, of a total of 1 each, when spreading ends.
+TOLERANCE = 1e-6
 #: Distrust over trust beyond which a host is blocked.
 THRESHOLD = 1.0
 
@@ -125,54 +126,75 @@ def _seeds(judged: DataFrame) -> DataFrame:
     )
 
 
-def spread(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """``(host, trust, distrust)`` after ``rounds`` of personalised PageRank in both directions.
+def most_rounds(tolerance: float = TOLERANCE, damping: float = DAMPING) -> int:
+    """Rounds after which the scores have settled, whatever the links.
+
+    The links pass on no more than ``damping`` of what moved in the round before, and
+    scores start as the share of the seeds that stays, ``1 - damping`` of each kind.
+    """
+    if not 0 < damping < 1 or tolerance <= 0:
+        raise ValueError(f"damping is between 0 and 1 and the tolerance positive, got {damping} and {tolerance}")
+    return max(1, math.ceil(math.log(tolerance / (2 * (1 - damping))) / math.log(damping)) + 1)
+
+
+def spread(seeds: DataFrame, links: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
+    """``(host, trust, distrust)`` by personalised PageRank in both directions, spread until it settles.
 
     Each link carries its share of its host's links: of those going out for trust,
-    of those coming in for distrust.  A round joins the links with the scores and
-    adds up by host, combined before the shuffle.
+    of those coming in for distrust.  A round joins the links, written once in both
+    directions, with the scores and adds up by host, combined before the shuffle;
+    a host's own row of the round before comes along and tells how far it moved.
+    Rounds end when the summed change is ``tolerance`` or less, and it is an error
+    if that takes longer than ``most_rounds``.
     """
     out = links.groupBy(F.col("source").alias("from")).agg(F.sum("links").alias("out_links"))
     into = links.groupBy(F.col("target").alias("to")).agg(F.sum("links").alias("in_links"))
-    shares = write_once(
-        links.join(out, F.col("source") == F.col("from"))
-        .join(into, F.col("target") == F.col("to"))
+    shares = links.join(out, F.col("source") == F.col("from")).join(into, F.col("target") == F.col("to"))
+    none = F.lit(0.0)
+    both = F.array(
+        F.struct(F.col("source").alias("at"), F.col("target").alias("next"),
+                 (F.col("links") / F.col("out_links")).alias("onward"), none.alias("backward")),
+        F.struct(F.col("target").alias("at"), F.col("source").alias("next"),
+                 none.alias("onward"), (F.col("links") / F.col("in_links")).alias("backward")),
+    )
+    steps = write_once(shares.select(F.inline(both)), "host-links")
+    linked = steps.select(F.col("at").alias("host")).distinct()
+    scores = write_once(
+        seeds.join(linked, "host", "full")
+        .na.fill(0.0, ["trust_seed", "distrust_seed"])
         .select(
-            "source", "target", (F.col("links") / F.col("out_links")).alias("onward"),
-            (F.col("links") / F.col("in_links")).alias("backward"),
+            "*", *[((1 - damping) * F.col(f"{kind}_seed")).alias(kind) for kind in ("trust", "distrust")]
         ),
-        "host-links",
-    )
-    linked = shares.select(F.col("source").alias("host")).union(shares.select("target")).distinct()
-    base = write_once(
-        seeds.join(linked, "host", "full").na.fill(0.0, ["trust_seed", "distrust_seed"]), "host-seeds"
+        "host-scores",
     )
-    scores = base.select("host", F.col("trust_seed").alias("trust"), F.col("distrust_seed").alias("distrust"))
-    if shares.isEmpty():
-        rounds = 0  # nothing to carry anything
-    for _ in range(rounds):
-        forward = shares.join(scores, F.col("source") == F.col("host")).select(
-            F.col("target").alias("at"), (F.col("onward") * F.col("trust")).alias("trust_in"), F.lit(0.0).alias("distrust_in")
+    if steps.isEmpty():
+        return scores.select("host", "trust", "distrust")
+    known = ["trust_seed", "distrust_seed", "trust", "distrust"]
+    for _ in range(most_rounds(tolerance, damping)):
+        passed = steps.join(scores, F.col("at") == F.col("host")).select(
+            F.col("next").alias("host"), *[F.lit(None).cast("double").alias(c) for c in known],
+            (F.col("onward") * F.col("trust")).alias("trust_in"), (F.col("backward") * F.col("distrust")).alias("distrust_in"),
+        )
+        own = scores.select("host", *known, none.alias("trust_in"), none.alias("distrust_in"))
+        received = passed.union(own).groupBy("host").agg(
+            *[F.max(c).alias(c) for c in known], F.sum("trust_in").alias("trust_in"), F.sum("distrust_in").alias("distrust_in")
         )
-        reverse = shares.join(scores, F.col("target") == F.col("host")).select(
-            F.col("source").alias("at"), F.lit(0.0).alias("trust_in"), (F.col("backward") * F.col("distrust")).alias("distrust_in")
+        trust = (1 - damping) * F.col("trust_seed") + damping * F.col("trust_in")
+        distrust = (1 - damping) * F.col("distrust_seed") + damping * F.col("distrust_in")
+        moved = F.abs(trust - F.col("trust")) + F.abs(distrust - F.col("distrust"))
+        after = received.select(
+            "host", "trust_seed", "distrust_seed", trust.alias("trust"), distrust.alias("distrust"), moved.alias("moved")
         )
-        received = forward.union(reverse).groupBy("at").agg(
-            F.sum("trust_in").alias("trust_in"), F.sum("distrust_in").alias("distrust_in")
-        )
-        kept = base.join(received, F.col("host") == F.col("at"), "left").na.fill(0.0, ["trust_in", "distrust_in"])
-        scores = write_once(
-            kept.select(
-                "host",
-                ((1 - damping) * F.col("trust_seed") + damping * F.col("trust_in")).alias("trust"),
-                ((1 - damping) * F.col("distrust_seed") + damping * F.col("distrust_in")).alias("distrust"),
-            ),
-            "host-scores",
-        )
-    return scores
+        written = write_once(after, "host-scores")
+        scores = written.drop("moved")
+        if written.agg(F.sum("moved")).first()[0] <= tolerance:
+            return scores.select("host", "trust", "distrust")
+    raise RuntimeError("trust and distrust have not settled")
 
 
-def filtered(pages: DataFrame, rules: Sequence[Rule] = RULES, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def filtered(
+    pages: DataFrame, rules: Sequence[Rule] = RULES, tolerance: float = TOLERANCE, threshold: float = THRESHOLD
+) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust, for every page.
 
     The verdict is the rule's where one fits, else the host's: ``block`` if distrust
@@ -180,7 +202,7 @@ def filtered(pages: DataFrame, rules: Sequence[Rule] = RULES, rounds: int = ROUN
     ``://``) host and path are empty and the page is allowed.
     """
     judged = write_once(ruled(pages, rules), "ruled-pages")
-    scores = spread(_seeds(judged), host_links(pages), rounds)
+    scores = spread(_seeds(judged), host_links(pages), tolerance)
     scored = write_once(scores.withColumnRenamed("host", "scored"), "host-trust")
     joined = judged.join(scored, F.col("host") == F.col("scored"), "left").na.fill(0.0, ["trust", "distrust"])
     by_host = F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow")
@@ -193,23 +215,11 @@ def digest(pages: DataFrame) -> DataFrame:
     return filtered(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
-def sql(rounds: int = ROUNDS) -> str:
-    """The same in SQL, a pair of common table expressions for each round."""
-    steps = []
-    for i in range(rounds):
-        steps.append(
-            f"""in{i} AS (
-  SELECT target AS host, sum(onward * trust) AS t, 0.0::DOUBLE AS d FROM shares JOIN s{i} ON source = host GROUP BY target
-  UNION ALL
-  SELECT source, 0.0::DOUBLE, sum(backward * distrust) FROM shares JOIN s{i} ON target = host GROUP BY source),
-s{i + 1} AS (
-  SELECT b.host, 0.15 * trust_seed + 0.85 * coalesce(sum(t), 0) AS trust,
-    0.15 * distrust_seed + 0.85 * coalesce(sum(d), 0) AS distrust
-  FROM base b LEFT JOIN in{i} USING (host) GROUP BY b.host, trust_seed, distrust_seed)"""
-        )
+def sql(rounds: int = most_rounds()) -> str:
+    """The same in SQL, for as many rounds as any links can need."""
     return (
         r"""
-WITH rests AS (
+WITH RECURSIVE rests AS (
   SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 parts AS (
   SELECT page_id, html,
@@ -249,12 +259,21 @@ seeds AS (
 base AS (
   SELECT host, coalesce(trust_seed, 0.0) AS trust_seed, coalesce(distrust_seed, 0.0) AS distrust_seed
   FROM seeds FULL JOIN (SELECT source AS host FROM shares UNION SELECT target FROM shares) USING (host)),
-s0 AS (SELECT host, trust_seed AS trust, distrust_seed AS distrust FROM base),
+steps AS (
+  SELECT source AS here, target AS next, onward, 0.0 AS backward FROM shares
+  UNION ALL SELECT target, source, 0.0, backward FROM shares
+  UNION ALL SELECT host, host, 0.0, 0.0 FROM base),
 """
-        + ",\n".join(steps)
         + f"""
+scores AS (
+  SELECT 0 AS round, host, 0.15 * trust_seed AS trust, 0.15 * distrust_seed AS distrust FROM base
+  UNION ALL
+  SELECT round + 1, b.host, 0.15 * any_value(trust_seed) + 0.85 * sum(onward * trust),
+    0.15 * any_value(distrust_seed) + 0.85 * sum(backward * distrust)
+  FROM scores s JOIN steps ON s.host = here JOIN base b ON b.host = next
+  WHERE round < {rounds} GROUP BY round, b.host)
 SELECT page_id, host, path, rule,
   coalesce(said, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
-FROM ruled LEFT JOIN s{rounds} USING (host)
+FROM ruled LEFT JOIN (SELECT * FROM scores WHERE round = {rounds}) USING (host)
 """
     )
