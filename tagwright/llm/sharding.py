@@ -4,13 +4,16 @@ Documents are ordered by the hash of their text, then of their id, then by their
 place, so that equal texts are neighbours and still no run of them is indivisible.
 Each round counts bytes and rows between probes that divide the unresolved stretches
 of the key space, until every splitter is as near its target as the tolerance asks or
-no more than one document lies between.  Then the rows are exchanged once.  The
-driver holds a splitter per shard and ``2 ** DIGIT`` counts for each.
+no more than one document lies between.  Then the rows are exchanged once, each to the
+task whose splitters enclose its key: a shard takes several tasks where there are more
+tasks than shards, divided by further, coarser splitters.  The driver holds a splitter
+per task and at most ``COUNTS`` counts, or two per splitter if there are more of those.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +26,11 @@ SHARDS = 16
 TOLERANCE = 0.002
 #: The same where that keeps a group of equal texts whole.
 GROUP_TOLERANCE = 0.02
-#: Bits of the key that a round resolves.
+#: Bytes that a splitter between two tasks of one shard may be off, as a share of a task.
+TASK_TOLERANCE = 0.1
+#: Bits of the key that a round resolves, fewer where that makes more than ``COUNTS`` parts.
 DIGIT = 10
+COUNTS = 1 << 17
 
 _KEYS = ("by_text", "by_id", "by_place")
 _BITS = 64 * len(_KEYS)
@@ -60,13 +66,17 @@ def _within(stretch: _Stretch) -> Column:
     return reduce(Column.__and__, same, F.lit(True))
 
 
-def _counts(keyed: DataFrame, stretches: list[_Stretch]) -> dict[int, tuple[int, int]]:
-    """Bytes and rows of every part of the stretches, by the part's longer prefix."""
+def _counts(keyed: DataFrame, stretches: list[_Stretch], width: int) -> dict[int, tuple[int, int]]:
+    """Bytes and rows of every part of the stretches, by the part's prefix, ``width`` bits longer."""
     bits = stretches[0].bits
     last = bits // 64
-    more = bits % 64 + DIGIT
-    within = reduce(Column.__or__, [_within(s) for s in {s.prefix: s for s in stretches}.values()])
-    parts = [F.col(name) for name in _KEYS[:last]] + [_leading(_KEYS[last], min(64, more))]
+    more = bits % 64 + width
+    if 0 < bits <= 64:  # a look-up in a set, however many stretches there are
+        values = {_digits(s.prefix, bits)[0][1] for s in stretches}
+        within = _leading(_KEYS[0], bits).isin(sorted(values))
+    else:
+        within = reduce(Column.__or__, [_within(s) for s in {s.prefix: s for s in stretches}.values()])
+    parts = [F.col(name) for name in _KEYS[:last]] + [_leading(_KEYS[last], more)]
     names = [f"p{i}" for i in range(len(parts))]
     rows = (
         keyed.filter(within)
@@ -78,43 +88,57 @@ def _counts(keyed: DataFrame, stretches: list[_Stretch]) -> dict[int, tuple[int,
     for row in rows:
         prefix = 0
         for i, name in enumerate(names):
-            width = 64 if i < last else min(64, more)
-            prefix = prefix << width | row[name] + (1 << width - 1)
+            own = 64 if i < last else more
+            prefix = prefix << own | row[name] + (1 << own - 1)
         out[prefix] = (int(row["bytes"]), row["rows"])
     return out
 
 
-def splitters(keyed: DataFrame, shards: int, tolerance: float, group_tolerance: float) -> list[int]:
-    """The first key of each shard but the first, as numbers of 192 bits."""
+def splitters(keyed: DataFrame, shards: int, tolerance: float, group_tolerance: float, parts: int = 1) -> list[int]:
+    """The first key of each part but the first, as numbers of 192 bits, ``parts`` parts to a shard.
+
+    Every ``parts``-th of them parts two shards and is as near its target as the
+    tolerances ask; the others part tasks, to ``TASK_TOLERANCE`` of a part.  They do
+    not fall, whatever the tolerances.
+    """
     total = int(keyed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"])
-    targets = [total * k // shards for k in range(1, shards)]
+    pieces = shards * parts
+    targets = [total * k // pieces for k in range(1, pieces)]
     found: dict[int, int] = {}
     open_: dict[int, _Stretch] = {k: _Stretch(0, 0, 0) for k in range(len(targets))} if total else {}
     while open_:
         stretches = list(open_.values())
         bits = stretches[0].bits
-        counts = _counts(keyed, stretches)
-        width = min(64 - bits % 64, DIGIT)
-        parts: dict[int, list[tuple[int, int, int]]] = {}
+        apart = len({s.prefix for s in stretches})
+        width = min(64 - bits % 64, DIGIT, max(1, (COUNTS // apart).bit_length() - 1))
+        counts = _counts(keyed, stretches, width)
+        found_in: dict[int, list[tuple[int, int, int]]] = {}
         for prefix, (size, rows) in sorted(counts.items()):
-            parts.setdefault(prefix >> width, []).append((prefix, size, rows))
+            found_in.setdefault(prefix >> width, []).append((prefix, size, rows))
         bits += width
         left = {}
         for k, stretch in open_.items():
             below = stretch.below
-            for prefix, size, rows in parts[stretch.prefix]:
+            for prefix, size, rows in found_in[stretch.prefix]:
                 if below + size > targets[k]:
                     break
                 below += size
             # The target lies in this part: at its first key, after its last, or further inside.
             before, after = targets[k] - below, below + size - targets[k]
-            allowed = total / shards * (group_tolerance if bits == 64 else tolerance)
+            if (k + 1) % parts:
+                allowed = total / pieces * TASK_TOLERANCE
+            else:
+                allowed = total / shards * (group_tolerance if bits == 64 else tolerance)
             if rows == 1 or min(before, after) <= allowed or bits == _BITS:
                 found[k] = (prefix + (after < before)) << (_BITS - bits)
             else:
                 left[k] = _Stretch(prefix, bits, below)
         open_ = left
-    return [found.get(k, 1 << _BITS) for k in range(len(targets))]
+    cuts = [found.get(k, 1 << _BITS) for k in range(len(targets))]
+    # A task's splitter that passed its shard's ends is moved back to them.
+    between_shards = [0, *cuts[parts - 1 :: parts], 1 << _BITS]
+    held = [min(max(cut, between_shards[k // parts]), between_shards[k // parts + 1]) for k, cut in enumerate(cuts)]
+    return list(accumulate(held, max))
 
 
 def _at_or_after(splitter: int) -> Column:
@@ -128,6 +152,14 @@ def _at_or_after(splitter: int) -> Column:
     return reached
 
 
+def _piece(cuts: list[int], low: int, high: int) -> Column:
+    """How many of the splitters a row's key has reached, by halving."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(_at_or_after(cuts[middle]), _piece(cuts, middle + 1, high)).otherwise(_piece(cuts, low, middle))
+
+
 def assigned(
     docs: DataFrame,
     shards: int = SHARDS,
@@ -152,14 +184,18 @@ def assigned(
     )
     # Places differ from run to run, so they are written before they are used.
     keyed = write_once(measured, "sharding-keys")
-    cuts = splitters(keyed, shards, tolerance, group_tolerance)
-    shard = reduce(Column.__add__, [_at_or_after(cut).cast("int") for cut in cuts], F.lit(0))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    exchanged = keyed.repartitionByRange(tasks, *_KEYS).sortWithinPartitions(*_KEYS)
+    parts = max(1, -(-tasks // shards))
+    cuts = splitters(keyed, shards, tolerance, group_tolerance, parts)
+    exchanged = (
+        keyed.withColumn("piece", _piece(cuts, 0, len(cuts)))
+        .repartitionById(shards * parts, "piece")
+        .sortWithinPartitions("piece", *_KEYS)
+    )
     # The id that Spark gives is the task's number and the row's place in the task.
+    shard = F.floor(F.col("piece") / parts).cast("int").alias("shard")
     placed = write_once(
-        exchanged.select("doc_id", "size", "text_crc32", shard.alias("shard"), F.monotonically_increasing_id().alias("at")),
-        "sharded",
+        exchanged.select("doc_id", "size", "text_crc32", shard, F.monotonically_increasing_id().alias("at")), "sharded"
     )
     task = F.shiftright(F.col("at"), 33)
     firsts = placed.groupBy(task.alias("task"), F.col("shard").alias("of")).agg(

@@ -78,3 +78,46 @@ def test_digest_columns_and_native_plan(spark, small_folder):
     assert dict(done.dtypes)["grown_shard"] == "int" and dict(done.dtypes)["shard"] == "int" and dict(done.dtypes)["slot"] == "bigint"
     text = done._sc._jvm.PythonSQLUtils.explainString(done._jdf.queryExecution(), "formatted")
     assert "Python" not in text and "Cartesian" not in text and "Window" not in text
+
+
+def test_rows_are_exchanged_by_the_splitters(spark, monkeypatch):
+    draw = random.Random(4)
+    rows = [(i, "copy" * 30) for i in range(700)] + [(i, str(draw.random()) * 5) for i in range(700, 2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    exchanges = []
+    write = sharding.write_once
+
+    def noted(df, name):
+        exchanges.append(df._jdf.queryExecution().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(sharding, "write_once", noted)
+    got = sharding.assigned(docs, 3).collect()
+    assert sum("rangepartitioning" in plan for plan in exchanges) == 0
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = -(-tasks // 3)
+    assert any(f", {3 * parts}), REPARTITION_BY_NUM" in plan for plan in exchanges)
+    assert Counter(r.shard for r in got).keys() == {0, 1, 2}
+
+
+def test_splitters_of_tasks_lie_between_those_of_shards(spark, monkeypatch):
+    draw = random.Random(6)
+    rows = [(i, "same text" if i % 3 else str(draw.random())) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = docs.selectExpr(
+        "length(text) + 1L AS size", "xxhash64(text) AS by_text", "xxhash64(doc_id) AS by_id", "0L AS by_place"
+    ).cache()
+    few = sharding.splitters(keyed, 4, 0.002, 0.02)
+    monkeypatch.setattr(sharding, "COUNTS", 16)
+    many = sharding.splitters(keyed, 4, 0.002, 0.02, parts=5)
+    assert len(many) == 19 and many == sorted(many)
+    size = [0] * 20
+    for r in keyed.collect():
+        key = sum((v + (1 << 63)) << (64 * (2 - i)) for i, v in enumerate((r.by_text, r.by_id, r.by_place)))
+        size[sum(cut <= key for cut in many)] += r.size
+    mean = sum(size) / 20
+    assert all(abs(s - mean) <= 0.35 * mean + 10 for s in size)
+    for k, cut in enumerate(few):
+        below = sum(size[: 5 * (k + 1)])
+        assert abs(below - sum(size) * (k + 1) / 4) <= 0.02 * sum(size) / 4 + 10
+    keyed.unpersist()
