@@ -440,6 +440,12 @@ FROM language""",
   count(*) FILTER (WHERE {c} IS NULL) AS null_count FROM reviewed""" for c in ("symptoms", "diagnosis")
         ),
         "describe_numeric": "\nUNION ALL ".join(_numeric(c) for c in ("n_chars", "doc_id")),
+        "profile_merged": """SELECT 'n_chars' AS column_name, count(*) AS rows, count(n_chars) AS count,
+  count(*) - count(n_chars) AS null_count, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std,
+  min(n_chars)::DOUBLE AS min, max(n_chars)::DOUBLE AS max, true AS unique_near, true AS quartiles_near FROM documents
+""" + "".join(f"""UNION ALL SELECT '{c}', count(*), count({c}), count(*) - count({c}), NULL, NULL, NULL, NULL, true, NULL
+FROM documents
+""" for c in ("text", "source")),
         "describe_categorical": verdict + "\nUNION ALL ".join(
             _categorical(c) for c in ("symptoms", "diagnosis", "split")
         ),

@@ -12,7 +12,19 @@ from pyspark.sql import functions as F
 
 from tagwright.functions.prompts import STYLES, Prompt
 from tagwright.functions.text import normalize_label, strip, words
-from tagwright.operators import compare, demos, output, profile, propose, report, rows, search, split, validate
+from tagwright.operators import (
+    compare,
+    demos,
+    output,
+    profile,
+    propose,
+    report,
+    rows,
+    search,
+    split,
+    states,
+    validate,
+)
 from tagwright.operators.answers import AnswerStore, predict_distinct
 from tagwright.operators.predict import Reply, carried, predict, predict_missing, predict_once
 from tagwright.operators.predictors import available, nearest_by_candidate, predictor
@@ -31,7 +43,7 @@ from tagwright.plans import classify
 from tagwright.plans.classify import evaluate, tune
 from tagwright.session import new_folder, small_frame, write_once
 from tagwright.sources import tables, tracking
-from tagwright.sources.examples import Dataset, all_splits, population, with_label, with_roles
+from tagwright.sources.examples import Dataset, all_splits, hold_out, population, with_label, with_roles
 from tagwright.spec import POPULATIONS, TaskSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,6 +214,31 @@ def describe_categorical(spark, folder):
     return profile.describe_categorical(tables.verdict(spark, folder).examples)
 
 
+@query("profile_merged")
+def profile_merged(spark, folder):
+    """Documents profiled from states of their splits and languages, with estimates held against exact values."""
+    docs = hold_out(tables.read(spark, folder, "documents"), key="doc_id")
+    columns = ["text", "source", "n_chars"]
+    parts = states.profile_states(docs, ["split", "lang"], columns)
+    merged = states.described(states.merge_states(write_once(parts, "profile-states")))
+    found = write_once(merged, "merged-profile")
+    exact = profile.profile_columns(docs, columns).select("column_name", F.col("unique_count").alias("exact"))
+    at = found.filter(F.col("column_name") == "n_chars").first()
+    ranks = docs.agg(
+        *[
+            ((F.avg((F.col("n_chars") < at[f"q{q}"]).cast("int")) <= q / 100 + states.RANK_ERROR)
+             & (F.avg((F.col("n_chars") <= at[f"q{q}"]).cast("int")) >= q / 100 - states.RANK_ERROR)).alias(f"near{q}")
+            for q in (25, 50, 75)
+        ]
+    ).select(F.expr("near25 AND near50 AND near75")).first()[0]
+    off = F.abs(F.col("unique_count") - F.col("exact"))
+    return found.join(exact, "column_name").select(
+        "column_name", "rows", "count", "null_count", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")],
+        (off <= states.DISTINCT_ERROR * F.col("exact")).alias("unique_near"),
+        F.when(F.col("mean").isNotNull(), F.lit(ranks)).alias("quartiles_near"),
+    )
+
+
 # --- prompts and answers ----------------------------------------------------
 
 
