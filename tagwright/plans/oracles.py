@@ -461,9 +461,9 @@ FROM (SELECT example_id, to_json({{'diagnosis': ' ' || diagnosis, 'reasoning': s
         "flag_invalid_output": _with(_VERDICT, _NUMBERED) + f"""SELECT example_id, predicted, NOT bad AS valid,
   CASE WHEN bad THEN {_feedback("predicted")} END AS feedback
 FROM (SELECT *, lower({_strip("predicted")}) NOT IN (SELECT diagnosis FROM verdict) AS bad FROM answers)""",
-        "score_rows": _with(_VERDICT, _NUMBERED) + f"""SELECT v.example_id, v.split, v.diagnosis AS actual, a.predicted,
+        **dict.fromkeys(("score_rows", "score_bucketed"), _with(_VERDICT, _NUMBERED) + f"""SELECT v.example_id, v.split, v.diagnosis AS actual, a.predicted,
   coalesce(lower({_strip("a.predicted")}) = v.diagnosis, false)::INT::DOUBLE AS correct
-FROM verdict v LEFT JOIN answers a ON a.example_id = v.example_id AND a.split = 'test'""",
+FROM verdict v LEFT JOIN answers a ON a.example_id = v.example_id AND a.split = 'test'"""),
         "majority_rows": _with(_VERDICT, _PARTS, _MAJORITY) + f"SELECT *, {_CORRECT} AS correct FROM majority",
         "nearest_demo_rows": _with(_VERDICT, _PARTS, _WORD_SETS, _NEAREST)
         + f"SELECT *, {_CORRECT} AS correct FROM nearest_demo",

@@ -44,6 +44,7 @@ from tagwright.plans.classify import evaluate, tune
 from tagwright.session import new_folder, small_frame, write_once
 from tagwright.sources import tables, tracking
 from tagwright.sources.examples import Dataset, all_splits, hold_out, population, with_label, with_roles
+from tagwright.sources.sinks import write_bucketed
 from tagwright.spec import POPULATIONS, TaskSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -285,6 +286,21 @@ def score_rows_joined(spark, folder):
     return score_rows(data, answers)
 
 
+@query("score_bucketed")
+def score_bucketed(spark, folder):
+    """Answers scored against examples that are both bucketed by id: the join shuffles nothing."""
+    data = tables.verdict(spark, folder).examples
+    answers = _numbered_answers(spark, folder).join(
+        data.filter(F.col("split") == "test").select("example_id"), "example_id", "left_semi"
+    )
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sides = []
+    for name, side in (("bucketed_examples", data), ("bucketed_answers", answers)):
+        path = new_folder(spark, name)
+        sides.append(write_bucketed(side, f"{name}_{path[-12:]}", path, buckets))
+    return score_rows(*sides)
+
+
 # --- predictors and their scores --------------------------------------------
 
 

@@ -29,6 +29,21 @@ def write_examples(examples: DataFrame, path: str, fmt: str = "parquet", sort: b
     writer.save(path)
 
 
+def write_bucketed(rows: DataFrame, table: str, path: str, buckets: int, key: str = "example_id") -> DataFrame:
+    """Rows as a catalog table of ``buckets`` files by the hash of the id, sorted by id, and read back.
+
+    Two such tables with the same number of buckets are joined on the id without a
+    shuffle, however often.  The rows are shuffled once, here; a table of that name
+    is replaced.  Ids are meant to be unique, so that no bucket is hot.
+    """
+    if buckets < 1:
+        raise ValueError(f"a bucket is needed at least, got {buckets}")
+    # The exchange is the bucketing itself, so each task writes one file.
+    placed = rows.repartition(buckets, key)
+    placed.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
 def write_prompt_report(report: DataFrame, path: str, headings: tuple[str, ...]) -> None:
     """The report as one text file, sections in the order of ``headings``."""
     rank = F.array_position(F.array(*[F.lit(h) for h in headings]), F.col("section"))

@@ -1,0 +1,38 @@
+"""Tables bucketed by id: joins without a shuffle."""
+
+import pytest
+
+from tagwright.operators.score import score_rows
+from tagwright.sources.sinks import write_bucketed
+
+
+def test_scoring_shuffles_nothing(spark, tmp_path):
+    rows = [(i, "train", "Flu " if i % 2 else "cold", f"text {i}") for i in range(500)]
+    examples = spark.createDataFrame(rows, "example_id long, split string, diagnosis string, symptoms string")
+    answers = spark.createDataFrame([(i, "flu") for i in range(0, 500, 3)], "example_id long, predicted string")
+    want = sorted(map(tuple, score_rows(examples, answers).collect()), key=str)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = write_bucketed(examples, "bucketed_left", str(tmp_path / "left"), 4)
+        right = write_bucketed(answers, "bucketed_right", str(tmp_path / "right"), 4)
+        scored = score_rows(left, right)
+        assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, scored.collect()), key=str) == want
+        assert len(list((tmp_path / "left").glob("*.parquet"))) <= 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        spark.sql("DROP TABLE IF EXISTS bucketed_left")
+        spark.sql("DROP TABLE IF EXISTS bucketed_right")
+
+
+def test_null_ids_and_empty_tables(spark, tmp_path):
+    examples = spark.createDataFrame([(None, "a", "flu")], "example_id long, split string, diagnosis string")
+    none = spark.createDataFrame([], "example_id long, predicted string")
+    left = write_bucketed(examples, "bucketed_null", str(tmp_path / "left"), 2)
+    right = write_bucketed(none, "bucketed_none", str(tmp_path / "right"), 2)
+    assert score_rows(left, right).first().correct == 0
+    with pytest.raises(ValueError, match="a bucket"):
+        write_bucketed(none, "bucketed_none", str(tmp_path / "none"), 0)
+    spark.sql("DROP TABLE bucketed_null")
+    spark.sql("DROP TABLE bucketed_none")
