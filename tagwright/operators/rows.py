@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +16,9 @@ from tagwright.session import write_once
 # Up to this many keys a top-k on the key column alone is one cheap job.
 SMALL = 10_000
 
+# Places of splitters around an estimated rank, in standard deviations of the estimate.
+SPREADS = (-6.0, -4.0, -3.0, -2.0, -1.5, -1.0, -0.5, 0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0)
+
 # Copies of one row generated per task when ids are assigned.
 CHUNK = 100_000
 
@@ -57,26 +63,61 @@ def kth_smallest(keys: DataFrame, k: int | Callable[[int], int], width: int = 3,
             return rest.agg(F.max("key")).first()[0]
 
 
-def nth_smallest(keys: DataFrame, n: int) -> object:
+def nth_smallest(keys: DataFrame, n: int, small: int | None = None) -> object:
     """The n-th smallest of one column of any orderable type, nulls left out; ``None`` when there are fewer.
 
-    Up to ``SMALL`` a top-n does; beyond it the column is range-partitioned and
-    sorted by many tasks, the driver adds up one count per task, and the value at
-    the place that is left is read.  Either way finds the same value.
+    Up to ``SMALL`` a top-n does.  Beyond it no keys are sorted: a random sample of
+    about ``SMALL`` keys gives splitters close around the place of the n-th, the keys
+    below, at and between them are counted exactly, and the cell that holds the n-th
+    is what the next round looks at.  Whatever the sample, the counts are exact, so
+    every way finds the same value.  A round narrows to a few hundredths of the keys or
+    fewer, and from then on only those, written once, are read.  A key that many rows
+    share is a splitter with a count of its own.
     """
+    small = small or SMALL
     column = keys.columns[0]
-    keys = keys.select(F.col(column).alias("key")).filter(F.col("key").isNotNull())
-    if n <= SMALL:
-        row = keys.orderBy("key").limit(n).agg(F.max("key"), F.count(F.lit(1))).first()
+    pool = keys.select(F.col(column).alias("key")).filter(F.col("key").isNotNull())
+    if n <= small:
+        row = pool.orderBy("key").limit(n).agg(F.max("key"), F.count(F.lit(1))).first()
         return row[0] if row[1] == n else None
-    placed = write_once(keys.orderBy("key").withColumn("at", F.monotonically_increasing_id()), "sorted-keys")
-    task = F.shiftright(F.col("at"), 33)
-    counts = placed.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).collect()
-    for row in sorted(counts):
-        if n <= row["n"]:
-            return placed.filter(F.col("at") == row["first"] + n - 1).first()["key"]
-        n -= row["n"]
-    return None
+    size = pool.count()
+    if n > size:
+        return None
+    while size > small:
+        splitters = _splitters(pool, size, n, small)
+        counts = _cell_counts(pool, splitters)
+        for cell, members in counts:
+            if n <= members:
+                break
+            n -= members
+        if cell % 2:
+            return splitters[cell // 2]
+        if splitters:
+            low, high = cell // 2 - 1, cell // 2
+            inside = [F.col("key") > F.lit(splitters[low])] if low >= 0 else []
+            inside += [F.col("key") < F.lit(splitters[high])] if high < len(splitters) else []
+            pool, size = write_once(pool.filter(reduce(and_, inside)), "nearer-keys"), members
+    # No more than ``small`` keys are left.
+    return pool.agg(F.sort_array(F.collect_list("key"))[n - 1]).first()[0]
+
+
+def _splitters(pool: DataFrame, size: int, n: int, sampled: int) -> list:
+    """Different sampled keys around the place that the n-th of ``size`` keys has in a sample, ascending."""
+    keys = pool.filter(F.rand() < sampled / size).agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    # The place in the sample varies by about the root of this.
+    share = n / size
+    spread = max(1.0, math.sqrt(sampled * share * (1 - share)))
+    at = [F.round(F.size("keys") * share + spread * step).cast("int") for step in SPREADS]
+    inside = [F.get("keys", F.least(F.greatest(i, F.lit(0)), F.size("keys") - 1)) for i in at]
+    return keys.select(F.array_distinct(F.array_compact(F.array(*inside)))).first()[0]
+
+
+def _cell_counts(pool: DataFrame, splitters: list) -> list[tuple[int, int]]:
+    """Keys per cell, ascending: cell 2i lies below the i-th splitter (from 0) and above the one before, 2i+1 holds it."""
+    key = F.col("key")
+    passed = [c.cast("int") for s in splitters for c in (key >= F.lit(s), key > F.lit(s))]
+    counted = pool.groupBy(reduce(add, passed, F.lit(0)).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    return sorted((row["cell"], row["n"]) for row in counted.collect())
 
 
 def among_first(df: DataFrame, n: int | None, key: str = "example_id") -> Column:

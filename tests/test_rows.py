@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 from datetime import date, timedelta
 from decimal import Decimal
@@ -82,6 +83,40 @@ def test_large_caps_take_the_same_rows(spark, monkeypatch, kind):
     assert len(sampled) == 120
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "double"])
+def test_nth_smallest_without_sorting_keys(spark, monkeypatch, kind):
+    """Half of the rows share one key; others are skewed, negative and repeated."""
+    rng = random.Random(5)
+    values = [int(rng.lognormvariate(0, 4)) - 50 for _ in range(3000)] + [17] * 3000
+    rng.shuffle(values)
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)] * 9, "key long").select(F.col("key").cast(kind))
+    ordered = sorted(str(v) for v in values) if kind == "string" else sorted(values)
+
+    def refuse(*args):
+        raise AssertionError("the keys are sorted")
+
+    monkeypatch.setattr(type(df), "orderBy", refuse)
+    for n in (101, 3500, 5000, 6000):
+        assert rows.nth_smallest(df, n, small=100) == ordered[n - 1]
+    assert rows.nth_smallest(df, 6001, small=100) is None
+
+
+def test_a_sample_that_misses_costs_a_round_only(spark, monkeypatch):
+    """Splitters far from the place, or none at all."""
+    df = spark.range(5000).select(F.col("id").alias("key"))
+    drawn = iter([[], [4990, 4995], [1], [], [2000, 2040]])
+    monkeypatch.setattr(rows, "_splitters", lambda *args: next(drawn))
+    assert rows.nth_smallest(df, 2021, small=50) == 2020
+    drawn = iter([[10, 2020, 4000]])
+    assert rows.nth_smallest(df, 2021, small=50) == 2020
+
+
+def test_nan_is_the_largest_key(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(200)] + [(float("nan"),)] * 200, "key double")
+    assert math.isnan(rows.nth_smallest(df, 300, small=20))
+    assert rows.nth_smallest(df, 200, small=20) == 199.0
+
+
 def test_cap_reaches_the_scan(spark, small_folder):
     documents = spark.read.parquet(f"{small_folder}/documents.parquet")
     plan = plan_of(rows.first_n(documents, 5, "doc_id"))
