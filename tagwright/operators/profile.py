@@ -12,6 +12,14 @@ from tagwright.session import small_frame
 
 QUARTILES = (0.25, 0.5, 0.75)
 
+# Values that a task's summary of frequent values tracks.  What the merged summaries leave out is no
+# more frequent than this share of the rows (twice the summary's stated error).
+TRACKED = 4096
+UNSEEN = 2 * 3.5 / TRACKED
+
+# Standard error of an estimated number of different values beside such a summary.
+DISTINCT_ERROR = 0.01
+
 # Quantile search: cells per pass, and how many values may come to the driver.
 CELLS = 1024
 SMALL = 10_000
@@ -36,21 +44,24 @@ def profile_table(df: DataFrame) -> DataFrame:
     )
 
 
-def _value_counts(df: DataFrame, columns: list[str], id_column: str | None) -> DataFrame:
+def _value_counts(df: DataFrame, columns: list[str], id_column: str | None,
+                  wanted: dict[str, Column] | None = None) -> DataFrame:
     """Rows per (column, value digest), all columns in one shuffle.
 
     The digest stands in for the value, so 32 bytes per distinct value are
-    shuffled however long the texts are; equal values combine first.
+    shuffled however long the texts are; equal values combine first.  Of values
+    that are not ``wanted`` nothing is kept.
     """
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.unhex(F.sha2(F.col(c).cast("string"), 256)).alias("digest"),
-            )
-            for c in columns
-        ]
-    )
+    cells = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.unhex(F.sha2(F.col(c).cast("string"), 256)).alias("digest"),
+        )
+        for c in columns
+    ]
+    if wanted:
+        cells = [F.when(wanted[c], cell) for c, cell in zip(columns, cells)]
+    pairs = F.array_compact(F.array(*cells)) if wanted else F.array(*cells)
     keep = [F.col(id_column).alias("first_id")] if id_column else []
     cells = df.select(*keep, F.explode(pairs).alias("cell")).select(*[c for c in ("first_id",) if keep], "cell.*")
     firsts = [F.min("first_id").alias("first_id")] if keep else []
@@ -82,15 +93,82 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None, approximate
     )
 
 
-def describe_categorical(df: DataFrame, columns: list[str] | None = None,
-                         id_column: str = "example_id") -> DataFrame:
+def most_frequent(df: DataFrame, columns: list[str] | None = None, id_column: str = "example_id") -> DataFrame:
+    """Most frequent value of each column and how often it occurs, both exact; nulls do not count.
+
+    Of several most frequent values the one that occurs first by id is taken.  Every
+    task sums up its rows in at most ``TRACKED`` counters per column (Spark's
+    mergeable top-k sketch over 64-bit hashes of the values), and a second pass counts
+    the few values that the merged sketch names exactly, so that tasks times counters is
+    all that is shuffled.  A value it does not name occurs in at most ``UNSEEN`` of the
+    rows: a column whose best count is not above that, and whose named values are not
+    all its rows, is counted once more by the digests of all its values.
+    """
+    columns = columns or [c for c in other_columns(df) if c != id_column]
+    return _with_texts(df, columns, id_column, _frequent(df, columns, id_column)).select("column_name", "top", "freq")
+
+
+def _frequent(df: DataFrame, columns: list[str], id_column: str) -> dict[str, dict]:
+    """Per column: values, an estimate of the different ones, how often the most frequent occurs and its first id."""
+    wide = []
+    for i, c in enumerate(columns):
+        # A hash shared by two values only makes both of them candidates.
+        mark = _mark(c)
+        wide += [
+            F.count(c).alias(f"count{i}"),
+            F.approx_count_distinct(mark, DISTINCT_ERROR).alias(f"unique{i}"),
+            F.call_function("approx_top_k", mark, F.lit(TRACKED), F.lit(TRACKED)).alias(f"top{i}"),
+        ]
+    seen = df.agg(*wide).first()
+    found = {
+        c: {"count": seen[f"count{i}"], "unique": seen[f"unique{i}"], "freq": None, "first_id": None}
+        for i, c in enumerate(columns)
+    }
+    named = {}
+    for i, c in enumerate(columns):
+        marks = [x["item"] for x in seen[f"top{i}"] or [] if x["item"] is not None]
+        if marks:
+            named[c] = _mark(c).isin(marks)
+    open_columns = [c for c in columns if found[c]["count"]]
+    if named:
+        counts = _value_counts(df, list(named), id_column, named).filter(F.col("digest").isNotNull())
+        for row in _best(counts).collect():
+            of = found[row["column_name"]]
+            if row["n"] == of["count"] or row["freq"] > UNSEEN * of["count"]:
+                of["freq"], of["first_id"] = row["freq"], row["first_id"]
+                open_columns.remove(row["column_name"])
+    if open_columns:
+        counts = _value_counts(df, open_columns, id_column).filter(F.col("digest").isNotNull())
+        for row in _best(counts).collect():
+            found[row["column_name"]].update(freq=row["freq"], first_id=row["first_id"])
+    return found
+
+
+def _mark(column: str) -> Column:
+    return F.when(F.col(column).isNotNull(), F.xxhash64(F.col(column).cast("string")))
+
+
+def _best(counts: DataFrame) -> DataFrame:
+    """Per column: the rows counted, the largest count, and the first id of the first value that has it."""
+    best = F.min(F.struct((-F.col("n")).alias("rank"), "first_id")).alias("best")
+    return counts.groupBy("column_name").agg(F.sum("n").alias("n"), best).select(
+        "column_name", "n", (-F.col("best.rank")).alias("freq"), "best.first_id"
+    )
+
+
+def describe_categorical(df: DataFrame, columns: list[str] | None = None, id_column: str = "example_id",
+                         approximate: bool = False) -> DataFrame:
     """Count, distinct values, most frequent value and its frequency per column.
 
     Of several most frequent values the one that occurs first by id is taken.
     Its text is fetched by that id from the table, one row per column, so the
-    texts themselves are never shuffled.
+    texts themselves are never shuffled.  ``approximate`` estimates the number of
+    distinct values (``DISTINCT_ERROR``), which spares the shuffle of a digest for each of them; the other
+    columns are exact either way (``most_frequent``).
     """
     columns = columns or [c for c in other_columns(df) if c != id_column]
+    if approximate:
+        return _with_texts(df, columns, id_column, _frequent(df, columns, id_column))
     counts = _value_counts(df, columns, id_column).filter(F.col("digest").isNotNull())
     # One aggregate per column instead of a group per column: nothing is sorted.
     wide = []
@@ -102,11 +180,18 @@ def describe_categorical(df: DataFrame, columns: list[str] | None = None,
             F.count_if(mine).alias(f"unique{i}"),
             F.min(F.when(mine, ranked)).alias(f"best{i}"),
         ]
-    found = counts.agg(*wide).first()
-    rows = []
+    row = counts.agg(*wide).first()
+    found = {}
     for i, c in enumerate(columns):
-        rank, first_id = found[f"best{i}"] or (None, None)
-        rows.append((c, found[f"count{i}"], found[f"unique{i}"], None if rank is None else -rank, first_id))
+        rank, first_id = row[f"best{i}"] or (None, None)
+        found[c] = {"count": row[f"count{i}"], "unique": row[f"unique{i}"],
+                    "freq": None if rank is None else -rank, "first_id": first_id}
+    return _with_texts(df, columns, id_column, found)
+
+
+def _with_texts(df: DataFrame, columns: list[str], id_column: str, found: dict[str, dict]) -> DataFrame:
+    """One row per column, its most frequent value read from the row with the found id."""
+    rows = [(c, f["count"], f["unique"], f["freq"], f["first_id"]) for c, f in found.items()]
     id_type = dict(df.dtypes)[id_column]
     stats = small_frame(
         df.sparkSession, rows, f"column_name string, count long, unique long, freq long, id {id_type}"
@@ -137,7 +222,7 @@ def summary(df: DataFrame, id_column: str = "example_id", approximate: bool = Fa
     return Summary(
         profile_table(data),
         describe_numeric(data, approximate=approximate),
-        describe_categorical(df, other_columns(data), id_column),
+        describe_categorical(df, other_columns(data), id_column, approximate),
         profile_columns(df, other_columns(data), approximate),
     )
 

@@ -440,6 +440,10 @@ FROM language""",
   count(*) FILTER (WHERE {c} IS NULL) AS null_count FROM reviewed""" for c in ("symptoms", "diagnosis")
         ),
         "describe_numeric": "\nUNION ALL ".join(_numeric(c) for c in ("n_chars", "doc_id")),
+        "most_frequent": "\nUNION ALL ".join(
+            f"""(SELECT '{c}' AS column_name, {c}::VARCHAR AS top, count(*) AS freq FROM documents WHERE {c} IS NOT NULL
+GROUP BY {c} ORDER BY freq DESC, min(doc_id) LIMIT 1)""" for c in ("lang", "source", "n_chars", "text")
+        ),
         "profile_merged": """SELECT 'n_chars' AS column_name, count(*) AS rows, count(n_chars) AS count,
   count(*) - count(n_chars) AS null_count, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std,
   min(n_chars)::DOUBLE AS min, max(n_chars)::DOUBLE AS max, true AS unique_near, true AS quartiles_near FROM documents

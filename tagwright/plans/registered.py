@@ -215,6 +215,13 @@ def describe_categorical(spark, folder):
     return profile.describe_categorical(tables.verdict(spark, folder).examples)
 
 
+@query("most_frequent")
+def most_frequent(spark, folder):
+    """Columns with few values, with many, and with as many as there are rows."""
+    docs = tables.read(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    return profile.most_frequent(docs, ["lang", "source", "n_chars", "text"], "doc_id")
+
+
 @query("profile_merged")
 def profile_merged(spark, folder):
     """Documents profiled from states of their splits and languages, with estimates held against exact values."""

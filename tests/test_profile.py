@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tagwright.operators import profile
 from tests.conftest import make_examples, plan_of
@@ -87,6 +88,54 @@ def test_categorical_without_values(spark):
     assert got == {"s": (0, 0, None, None), "t": (2, 1, "x", 2)}
 
 
+def test_most_frequent_equals_counting(spark):
+    """Hot, level, unique, missing and tied values; the sketch is of use for some columns only."""
+    rng = random.Random(7)
+    n = 30_000
+    rows = [
+        (i, "hot" if rng.random() < 0.3 else f"cold {rng.randrange(20_000)}", f"level {i % 7000}", f"one {n - i}",
+         None, "b" if i % 2 else "a", 5 if i < 3 else None)
+        for i in range(n)
+    ]
+    columns = ["hot", "level", "one", "missing", "tied", "few"]
+    df = spark.createDataFrame(
+        rows, "example_id long, hot string, level string, one string, missing string, tied string, few int"
+    ).repartition(6)
+    got = {r.column_name: (r.top, r.freq) for r in profile.most_frequent(df, columns).collect()}
+    for i, c in enumerate(columns, 1):
+        counts, first = {}, {}
+        for row in rows:
+            if row[i] is not None:
+                counts[row[i]] = counts.get(row[i], 0) + 1
+                first.setdefault(row[i], row[0])
+        best = min(counts, key=lambda v: (-counts[v], first[v]), default=None)
+        assert got[c] == (None if best is None else str(best), counts.get(best)), c
+    roughly = {r.column_name: r for r in profile.describe_categorical(df, columns, approximate=True).collect()}
+    for r in profile.describe_categorical(df, columns).collect():
+        near = roughly[r.column_name]
+        assert (near["count"], near.top, near.freq) == (r["count"], r.top, r.freq)
+        assert near.unique == pytest.approx(r.unique, rel=5 * profile.DISTINCT_ERROR)
+    empty = profile.most_frequent(df.limit(0), ["hot", "few"]).collect()
+    assert {(r.column_name, r.top, r.freq) for r in empty} == {("hot", None, None), ("few", None, None)}
+
+
+def test_a_hot_value_is_found_without_a_shuffle_of_all_values(spark, monkeypatch):
+    """No more cells are counted than the tasks' summaries hold, however many values there are."""
+    df = spark.range(0, 60_000, numPartitions=4).select(
+        F.col("id").alias("example_id"), F.when(F.col("id") % 10 == 0, "hot").otherwise(F.col("id").cast("string")).alias("s")
+    )
+    met = []
+    value_counts = profile._value_counts
+
+    def counted(df, columns, id_column, wanted=None):
+        met.append((wanted is not None, value_counts(df, columns, id_column, wanted).count()))
+        return value_counts(df, columns, id_column, wanted)
+
+    monkeypatch.setattr(profile, "_value_counts", counted)
+    assert profile.most_frequent(df).first().asDict() == {"column_name": "s", "top": "hot", "freq": 6000}
+    assert len(met) == 1 and met[0][0] and met[0][1] <= profile.TRACKED
+
+
 def test_texts_are_not_shuffled(spark, small_folder):
     documents = spark.read.parquet(f"{small_folder}/documents.parquet").select("doc_id", "text", "lang")
     plan = plan_of(profile._value_counts(documents, ["text", "lang"], "doc_id"))
