@@ -10,19 +10,31 @@ from tagwright.session import write_once
 #: Domain weights of the mixture; clean tokens stay as many as they are.
 WEIGHTS = {"clean": 0.97, "low": 0.005, "toxic": 0.025}
 
+#: Bytes of rows that travel to a Python worker at a time.  Spark's own bound is 64 MB, which both sides hold at once,
+#: in every core, beside what the stages before have left in the executor.
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in small batches, in this stage and, as it is a setting of the session, after it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly labelled classifier rejects go."""
+    small_batches(spark)
     return quality.keep_good(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose fingerprints are linked by 2 bits or fewer, the one with the smallest doc_id stays."""
+    small_batches(spark)
     return simhash.first_of_each(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 50 bytes and more that occur in a document with a smaller doc_id."""
+    small_batches(spark)
     return suffixes.dedup(docs)
 
 
@@ -37,6 +49,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     By now the executors hold memory of four stages, so the workers take less for a longer time.
     """
+    small_batches(spark)
     return sentencepieces.digest(docs, remembered=32 << 20, at_once=1 << 12)
 
 
