@@ -35,6 +35,7 @@ from tagwright.llm.textbytes import (
     field_names,
     gram_hashes,
     gram_words,
+    hashed,
     mix,
     pieces,
     ragged,
@@ -247,29 +248,34 @@ def _shard(mark: dict) -> int:
 
 
 class _Entries:
-    """Entries sorted by seed: seed, document, piece, row and place of each, and the bytes of its strings."""
+    """Entries by seed: seed, document, piece, row and place of each, and where the bytes of its strings are."""
 
     FLAT = ("seed", "row_id", "piece", "row", "start")
 
-    def __init__(self, flat: dict[str, np.ndarray], ends: np.ndarray, text: np.ndarray):
-        self.flat, self.ends, self.text = flat, ends, text
+    def __init__(self, flat: dict[str, np.ndarray], begin: np.ndarray, sizes: np.ndarray, text: np.ndarray):
+        self.flat, self.begin, self.sizes, self.text = flat, begin, sizes, text
         self.seed, self.row_id = flat["seed"], flat["row_id"]
 
     @classmethod
     def read(cls, runs: list[bytes]) -> _Entries:
         table = pa.concat_tables([pa.ipc.open_stream(run).read_all() for run in runs]).combine_chunks()
         text, ends = column_bytes(table["text"].cast(pa.large_binary()))
-        return cls({c: table[c].to_numpy() for c in cls.FLAT}, ends, text)
+        return cls({c: table[c].to_numpy() for c in cls.FLAT}, ends[:-1], np.diff(ends), text)
 
     def take(self, at: np.ndarray) -> _Entries:
-        sizes = self.ends[at + 1] - self.ends[at]
-        text = self.text[ragged(self.ends[at], sizes)]
-        return _Entries({c: v[at] for c, v in self.flat.items()}, np.concatenate([[0], np.cumsum(sizes)]), text)
+        """Some entries in another order; their bytes stay where they are."""
+        return _Entries({c: v[at] for c, v in self.flat.items()}, self.begin[at], self.sizes[at], self.text)
+
+    def copied(self) -> _Entries:
+        """With the bytes of these entries alone, one after the other."""
+        begin = np.cumsum(self.sizes) - self.sizes
+        return _Entries(self.flat, begin, self.sizes, self.text[ragged(self.begin, self.sizes)])
 
     def with_(self, other: _Entries) -> _Entries:
         return _Entries(
             {c: np.concatenate([v, other.flat[c]]) for c, v in self.flat.items()},
-            np.concatenate([self.ends, other.ends[1:] + self.ends[-1]]),
+            np.concatenate([self.begin, other.begin + len(self.text)]),
+            np.concatenate([self.sizes, other.sizes]),
             np.concatenate([self.text, other.text]),
         )
 
@@ -297,7 +303,7 @@ class IndexFamily:
             if len(hit):
                 # Equal seeds of the batch meet the same entries: take them once.
                 hit = hit[np.concatenate([[True], seed[hit][1:] != seed[hit][:-1]])]
-                older.append(level.take(ragged(low[hit], high[hit] - low[hit])))
+                older.append(level.take(ragged(low[hit], high[hit] - low[hit])).copied())
         at = np.flatnonzero(met)
         if not len(at):
             self._insert(batch)
@@ -311,7 +317,7 @@ class IndexFamily:
         repeated = first_id < batch.row_id[at[owner]]
         novel = np.ones(len(batch), bool)
         novel[at] = np.bincount(owner, weights=~repeated, minlength=len(at)) > 0
-        self._insert(batch if novel.all() else batch.take(np.flatnonzero(novel)))
+        self._insert(batch if novel.all() else batch.take(np.flatnonzero(novel)).copied())
         owner, offset = owner[repeated], offset[repeated]
         if not len(owner):
             return batch, *[np.zeros(0, np.int64)] * 3
@@ -322,13 +328,13 @@ class IndexFamily:
 
     def _first_owner(self, entries: _Entries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For every string of the entries: entry, offset and the smallest id that has the string."""
-        sizes = np.diff(entries.ends)
-        strings = sizes - self.length + 1
-        place = ragged(entries.ends[:-1], strings)
+        strings = entries.sizes - self.length + 1
+        place = ragged(entries.begin, strings)
         owner = np.repeat(np.arange(len(entries)), strings)
         words = gram_words(entries.text, self.length)
-        key = gram_hashes(entries.text, self.length)[place]
-        order = np.argsort(key, kind="stable")
+        # Only where strings start: an entry has three times as many bytes.
+        key = hashed(w[place] for w in words)
+        order = np.argsort(key)
         key = key[order]
         same = key[1:] == key[:-1]
         del key
@@ -349,7 +355,7 @@ class IndexFamily:
         smallest = np.minimum.reduceat(entries.row_id[owner[order]], group)
         first_id = np.empty(len(order), np.int64)
         first_id[order] = np.repeat(smallest, np.diff(np.append(group, len(order))))
-        return owner, place - entries.ends[owner], first_id
+        return owner, place - entries.begin[owner], first_id
 
     def _insert(self, entries: _Entries) -> None:
         if not len(entries):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,11 +91,14 @@ def gram_words(data: np.ndarray, length: int) -> list[np.ndarray]:
 
 def gram_hashes(data: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit hash of the ``length`` bytes from each position on."""
-    words = gram_words(data, length)
-    out = np.full(len(words[0]), _MIX2, np.uint64)
+    return hashed(gram_words(data, length))
+
+
+def hashed(words: Iterable[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of the numbers at each place."""
+    out = None
     for word in words:
-        out ^= word
-        mix(out)
+        out = mix(word ^ _MIX2 if out is None else np.bitwise_xor(out, word, out=out))
     return out
 
 

@@ -87,6 +87,34 @@ def test_blocks_of_one_text_meet_at_their_edges():
         assert sorted(at) == [s for a, b in zip(offsets, offsets[1:]) for s in range(a, b - 49)]
 
 
+def test_entries_are_ordered_without_moving_their_bytes():
+    flat = {c: np.array([3, 1, 2]) for c in suffixes._Entries.FLAT}
+    entries = suffixes._Entries(flat, np.array([0, 2, 3]), np.array([2, 1, 3]), np.frombuffer(b"aabccc", np.uint8))
+    ordered = entries.take(np.argsort(entries.seed))
+    assert ordered.text is entries.text and ordered.seed.tolist() == [1, 2, 3]
+    assert ordered.copied().text.tobytes() == b"bcccaa" and ordered.copied().begin.tolist() == [0, 1, 4]
+    both = ordered.take(np.array([2])).with_(entries.take(np.array([2, 1]))).copied()
+    assert both.text.tobytes() == b"aacccb" and both.sizes.tolist() == [2, 3, 1]
+
+
+def test_only_places_where_strings_start_are_hashed(monkeypatch):
+    """An entry of one string has ``length`` bytes and one hash."""
+    real, sizes = suffixes.hashed, []
+
+    def counting(words):
+        out = real(words)
+        sizes.append(len(out))
+        return out
+
+    monkeypatch.setattr(suffixes, "hashed", counting)
+    flat = {c: np.array([5, 5, 5]) for c in suffixes._Entries.FLAT} | {"row_id": np.array([1, 2, 3])}
+    text = np.frombuffer(b"x" * 50 + b"y" * 50 + b"x" * 50, np.uint8)
+    family = suffixes.IndexFamily(50)
+    batch, at, begin, last = family.add(suffixes._Entries(flat, np.array([0, 50, 100]), np.array([50, 50, 50]), text))
+    assert sizes == [3] and batch.row_id[at].tolist() == [3] and begin.tolist() == last.tolist() == [0]
+    assert family.levels[0].row_id.tolist() == [1, 2] and len(family.levels[0].text) == 100
+
+
 def test_sliding_min_and_hashes():
     values = np.random.default_rng(1).integers(0, 100, 50).astype(np.uint64)
     assert sliding_min(values, 7).tolist() == [values[i : i + 7].min() for i in range(44)]
