@@ -12,12 +12,16 @@ WEIGHTS = {"clean": 0.97, "low": 0.005, "toxic": 0.025}
 
 #: Bytes of rows that travel to a Python worker at a time.  Spark's own bound is 64 MB, which both sides hold at once,
 #: in every core, beside what the stages before have left in the executor.
-BATCH = 4 << 20
+BATCH = 1 << 20
+#: Rows of a table that are decoded at a time.  Spark's own 4,096 texts fill arrays of megabytes over and over, for which
+#: the heap grows to its bound and stays there.
+ROWS = 256
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts go to Python workers in small batches, in this stage and, as it is a setting of the session, after it."""
+    """Texts are read and go to Python workers in small batches, in this stage and, as these are settings of the session, after it."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(ROWS))
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,6 +44,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Thin out domains with more tokens than their weight, by rates that the posteriors imply."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return mixing.sampled(docs, labels, WEIGHTS, keep="clean")
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagwright.llm.graph import components
-from tagwright.llm.textbytes import field_names, parts_between_words
+from tagwright.llm.textbytes import field_names, parts_between_words, release_memory
 from tagwright.session import write_once
 
 SHINGLE = 3
@@ -96,6 +96,7 @@ def _majority(size: int) -> Callable:
             yield pa.RecordBatch.from_arrays(
                 [batch["row_id"], batch["row_hash"], pa.array(fingerprints(texts))], names=field_names(_FINGERPRINT)
             )
+        release_memory()
 
     return run
 

@@ -136,3 +136,24 @@ def test_library_without_this_package(tmp_path):
     code = "import __spark_entry__ as e; n = e.queries(); assert 'load_examples' in n and 'pipeline' not in n; print(len(e.oracle_sql()))"
     done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_texts_travel_in_small_batches(spark):
+    import pyarrow as pa
+
+    names = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    before = {n: spark.conf.get(n) for n in names}
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    try:
+        corpus_pipeline.small_batches(spark)
+        docs = spark.range(0, 2000, 1, 1).selectExpr("repeat('x', 4000) AS text")
+        rows = docs.mapInArrow(sizes, "n long, size long").collect()
+        assert int(spark.conf.get(names[1])) <= 256
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+    assert sum(r.n for r in rows) == 2000 and max(r["size"] for r in rows) <= (1 << 20) + (64 << 10)
