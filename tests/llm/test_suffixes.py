@@ -158,3 +158,85 @@ def test_shuffled_table_takes_several_batches(spark, monkeypatch, tmp_path):
     assert found(spark, rows, batch_entries=1) == expected(rows)
     # Each of the 8 shards takes its runs in one batch where every piece spans all ids.
     assert len(list(tmp_path.iterdir())) >= 16
+
+
+def entries(ids, strings, seed=5):
+    """One string an entry, all of one seed."""
+    n, length = len(ids), len(strings[0])
+    flat = {c: np.full(n, seed) for c in suffixes._Entries.FLAT} | {"row_id": np.array(ids)}
+    text = np.frombuffer(b"".join(strings), np.uint8)
+    return suffixes._Entries(flat, np.arange(n) * length, np.full(n, length), text)
+
+
+def test_a_seed_in_many_surroundings_is_no_work_for_later_batches(monkeypatch):
+    """A batch hashes its own strings, however many entries before it have the same seed."""
+    real, sizes = suffixes.hashed, []
+
+    def counting(words):
+        out = real(words)
+        sizes.append(len(out))
+        return out
+
+    monkeypatch.setattr(suffixes, "hashed", counting)
+    draw, family = random.Random(2), suffixes.IndexFamily(50)
+    strings = [draw.randbytes(50) for _ in range(300)]
+    for i in range(0, 300, 10):
+        assert not len(family.add(entries(range(i, i + 10), strings[i : i + 10]))[1])
+    assert sizes == [10] * 30
+    assert sum(len(level) for level in family.levels) == 300 and len(family.levels) <= 9
+    batch, at, *_ = family.add(entries([400, 401, 402], [strings[7], b"x" * 50, strings[299]]))
+    assert sorted(batch.row_id[at].tolist()) == [400, 402]
+    assert sum(len(level) for level in family.levels) == 301
+
+
+def test_strings_of_one_hash_are_told_apart_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(suffixes, "hashed", lambda words: sum(w * np.uint64(0) for w in words))
+    draw, family = random.Random(3), suffixes.IndexFamily(50)
+    strings = [draw.randbytes(50) for _ in range(8)]
+    for i in range(0, 8, 2):
+        assert not len(family.add(entries([i, i + 1, i + 1], [strings[i], strings[i + 1], strings[i + 1]]))[1])
+    batch, at, *_ = family.add(entries([20, 21, 22, 23, 24], [strings[6], b"x" * 50, strings[1], b"x" * 50, strings[0]]))
+    assert sorted(batch.row_id[at].tolist()) == [20, 22, 23, 24]
+
+
+def test_a_seed_in_other_surroundings_does_not_travel(spark, monkeypatch, tmp_path):
+    """Only strings whose seed has 17 more bytes beside it in common with another piece's go to a shard."""
+    real, folder = suffixes._scan_runs, str(tmp_path)
+
+    def counting(length, batch_entries):
+        scan = real(length, batch_entries)
+
+        def counted(batches):
+            for batch in batches:
+                for _ in range(batch.num_rows):
+                    tempfile.mkstemp(dir=folder)
+                yield from scan(iter([batch]))
+
+        return counted
+
+    monkeypatch.setattr(suffixes, "_scan_runs", counting)
+    draw = random.Random(8)
+    noise = lambda: "".join(chr(draw.randrange(97, 123)) for _ in range(40))
+    rows = [(i, noise() + " the common phrase of them all " + noise()) for i in range(100)]
+    assert found(spark, rows) == expected(rows)
+    assert not list(tmp_path.iterdir())
+    rows += [(200 + i, rows[i][1][: 60 + i]) for i in range(0, 20, 5)]
+    assert found(spark, rows) == expected(rows)
+    assert list(tmp_path.iterdir())
+
+
+def test_narrowed_runs_keep_every_string(spark):
+    """Copies that begin and end at all places around their seeds, across pieces."""
+    draw = random.Random(9)
+    text = "".join(chr(draw.randrange(97, 123)) for _ in range(400))
+    rows = [(0, text)] + [(1 + i, "#" * (i % 3) + text[i : i + 50 + i % 40] + "#") for i in range(300)]
+    draw.shuffle(rows)
+    assert found(spark, rows, batch_entries=5) == expected(rows)
+
+
+def test_runs_come_back_as_they_were():
+    fields = np.array([[5, 2, 2**32 - 1], [50, 84, 60], [0, 34, 12], [7, 0, 2**32 - 1], [2**31, 0, 2**32 - 1]], np.uint32)
+    text = np.frombuffer(random.Random(4).randbytes(194), np.uint8)
+    run = suffixes._packed(7 << 32, fields, text, suffixes.zstandard.ZstdCompressor(level=5))
+    number, back, bytes_ = suffixes._unpacked(3, run)
+    assert number == 7 << 32 and (back == fields).all() and bytes_.tobytes() == text.tobytes()
