@@ -4,6 +4,7 @@ import os
 import shutil
 import subprocess
 import sys
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from check_oracle import compare, connect
-from tagwright.llm import queries
+from tagwright.llm import queries, suffixes
 from tests.llm.test_simhash import expected as components
 from tests.llm.test_suffixes import expected as repeats
 
@@ -157,3 +158,29 @@ def test_texts_travel_in_small_batches(spark):
         for n, value in before.items():
             spark.conf.set(n, value)
     assert sum(r.n for r in rows) == 2000 and max(r["size"] for r in rows) <= (1 << 20) + (64 << 10)
+
+
+def test_a_phrase_in_many_surroundings_is_no_work_for_the_suffix_stage(spark, monkeypatch, tmp_path):
+    """Of documents that share a phrase, only those that share 50 bytes send strings to a shard."""
+    real, folder = suffixes._scan_runs, str(tmp_path)
+
+    def counting(length, batch_entries):
+        scan = real(length, batch_entries)
+
+        def counted(batches):
+            for batch in batches:
+                with open(os.path.join(folder, uuid.uuid4().hex), "w") as out:
+                    out.write(str(sum(len(run) for run in batch["run"].to_pylist())))
+                yield from scan(iter([batch]))
+
+        return counted
+
+    monkeypatch.setattr(suffixes, "_scan_runs", counting)
+    noise = [f"{i * 7919 % 10007:05d}" * 6 + f"{i * 104729 % 99991:06d}" * 4 for i in range(200)]
+    rows = [(i, f"{noise[i]} by the common phrase {noise[199 - i][::-1]}", "en", "web", 9) for i in range(100)]
+    rows.append((100, "copied: " + rows[3][1][10:90], "en", "web", 9))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id: r.text for r in corpus_pipeline.remove_repeats(spark, docs.repartition(4), "").collect()}
+    assert left == {i: t for i, t, *_ in rows[:100]} | {100: "copied: "}
+    # The 80 bytes that come twice are a handful of strings.
+    assert 0 < sum(int(p.read_text()) for p in tmp_path.iterdir()) <= 2000
